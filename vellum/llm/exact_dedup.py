@@ -89,17 +89,15 @@ def _entries(directory: np.ndarray, bits: int):
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            found: dict[bytes, list] = {}
+            found: dict[tuple[int, int, bytes], tuple[list, list, bytes]] = {}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 data = normalised(text)
-                entry = found.setdefault(data, [[], []])
-                entry[0].append(MAX_ID if doc_id is None else doc_id)
-                entry[1].append(len(text))
-            rows = []
-            for data, (ids, points) in found.items():
-                key = _key(data)
-                rows.append((int(directory[key >> (64 - bits)]), key - (1 << 63), len(data), squeeze.compress(data), hashlib.sha256(data).digest(), np.array(ids, "<i8").tobytes(), np.array(points, "<i4").tobytes()))
+                # equal texts have equal packed bytes; unequal ones never do
+                ids, points, _ = found.setdefault((_key(data), len(data), squeeze.compress(data)), ([], [], hashlib.sha256(data).digest()))
+                ids.append(MAX_ID if doc_id is None else doc_id)
+                points.append(len(text))
+            rows = [(int(directory[key >> (64 - bits)]), key - (1 << 63), size, packed, sha, np.array(ids, "<i8").tobytes(), np.array(points, "<i4").tobytes()) for (key, size, packed), (ids, points, sha) in found.items()]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
             columns = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _ENTRY.split(", ")])
