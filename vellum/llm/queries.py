@@ -4,12 +4,62 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, langid
-from .common import held_out, table
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+
+from . import chat, decontam, exact_dedup, langid, mixing, quality, simhash, suffix_dedup, token_counts, toxicity
+from .common import held_out, saved, table, work_path
+
+#: Where the public vocabulary files are; a parameter of op4's operator, never copied here.
+TOKENIZERS = "/opt/tokenizers"
 
 _CONTROL = r"\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\]"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 5, 0)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~out)
+    return toxicity.with_toxicity(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~out)
+    return quality.with_quality(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
+    """All documents under two vocabularies; texts with other white space than single spaces are then revised
+    to their collapsed form under the first one, and later copies of a text deleted from it. A batch is sent twice."""
+    one, two = "byte_bpe_50k", "byte_bpe_multi_50k"
+    vocabularies = {v: token_counts.read_vocabulary(f"{folder}/{v}.tiktoken") for v in (one, two)}
+    text = F.coalesce("text", F.lit(""))
+    flat = F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.sha2(text, 256).alias("sha"), F.length(text).alias("n_chars"), F.length(flat).alias("flat_chars"), text.alias("text"), flat.alias("flat"))
+    counts = token_counts.with_token_counts(docs, vocabularies)
+    revised = token_counts.with_token_counts(counts.withColumn("flat", F.when(F.col("n_chars") != F.col("flat_chars"), F.col("flat"))), {one: vocabularies[one]}, text_col="flat", prefix="flat_")
+    counts = saved(revised.withColumn("flat_tokens", F.when(F.col("n_chars") == F.col("flat_chars"), F.col(f"n_{one}")).otherwise(F.col(f"flat_{one}"))).drop(f"flat_{one}"), "token-counts")
+    rollup = token_counts.Rollup(spark, work_path(spark, "rollup"))
+    load = token_counts.change(counts, 1, one, f"n_{one}").unionByName(token_counts.change(counts, 1, two, f"n_{two}"))
+    revise = token_counts.revision(counts, one, (f"n_{one}", "n_chars"), ("flat_tokens", "flat_chars"))
+    first = counts.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sha", "first")
+    copies = counts.join(first, "sha").where("doc_id > first")
+    delete = token_counts.change(copies, -1, one, "flat_tokens", "flat_chars")
+    for batch, changes in (("load", load), ("load", load), ("revise", revise), ("delete", delete)):
+        rollup.apply(batch, changes)
+    rollup.compact()
+    return rollup.totals()
+
+
+def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out("doc_id", 4, 2)
@@ -53,5 +103,28 @@ w as (select doc_id, first_value(doc_id) over (partition by norm order by points
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from w
 """
 
-QUERIES = {"op6_language_id": op6_language_id, "op8_chat_format": op8_chat_format, "op9_exact_dedup": op9_exact_dedup}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources to the same weight."""
+    mixed = mixing.with_rates(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_domain").alias("domain"), F.col("mix_posterior").alias("posterior"), F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontam.build_index(table(spark, sf_dir, "benchmark"))
+    return decontam.leaked_pairs(table(spark, sf_dir, "documents"), index)
+
+
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
+    "op3_simhash": op3_simhash,
+    "op4_token_counts": op4_token_counts,
+    "op5_repeated_substrings": op5_repeated_substrings,
+    "op6_language_id": op6_language_id,
+    "op7_mixing": op7_mixing,
+    "op8_chat_format": op8_chat_format,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_decontamination": op10_decontamination,
+    "pipeline": corpus_pipeline.run,
+}
 ORACLE_SQL = {"op8_chat_format": OP8_SQL, "op9_exact_dedup": OP9_SQL}
