@@ -196,9 +196,10 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         if wanted <= bits or bits >= 20:  # the histogram never has over 2**20 rows
             break
         bits = min(20, wanted)
-    directory = build_directory(sizes, bits, bucket_bytes)
-    owners = int(directory.max()) + 1
-    parts = max(owners, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # small inputs split further, so that every task owns a few buckets
+    directory = build_directory(sizes, bits, min(bucket_bytes, max(16 << 10, sum(sizes.values()) // (4 * parts))))
+    parts = max(parts, (int(directory.max()) + 1) // 4)
     entries = base.mapInArrow(_entries(directory, bits), _ENTRY).repartition(parts, "bucket").sortWithinPartitions("bucket", "key")
     index = saved(entries.mapInArrow(_own, _INDEX), "exact-index")
     doc = F.when(F.col("doc_id") != MAX_ID, F.col("doc_id")).alias("doc_id")
