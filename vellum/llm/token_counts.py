@@ -144,9 +144,9 @@ class Rollup:
         records = self._records()
         bases = sorted(int(k[5:]) for k in records if k.startswith("base-"))
         newest = bases[-1] if bases else 0
-        base = records.get(f"base-{newest}", {"folded": []})
+        base = records.get(f"base-{newest}", {"folded": []})  # number 0 is no base
         fresh = [k for k in sorted(records) if k.startswith("batch-") and k[6:] not in set(base["folded"])]
-        folders = [base["folder"]] * ("folder" in base) + [records[k]["folder"] for k in fresh]
+        folders = [r["folder"] for r in (base, *(records[k] for k in fresh)) if "folder" in r]
         return folders, [*base["folded"], *(k[6:] for k in fresh)], newest
 
     def totals(self) -> DataFrame:

@@ -6,8 +6,9 @@ stands for, or vanish if it is a separator or repeats the letter before; each ch
 Viterbi finds the path with the least channel cost plus code length under a character 4-gram model. The
 model is counted over every text of the corpus: a dense table over 28 classes, so its size is fixed.
 
-Scoring: a logistic model over which of the learned words the restored text has. Words are chosen by
-association with the label in a bounded sample of labelled training rows (TRAIN_ROWS), at most FEATURES of them.
+Scoring: a logistic model over how often, and how densely, the restored text has the learned words and word
+beginnings. They are chosen by association with the label in a bounded sample of labelled training rows
+(TRAIN_ROWS), at most FEATURES of them.
 
 Defined cases: null texts count as empty and get the model's base rate; without training rows of both
 labels every score is the share of label 1 (0 without rows); of a document's repeated labels the largest
@@ -25,13 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_bytes
+from .common import bounded_batches, spans_to_index, text_bytes
 
 #: Bound of the labelled sample; the rows are chosen by a hash of the id.
 TRAIN_ROWS = 20_000
 FEATURES = 2000
 #: Least log-likelihood ratio (G) for a word to become a feature.
 LEAST_G = 30.0
+#: Word beginnings of these lengths are candidates beside whole words.
+PREFIXES = (4, 5, 6, 7)
 CLASSES = 28
 _OTHER = 27
 
@@ -113,8 +116,8 @@ class Restorer:
         out = []
         if c.isalpha():
             out.append((c, KEEP))
-            if i and token[i - 1] == c:
-                out.append(("", AGAIN))
+            if i and token[i - 1] == c and (token[i - 2 : i] == c * 2 or token[i + 1 : i + 2] == c):
+                out.append(("", AGAIN))  # in runs of three or more
         else:
             out += [(x, STAND + math.log2(len(LEET[c]))) for x in LEET.get(c, "")]
             if c in _SEPARATORS or not out:
@@ -149,8 +152,13 @@ class Restorer:
 
 
 def core_of(token: str) -> str:
-    """The token without punctuation around it; $ and @ in front may stand for letters."""
-    return token.rstrip(_EDGES + "$@").lstrip(_EDGES)
+    """The token without punctuation around it; $, @ and + in front may stand for letters."""
+    return token.rstrip(_EDGES + "$@").lstrip(_EDGES.replace("+", ""))
+
+
+def names_of(word: str) -> list[str]:
+    """Feature names of a restored word: itself and its beginnings."""
+    return [word, *(f"{word[:k]}*" for k in PREFIXES if len(word) > k)]
 
 
 def disguised(core: str) -> bool:
@@ -178,30 +186,33 @@ class Words:
         n = self.longest
         return {w for i in range(len(text)) for j in range(i + 3, min(len(text), i + n) + 1) if (w := text[i:j]) in self.place}
 
-    def tokens(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], pa.Array]:
-        """Row and distinct-token number of every token, the distinct tokens, and all tokens."""
+    def tokens(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Row and distinct-token number of every token, and the distinct tokens."""
         lists = pc.utf8_split_whitespace(pc.utf8_lower(array.fill_null("")))
         if isinstance(lists, pa.ChunkedArray):
             lists = lists.combine_chunks()
-        flat = lists.flatten()
-        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        coded = flat.dictionary_encode()
-        return row, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), flat
-
-    def features(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (row, vocabulary index) pairs."""
-        row, number, distinct, _ = self.tokens(array)
-        get = self.place.get
-        index = np.array([get(w, -1) for w in self.of_tokens(distinct)], np.int64)
-        hit = index[number] if len(number) else np.zeros(0, np.int64)
-        good = hit >= 0
-        pairs = [row[good] * (len(self.place) + 1) + hit[good]]
+        coded = lists.flatten().dictionary_encode()
+        row, number = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), coded.indices.to_numpy(zero_copy_only=False)
+        filled = np.array([bool(t) for t in coded.dictionary.to_pylist()], bool)
+        keep = filled[number] if len(number) else np.zeros(0, bool)
+        return row[keep], number[keep], coded.dictionary.to_pylist()
+
+    def features(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and vocabulary indices that occur, how often, and the number of tokens of each text."""
+        row, number, distinct = self.tokens(array)
+        width, get = len(self.place) + 1, self.place.get
+        lists = [[i for name in names_of(w) if (i := get(name, -1)) >= 0] if w else [] for w in self.of_tokens(distinct)]
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter((i for x in lists for i in x), np.int64, int(size.sum()))
+        hit = np.flatnonzero(size[number]) if len(number) else np.zeros(0, np.int64)
+        n = size[number[hit]]
+        found = [np.repeat(row[hit], n) * width + flat[spans_to_index((np.cumsum(size) - size)[number[hit]], n)]]
         short = np.array([len(t.strip(".,;:?\"'")) == 1 for t in distinct], bool)
         for a, b in self.runs(row, short[number] if len(number) else short):
             word = "".join(distinct[k].strip(".,;:?\"'") for k in number[a:b])
-            pairs.append(np.array([row[a] * (len(self.place) + 1) + self.place[w] for w in self.spaced(word)], np.int64))
-        pairs = np.unique(np.concatenate(pairs))
-        return pairs // (len(self.place) + 1), pairs % (len(self.place) + 1)
+            found.append(np.array([row[a] * width + i for w in self.spaced(word) for name in names_of(w) if (i := get(name, -1)) >= 0], np.int64))
+        pairs, count = np.unique(np.concatenate(found), return_counts=True)
+        return pairs // width, pairs % width, count, np.bincount(row, minlength=len(array))
 
     @staticmethod
     def runs(row: np.ndarray, short: np.ndarray) -> list[tuple[int, int]]:
@@ -224,29 +235,35 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, target:
     return docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), id_col).select("y", "text")
 
 
+def design(row: np.ndarray, index: np.ndarray, count: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse design: the logarithm of each count, and in a second block its density in the text."""
+    density = np.minimum(20 * count / np.maximum(size[row], 1), 2.0)
+    return np.tile(row, 2), np.concatenate([index, index + width]), np.concatenate([np.log1p(count), density])
+
+
 class Model:
     def __init__(self, bits: np.ndarray, vocabulary: list[str], weights: np.ndarray, bias: float):
         self.bits, self.vocabulary, self.weights, self.bias = bits, vocabulary, weights, bias
 
     def scores(self, array: pa.Array, words: Words) -> np.ndarray:
-        row, index = words.features(array)
-        z = self.bias + np.bincount(row, self.weights[index], len(array)) if len(row) else np.full(len(array), self.bias)
+        row, index, value = design(*words.features(array), len(self.vocabulary))
+        z = self.bias + np.bincount(row, self.weights[index] * value, len(array)) if len(row) else np.full(len(array), self.bias)
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_logistic(y: np.ndarray, row: np.ndarray, index: np.ndarray, width: int, *, l2: float = 0.5, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Accelerated gradient descent on sparse 0/1 features, weighted for neither label."""
+def fit_logistic(y: np.ndarray, row: np.ndarray, index: np.ndarray, value: np.ndarray, width: int, *, l2: float = 0.01, rounds: int = 800) -> tuple[np.ndarray, float]:
+    """Logistic regression on sparse features by gradient descent with a step of its own for each weight."""
     n = len(y)
     w, b = np.zeros(width), 0.0
     g2, gb2 = np.full(width, 1e-6), 1e-6
     for _ in range(rounds):
-        z = b + np.bincount(row, w[index], n)
+        z = b + np.bincount(row, w[index] * value, n)
         d = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-        g = np.bincount(index, d[row], width) + l2 * w
+        g = np.bincount(index, d[row] * value, width) + l2 * w
         g2 += g * g
         gb2 += d.sum() ** 2
-        w -= 0.5 * g / np.sqrt(g2)
-        b -= 0.5 * d.sum() / np.sqrt(gb2)
+        w -= g / np.sqrt(g2)
+        b -= d.sum() / np.sqrt(gb2)
     return w, float(b)
 
 
@@ -265,10 +282,15 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, *, target: str = "
             y = batch.column(0).to_numpy()
             size[0] += int((y == 0).sum())
             size[1] += int((y == 1).sum())
-            row, number, distinct, _ = words.tokens(batch.column(1))
-            restored = words.of_tokens(distinct)
-            names, place = np.unique(np.array(restored, object), return_inverse=True) if restored else (np.zeros(0, object), np.zeros(0, np.int64))
-            pair = np.unique(row * max(1, len(names)) + place[number]) if len(number) else np.zeros(0, np.int64)
+            row, number, distinct = words.tokens(batch.column(1))
+            seen: dict[str, int] = {}
+            lists = [[seen.setdefault(name, len(seen)) for name in names_of(w)] if w else [] for w in words.of_tokens(distinct)]
+            names = list(seen)
+            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            flat = np.fromiter((i for x in lists for i in x), np.int64, int(n.sum()))
+            once = np.unique(row * max(1, len(distinct)) + number)
+            row, number = once // max(1, len(distinct)), once % max(1, len(distinct))
+            pair = np.unique(np.repeat(row, n[number]) * max(1, len(names)) + flat[spans_to_index((np.cumsum(n) - n)[number], n[number])])
             r, k = pair // max(1, len(names)), pair % max(1, len(names))
             for j in (0, 1):
                 for i, c in enumerate(np.bincount(k[y[r] == j], minlength=len(names)).tolist()):
@@ -295,15 +317,17 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, *, target: str = "
     def rows_of(batches):
         words = Words(shared.value, vocabulary)
         for batch in batches:
-            row, index = words.features(batch.column(1))
-            cut = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(index.astype(np.int32)))], ["y", "words"])
+            row, index, count, size = words.features(batch.column(1))
+            cut = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int32))) for x in (index, count)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.array(size)], ["y", "words", "counts", "size"])
 
-    got = sample.mapInArrow(rows_of, "y int, words array<int>").collect()
-    y = np.array([r[0] for r in got], float)
+    got = sample.mapInArrow(rows_of, "y int, words array<int>, counts array<int>, size long").collect()
+    y, size = np.array([r[0] for r in got], float), np.array([r[3] for r in got])
     row = np.repeat(np.arange(len(got)), [len(r[1]) for r in got])
-    index = np.array([w for r in got for w in r[1]], np.int64)
-    weights, bias = fit_logistic(y, row, index, len(vocabulary))
+    index, count = (np.array([w for r in got for w in r[j]], np.int64) for j in (1, 2))
+    row, index, value = design(row, index, count, size, len(vocabulary))
+    weights, bias = fit_logistic(y, row, index, value, 2 * len(vocabulary))
     return Model(bits, vocabulary, weights, bias)
 
 
