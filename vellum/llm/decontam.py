@@ -22,11 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, spans_to_index
+from .common import bounded_batches, spans_to_index, text_bytes
 
 K1, B = 1.2, 0.75
 SHINGLE = 5
@@ -38,11 +39,32 @@ MAX_ITEMS = 200_000
 
 LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("overlap", T.DoubleType()), T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType())])
 
-_WORD = re.compile(r"[^\W_]+")
+#: Bytes of ASCII letters and digits stay, as do those of other letters; the rest of ASCII separates words.
+_SPLIT = np.arange(256, dtype=np.uint8)
+_SPLIT[:128] = 0x20
+_SPLIT[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = [*range(0x30, 0x3A), *range(0x61, 0x7B)]
+#: Lead byte, second bytes and length of blocks of punctuation and symbols: U+0080-00BF, U+2000-2BFF, U+3000-303F.
+_MARKS = ((0xC2, 0x80, 0xBF, 2), (0xE2, 0x80, 0xAF, 3), (0xE3, 0x80, 0x80, 3))
+
+
+def words_in(array: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-case words of all texts on end, and the number of words of each."""
+    data, offsets = text_bytes(pc.utf8_lower(array))
+    flat = _SPLIT[data]
+    for lead, low, high, size in _MARKS:
+        at = np.flatnonzero(data == lead)
+        at = at[(data[at + 1] >= low) & (data[at + 1] <= high)] if len(at) else at
+        for i in range(size if len(at) else 0):
+            flat[at + i] = 0x20
+    texts = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat))
+    words = pc.ascii_split_whitespace(texts)
+    kept = pc.not_equal(words.flatten(), "").to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(kept)])[words.offsets.to_numpy()]
+    return words.flatten().filter(pa.array(kept)), np.diff(ends)
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    return words_in(pa.array([text or ""], pa.string()))[0].to_pylist()
 
 
 @dataclass
@@ -75,13 +97,14 @@ class Index:
         self.items = [x for i, t in sorted(items) if (x := make_item(i, t)).words]
         n = len(self.items)
         vocabulary = sorted({w for x in self.items for w in x.words})
-        self.term = {w: i for i, w in enumerate(vocabulary)}
+        self.vocabulary = pa.array(vocabulary, pa.string())
+        term_of = {w: i for i, w in enumerate(vocabulary)}
         lengths = np.array([len(x.words) for x in self.items] or [1], float)
         self.stride = max(16, int(np.ceil(lengths.max() / 2)))
         self.block = block
         rows, cols, tfs = [], [], []
         for j, x in enumerate(self.items):
-            ids, tf = np.unique([self.term[w] for w in x.words], return_counts=True)
+            ids, tf = np.unique([term_of[w] for w in x.words], return_counts=True)
             rows.append(ids)
             cols.append(np.full(len(ids), j))
             tfs.append(tf)
@@ -139,18 +162,16 @@ class Index:
         return passage[pair[good] // (len(self.items) + 1)], pair[good] % (len(self.items) + 1), score[good]
 
 
-def find_leaks(index: Index, texts: list[str | None], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[list[dict]]:
+def find_leaks(index: Index, texts: pa.Array, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[list[dict]]:
     """Leaks of each text, by item; of an item found in several passages the best one counts."""
-    out: list[list[dict]] = [[] for _ in texts]
-    if not index.items or not texts:
+    out: list[list[dict]] = [[] for _ in range(len(texts))]
+    if not index.items or not len(texts):
         return out
-    words = [words_of(t) for t in texts]
-    sizes = np.array([len(w) for w in words])
+    words, sizes = words_in(texts)
     segments = -(-sizes // index.stride)
-    base = np.cumsum(segments) - segments
-    get = index.term.get
-    found = np.fromiter((get(w, -1) for row in words for w in row), np.int64, int(sizes.sum()))
-    place = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    base, first = np.cumsum(segments) - segments, np.cumsum(sizes) - sizes
+    found = pc.fill_null(pc.index_in(words, value_set=index.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    place = np.arange(len(found)) - np.repeat(first, sizes)
     segment = np.repeat(base, sizes) + place // index.stride
     known = found >= 0
     passages, items, scores = index.retrieve(found[known], segment[known], segments, threshold)
@@ -159,7 +180,7 @@ def find_leaks(index: Index, texts: list[str | None], threshold: float = THRESHO
     for d, p, j, score in zip(documents.tolist(), passages.tolist(), items.tolist(), scores.tolist(), strict=True):
         item = index.items[j]
         start = (p - int(base[d])) * index.stride
-        passage = words[d][start : start + 3 * index.stride]
+        passage = words.slice(int(first[d]) + start, min(3 * index.stride, int(sizes[d]) - start)).to_pylist()
         have = set(passage)
         part = lambda s: len(s & have) / len(s)
         question, answer = part(item.question), part(item.answer)
@@ -194,7 +215,7 @@ def with_leaks(docs: DataFrame, index: Index, *, text_col: str = "text", leaks_c
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                leaks = find_leaks(shared.value, part.column(place).to_pylist(), threshold, overlap)
+                leaks = find_leaks(shared.value, part.column(place), threshold, overlap)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaks, kind)], [*part.schema.names, leaks_col])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(leaks_col, T.ArrayType(LEAK))]))
