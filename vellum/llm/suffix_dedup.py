@@ -24,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +37,13 @@ GRAM = 32
 BUCKET_BYTES = 24 << 20
 _POSITION = np.uint64((1 << 31) - 1)
 
-_RUNS = "bucket int, pos binary, tag binary, off binary, low binary, high binary, h binary"
+#: Kinds of the packed columns. A bucket holds few enough minimizers for 32 bits of their hashes: two that agree
+#: by chance only send two runs on whose bytes then differ.
+_KINDS = {"pos": "<i8", "tag": "<i8", "off": "<i4", "start": "<i4", "low": "<i2", "high": "<i2", "size": "<i2", "h": "<u4"}
+_RISING = ("pos", "off", "start")
+_RUNS = "bucket int, n int, pos binary, tag binary, off binary, low binary, high binary, h binary"
 _LIVE = "pos long, tag long, off int, low short, high short, h long"
-_WINDOWS = "bucket int, pos binary, tag binary, start binary, low binary, high binary, h binary, size binary, bytes binary"
+_WINDOWS = "bucket int, n int, pos binary, tag binary, start binary, low binary, high binary, h binary, size binary, bytes binary"
 _COVER = "pos long, tag long, covers binary"
 
 
@@ -66,16 +71,23 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, gram: int
     return row, at - offsets[row], at - windows[heads], at - windows[tails], grams[at]
 
 
+def _squeeze(values: np.ndarray, rising: bool) -> bytes:
+    """Array as compressed bytes; rising ones as differences."""
+    if rising:
+        values = np.diff(values, prepend=values[:1] * 0)
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
 def _pack(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     """One row a bucket with packed arrays."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
     ends = np.concatenate([heads[1:], [len(bucket)]]) if len(heads) else heads
-    out = {"bucket": pa.array(bucket[heads].astype(np.int32))}
+    out = {"bucket": pa.array(bucket[heads].astype(np.int32)), "n": pa.array((ends - heads).astype(np.int32))}
     for name, values in columns.items():
         values = values[order]
-        out[name] = pa.array([values[a:b].tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary())
+        out[name] = pa.array([_squeeze(values[a:b], name in _RISING) for a, b in zip(heads, ends, strict=True)], pa.binary())
     return pa.RecordBatch.from_pydict(out)
 
 
@@ -86,8 +98,8 @@ def _emit_runs(depth: int, gram: int, buckets: int):
             row, off, high, low, h = runs_of(data, offsets, depth, gram)
             if len(row):
                 pos, tag = (batch.column(i).to_numpy()[row] for i in (0, 1))
-                where = (h >> np.uint64(20)) % np.uint64(buckets)
-                yield _pack(where.astype(np.int64), {"pos": pos, "tag": tag, "off": off.astype(np.int32), "low": low.astype(np.int16), "high": high.astype(np.int16), "h": h.view(np.int64)})
+                where = (h >> np.uint64(32)) % np.uint64(buckets)
+                yield _pack(where.astype(np.int64), {"pos": pos, "tag": tag, "off": off.astype(np.int32), "low": low.astype(np.int16), "high": high.astype(np.int16), "h": h.astype(np.uint32)})
 
     return run
 
@@ -109,23 +121,26 @@ def _by_bucket(batches):
         yield pa.Table.from_batches(held)
 
 
-def _unpack(rows: pa.Table, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
+def _unpack(rows: pa.Table, name: str) -> np.ndarray:
+    expand = zstandard.ZstdDecompressor()
+    parts = [np.frombuffer(expand.decompress(x), _KINDS[name]) for x in rows.column(name).to_pylist()]
+    return np.concatenate([np.cumsum(x, dtype=x.dtype) if name in _RISING else x for x in parts])
 
 
 def _shared_minimizers(batches):
+    names = ["pos", "tag", "off", "low", "high", "h"]
     for rows in _by_bucket(batches):
-        h = _unpack(rows, "h", "<i8")
-        order = np.argsort(h, kind="stable")
-        s = h[order]
+        columns = {name: _unpack(rows, name) for name in names}
+        order = np.argsort(columns["h"], kind="stable")
+        s = columns["h"][order]
         same = np.concatenate([[False], s[1:] == s[:-1], [False]])
         order = np.sort(order[same[1:] | same[:-1]])
-        kinds = {"pos": "<i8", "tag": "<i8", "off": "<i4", "low": "<i2", "high": "<i2", "h": "<i8"}
+        columns["h"] = columns["h"].astype(np.int64) | (np.repeat(rows.column("bucket").to_numpy().astype(np.int64), rows.column("n").to_numpy()) << 32)
         for at in range(0, len(order), 50_000):
-            yield pa.RecordBatch.from_pydict({name: pa.array(_unpack(rows, name, kind)[order[at : at + 50_000]]) for name, kind in kinds.items()})
+            yield pa.RecordBatch.from_pydict({name: pa.array(columns[name][order[at : at + 50_000]]) for name in names})
 
 
-def _emit_windows(depth: int, buckets: int):
+def _emit_windows(depth: int):
     """Bytes under the windows of each surviving run."""
 
     def run(batches):
@@ -141,14 +156,15 @@ def _emit_windows(depth: int, buckets: int):
             start = off - high
             size = high - low + depth
             pos, tag = (batch.column(c).to_numpy()[row] for c in ("pos", "tag"))
-            where = ((h.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            where = h >> 32
             order = np.argsort(where, kind="stable")
             begin = (offsets[row] + start)[order]
             raw = data.tobytes()
             pieces = [raw[b : b + s] for b, s in zip(begin.tolist(), size[order].tolist(), strict=True)]
-            out = _pack(where, {"pos": pos, "tag": tag, "start": start.astype(np.int32), "low": low.astype(np.int16), "high": high.astype(np.int16), "h": h, "size": size.astype(np.int16)})
-            cuts = np.concatenate([[0], np.cumsum([len(x.as_py()) // 8 for x in out.column("h")])])
-            joined = [b"".join(pieces[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            out = _pack(where, {"pos": pos, "tag": tag, "start": start.astype(np.int32), "low": low.astype(np.int16), "high": high.astype(np.int16), "h": h.astype(np.uint32), "size": size.astype(np.int16)})
+            cuts = np.concatenate([[0], np.cumsum(out.column("n").to_numpy())])
+            squeeze = zstandard.ZstdCompressor(level=3)
+            joined = [squeeze.compress(b"".join(pieces[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(joined, pa.binary())], [x.split()[0] for x in _WINDOWS.split(", ")])
 
     return run
@@ -177,9 +193,10 @@ def repeated_windows(data: np.ndarray, at: np.ndarray, group: np.ndarray, depth:
 def _refine(depth: int):
     def run(batches):
         for rows in _by_bucket(batches):
-            pos, tag, start, h = (_unpack(rows, c, k) for c, k in (("pos", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("h", "<i8")))
-            low, high, size = (_unpack(rows, c, "<i2").astype(np.int64) for c in ("low", "high", "size"))
-            joined = b"".join(rows.column("bytes").to_pylist())
+            pos, tag = (_unpack(rows, c) for c in ("pos", "tag"))
+            start, h, low, high, size = (_unpack(rows, c).astype(np.int64) for c in ("start", "h", "low", "high", "size"))
+            expand = zstandard.ZstdDecompressor()
+            joined = b"".join(expand.decompress(x) for x in rows.column("bytes").to_pylist())
             begin = np.cumsum(size) - size
             order = np.lexsort((start, tag, pos))  # earliest first
             # equal runs collapse to the earliest: every window of a later one is a repeat
@@ -266,24 +283,30 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     bounded_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    sha = F.unhex(F.sha2(text, 256))
     pos = F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_ID))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), pos.alias("pos"), F.conv(F.hex(F.substring(sha, 1, 7)), 16, 10).cast("long").alias("tag"), text.alias("text"), sha.alias("sha"))
-    meta = saved(base.select("pos", "tag", "sha", F.octet_length("text").alias("size")), "repeat-meta")
+    # no column may be null: a plan that filters nulls would not share the exchange of texts below
+    base = docs.select(pos.alias("pos"), text.alias("text"), F.sha2(text, 256).alias("sha"))
+    meta = saved(base.select("pos", "sha", F.octet_length("text").alias("size")), "repeat-meta")
     total = meta.agg(F.sum("size")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, 16, int(np.ceil(total / BUCKET_BYTES)))
 
+    # a tag tells texts of one id apart, if any id has several
+    several = meta.groupBy("pos").agg(F.count_distinct("sha").alias("n")).where("n > 1").limit(1).count()
+    keys = ["pos", "tag"] if several else ["pos"]
+    told = [F.coalesce(F.conv(F.substring("sha", 1, 14), 16, 10).cast("long"), F.lit(0)).alias("tag")] if several else []
+    tag = F.col("tag") if several else F.lit(0).cast("long").alias("tag")
     firsts = meta.groupBy("sha").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).where("first < last").select("sha", "first")
-    later = saved(meta.join(firsts, "sha").where("pos > first").select("pos", "tag").distinct().withColumn("later", F.lit(True)), "repeat-later")
+    later = saved(meta.join(firsts, "sha").where("pos > first").select("pos", *told).distinct().withColumn("later", F.lit(True)), "repeat-later")
     # the one exchange of texts: each later use of `dealt` reuses it
-    dealt = base.select("doc_id", "pos", "tag", "text").repartition(parts, "pos", "tag").join(later, ["pos", "tag"], "left")
-    fresh = dealt.where("later is null").select("pos", "tag", "text")
+    dealt = base.select("pos", *told, "text").repartition(parts, *keys).join(later, keys, "left")
+    fresh = dealt.where("later is null").select("pos", tag, "text")
     runs = fresh.mapInArrow(_emit_runs(depth, gram, buckets), _RUNS)
     live = runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_minimizers, _LIVE)
-    lists = live.groupBy("pos", "tag").agg(F.collect_list(F.struct("off", "low", "high", "h")).alias("runs"))
-    windows = fresh.join(lists, ["pos", "tag"]).select("pos", "tag", "text", "runs").mapInArrow(_emit_windows(depth, buckets), _WINDOWS)
+    lists = live.groupBy(*keys).agg(F.collect_list(F.struct("off", "low", "high", "h")).alias("runs"))
+    windows = fresh.join(lists, keys).select("pos", "tag", "text", "runs").mapInArrow(_emit_windows(depth), _WINDOWS)
     covers = windows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_refine(depth), _COVER)
-    covers = covers.groupBy("pos", "tag").agg(F.collect_list("covers").alias("covers"))
+    covers = covers.groupBy(*keys).agg(F.collect_list("covers").alias("covers"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text binary" * with_text
-    return dealt.join(covers, ["pos", "tag"], "left").select("doc_id", "text", "covers", "later").mapInArrow(_results(depth, with_text), schema)
+    doc_id = F.when(F.col("pos") != MAX_ID, F.col("pos")).alias("doc_id")
+    return dealt.join(covers, keys, "left").select(doc_id, "text", "covers", "later").mapInArrow(_results(depth, with_text), schema)
