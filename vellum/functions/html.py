@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import urls
 
@@ -236,27 +237,27 @@ def first_image(text: str, base: urls.Url | None) -> str | None:
 # columns
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sanitized(html: pd.Series) -> pd.Series:
     return html.map(lambda x: None if x is None else sanitize(x))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def asset_references(html: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([None if h is None else references(h, urls.parse(b)) for h, b in zip(html, base, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def srcset_pick(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: None if x is None else srcset_choice(x))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_dangerous(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: None if x is None else dangerous_url(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def localized(html: pd.Series, base: pd.Series, paths: pd.Series) -> pd.Series:
     """paths: entries (url, path) of the assets that were stored for the page."""
 
@@ -267,7 +268,16 @@ def localized(html: pd.Series, base: pd.Series, paths: pd.Series) -> pd.Series:
     return pd.Series([None if h is None else one(h, b, p) for h, b, p in zip(html, base, paths, strict=True)])
 
 
-CAPTURE = "link string, final_url string, content_html string, confident boolean, hero_url string, assets array<string>"
+CAPTURE = T.StructType(
+    [
+        T.StructField("link", T.StringType()),
+        T.StructField("final_url", T.StringType()),
+        T.StructField("content_html", T.StringType()),
+        T.StructField("confident", T.BooleanType()),
+        T.StructField("hero_url", T.StringType()),
+        T.StructField("assets", T.ArrayType(T.StringType())),
+    ]
+)
 
 
 @F.pandas_udf(CAPTURE)

@@ -17,7 +17,7 @@ SMALL_SIDE = 32 << 20
 
 def small(df: DataFrame) -> DataFrame:
     """Hint a broadcast if the plan's own size estimate is small; the planner decides otherwise."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= SMALL_SIDE else df
 
 

@@ -108,12 +108,12 @@ def usable_assets(references: DataFrame, assets: DataFrame, blocked: Column) ->
 # blobs
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gzip_bytes(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else gzip.compress(x if isinstance(x, bytes) else bytes(x), mtime=0))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gunzip_bytes(data: pd.Series) -> pd.Series:
     """Null for what is not gzip."""
 
@@ -171,13 +171,13 @@ def _bundle(paths: list[str], bodies: list[bytes | None], hashes: list[str], lit
     return gzip.compress(out.getvalue(), mtime=0)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def bundle(entries: pd.Series) -> pd.Series:
     """Tar.gz of a document's entries (path, body, content_hash, literal); those not literal become pointers."""
     return entries.map(lambda es: _bundle(*zip(*[(e["path"], e["body"], e["content_hash"], e["literal"]) for e in es], strict=True)) if es is not None and len(es) else None)
 
 
-@F.pandas_udf("array<struct<path: string, body: binary, pointer: string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("body", T.BinaryType()), T.StructField("pointer", T.StringType())])))
 def unbundled(data: pd.Series) -> pd.Series:
     """Entries of a bundle; a pointer has the hash of a shared blob for a body."""
 
