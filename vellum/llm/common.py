@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 MAX_ID = (1 << 63) - 1
 #: JVM to Python batches are cut at this many bytes, so that long texts cannot pile up in a worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:

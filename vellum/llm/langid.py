@@ -32,6 +32,8 @@ ORDER = 4
 SAMPLE_ROWS = 400
 UND = "und"
 _SEP = 0x20
+#: Bytes scored at a time.
+_STEP = 1 << 18
 #: Code lengths of a garbled text exceed this many bits a byte in every language.
 MAX_BITS = 7.5
 
@@ -47,12 +49,13 @@ def coded_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.zeros(len(data), bool)
     first[offsets[:-1][offsets[:-1] < len(data)]] = True
     keep = (data != _SEP) | np.concatenate([[True], data[:-1] != _SEP]) | first if len(data) else np.zeros(0, bool)
-    placed = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    lengths = np.diff(np.concatenate([[0], np.cumsum(keep, dtype=np.int32)])[offsets]).astype(np.int64)
     data = data[keep]
-    lengths = np.diff(placed)
-    starts = placed[:-1] + ORDER * (np.arange(len(lengths)) + 1)
-    out = np.full(len(data) + ORDER * len(lengths), _SEP, np.uint8)
-    out[np.arange(len(data)) + np.repeat(ORDER * (np.arange(len(lengths)) + 1), lengths)] = data
+    starts = np.cumsum(lengths) - lengths + ORDER * (np.arange(len(lengths)) + 1)
+    pad = np.zeros(len(data) + ORDER * len(lengths), bool)
+    pad[(starts[:, None] - np.arange(1, ORDER + 1)).ravel()] = True
+    out = np.full(len(pad), _SEP, np.uint8)
+    out[~pad] = data
     return out, starts, lengths
 
 
@@ -123,16 +126,14 @@ class ContextTrees:
         """Total code length of each text in each language, and the number of bytes coded."""
         data, starts, lengths = coded_bytes(array)
         total = np.zeros((len(lengths), len(self.langs)))
-        row, begin = 0, 0
-        at_all = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-        owner = np.repeat(np.arange(len(lengths)), lengths)
-        step = 1 << 19
-        for begin in range(0, len(at_all), step):
-            at, who = at_all[begin : begin + step], owner[begin : begin + step]
-            cost = self.cost(_grams(data, at, ORDER + 1), ORDER)
+        ends = np.cumsum(lengths)
+        for begin in range(0, int(lengths.sum()), _STEP):  # in steps, however long a text is
+            place = np.arange(begin, min(begin + _STEP, ends[-1]))
+            who = np.searchsorted(ends, place, "right")
+            cost = self.cost(_grams(data, place + ORDER * (who + 1), ORDER + 1), ORDER)
             heads = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-            for row in range(len(self.langs)):
-                total[who[heads], row] += np.add.reduceat(cost[:, row], heads, dtype=np.float64)
+            for j in range(len(self.langs)):
+                total[who[heads], j] += np.add.reduceat(cost[:, j], heads, dtype=np.float64)
         return total, lengths
 
     def predict(self, array: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
