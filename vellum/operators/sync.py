@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, content_hash, sync_order
+from ..sources.shared import cut
 from . import dedup, mutate
 from .filters import keep_tombstone, newer
 
@@ -83,23 +84,26 @@ class Replica:
 
 
 def reconcile(local: Replica, remote: Replica, now: Column, now_text: str) -> tuple[Replica, Replica, DataFrame]:
-    """New local and remote state, and a report (entity_type, pulled, pushed, deleted, merged)."""
-    deaths = dedup.earliest_tombstones(local.tombstones.unionByName(remote.tombstones)).where(keep_tombstone("deleted_at", now))
+    """New local and remote state, and a report (entity_type, pulled, pushed, deleted, merged).
+
+    Plans are cut between the steps: each joins the state with itself, and would double the plan of the one before.
+    """
+    deaths = cut(dedup.earliest_tombstones(local.tombstones.unionByName(remote.tombstones)).where(keep_tombstone("deleted_at", now)))
     state: dict[str, DataFrame] = {}
     tallies = []
     for kind in ("source", "category", "article"):  # so that references of later ones resolve
         here, there = ({"source": x.sources, "category": x.categories, "article": x.articles}[kind] for x in (local, remote))
         mine, theirs = mutate.apply_tombstones(here, kind, deaths), mutate.apply_tombstones(there, kind, deaths)
-        actions = classify(mine, theirs)
+        actions = cut(classify(mine, theirs))
         pulled = theirs.join(actions.where("action = 'pull'").select("id"), "id", "left_semi")
-        state[kind] = mutate.upsert_synced(mine, pulled, ("article_count",) if kind == "source" else ())
+        state[kind] = cut(mutate.upsert_synced(mine, pulled, ("article_count",) if kind == "source" else ()))
         deleted = here.select("id").join(state[kind].select("id"), "id", "left_anti").select(F.lit("deleted").alias("what"))
         tallies.append(actions.select(F.col("action").alias("what")).unionByName(deleted).withColumn("entity_type", F.lit(kind)))
     articles = state["article"]
     sources, articles, lost_s = resolve_named(state["source"], articles, "source", now_text)
     categories, articles, lost_c = resolve_named(state["category"], articles, "category", now_text)
-    articles, lost_a = resolve_articles(articles, now_text)
-    for kind, lost in (("source", lost_s), ("category", lost_c), ("article", lost_a)):
+    articles, lost_a = resolve_articles(cut(articles), now_text)
+    for kind, lost in (("source", cut(lost_s)), ("category", cut(lost_c)), ("article", cut(lost_a))):
         deaths = mutate.tombstone(deaths, kind, now_text, lost)
         tallies.append(lost.select(F.lit("merged").alias("what"), F.lit(kind).alias("entity_type")))
     rows = tallies[0]
