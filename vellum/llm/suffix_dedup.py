@@ -11,6 +11,10 @@ The sort goes by most significant digit, and a suffix whose digit nobody shares
   earliest; only groups with different bytes left are radix-sorted on, eight bytes a pass, to full depth.
 * Groups equal at full depth are exactly the repeated windows; all but the earliest are removed.
 
+A minimizer that very many documents share would fill its bucket, so those are counted first (within batches,
+then in total). Their runs are cut into single windows that go by the hash of their own bytes: the windows
+inside a common passage are equal and shrink to one for each batch, those at its edges differ and spread.
+
 Documents that repeat an earlier one byte for byte are found by SHA-256 first and never enter the sort.
 
 Defined cases: a null text is empty; a null id sorts last; rows that repeat id and text are one document,
@@ -29,12 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import MAX_ID, bounded_batches, saved, text_bytes
-from .numeric import gram_hashes, sliding_min
+from .numeric import gram_hashes, mix, sliding_min
 
 DEPTH = 100
 GRAM = 32
 #: Text bytes whose runs one bucket sorts; a bucket's arrays take about half of that.
 BUCKET_BYTES = 24 << 20
+#: A minimizer counts as frequent from so many occurrences on, in batches that hold at least so many of it.
+FREQUENT, IN_A_BATCH = 10_000, 8
+#: The frequent ones are broadcast; of more than this many, only the most frequent count.
+FREQUENT_AT_MOST = 200_000
 _POSITION = np.uint64((1 << 31) - 1)
 
 #: Kinds of the packed columns. A bucket holds few enough minimizers for 32 bits of their hashes: two that agree
@@ -42,7 +50,7 @@ _POSITION = np.uint64((1 << 31) - 1)
 _KINDS = {"pos": "<i8", "tag": "<i8", "off": "<i4", "start": "<i4", "low": "<i2", "high": "<i2", "size": "<i2", "h": "<u4"}
 _RISING = ("pos", "off", "start")
 _RUNS = "bucket int, n int, pos binary, tag binary, off binary, low binary, high binary, h binary"
-_LIVE = "pos long, tag long, off int, low short, high short, h long"
+_LIVE = "pos long, tag long, off int, low short, high short, h long"  # h: bucket and 32 bits, or -1 for frequent ones
 _WINDOWS = "bucket int, n int, pos binary, tag binary, start binary, low binary, high binary, h binary, size binary, bytes binary"
 _COVER = "pos long, tag long, covers binary"
 
@@ -91,15 +99,30 @@ def _pack(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(out)
 
 
-def _emit_runs(depth: int, gram: int, buckets: int):
+def _count_in_batches(depth: int, gram: int, least: int):
+    def run(batches):
+        for batch in batches:
+            h, n = np.unique(runs_of(*text_bytes(batch.column(2)), depth, gram)[4], return_counts=True)
+            many = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(h[many].view(np.int64)), pa.array(n[many])], ["h", "n"])
+
+    return run
+
+
+def _emit_runs(depth: int, gram: int, buckets: int, frequent: np.ndarray):
+    """Runs packed by bucket. Those of frequent minimizers are known to be shared; they go to the bucket of their document."""
+
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             row, off, high, low, h = runs_of(data, offsets, depth, gram)
             if len(row):
                 pos, tag = (batch.column(i).to_numpy()[row] for i in (0, 1))
-                where = (h >> np.uint64(32)) % np.uint64(buckets)
-                yield _pack(where.astype(np.int64), {"pos": pos, "tag": tag, "off": off.astype(np.int32), "low": low.astype(np.int16), "high": high.astype(np.int16), "h": h.astype(np.uint32)})
+                where = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                if len(frequent):
+                    often = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
+                    where = np.where(often, -1 - pos % buckets, where)
+                yield _pack(where, {"pos": pos, "tag": tag, "off": off.astype(np.int32), "low": low.astype(np.int16), "high": high.astype(np.int16), "h": h.astype(np.uint32)})
 
     return run
 
@@ -131,17 +154,22 @@ def _shared_minimizers(batches):
     names = ["pos", "tag", "off", "low", "high", "h"]
     for rows in _by_bucket(batches):
         columns = {name: _unpack(rows, name) for name in names}
-        order = np.argsort(columns["h"], kind="stable")
-        s = columns["h"][order]
-        same = np.concatenate([[False], s[1:] == s[:-1], [False]])
-        order = np.sort(order[same[1:] | same[:-1]])
-        columns["h"] = columns["h"].astype(np.int64) | (np.repeat(rows.column("bucket").to_numpy().astype(np.int64), rows.column("n").to_numpy()) << 32)
+        bucket = rows.column("bucket")[0].as_py()
+        if bucket < 0:
+            order, columns["h"] = np.arange(len(columns["h"])), np.full(len(columns["h"]), -1)
+        else:
+            order = np.argsort(columns["h"], kind="stable")
+            s = columns["h"][order]
+            same = np.concatenate([[False], s[1:] == s[:-1], [False]])
+            order = np.sort(order[same[1:] | same[:-1]])
+            columns["h"] = columns["h"].astype(np.int64) | (bucket << 32)
         for at in range(0, len(order), 50_000):
             yield pa.RecordBatch.from_pydict({name: pa.array(columns[name][order[at : at + 50_000]]) for name in names})
 
 
-def _emit_windows(depth: int):
-    """Bytes under the windows of each surviving run."""
+def _emit_windows(depth: int, buckets: int):
+    """Bytes under the windows of each surviving run. Of runs that are equal within the batch only the first goes on;
+    the others are covered by it, which is known here. Runs of frequent minimizers are cut into single windows."""
 
     def run(batches):
         for batch in batches:
@@ -154,18 +182,46 @@ def _emit_windows(depth: int):
             off, low, high, h = (flat.field(name).to_numpy().astype(np.int64) for name in ("off", "low", "high", "h"))
             row = np.repeat(np.arange(len(n)), n)
             start = off - high
+            often = np.flatnonzero(h < 0)
+            if len(often):
+                count = (high - low + 1)[often]
+                at = np.repeat(start[often], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                rest, who = np.flatnonzero(h >= 0), np.repeat(row[often], count)
+                own = mix(gram_hashes(data, depth)[offsets[who] + at]) if len(at) else np.zeros(0, np.uint64)
+                where = ((own >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                row, start = np.concatenate([row[rest], who]), np.concatenate([start[rest], at])
+                # a place of its own, beyond any real one, keeps single windows from meeting runs
+                low, high = (np.concatenate([x[rest], np.full(len(at), depth, np.int64)]) for x in (low, high))
+                h = np.concatenate([h[rest], (where << 32) | (own & np.uint64(0xFFFFFFFF)).astype(np.int64)])
             size = high - low + depth
             pos, tag = (batch.column(c).to_numpy()[row] for c in ("pos", "tag"))
-            where = h >> 32
-            order = np.argsort(where, kind="stable")
-            begin = (offsets[row] + start)[order]
             raw = data.tobytes()
-            pieces = [raw[b : b + s] for b, s in zip(begin.tolist(), size[order].tolist(), strict=True)]
-            out = _pack(where, {"pos": pos, "tag": tag, "start": start.astype(np.int32), "low": low.astype(np.int16), "high": high.astype(np.int16), "h": h.astype(np.uint32), "size": size.astype(np.int16)})
-            cuts = np.concatenate([[0], np.cumsum(out.column("n").to_numpy())])
+            order = np.lexsort((start, tag, pos))  # earliest first
+            begin = (offsets[row] + start)[order]
+            first: dict[tuple, bytes] = {}
+            pieces, lead, follow = [], [], []
+            for i, key, lo, hi, b, s in zip(order.tolist(), h[order].tolist(), low[order].tolist(), high[order].tolist(), begin.tolist(), size[order].tolist(), strict=True):
+                piece = raw[b : b + s]
+                if first.setdefault((key, lo, hi, piece), piece) is piece:
+                    lead.append(i)
+                    pieces.append(piece)
+                else:
+                    follow.append(i)
+            kept = np.array(lead, np.int64)
+            where = h[kept] >> 32
+            rank = np.argsort(where, kind="stable")
+            out = _pack(where, {"pos": pos[kept], "tag": tag[kept], "start": start[kept].astype(np.int32), "low": low[kept].astype(np.int16), "high": high[kept].astype(np.int16), "h": (h[kept] & 0xFFFFFFFF).astype(np.uint32), "size": size[kept].astype(np.int16)})
+            cuts = np.concatenate([[0], np.cumsum(out.column("n").to_numpy())]).tolist()
             squeeze = zstandard.ZstdCompressor(level=3)
-            joined = [squeeze.compress(b"".join(pieces[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(joined, pa.binary())], [x.split()[0] for x in _WINDOWS.split(", ")])
+            joined = [squeeze.compress(b"".join([pieces[i] for i in rank[a:b]])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            names = [x.split()[0] for x in _WINDOWS.split(", ")]
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(joined, pa.binary())], names)
+            if follow:
+                gone = np.array(follow, np.int64)
+                spans = {"pos": pos[gone], "tag": tag[gone], "start": start[gone].astype(np.int32), "size": size[gone].astype(np.int16)}
+                extra = _pack(-1 - pos[gone] % buckets, spans)
+                blank = pa.nulls(extra.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([extra.column(c) if c in extra.schema.names else blank for c in names], names)
 
     return run
 
@@ -194,6 +250,10 @@ def _refine(depth: int):
     def run(batches):
         for rows in _by_bucket(batches):
             pos, tag = (_unpack(rows, c) for c in ("pos", "tag"))
+            if rows.column("bucket")[0].as_py() < 0:  # covered in their batch
+                start, size = (_unpack(rows, c).astype(np.int64) for c in ("start", "size"))
+                yield from _cover_rows(pos, tag, start, start + size)
+                continue
             start, h, low, high, size = (_unpack(rows, c).astype(np.int64) for c in ("start", "h", "low", "high", "size"))
             expand = zstandard.ZstdDecompressor()
             joined = b"".join(expand.decompress(x) for x in rows.column("bytes").to_pylist())
@@ -301,10 +361,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # the one exchange of texts: each later use of `dealt` reuses it
     dealt = base.select("pos", *told, "text").repartition(parts, *keys).join(later, keys, "left")
     fresh = dealt.where("later is null").select("pos", tag, "text")
-    runs = fresh.mapInArrow(_emit_runs(depth, gram, buckets), _RUNS)
+    scanned = base.select("pos", "sha", "text")  # counted where the texts are read, before their exchange
+    often = scanned.mapInArrow(_count_in_batches(depth, gram, IN_A_BATCH), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    frequent = np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "h").limit(FREQUENT_AT_MOST).select("h").collect()], np.int64).view(np.uint64))
+    runs = fresh.mapInArrow(_emit_runs(depth, gram, buckets, frequent), _RUNS)
     live = runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_minimizers, _LIVE)
     lists = live.groupBy(*keys).agg(F.collect_list(F.struct("off", "low", "high", "h")).alias("runs"))
-    windows = fresh.join(lists, keys).select("pos", "tag", "text", "runs").mapInArrow(_emit_windows(depth), _WINDOWS)
+    windows = fresh.join(lists, keys).select("pos", "tag", "text", "runs").mapInArrow(_emit_windows(depth, buckets), _WINDOWS)
     covers = windows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_refine(depth), _COVER)
     covers = covers.groupBy(*keys).agg(F.collect_list("covers").alias("covers"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text binary" * with_text
