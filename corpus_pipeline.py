@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import decontam, exact_dedup, langid, mixing, simhash
-from vellum.llm.common import held_out, kept_rows, saved, table
+from vellum.llm.common import free_name, held_out, kept_rows, quoted, saved, table
 
 ORACLE_SQL = None
 
@@ -19,8 +19,9 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no learned language (no letter, or no shorter to code than noise)."""
     trees = langid.train(docs, ~held_out("doc_id", 4, 2))
-    marked = langid.with_language(docs, trees, pred_col="_lang", score_col="_score", bits_col="_bits")
-    return marked.where(~langid.rejected("_lang", "_bits")).select(*docs.columns)
+    lang, score, bits = (free_name(c, docs) for c in ("_lang", "_score", "_bits"))
+    marked = langid.with_language(docs, trees, pred_col=lang, score_col=score, bits_col=bits)
+    return marked.where(~langid.rejected(lang, bits)).select(*map(quoted, docs.columns))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item's question and answer."""
     index = decontam.build_index(table(spark, sf_dir, "benchmark"))
-    return decontam.with_leaks(docs, index, leaks_col="_leaks").where(F.size("_leaks") == 0).select(*docs.columns)
+    leaks = free_name("_leaks", docs)
+    return decontam.with_leaks(docs, index, leaks_col=leaks).where(F.size(leaks) == 0).select(*map(quoted, docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,19 +91,32 @@ def spans_to_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(name: str, docs: DataFrame) -> str:
+    """The name, with underscores in front until no column has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def kept_rows(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of docs whose id is in ids (one row an id, null included), each id once.
 
     Repeated ids are looked for in the id column alone; only if there are any are those rows (and no
     others) dealt by id to keep the one with the smallest text.
     """
-    counts = docs.groupBy(id_col).count().where(F.col("count") > 1).select(id_col)
-    hit = docs[id_col].eqNullSafe(ids[id_col])
+    counts = docs.groupBy(F.col(id_col).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_again")
+    ids = ids.select(F.col(id_col).alias("_kept"))
+    hit = docs[id_col].eqNullSafe(ids["_kept"])
     kept = docs.join(ids, hit, "left_semi")
     if not counts.limit(1).count():
         return kept
-    names = docs.columns
-    once = kept.join(counts, kept[id_col].eqNullSafe(counts[id_col]), "left_anti")
-    again = kept.join(counts, kept[id_col].eqNullSafe(counts[id_col]), "left_semi")
-    packed = again.groupBy(id_col).agg(F.min(F.struct(*names)).alias("_row"))
-    return once.unionByName(packed.select([F.col("_row")[c].alias(c) for c in names]))
+    same = kept[id_col].eqNullSafe(counts["_again"])
+    once, again = kept.join(counts, same, "left_anti"), kept.join(counts, same, "left_semi")
+    packed = again.groupBy(id_col).agg(F.min(F.struct(*map(quoted, docs.columns))).alias("_row")).select("_row")
+    return once.union(packed.select([F.col("_row")[c].alias(c) for c in docs.columns]))

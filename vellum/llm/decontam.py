@@ -12,7 +12,8 @@ fewer words: the whole sequence) and of the distinct words of its question and o
 is the item's last sentence; if there is only one, the last quarter of its words.
 
 Defined cases: null and empty texts and items have no words and match nothing; repeated items are reported
-each; ties are all reported; other columns pass through. One narrow pass, no shuffle.
+each; ties are all reported; other columns pass through, and one named as the output column gives way to it.
+One narrow pass, no shuffle.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, spans_to_index, text_bytes
+from .common import bounded_batches, quoted, spans_to_index, text_bytes
 
 K1, B = 1.2, 0.75
 SHINGLE = 5
@@ -205,8 +206,7 @@ def build_index(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str
 def with_leaks(docs: DataFrame, index: Index, *, text_col: str = "text", leaks_col: str = "leaks", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """Add the list of leaked items to every row; one pass, no shuffle."""
     bounded_batches(docs.sparkSession)
-    if leaks_col in docs.columns:
-        raise ValueError("the output column is there already; name another")
+    docs = docs.select([quoted(c) for c in docs.columns if c != leaks_col])
     place = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by MAX_ITEMS
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))

@@ -12,7 +12,8 @@ predicted; the score is its posterior probability under the code lengths.
 Texts are lower-cased, and runs of ASCII non-letters become one space, before coding.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; ties go to the language
-that sorts first; with no training rows everything is `und`. Other columns are not read.
+that sorts first; with no training rows everything is `und`. Other columns pass through; one that has the name of
+an output column gives way to it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, text_bytes
+from .common import bounded_batches, quoted, text_bytes
 from .numeric import HashIndex
 
 ORDER = 4
@@ -167,8 +168,7 @@ def train(docs: DataFrame, usable: Column, *, lang_col: str = "lang", text_col:
 def with_language(docs: DataFrame, trees: ContextTrees, *, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score", bits_col: str = "bits_per_byte") -> DataFrame:
     """Add the predicted language, its score and its code length a byte to every row; one pass, no shuffle."""
     bounded_batches(docs.sparkSession)
-    if {pred_col, score_col, bits_col} & set(docs.columns):
-        raise ValueError("the output columns are there already; name others")
+    docs = docs.select([quoted(c) for c in docs.columns if c not in (pred_col, score_col, bits_col)])
     place = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample's bytes
 

@@ -17,7 +17,8 @@
 3. Copies: floor(rate) of each document, and one more with the fraction's probability, by a hash of the id.
 
 Defined cases: null text has no tokens, and its rate follows from its cell; a null domain is unlabelled; with no labels at
-all there is one domain, '' ; repeated rows stay, each with the rate of its cell; other columns pass through.
+all there is one domain, ''; repeated rows stay, each with the rate of its cell; other columns pass through, but for
+those whose names begin with mix_, which give way.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import quoted, saved
 
 NOISE = 0.1
 MAX_DOMAINS = 2000
@@ -44,22 +45,21 @@ def _ratio_bin(part: Column, whole: Column, scale: float, bins: int) -> Column:
 
 
 def described(docs: DataFrame, *, text_col: str = "text", domain_col: str = "source") -> DataFrame:
-    """The columns of docs, with _domain, _tokens (words) and the feature bins."""
+    """The row as _row, with _domain, _tokens (words) and the feature bins."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = F.length(text)
     without = lambda s: size - F.length(F.replace(text, F.lit(s), F.lit("")))
     spaces = without(" ")
     words = F.when(size > 0, spaces + 1).otherwise(0)
-    return docs.withColumns(
-        {
-            "_domain": F.col(domain_col).cast("string"),
-            "_tokens": words.cast("long"),
-            "f_size": F.floor(F.log2(size + F.lit(1.0))).cast("int"),
-            "f_wide": _ratio_bin(F.octet_length(text) - size, size, 40.0, 8),
-            "f_word": _ratio_bin(size, words, 1.0, 16),
-            "f_th": _ratio_bin(without("th") / 2, words, 6.0, 8),
-            "f_e": _ratio_bin(without("e"), size, 40.0, 8),
-        }
+    return docs.select(
+        F.struct(*map(quoted, docs.columns)).alias("_row"),
+        F.col(domain_col).cast("string").alias("_domain"),
+        words.cast("long").alias("_tokens"),
+        F.floor(F.log2(size + F.lit(1.0))).cast("int").alias("f_size"),
+        _ratio_bin(F.octet_length(text) - size, size, 40.0, 8).alias("f_wide"),
+        _ratio_bin(size, words, 1.0, 16).alias("f_word"),
+        _ratio_bin(without("th") / 2, words, 6.0, 8).alias("f_th"),
+        _ratio_bin(without("e"), size, 40.0, 8).alias("f_e"),
     )
 
 
@@ -151,9 +151,6 @@ def fit_rates(cells: DataFrame, domains: list[str], targets: dict[str, float] |
 
 def with_rates(docs: DataFrame, targets: dict[str, float] | None = None, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "source", budget: float = 1.0, low: float = 0.0, high: float = 20.0, noise: float = NOISE, seed: int = 7) -> DataFrame:
     """The columns of docs with mix_tokens, mix_domain, mix_posterior, mix_rate and mix_copies."""
-    taken = {"_domain", "_tokens", *_FEATURES, "mix_tokens", "mix_domain", "mix_posterior", "mix_rate", "mix_copies"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns are there already: {sorted(taken)}")
     rows = described(docs, text_col=text_col, domain_col=domain_col)
     key = ["_domain", *_FEATURES]
     cells = saved(rows.groupBy(*key).agg(F.count(F.lit(1)).cast("double").alias("docs"), F.sum("_tokens").cast("double").alias("tokens")), "mixing-cells")
@@ -167,7 +164,8 @@ def with_rates(docs: DataFrame, targets: dict[str, float] | None = None, *, id_c
     for c in _FEATURES:
         on = on & (rows[c] == side[f"r_{c}"])
     out = rows.join(F.broadcast(side) if small else side, on)
-    luck = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    luck = F.pmod(F.xxhash64(F.col("_row")[id_col], F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     whole = F.floor("mix_rate")
     out = out.withColumn("mix_copies", (whole + (luck < F.col("mix_rate") - whole).cast("int")).cast("int"))
-    return out.select(*docs.columns, F.col("_tokens").alias("mix_tokens"), "mix_domain", "mix_posterior", "mix_rate", "mix_copies")
+    new = [F.col("_tokens").alias("mix_tokens"), *map(F.col, ("mix_domain", "mix_posterior", "mix_rate", "mix_copies"))]
+    return out.select([F.col("_row")[c].alias(c) for c in docs.columns if not c.startswith("mix_")] + new)

@@ -9,7 +9,7 @@ compact() folds them into a base in the same way.
 
 Defined cases: null source and language are keys of their own; a null text has no tokens and counts as a
 document; repeated rows count each time they are inserted; totals whose documents and tokens are all zero
-are left out; other columns are not read.
+are left out; other columns pass through, and one named as a count gives way to it.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, quoted
 
 #: Fixed value: the pattern by which the byte-level vocabularies split texts.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -53,8 +54,8 @@ def with_token_counts(docs: DataFrame, vocabularies: dict[str, bytes], *, text_c
     """Every column but the text, and a column <prefix><tokenizer> for each vocabulary; one pass, no shuffle."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabularies)
-    rest = [c for c in docs.columns if c != text_col]
     names = [f"{prefix}{v}" for v in vocabularies]
+    rest = [c for c in docs.columns if c != text_col and c not in names]
 
     def run(batches):
         encoders = [encoding(k, v) for k, v in shared.value.items()]
@@ -66,10 +67,8 @@ def with_token_counts(docs: DataFrame, vocabularies: dict[str, bytes], *, text_c
                         counts[j, i] = len(e.encode_ordinary(text))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *map(pa.array, counts)], [*rest, *names])
 
-    schema = docs.select(*rest).schema
-    for name in names:
-        schema = schema.add(name, "long")
-    return docs.select(*rest, text_col).mapInArrow(run, schema)
+    docs = docs.select(*map(quoted, rest), text_col)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], *(T.StructField(name, T.LongType()) for name in names)]))
 
 
 def change(counts: DataFrame, sign: int | Column, tokenizer: str, tokens: str, chars: str = "n_chars") -> DataFrame:
