@@ -375,7 +375,8 @@ def test_retrieval_equals_exhaustive_scoring():
     terms = np.array([r.randrange(len(index.vocabulary)) for _ in range(400)])
     segment = np.sort(np.array([r.randrange(40) for _ in range(400)]))
     for threshold in (0.3, 0.7):
-        p, j, s = index.retrieve(terms, segment, np.array([25, 15]), threshold)
+        index = decontam.Index(items, block=4, threshold=threshold)
+        p, j, s = index.retrieve(terms, segment, np.array([25, 15]))
         want = set()
         for a in [*range(23), *range(25, 38)]:
             mine = set(terms[(segment >= a) & (segment < a + 3)].tolist())

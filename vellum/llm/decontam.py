@@ -4,8 +4,9 @@ The index holds the benchmark only (a stated, bounded query set; MAX_ITEMS), as
 term's BM25 weight in an item divided by the score of the item's own text, so a passage with the whole item
 scores 1. Every document is cut into overlapping passages such that any item's text lies inside one, and
 every passage is a query. All items at or above `threshold` are retrieved, in three steps that only drop
-what cannot reach it: the passage's sum of term maxima, then its sum of block maxima for each block of
-items, then exact scores inside the blocks left.
+what cannot reach it. Each item's commonest terms, short of the threshold together, are set aside: what they
+may add is known. Over the other terms come the passage's sum of term maxima, then its sum of block maxima for
+each block of items, then exact scores, of all terms, inside the blocks left.
 
 A retrieved pair is a leak if the passage has at least `overlap` of the item's 5-word shingles (an item of
 fewer words: the whole sequence) and of the distinct words of its question and of its answer. The answer
@@ -35,6 +36,8 @@ SHINGLE = 5
 OVERLAP = 0.8
 THRESHOLD = 0.5
 BLOCK = 16
+#: Share of the threshold that an item's commonest terms may make up without being looked up first.
+COMMON = 0.7
 #: The index is broadcast; more items than this are refused.
 MAX_ITEMS = 200_000
 
@@ -94,7 +97,8 @@ def make_item(item_id: int, text: str) -> Item:
 class Index:
     """Impact-ordered postings in compressed rows, by item and by block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], block: int = BLOCK):
+    def __init__(self, items: list[tuple[int, str]], block: int = BLOCK, threshold: float = THRESHOLD):
+        self.threshold = threshold
         self.items = [x for i, t in sorted(items) if (x := make_item(i, t)).words]
         n = len(self.items)
         vocabulary = sorted({w for x in self.items for w in x.words})
@@ -117,53 +121,73 @@ class Index:
         order = np.lexsort((item, term))
         self.item, self.weight = item[order], weight[order]
         self.at = np.concatenate([[0], np.cumsum(df)])
-        key = term[order] * (n // block + 1) + self.item // block
-        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, np.int64)
-        self.block_of = self.item[heads] // block
-        self.block_max = np.maximum.reduceat(self.weight, heads) if n else np.zeros(0)
-        self.block_at = np.concatenate([[0], np.cumsum(np.bincount(term[order][heads], minlength=len(vocabulary)))])
-        self.top = np.maximum.reduceat(self.weight, self.at[:-1]) if n else np.zeros(0)
-
-    def retrieve(self, terms: np.ndarray, segment: np.ndarray, segments: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, item, score) at or above threshold. terms and their segment; segments: number of those of each
+        # each item's terms from the commonest on; those within the share are set aside
+        by_item = np.lexsort((term, -df[term], item)) if n else order
+        running = np.cumsum(weight[by_item])
+        start = np.concatenate([[0], np.flatnonzero(item[by_item][1:] != item[by_item][:-1]) + 1]) if n else np.zeros(0, np.int64)
+        running -= np.repeat((running - weight[by_item])[start], np.diff(np.concatenate([start, [len(item)]]))) if n else 0
+        aside = np.zeros(len(item), bool)
+        aside[by_item] = running <= COMMON * threshold
+        blocks = n // block + 1
+        rest = np.bincount(item[aside], weight[aside], n) if n else np.zeros(0)
+        self.rest = np.zeros(blocks)
+        np.maximum.at(self.rest, np.arange(n) // block, rest)
+        looked = order[~aside[order]]
+        key = term[looked] * blocks + item[looked] // block
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.block_of = item[looked][heads] // block
+        self.block_max = np.maximum.reduceat(weight[looked], heads) if len(key) else np.zeros(0)
+        self.block_at = np.concatenate([[0], np.cumsum(np.bincount(term[looked][heads], minlength=len(vocabulary)))])
+        self.top = np.zeros(len(vocabulary))
+        np.maximum.at(self.top, term[looked], weight[looked])
+
+    def retrieve(self, terms: np.ndarray, segment: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, score) at or above the threshold. terms and their segment; segments: number of those of each
         document. Passage s is segments s to s + 2 of one document."""
-        total = int(segments.sum())
-        bound = np.bincount(segment, self.top[terms], total)
+        threshold = self.threshold
+        total, blocks, width = int(segments.sum()), len(self.rest), max(1, len(self.top))
         left = np.repeat(np.cumsum(segments), segments) - np.arange(total)  # segments to the document's end, this one included
+        # a passage that runs on past the document's end is inside the one that starts before it
+        whole = (left >= 3) | (np.repeat(np.cumsum(segments) - segments, segments) == np.arange(total))
+        used = self.top[terms] > 0
+        t, at = terms[used], segment[used]
+        bound = np.bincount(at, self.top[t], total)
         reach = bound.copy()
         for ahead in (1, 2):
             reach[: total - ahead] += np.where(left[: total - ahead] > ahead, bound[ahead:], 0)
-        # a passage that runs on past the document's end is inside the one that starts before it
-        first = np.repeat(np.cumsum(segments) - segments, segments) == np.arange(total)
-        passage = np.flatnonzero((reach >= threshold - 1e-9) & ((left >= 3) | first))
-        begin = np.searchsorted(segment, passage)
-        end = np.searchsorted(segment, passage + np.minimum(3, left[passage]))
-        # distinct terms of each passage
-        owner = np.repeat(np.arange(len(passage)), end - begin)
-        pair = np.unique(owner * len(self.top) + terms[spans_to_index(begin, end - begin)])
-        owner, term = pair // max(1, len(self.top)), pair % max(1, len(self.top))
+        may = whole & (reach + self.rest.max(initial=0) >= threshold - 1e-9)
+        # distinct terms of each passage that may reach the threshold
+        pairs = []
+        for back in (0, 1, 2):
+            p = at - back
+            good = p >= 0
+            good &= may[p] & (left[p] > back)
+            pairs.append(p[good] * width + t[good])
+        pair = np.unique(np.concatenate(pairs))
+        owner, term = pair // width, pair % width
         # block maxima
         n = self.block_at[term + 1] - self.block_at[term]
-        at = spans_to_index(self.block_at[term], n)
-        blocks = len(self.items) // self.block + 1
-        key, inverse = np.unique(np.repeat(owner, n) * blocks + self.block_of[at], return_inverse=True)
-        keep = np.bincount(inverse, self.block_max[at], len(key)) >= threshold - 1e-9
-        key = key[keep]
-        # exact scores in the blocks left
-        live = np.isin(owner, key // blocks)
-        owner, term = owner[live], term[live]
+        key, inverse = np.unique(np.repeat(owner, n) * blocks + self.block_of[spans_to_index(self.block_at[term], n)], return_inverse=True)
+        upper = np.bincount(inverse, self.block_max[spans_to_index(self.block_at[term], n)], len(key)) + self.rest[key % blocks]
+        key = key[upper >= threshold - 1e-9]
+        # exact scores in the blocks left, of all terms of their passages
+        passage = np.unique(key // blocks)
+        begin = np.searchsorted(segment, passage)
+        size = np.searchsorted(segment, passage + np.minimum(3, left[passage])) - begin
+        pair = np.unique(np.repeat(passage, size) * width + terms[spans_to_index(begin, size)])
+        owner, term = pair // width, pair % width
         n = self.at[term + 1] - self.at[term]
-        at = spans_to_index(self.at[term], n)
-        owner = np.repeat(owner, n)
-        inside = np.isin(owner * blocks + self.item[at] // self.block, key)
-        owner, at = owner[inside], at[inside]
-        pair, inverse = np.unique(owner * (len(self.items) + 1) + self.item[at], return_inverse=True)
-        score = np.bincount(inverse, self.weight[at], len(pair))
+        place, owner = spans_to_index(self.at[term], n), np.repeat(owner, n)
+        inside = np.isin(owner * blocks + self.item[place] // self.block, key)
+        owner, place = owner[inside], place[inside]
+        many = len(self.items) + 1
+        pair, inverse = np.unique(owner * many + self.item[place], return_inverse=True)
+        score = np.bincount(inverse, self.weight[place], len(pair))
         good = score >= threshold - 1e-9
-        return passage[pair[good] // (len(self.items) + 1)], pair[good] % (len(self.items) + 1), score[good]
+        return pair[good] // many, pair[good] % many, score[good]
 
 
-def find_leaks(index: Index, texts: pa.Array, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[list[dict]]:
+def find_leaks(index: Index, texts: pa.Array, overlap: float = OVERLAP) -> list[list[dict]]:
     """Leaks of each text, by item; of an item found in several passages the best one counts."""
     out: list[list[dict]] = [[] for _ in range(len(texts))]
     if not index.items or not len(texts):
@@ -175,7 +199,7 @@ def find_leaks(index: Index, texts: pa.Array, threshold: float = THRESHOLD, over
     place = np.arange(len(found)) - np.repeat(first, sizes)
     segment = np.repeat(base, sizes) + place // index.stride
     known = found >= 0
-    passages, items, scores = index.retrieve(found[known], segment[known], segments, threshold)
+    passages, items, scores = index.retrieve(found[known], segment[known], segments)
     documents = np.searchsorted(base + segments, passages, "right")
     best: dict[tuple[int, int], dict] = {}
     for d, p, j, score in zip(documents.tolist(), passages.tolist(), items.tolist(), scores.tolist(), strict=True):
@@ -196,14 +220,14 @@ def find_leaks(index: Index, texts: pa.Array, threshold: float = THRESHOLD, over
     return out
 
 
-def build_index(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", max_items: int = MAX_ITEMS) -> Index:
+def build_index(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", max_items: int = MAX_ITEMS, threshold: float = THRESHOLD) -> Index:
     rows = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).limit(max_items + 1).collect()
     if len(rows) > max_items:
         raise ValueError(f"the benchmark has over {max_items} items; index it in blocks of items")
-    return Index([tuple(r) for r in rows])
+    return Index([tuple(r) for r in rows], threshold=threshold)
 
 
-def with_leaks(docs: DataFrame, index: Index, *, text_col: str = "text", leaks_col: str = "leaks", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def with_leaks(docs: DataFrame, index: Index, *, text_col: str = "text", leaks_col: str = "leaks", overlap: float = OVERLAP) -> DataFrame:
     """Add the list of leaked items to every row; one pass, no shuffle."""
     bounded_batches(docs.sparkSession)
     docs = docs.select([quoted(c) for c in docs.columns if c != leaks_col])
@@ -215,7 +239,7 @@ def with_leaks(docs: DataFrame, index: Index, *, text_col: str = "text", leaks_c
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                leaks = find_leaks(shared.value, part.column(place), threshold, overlap)
+                leaks = find_leaks(shared.value, part.column(place), overlap)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaks, kind)], [*part.schema.names, leaks_col])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(leaks_col, T.ArrayType(LEAK))]))
