@@ -73,6 +73,10 @@ class ContextTrees:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
+        self.tables: list[tuple[HashIndex, np.ndarray]] = []
+        self.escapes: list[tuple[HashIndex, np.ndarray]] = []
+        if not self.langs:
+            return
         texts = {lang: coded_bytes(pa.array(samples[lang], pa.string())) for lang in self.langs}
         counts = []
         for order in range(ORDER + 1):
@@ -82,8 +86,6 @@ class ContextTrees:
                 at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
                 row.append(np.unique(_grams(data, at, order + 1), return_counts=True))
             counts.append(row)
-        self.tables: list[tuple[HashIndex, np.ndarray]] = []
-        self.escapes: list[tuple[HashIndex, np.ndarray]] = []
         n = len(self.langs)
         for order in range(ORDER + 1):
             contexts = np.unique(np.concatenate([k >> np.uint64(8) for k, _ in counts[order]]))
@@ -128,7 +130,7 @@ class ContextTrees:
         data, starts, lengths = coded_bytes(array)
         total = np.zeros((len(lengths), len(self.langs)))
         ends = np.cumsum(lengths)
-        for begin in range(0, int(lengths.sum()), _STEP):  # in steps, however long a text is
+        for begin in range(0, int(lengths.sum()) if self.langs else 0, _STEP):  # in steps, however long a text is
             place = np.arange(begin, min(begin + _STEP, ends[-1]))
             who = np.searchsorted(ends, place, "right")
             cost = self.cost(_grams(data, place + ORDER * (who + 1), ORDER + 1), ORDER)

@@ -238,11 +238,11 @@ def repeated_windows(data: np.ndarray, at: np.ndarray, group: np.ndarray, depth:
     alive = np.arange(len(at))
     wide = np.ndarray((max(0, len(data) - 7),), ">u8", data.tobytes(), strides=(1,)) if len(data) >= 8 else np.zeros(0, ">u8")
     for digit in [*range(0, depth - 7, 8), depth - 8]:
+        if not len(alive):
+            break
         order, number = _ranks(group, wide[at[alive] + digit].astype(np.uint64))
         many = np.bincount(number)[number] > 1
         alive, group = alive[order[many]], number[many]
-        if not len(alive):
-            break
     return alive, group
 
 
