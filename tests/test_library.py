@@ -273,3 +273,18 @@ def test_seen_once(spark, tmp_path):
     seen = spark.createDataFrame([("f", "1"), ("g", "1")], "feed string, validator string")
     listing = spark.createDataFrame([("f", "1"), ("g", "2"), ("h", "1")], "feed string, validator string")
     assert {r.feed for r in ingest.changed_sources(seen, listing).collect()} == {"g", "h"}
+
+
+def test_jobs():
+    from vellum.plans.jobs import Jobs
+
+    jobs = Jobs()
+    jobs.start("1", "u")
+    jobs.start("2", "v")
+    jobs.failed("1", "boom")
+    assert [(j.job_id, j.state, j.error) for j in jobs.all()] == [("1", "failed", "boom"), ("2", "running", None)]
+    assert jobs.retry("2") is None and jobs.retry("1").state == "running" and not jobs.dismiss("1")
+    jobs.cancel("2")
+    jobs.failed("2", "stopped")
+    jobs.done("1")
+    assert jobs.all() == [] and jobs.cancelled("2")

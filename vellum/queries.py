@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -700,3 +701,115 @@ def image_bundles(spark, d):
     entries = table(spark, d, "documents").select("source", F.concat(F.lit("f/"), F.col("doc_id").cast("string")).alias("path"), F.substring(F.coalesce("text", F.lit("")), 1, 64).cast("binary").alias("body"), X.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"), (F.col("doc_id") % 2 == 0).alias("literal"))
     packed = entries.groupBy("source").agg(F.collect_list(F.struct("path", "body", "content_hash", "literal")).alias("entries")).select("source", tables.bundle("entries").alias("data"))
     return packed.select("source", F.explode(tables.unbundled("data")).alias("e")).select("source", "e.path", F.length("e.body").alias("n"), "e.pointer")
+
+
+# more of the library, over generated inputs
+
+
+@query(_WITH_S + "select name, feed_url, status, article_count, '' as last_synced_at, created_at from sources")
+def source_export(spark, d):
+    """SK2"""
+    return tables.source_rows(sources(spark, d).withColumn("last_synced_at", F.lit(None).cast("string")))
+
+
+@query("select page_id % 3 = 0 as feed, count(*) as n from pages group by 1")
+def sniffed_bodies(spark, d):
+    """SC16: feeds become sources, the rest single captures"""
+    body = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<?xml version='1.0'?>\n<rss version='2.0'>"), F.col("html"))).otherwise(F.col("html"))
+    feeds, pages = tables.sniffed(table(spark, d, "pages").select("page_id", body.alias("body")))
+    count = lambda df, feed: df.groupBy(F.lit(feed).alias("feed")).agg(F.count(F.lit(1)).alias("n"))
+    return count(feeds, True).unionByName(count(pages, False))
+
+
+@query("select page_id, page_id % 4 <> 0 as stored from pages")
+def fetched_assets(spark, d):
+    """SC17: assets on blocked addresses and oversized ones keep their reference"""
+    pages = table(spark, d, "pages")
+    url = F.when(F.col("page_id") % 8 == 0, F.concat(F.lit("http://169.254.0.1/"), F.col("page_id").cast("string"))).otherwise(F.concat(F.lit("https://e.com/"), F.col("page_id").cast("string")))
+    references = pages.select("page_id", url.alias("url"))
+    assets = pages.where("page_id % 8 <> 4").select(url.alias("url"), F.lit(b"x").alias("body"))
+    return tables.usable_assets(references, assets, U.blocked_literal("url")).select("page_id", F.col("body").isNotNull().alias("stored"))
+
+
+@query("select page_id, case when page_id % 2000 >= 1200 then 'a' when page_id % 3000 >= 1200 then 'b' when page_id % 2000 >= page_id % 3000 and page_id % 2000 >= 800 then 'a' when page_id % 3000 >= 800 then 'b' else 'c' end as pick from pages where page_id % 2000 < 1200 or page_id % 3000 < 1200")
+def srcset_picks(spark, d):
+    """T8: the narrowest of those wide enough, else the widest; a bare URL counts as 800"""
+    n, m = F.col("page_id") % 2000, F.col("page_id") % 3000
+    raw = F.concat(F.lit("a "), n.cast("string"), F.lit("w, b "), m.cast("string"), F.lit("w, c"))
+    return table(spark, d, "pages").where((n < 1200) | (m < 1200)).select("page_id", H.srcset_pick(raw).alias("pick"))
+
+
+@query("select page_id, page_id % 3 <> 2 as bad from pages")
+def dangerous_urls(spark, d):
+    """H9"""
+    n = F.col("page_id") % 3
+    raw = F.when(n == 0, " \x01Java&#9;Script:x").when(n == 1, "DATA:text/html,x").otherwise("https://e.com/javascript:")
+    return table(spark, d, "pages").select("page_id", H.is_dangerous(raw).alias("bad"))
+
+
+@query("select page_id, 'https://e.com/' || cast(page_id as varchar) || '.png|https://e.com/p.jpg' as refs, '<img src=\"L' || cast(page_id as varchar) || '\"><video poster=\"/p.jpg\"></video>' as html from pages")
+def localized_assets(spark, d):
+    """A20, H11, J11"""
+    i = F.col("page_id").cast("string")
+    pages = table(spark, d, "pages").select("page_id", F.lit("https://e.com/x").alias("final_url"), F.concat(F.lit('<img src="'), i, F.lit('.png"><video poster="/p.jpg"></video>')).alias("content_html"))
+    stored = pages.select("page_id", F.concat(F.lit("https://e.com/"), i, F.lit(".png")).alias("url"), F.concat(F.lit("L"), i).alias("path"))
+    refs = F.array_join(H.asset_references("content_html", "final_url"), "|")
+    return capturing.localize(pages.withColumn("refs", refs), stored, "page_id").select("page_id", "refs", F.col("content_html").alias("html"))
+
+
+@query(_WITH_A + "select distinct 'media/' || id || '.jpg' as key from articles where reading_state = 'unread'")
+def orphan_media(spark, d):
+    """J9"""
+    rows = articles(spark, d).select("id", "reading_state", F.concat(F.lit("media/"), F.col("id"), F.lit(".jpg")).alias("hero_image_path"))
+    return gc.orphan_media(rows.select(F.col("hero_image_path").alias("key")), rows.where("reading_state <> 'unread'"))
+
+
+@query(_WITH_A + "select id, case when source_type = 'direct' then 'new ' || id else title end as title, reading_progress, case when source_type = 'direct' then '2024-06-01T00:00:00Z' else updated_at end as updated_at from articles")
+def recaptured(spark, d):
+    """D-2b, D-4: new content under the same id, state stays"""
+    blank = {c: F.lit(None).cast("string") for c in mutate.CONTENT if c != "title"}
+    rows = articles(spark, d).drop("content").withColumns(blank)
+    batch = rows.where("source_type = 'direct'").select("id", F.concat(F.lit("new "), F.col("id")).alias("title"), *mutate.CONTENT[1:])
+    return mutate.recapture(rows, batch, NOW).select("id", "title", "reading_progress", "updated_at")
+
+
+@query(_WITH_A + "select id, case when id = 'a00000005' then 'xx' else category_id end as category_id from articles")
+def assign_category(spark, d):
+    """D-10"""
+    return mutate.assign_category(articles(spark, d), categories(spark), "a00000005", "xx", NOW).select("id", "category_id")
+
+
+@query("select * from (values ('app_theme', 'dark'), ('import_concurrency', '5'), ('autosync_interval_hours', '24'), ('autosync', 'true'), ('old', 'kept')) t(key, value)")
+def settings_update(spark, d):
+    """D-16"""
+    stored = spark.createDataFrame([("app_theme", "light"), ("old", "kept")], "key string, value string")
+    return mutate.update_settings(stored, {"app_theme": "dark", "import_concurrency": 1, "autosync_interval_hours": 19, "autosync": True})
+
+
+@query(_WITH_A + "select id, 'article' as entity_type, case when source_type = 'direct' then 'now' else updated_at end as updated_at from articles union all select 'src1', 'source', 'x'")
+def replaced_entries(spark, d):
+    """D-19: keyed by kind and id"""
+    rows = articles(spark, d)
+    old = rows.select("id", F.lit("article").alias("entity_type"), "updated_at").unionByName(spark.createDataFrame([("src1", "source", "x")], "id string, entity_type string, updated_at string"))
+    new = rows.where("source_type = 'direct'").select("id", F.lit("article").alias("entity_type"), F.lit("now").alias("updated_at"))
+    return mutate.replace_entries(old, new)
+
+
+@query(_WITH_A + "select id, reading_state = 'read' and not favorited or reading_state <> 'read' and favorited as favorited, case when reading_state = 'unread' then 'reading' else reading_state end as reading_state from articles")
+def reader_actions(spark, d):
+    """D-14 as single actions, applied to many rows: a toggle and an opening"""
+    rows = articles(spark, d)
+    toggled = mutate.change(rows, F.col("reading_state") == "read", {"favorited": ~F.col("favorited")})
+    return mutate.change(toggled, F.col("reading_state") == "unread", {"reading_state": "reading"}).select("id", "favorited", "reading_state")
+
+
+@query("select distinct user_id from events")
+def stream_seen_set(spark, d):
+    """ST1, ST2, ST6: a stream over the files at hand, each key once, state bounded by a watermark"""
+    from .sources.shared import shared_root
+    from .streaming.ingest import seen_once
+
+    root = f"{shared_root(spark)}/vellum/seen-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet").select("user_id", "ts")
+    seen_once(stream, "user_id", "ts", "3650 days").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("user_id long").parquet(f"{root}/out").select("user_id")
