@@ -29,8 +29,8 @@ from .common import bounded_batches, quoted, text_bytes
 from .numeric import HashIndex
 
 ORDER = 4
-#: Training rows a language at most: the bound of the sample. Whole texts are used.
-SAMPLE_ROWS = 400
+#: The bound of the sample: about so many training rows a language, of texts up to so many characters.
+SAMPLE_ROWS, SAMPLE_CHARS = 400, 50_000
 UND = "und"
 _SEP = 0x20
 #: Bytes scored at a time.
@@ -155,7 +155,7 @@ class ContextTrees:
 
 def train(docs: DataFrame, usable: Column, *, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> ContextTrees:
     """Trees from about `rows` rows of each language among the usable ones, chosen by a hash of the id."""
-    ready = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
+    ready = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.length(text_col).between(1, SAMPLE_CHARS))
     counts = {r[0]: r[1] for r in docs.where(usable & F.col(lang_col).isNotNull()).groupBy(lang_col).count().collect()}
     pick = F.lit(False)
     for lang, n in counts.items():
