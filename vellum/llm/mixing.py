@@ -70,7 +70,7 @@ def _array(values: list[float]) -> Column:
 def posteriors(cells: DataFrame, *, noise: float = NOISE) -> tuple[DataFrame, list[str]]:
     """Cells with an array `p` of domain posteriors, and the domains in order.
 
-    Only tables of (domain, feature, bin) counts come to the driver: MAX_DOMAINS * 48 entries at most.
+    Only the domains' totals come to the driver: MAX_DOMAINS at most. The table of terms has at most 72 rows.
     """
     labelled = cells.where("_domain is not null")
     prior = {r[0]: float(r[1]) for r in labelled.groupBy("_domain").agg(F.sum("docs")).limit(MAX_DOMAINS + 1).collect()}
@@ -80,16 +80,14 @@ def posteriors(cells: DataFrame, *, noise: float = NOISE) -> tuple[DataFrame, li
         return cells.withColumn("p", _array([1.0])), [""]
     domains = sorted(prior)
     k, total = len(domains), sum(prior.values())
+    names, priors = F.array(*[F.lit(d) for d in domains]), _array([prior[d] for d in domains])
     long = labelled.select("_domain", "docs", F.posexplode(F.array(*_FEATURES)).alias("feature", "bin"))
-    counts = {(f, b, d): float(n) for d, f, b, n in long.groupBy("_domain", "feature", "bin").agg(F.sum("docs")).collect()}
+    counts = long.groupBy("feature", "bin", "_domain").agg(F.sum("docs").alias("n"))
+    bins = counts.groupBy("feature", "bin").agg(F.map_from_entries(F.collect_list(F.struct("_domain", "n"))).alias("by"))
+    sizes = bins.groupBy("feature").agg(F.count(F.lit(1)).alias("bins"))  # a row a feature
+    chance = F.zip_with(names, priors, lambda d, n: F.log((F.coalesce(F.col("by")[d], F.lit(0.0)) + 1) / (n + F.col("bins") + 1)))
+    terms = saved(bins.join(F.broadcast(sizes), "feature").select("feature", "bin", chance.alias("term")), "mixing-terms")
     score = _array([math.log((prior[d] + 1) / (total + k)) for d in domains])
-    rows = []
-    for f, name in enumerate(_FEATURES):
-        bins = sorted({b for g, b, _ in counts if g == f})
-        for b in bins:
-            rows.append((f, b, [math.log((counts.get((f, b, d), 0.0) + 1) / (prior[d] + len(bins) + 1)) for d in domains]))
-    spark = cells.sparkSession
-    terms = spark.createDataFrame(rows, "feature int, bin int, term array<double>")
     out = cells
     for f, name in enumerate(_FEATURES):
         own = terms.where(F.col("feature") == f).select(F.col("bin").alias(name), F.col("term").alias(f"t_{name}"))
@@ -98,7 +96,6 @@ def posteriors(cells: DataFrame, *, noise: float = NOISE) -> tuple[DataFrame, li
         score = F.when(F.col(f"t_{name}").isNull(), score).otherwise(F.zip_with(score, f"t_{name}", lambda a, b: a + b))
         out = out.withColumn("_score", score).drop(f"t_{name}")
         score = F.col("_score")
-    names = F.array(*[F.lit(d) for d in domains])
     wrong = math.log(noise / max(1, k - 1)) if k > 1 else 0.0
     heard = F.zip_with(score, names, lambda s, n: s + F.when(n == F.col("_domain"), math.log(1 - noise)).otherwise(wrong))
     out = out.withColumn("_score", F.when(F.col("_domain").isNull(), score).otherwise(heard))
