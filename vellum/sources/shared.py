@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +22,12 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows with a plan of one scan, in files that outlive an executor."""
     shared_root(df.sparkSession)
     return df.checkpoint()
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where it is, if it is not installed there."""
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
