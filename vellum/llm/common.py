@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import importable
+
 MAX_ID = (1 << 63) - 1
 #: JVM to Python batches are cut at this many bytes, so that long texts cannot pile up in a worker.
 BATCH_BYTES = 4 << 20
@@ -39,6 +41,7 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
