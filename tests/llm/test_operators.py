@@ -212,6 +212,15 @@ def test_repeated_substrings(wide):
     assert got == brute_repeats([(r[0], r[1]) for r in rows() if r[0] not in (45, 46, 47)])
 
 
+def test_repeats_with_frequent_minimizers(wide, monkeypatch):
+    """Runs cut into windows give the same as runs sorted whole."""
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", 3)
+    monkeypatch.setattr(suffix_dedup, "IN_A_BATCH", 2)
+    short = wide.where("doc_id not in (45, 46, 47)").coalesce(1)
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(short).collect()}
+    assert got == brute_repeats([(r[0], r[1]) for r in rows() if r[0] not in (45, 46, 47)])
+
+
 @pytest.mark.parametrize(("depth", "gram"), [(20, 8), (33, 32), (24, 24)])
 def test_repeats_of_random_strings(spark, depth, gram):
     r = random.Random(depth)
