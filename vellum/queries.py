@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from collections.abc import Callable
 
@@ -14,8 +15,11 @@ from .functions import urls as U
 from .operators import dedup, filters, gc, library, mutate, sync
 from .plans import capture as capturing
 from .plans import imports
-from .schemas import UNCATEGORIZED
+from .schemas import ARTICLE_CSV, UNCATEGORIZED
 from .sources import tables
+from .sources.shared import shared_root
+from .sources.store import Conflict, Store
+from .streaming.ingest import changed_sources, seen_once
 from .surrogate import ARTICLES_SQL, CATEGORIES_SQL, NOW, SOURCES_SQL, VERSIONS_SQL, articles, categories, replica_versions, sources, stamp, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,8 +98,6 @@ def settings_record(spark, d):
 @query("select event_id, ts, user_id from events where ts < timestamp '2024-01-15 00:00:00' or (ts = timestamp '2024-01-15 00:00:00' and event_id < 5000) order by ts desc, event_id desc limit 61")
 def keyset_page(spark, d):
     """FP6, T1"""
-    import datetime
-
     rows = table(spark, d, "events").select("event_id", "ts", "user_id")
     return library.page_query(rows, None, 60, (datetime.datetime(2024, 1, 15), 5000), ("ts", "event_id"))
 
@@ -806,10 +808,56 @@ def reader_actions(spark, d):
 @query("select distinct user_id from events")
 def stream_seen_set(spark, d):
     """ST1, ST2, ST6: a stream over the files at hand, each key once, state bounded by a watermark"""
-    from .sources.shared import shared_root
-    from .streaming.ingest import seen_once
-
-    root = f"{shared_root(spark)}/vellum/seen-{uuid.uuid4().hex}"
+    root = _scratch(spark, "seen")
     stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet").select("user_id", "ts")
     seen_once(stream, "user_id", "ts", "3650 days").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("user_id long").parquet(f"{root}/out").select("user_id")
+
+
+def _scratch(spark, label: str) -> str:
+    return f"{shared_root(spark)}/vellum/{label}-{uuid.uuid4().hex}"
+
+
+@query(_WITH_A + "select 'a,\"' || id || '\"' || chr(10) || 'b' as title, link as url, coalesce(category_id, '') as category, 'x,y' as tags, fetched_at as created, cast(favorited as varchar) as favourite from articles")
+def csv_round_trip(spark, d):
+    """SC8 to SC10, SK1, SK3: commas, quotes and line feeds in cells, written and read again"""
+    rows = articles(spark, d).select(F.concat(F.lit('a,"'), F.col("id"), F.lit('"\nb')).alias("title"), F.col("link").alias("url"), F.coalesce("category_id", F.lit("")).alias("category"), F.lit("x,y").alias("tags"), F.col("fetched_at").alias("created"), F.col("favorited").cast("string").alias("favourite"))
+    path, n = tables.write_csv(rows, _scratch(spark, "csv"), "articles", NOW)
+    if n != tables.validate_csv(spark, path, ARTICLE_CSV, ("url",), "url"):
+        raise AssertionError("rows were lost")
+    return tables.read_article_csv(spark, path, NOW)
+
+
+@query("select source as title, cast(row_number() over (partition by source order by doc_id) - 1 as int) as place, 'https://e.com/' || cast(doc_id as varchar) as link, lang || '|x' as tags from documents where source is not null qualify row_number() over (partition by source order by doc_id) <= 30")
+def feed_scan(spark, d):
+    """SC11, SC12, H14: a feed file for each source; its first 30 entries in document order"""
+    docs = table(spark, d, "documents").where("source is not null")
+    item = F.concat(F.lit("<item><link>https://e.com/"), F.col("doc_id").cast("string"), F.lit(" </link><category>"), F.col("lang"), F.lit("</category><category>x</category></item>"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))), lambda x: x["item"]), "")
+    files = docs.groupBy("source").agg(F.concat(F.lit("<rss version='2.0'><channel><title>"), F.col("source"), F.lit("</title>"), body, F.lit("</channel></rss>")).alias("value"))
+    path = _scratch(spark, "feeds")
+    files.select("source", "value").write.partitionBy("source").text(path)
+    feeds = tables.read_rss(spark, f"{path}/source=*")
+    entries = tables.feed_entries(feeds).join(feeds.select("feed", "title"), "feed")
+    return entries.select("title", "place", "link", F.array_join("tags", "|").alias("tags"))
+
+
+@query("select doc_id, case when doc_id % 2 = 0 then 'second' else 'first' end as version from documents")
+def snapshot_commits(spark, d):
+    """SC13, SC14: a conditional write publishes a version; one that lost the race is tried again"""
+    docs = table(spark, d, "documents").select("doc_id")
+    store = Store(spark, _scratch(spark, "store"), {"t": "doc_id long, version string"})
+    store.commit({"t": docs.withColumn("version", F.lit("first"))}, 0)
+    try:
+        store.commit({"t": docs.withColumn("version", F.lit("late"))}, 0)
+    except Conflict:
+        store.update(lambda state: {"t": mutate.change(state["t"], F.col("doc_id") % 2 == 0, {"version": "second"})})
+    return store.read()["t"]
+
+
+@query("select page_id from pages where page_id % 3 <> 0 or page_id % 5 = 0")
+def changed_feeds(spark, d):
+    """ST3: only feeds with another validator than last time are work"""
+    feeds = table(spark, d, "pages").select(F.col("page_id").alias("feed"), F.col("url").alias("validator"))
+    seen = feeds.where("feed % 3 = 0").withColumn("validator", F.when(F.col("feed") % 5 == 0, "old").otherwise(F.col("validator")))
+    return changed_sources(seen, feeds).select(F.col("feed").alias("page_id"))
