@@ -44,6 +44,8 @@ FREQUENT, IN_A_BATCH = 10_000, 8
 #: The frequent ones are broadcast; of more than this many, only the most frequent count.
 FREQUENT_AT_MOST = 200_000
 _POSITION = np.uint64((1 << 31) - 1)
+#: Windows looked at in one step.
+_STEP = 1 << 22
 
 #: Kinds of the packed columns. A bucket holds few enough minimizers for 32 bits of their hashes: two that agree
 #: by chance only send two runs on whose bytes then differ.
@@ -57,26 +59,28 @@ _COVER = "pos long, tag long, covers binary"
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Minimizer runs: row, minimizer's place in its text, first and last window start before it, gram hash."""
-    width = depth - gram + 1
-    empty = np.zeros(0, np.int64)
-    lengths = np.diff(offsets)
-    if len(data) < depth or not (lengths >= depth).any():
-        return empty, empty, empty, empty, np.zeros(0, np.uint64)
-    grams = gram_hashes(data, gram)
-    packed = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
-    least = (sliding_min(packed, width) & _POSITION).astype(np.int64)
-    valid = np.zeros(len(data) + 1, np.int8)
-    whole = np.flatnonzero(lengths >= depth)
-    valid[offsets[whole]] += 1
-    np.subtract.at(valid, offsets[whole + 1] - depth + 1, 1)
-    windows = np.flatnonzero(np.cumsum(valid[:-1], dtype=np.int32)[: len(least)])
-    least = least[windows]
-    # a run ends where the minimizer or the document changes; a minimizer lies in one document
-    heads = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    tails = np.concatenate([heads[1:], [len(least)]]) - 1
-    at = least[heads]
-    row = np.searchsorted(offsets, at, "right") - 1
-    return row, at - offsets[row], at - windows[heads], at - windows[tails], grams[at]
+    out = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)]
+    for begin in range(0, len(data) - depth + 1, _STEP):  # in steps, however long a text is
+        end = min(begin + _STEP, len(data) - depth + 1)
+        grams = gram_hashes(data[begin : end + depth - 1], gram)
+        packed = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
+        least = (sliding_min(packed, depth - gram + 1) & _POSITION).astype(np.int64)
+        lo, hi = np.searchsorted(offsets, begin, "right") - 1, np.searchsorted(offsets, end, "left")
+        first, last = np.maximum(offsets[lo:hi], begin) - begin, np.minimum(offsets[lo + 1 : hi + 1] - depth + 1, end) - begin
+        mark = np.zeros(end - begin + 1, np.int8)
+        np.add.at(mark, first[last > first], 1)
+        np.subtract.at(mark, last[last > first], 1)
+        windows = np.flatnonzero(np.cumsum(mark[:-1], dtype=np.int8))
+        if not len(windows):
+            continue
+        least = least[windows]
+        # a run ends where the minimizer or the document changes; a minimizer lies in one document
+        heads = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        tails = np.concatenate([heads[1:], [len(least)]]) - 1
+        at = least[heads]
+        row = np.searchsorted(offsets, at + begin, "right") - 1
+        out.append((row, at + begin - offsets[row], at - windows[heads], at - windows[tails], grams[at]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _squeeze(values: np.ndarray, rising: bool) -> bytes:
