@@ -562,8 +562,12 @@ def test_mixing_equals_brute_force(spark, wide):
     # projected gradient, document by document
     base = t @ p
     goal = base.sum() * np.array([0.25, 0.5, 0.25])
-    rate = np.ones(len(t))
+    rate, error = np.ones(len(t)), np.inf
     for _ in range(mixing.ROUNDS):
+        new = ((((rate * t) @ p - goal) ** 2) / base).sum()
+        if error - new <= mixing.TOLERANCE * error < np.inf:
+            break
+        error = new
         rate = np.clip(rate - p @ (((rate * t) @ p - goal) / base), 0, 20)
     reached = np.array([sum(r.mix_rate * r.mix_tokens * row.p[k] for r in [*got.values()] for row in table if (row._domain, *[row[f] for f in mixing._FEATURES]) == tuple_of(r, rows_by_id(rows_))) for k in range(3)])
     assert np.allclose(reached, (rate * t) @ p, rtol=0.02)

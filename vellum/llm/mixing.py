@@ -33,7 +33,8 @@ from .common import quoted, saved
 NOISE = 0.1
 MAX_DOMAINS = 2000
 ROUNDS = 60
-TOLERANCE = 1e-6
+#: The descent ends when a step takes less than this share off the error.
+TOLERANCE = 1e-3
 #: The table of cells is broadcast up to this many rows; beyond, it is joined by a shuffle.
 BROADCAST_CELLS = 100_000
 _FEATURES = ("f_size", "f_wide", "f_word", "f_th", "f_e")
