@@ -94,6 +94,16 @@ def spans_to_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on a key of which one value may have a large share of the rows on the left.
+
+    Where the right side was aggregated by the key, Spark would reuse that dealing and could not split its
+    partitions. Joined by a one-to-one image of the key, both sides are dealt for the join alone, and AQE splits.
+    """
+    image = F.reverse(key) if dict(left.dtypes)[key] == "string" else F.bitwise_not(F.col(key))
+    return left.withColumn("_image", image).join(right.withColumn("_image", image).drop(key), "_image").drop("_image")
+
+
 def quoted(name: str) -> Column:
     """A column by its name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")

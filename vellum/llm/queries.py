@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import chat, decontam, exact_dedup, langid, mixing, quality, simhash, suffix_dedup, token_counts, toxicity
-from .common import held_out, saved, table, work_path
+from .common import held_out, saved, spread_join, table, work_path
 
 #: Where the public vocabulary files are; a parameter of op4's operator, never copied here.
 TOKENIZERS = "/opt/tokenizers"
@@ -48,7 +48,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS)
     load = token_counts.change(counts, 1, one, f"n_{one}").unionByName(token_counts.change(counts, 1, two, f"n_{two}"))
     revise = token_counts.revision(counts, one, (f"n_{one}", "n_chars"), ("flat_tokens", "flat_chars"))
     first = counts.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sha", "first")
-    copies = counts.join(first, "sha").where("doc_id > first")
+    copies = spread_join(counts, first, "sha").where("doc_id > first")
     delete = token_counts.change(copies, -1, one, "flat_tokens", "flat_chars")
     for batch, changes in (("load", load), ("load", load), ("revise", revise), ("delete", delete)):
         rollup.apply(batch, changes)

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_ID, bounded_batches, saved, text_bytes
+from .common import MAX_ID, bounded_batches, saved, spread_join, text_bytes
 from .numeric import gram_hashes, mix, sliding_min
 
 DEPTH = 100
@@ -361,7 +361,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     told = [F.coalesce(F.conv(F.substring("sha", 1, 14), 16, 10).cast("long"), F.lit(0)).alias("tag")] if several else []
     tag = F.col("tag") if several else F.lit(0).cast("long").alias("tag")
     firsts = meta.groupBy("sha").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).where("first < last").select("sha", "first")
-    later = saved(meta.join(firsts, "sha").where("pos > first").select("pos", *told).distinct().withColumn("later", F.lit(True)), "repeat-later")
+    later = saved(spread_join(meta, firsts, "sha").where("pos > first").select("pos", *told).distinct().withColumn("later", F.lit(True)), "repeat-later")
     # the one exchange of texts: each later use of `dealt` reuses it
     dealt = base.select("pos", *told, "text").repartition(parts, *keys).join(later, keys, "left")
     fresh = dealt.where("later is null").select("pos", tag, "text")
