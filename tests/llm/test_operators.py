@@ -588,6 +588,25 @@ def tuple_of(row, keys):
     return keys[row.doc_id]
 
 
+def made_cells(spark, *rows):
+    return spark.createDataFrame(list(rows), "p array<double>, tokens double")
+
+
+def test_mixing_descends_until_no_rate_moves(spark):
+    """A domain that cannot reach its target leaves the others to reach theirs; numpy runs all steps."""
+    table = [([0.9, 0.05, 0.05], 900.0), ([0.5, 0.3, 0.2], 400.0), ([0.1, 0.8, 0.1], 30.0), ([0.1, 0.1, 0.8], 2.0), ([0.3, 0.4, 0.3], 90.0)]
+    fitted, report = mixing.fit_rates(made_cells(spark, *table), ["a", "b", "c"], None, high=20.0)
+    p, t = np.array([r[0] for r in table]), np.array([r[1] for r in table])
+    base = t @ p
+    goal, rate = np.full(3, t.sum() / 3), np.ones(5)
+    for _ in range(20_000):
+        rate = np.clip(rate - p @ (((rate * t) @ p - goal) / base), 0, 20)
+    assert report["converged"] and np.allclose(report["reached"], (rate * t) @ p, rtol=1e-4)
+    got = np.array([r.rate for r in sorted(fitted.collect(), key=lambda r: -r.tokens)])
+    assert np.allclose((got * np.sort(t)[::-1]) @ p[np.argsort(-t)], report["reached"])
+    assert not mixing.fit_rates(made_cells(spark, *table), ["a", "b", "c"], None, high=20.0, rounds=2)[1]["converged"]
+
+
 def test_mixing_floor_and_empty(spark, docs, empty):
     kept = mixing.with_rates(docs, budget=2.0, low=1.0).collect()
     assert len(kept) == len(TEXTS) and all(r.mix_rate >= 1 and r.mix_copies >= 1 for r in kept)

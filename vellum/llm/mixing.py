@@ -11,9 +11,11 @@
        rate <- clip(rate - sum_k posterior_k * (S_k - T_k) / S0_k)
 
    S are the expected domain totals, T the targets and S0 the totals at rate 1. In this metric the Hessian is
-   S0^-1 * sum(tokens * p p'), a stochastic matrix with largest eigenvalue 1, so the step of 1 is safe.
+   S0^-1 * sum(tokens * p p'), a stochastic matrix with largest eigenvalue 1, so the step of 1 is safe. Steps
+   start from points carried on by momentum, which begins anew where it points uphill; S is linear in the rates, so
+   it is known there without another pass. The descent ends when no rate would move: clipped cells do not count.
    Documents of one cell and label share posteriors, start and steps, hence their rate: the table of cells
-   carries the descent, and each step is one aggregation of it with one row of K sums to the driver.
+   carries the descent, and each step is one aggregation of it with one row of K + 2 sums to the driver.
 3. Copies: floor(rate) of each document, and one more with the fraction's probability, by a hash of the id.
 
 Defined cases: null text has no tokens, and its rate follows from its cell; a null domain is unlabelled; with no labels at
@@ -23,6 +25,7 @@ those whose names begin with mix_, which give way.
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -30,11 +33,14 @@ from pyspark.sql import functions as F
 
 from .common import quoted, saved
 
+log = logging.getLogger(__name__)
+
 NOISE = 0.1
 MAX_DOMAINS = 2000
-ROUNDS = 60
-#: The descent ends when a step takes less than this share off the error.
-TOLERANCE = 1e-3
+#: Steps after which a descent is reported as not converged.
+ROUNDS = 400
+#: The descent ends when a step moves no rate by more than this (times the budget, if that is over 1).
+TOLERANCE = 1e-6
 #: The table of cells is broadcast up to this many rows; beyond, it is joined by a shuffle.
 BROADCAST_CELLS = 100_000
 _FEATURES = ("f_size", "f_wide", "f_word", "f_th", "f_e")
@@ -105,14 +111,20 @@ def posteriors(cells: DataFrame, *, noise: float = NOISE) -> tuple[DataFrame, li
     return out.withColumn("p", F.transform("_score", lambda s: s / F.col("_sum"))).drop("_score", "_sum"), domains
 
 
-def _sums(cells: DataFrame, rate: Column, k: int) -> list[float]:
-    row = cells.agg(*[F.coalesce(F.sum(F.col("p")[i] * F.col("tokens") * rate), F.lit(0.0)) for i in range(k)]).first()
+def _sums(cells: DataFrame, rate: Column, k: int, *more: Column) -> list[float]:
+    row = cells.agg(*[F.coalesce(x, F.lit(0.0)) for x in (*[F.sum(F.col("p")[i] * F.col("tokens") * rate) for i in range(k)], *more)]).first()
     return [float(x) for x in row]
 
 
-def _step(rate: Column, slope: list[float], low: float, high: float) -> Column:
+def _stepped(cells: DataFrame, slope: list[float], low: float, high: float) -> DataFrame:
+    """Cells with `next`, the clipped step from the point `at`."""
     dot = F.aggregate(F.zip_with("p", _array(slope), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), rate - dot))
+    return cells.withColumn("next", F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.col("at") - dot)))
+
+
+def _carried(cells: DataFrame, momentum: float) -> DataFrame:
+    """The step taken: `next` becomes the rate, and the point goes on by the momentum."""
+    return cells.withColumns({"rate": F.col("next"), "at": F.col("next") + F.lit(momentum) * (F.col("next") - F.col("rate"))}).drop("next")
 
 
 def fit_rates(cells: DataFrame, domains: list[str], targets: dict[str, float] | None, *, budget: float = 1.0, low: float = 0.0, high: float = 20.0, rounds: int = ROUNDS) -> tuple[DataFrame, dict]:
@@ -120,40 +132,50 @@ def fit_rates(cells: DataFrame, domains: list[str], targets: dict[str, float] |
     budget: target total as a multiple of the tokens at hand."""
     k = len(domains)
     weights = [1.0 if targets is None else float(targets.get(d, 0.0)) for d in domains]
-    cells = cells.withColumn("rate", F.lit(float(min(high, max(low, 1.0)))))
+    begin = F.lit(float(min(high, max(low, 1.0))))
+    cells = cells.withColumns({"rate": begin, "at": begin})
     base = _sums(cells, F.lit(1.0), k)
     total = sum(base)
     goal = [budget * total * w / (sum(weights) or 1.0) for w in weights]
-    pending: list[list[float]] = []
-    now, error = base, None
-    for turn in range(rounds):
-        rate = F.col("rate")
-        stepped = cells
-        for slope in pending:
-            stepped = stepped.withColumn("rate", _step(F.col("rate"), slope, low, high))
-        now = _sums(stepped, rate, k)
-        new = sum((s - t) ** 2 / b for s, t, b in zip(now, goal, base, strict=True) if b > 0) / (total or 1.0)
-        if error is not None and abs(error - new) <= TOLERANCE * max(error, 1e-12) or new < 1e-12:
-            error = new
-            break
-        error = new
-        pending.append([(s - t) / b if b > 0 else 0.0 for s, t, b in zip(now, goal, base, strict=True)])
+    now = there = [s * min(high, max(low, 1.0)) for s in base]  # totals at the rates, and at the points
+    pending: list[tuple[list[float], float]] = []
+    pace, moved, turn = 1.0, math.inf, 0
+    while turn < rounds and moved > TOLERANCE * max(1.0, budget):
+        turn += 1
+        slope = [(s - t) / b if b > 0 else 0.0 for s, t, b in zip(there, goal, base, strict=True)]
+        ahead = cells
+        for old, momentum in pending:
+            ahead = _carried(_stepped(ahead, old, low, high), momentum)
+        ahead = _stepped(ahead, slope, low, high)
+        before, (*now, uphill, moved) = now, _sums(ahead, F.col("next"), k, F.sum(F.col("tokens") * (F.col("at") - F.col("next")) * (F.col("next") - F.col("rate"))), F.max(F.abs(F.col("at") - F.col("next"))))
+        pace = 1.0 if uphill > 0 else pace
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        momentum, pace = (pace - 1) / faster, faster
+        there = [s + momentum * (s - b) for s, b in zip(now, before, strict=True)]
+        pending.append((slope, momentum))
         if len(pending) >= _STEPS_A_PLAN:
-            for slope in pending:
-                cells = cells.withColumn("rate", _step(F.col("rate"), slope, low, high))
-            cells, pending = saved(cells, "mixing-rates"), []
-    for slope in pending:
-        cells = cells.withColumn("rate", _step(F.col("rate"), slope, low, high))
-    return cells, {"domains": domains, "base": base, "goal": goal, "reached": now, "error": error}
+            cells, pending = saved(_carried(ahead, momentum), "mixing-rates"), []
+    for slope, momentum in pending:
+        cells = _carried(_stepped(cells, slope, low, high), momentum)
+    error = sum((s - t) ** 2 / b for s, t, b in zip(now, goal, base, strict=True) if b > 0) / (total or 1.0)
+    converged = moved <= TOLERANCE * max(1.0, budget)
+    return cells.drop("at"), {"domains": domains, "base": base, "goal": goal, "reached": now, "error": error, "rounds": turn, "moved": moved, "converged": converged}
+
+
+def with_rates(docs: DataFrame, targets: dict[str, float] | None = None, **settings) -> DataFrame:
+    """The columns of docs with mix_tokens, mix_domain, mix_posterior, mix_rate and mix_copies. Settings as in mixed()."""
+    return mixed(docs, targets, **settings)[0]
 
 
-def with_rates(docs: DataFrame, targets: dict[str, float] | None = None, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "source", budget: float = 1.0, low: float = 0.0, high: float = 20.0, noise: float = NOISE, seed: int = 7) -> DataFrame:
-    """The columns of docs with mix_tokens, mix_domain, mix_posterior, mix_rate and mix_copies."""
+def mixed(docs: DataFrame, targets: dict[str, float] | None = None, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "source", budget: float = 1.0, low: float = 0.0, high: float = 20.0, noise: float = NOISE, seed: int = 7) -> tuple[DataFrame, dict]:
+    """What with_rates returns, and the report of fit_rates; a descent that has not converged is logged as a warning."""
     rows = described(docs, text_col=text_col, domain_col=domain_col)
     key = ["_domain", *_FEATURES]
     cells = saved(rows.groupBy(*key).agg(F.count(F.lit(1)).cast("double").alias("docs"), F.sum("_tokens").cast("double").alias("tokens")), "mixing-cells")
     known, domains = posteriors(cells, noise=noise)
-    fitted, _ = fit_rates(saved(known, "mixing-posteriors"), domains, targets, budget=budget, low=low, high=high)
+    fitted, report = fit_rates(saved(known, "mixing-posteriors"), domains, targets, budget=budget, low=low, high=high)
+    if not report["converged"]:
+        log.warning("mixing: not converged after %d steps; the last one moved a rate by %g", report["rounds"], report["moved"])
     top = F.array_position("p", F.array_max("p")).cast("int")
     rates = saved(fitted.select(*key, F.element_at(F.array(*[F.lit(d) for d in domains]), top).alias("mix_domain"), F.array_max("p").alias("mix_posterior"), F.col("rate").alias("mix_rate")), "mixing-rates")
     small = rates.count() <= BROADCAST_CELLS
@@ -166,4 +188,4 @@ def with_rates(docs: DataFrame, targets: dict[str, float] | None = None, *, id_c
     whole = F.floor("mix_rate")
     out = out.withColumn("mix_copies", (whole + (luck < F.col("mix_rate") - whole).cast("int")).cast("int"))
     new = [F.col("_tokens").alias("mix_tokens"), *map(F.col, ("mix_domain", "mix_posterior", "mix_rate", "mix_copies"))]
-    return out.select([F.col("_row")[c].alias(c) for c in docs.columns if not c.startswith("mix_")] + new)
+    return out.select([F.col("_row")[c].alias(c) for c in docs.columns if not c.startswith("mix_")] + new), report
