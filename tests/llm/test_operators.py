@@ -607,6 +607,18 @@ def test_mixing_descends_until_no_rate_moves(spark):
     assert not mixing.fit_rates(made_cells(spark, *table), ["a", "b", "c"], None, high=20.0, rounds=2)[1]["converged"]
 
 
+def test_mixing_rates_of_a_small_domain(spark):
+    """A domain with a five-hundredth of its target's tokens reaches it: op7 puts no upper bound on rates."""
+    fitted, report = mixing.fit_rates(made_cells(spark, ([0.99, 0.01], 9990.0), ([0.01, 0.99], 10.0)), ["a", "b"], None, high=float("inf"))
+    assert np.allclose(report["reached"], report["goal"], rtol=1e-4) and fitted.agg(F.max("rate")).first()[0] > 100
+
+
+def test_op7_puts_no_bound_on_rates(spark, tmp_path):
+    docs = [(i, "a b " * 40, "big") for i in range(200)] + [(999, "ooo ooo ooo", "small")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op7_mixing(spark, str(tmp_path)).agg(F.max("rate")).first()[0] > 20
+
+
 def test_mixing_floor_and_empty(spark, docs, empty):
     kept = mixing.with_rates(docs, budget=2.0, low=1.0).collect()
     assert len(kept) == len(TEXTS) and all(r.mix_rate >= 1 and r.mix_copies >= 1 for r in kept)

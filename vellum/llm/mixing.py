@@ -5,7 +5,7 @@
    label (right with probability 1 - NOISE, else any other domain alike), give each document posteriors
    over the domains. Documents without a label have the text features alone.
 2. Rates. Each document gets a nonnegative rate such that the expected tokens of each domain,
-   sum(rate * tokens * posterior), come as near to their targets as rates in [low, high] allow, in least squares
+   sum(rate * tokens * posterior), come as near to their targets as rates in [low, high] allow (high may be infinite), in least squares
    of relative errors. Projected gradient descent in the metric that weighs documents by their tokens:
 
        rate <- clip(rate - sum_k posterior_k * (S_k - T_k) / S0_k)
