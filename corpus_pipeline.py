@@ -7,6 +7,8 @@ return the columns of documents; the last adds the mixing columns. No stage can
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +45,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All sources to the same weight by rates of at least 1: every document stays, in mix_copies copies."""
-    return mixing.with_rates(docs, budget=2.0, low=1.0)
+    """All sources to the same weight by rates of at least 1: every document stays, in mix_copies copies. The tokens
+    are doubled, or multiplied by as much as the largest source asks for."""
+    return mixing.with_rates(docs, budget=2.0, low=1.0, high=math.inf)
 
 
 STAGES = [

@@ -619,6 +619,20 @@ def test_op7_puts_no_bound_on_rates(spark, tmp_path):
     assert queries.op7_mixing(spark, str(tmp_path)).agg(F.max("rate")).first()[0] > 20
 
 
+def test_mixing_keeps_all_of_a_hot_source_and_reaches_targets(spark):
+    """Rates of at least 1 with a source of 80 % of the tokens: the others grow until weights are alike."""
+    cells = made_cells(spark, ([0.9, 0.05, 0.05], 800.0), ([0.05, 0.9, 0.05], 100.0), ([0.05, 0.05, 0.9], 100.0))
+    fitted, report = mixing.fit_rates(cells, ["a", "b", "c"], None, budget=2.0, low=1.0, high=float("inf"))
+    assert np.allclose(np.array(report["reached"]) / sum(report["reached"]), 1 / 3, rtol=0.01)
+    assert fitted.agg(F.min("rate")).first()[0] >= 1 and report["converged"]
+
+
+def test_pipeline_mixes_a_hot_source_to_its_target(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.when(F.col("doc_id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), F.col("doc_id") % 4)).alias("source"))
+    tokens = {r[0]: r[1] for r in corpus_pipeline.mix(spark, docs, SF).groupBy("source").agg(F.sum(F.col("mix_rate") * F.col("mix_tokens"))).collect()}
+    assert len(tokens) == 5 and tokens["hot"] < 0.3 * sum(tokens.values())
+
+
 def test_mixing_floor_and_empty(spark, docs, empty):
     kept = mixing.with_rates(docs, budget=2.0, low=1.0).collect()
     assert len(kept) == len(TEXTS) and all(r.mix_rate >= 1 and r.mix_copies >= 1 for r in kept)

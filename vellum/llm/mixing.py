@@ -38,9 +38,12 @@ log = logging.getLogger(__name__)
 NOISE = 0.1
 MAX_DOMAINS = 2000
 #: Steps after which a descent is reported as not converged.
-ROUNDS = 400
+ROUNDS = 240
 #: The descent ends when a step moves no rate by more than this (times the budget, if that is over 1).
 TOLERANCE = 1e-6
+#: With rates held from below, the budget is doubled until no domain is off its target by more than this share, after
+#: so many steps at most with one budget, and so many times at most.
+MISS, RUNG, DOUBLINGS = 0.01, 60, 8
 #: The table of cells is broadcast up to this many rows; beyond, it is joined by a shuffle.
 BROADCAST_CELLS = 100_000
 _FEATURES = ("f_size", "f_wide", "f_word", "f_th", "f_e")
@@ -127,39 +130,54 @@ def _carried(cells: DataFrame, momentum: float) -> DataFrame:
     return cells.withColumns({"rate": F.col("next"), "at": F.col("next") + F.lit(momentum) * (F.col("next") - F.col("rate"))}).drop("next")
 
 
+def _all_carried(cells: DataFrame, steps: list[tuple[list[float], float]], low: float, high: float) -> DataFrame:
+    for slope, momentum in steps:
+        cells = _carried(_stepped(cells, slope, low, high), momentum)
+    return cells
+
+
 def fit_rates(cells: DataFrame, domains: list[str], targets: dict[str, float] | None, *, budget: float = 1.0, low: float = 0.0, high: float = 20.0, rounds: int = ROUNDS) -> tuple[DataFrame, dict]:
     """Cells with their rate, and what the descent reached. targets: weights of the domains (alike if None);
-    budget: target total as a multiple of the tokens at hand."""
+    budget: target total as a multiple of the tokens at hand. If low > 0 it is the least budget: as no rate falls below
+    low, others must grow, to twice what the largest domain needs at first."""
     k = len(domains)
     weights = [1.0 if targets is None else float(targets.get(d, 0.0)) for d in domains]
     begin = F.lit(float(min(high, max(low, 1.0))))
     cells = cells.withColumns({"rate": begin, "at": begin})
     base = _sums(cells, F.lit(1.0), k)
     total = sum(base)
-    goal = [budget * total * w / (sum(weights) or 1.0) for w in weights]
+    goal = [total * w / (sum(weights) or 1.0) for w in weights]
+    if low > 0:
+        budget = max([budget, *(2 * low * b / t for b, t in zip(base, goal, strict=True) if t > 0)])
+    goal = [budget * t for t in goal]
     now = there = [s * min(high, max(low, 1.0)) for s in base]  # totals at the rates, and at the points
     pending: list[tuple[list[float], float]] = []
-    pace, moved, turn = 1.0, math.inf, 0
-    while turn < rounds and moved > TOLERANCE * max(1.0, budget):
-        turn += 1
+    pace, moved, turn, rung, doublings, miss = 1.0, math.inf, 0, 0, 0, math.inf
+    while turn < rounds:
+        if moved <= TOLERANCE * max(1.0, budget) or rung >= RUNG:
+            if low > 0 and miss > MISS and doublings < DOUBLINGS and 2 * budget <= high:
+                cells = cells if not pending else saved(_all_carried(cells, pending, low, high), "mixing-rates")
+                cells, pending = cells.withColumns({"rate": 2 * F.col("rate"), "at": 2 * F.col("rate")}), []
+                budget, goal, now = 2 * budget, [2 * t for t in goal], [2 * s for s in now]
+                there, pace, rung, doublings = now, 1.0, 0, doublings + 1
+            elif moved <= TOLERANCE * max(1.0, budget):
+                break
+        turn, rung = turn + 1, rung + 1
         slope = [(s - t) / b if b > 0 else 0.0 for s, t, b in zip(there, goal, base, strict=True)]
-        ahead = cells
-        for old, momentum in pending:
-            ahead = _carried(_stepped(ahead, old, low, high), momentum)
-        ahead = _stepped(ahead, slope, low, high)
+        ahead = _stepped(_all_carried(cells, pending, low, high), slope, low, high)
         before, (*now, uphill, moved) = now, _sums(ahead, F.col("next"), k, F.sum(F.col("tokens") * (F.col("at") - F.col("next")) * (F.col("next") - F.col("rate"))), F.max(F.abs(F.col("at") - F.col("next"))))
         pace = 1.0 if uphill > 0 else pace
         faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
         momentum, pace = (pace - 1) / faster, faster
         there = [s + momentum * (s - b) for s, b in zip(now, before, strict=True)]
+        miss = max((abs(s / t - 1) for s, t in zip(now, goal, strict=True) if t > 0), default=0.0)
         pending.append((slope, momentum))
         if len(pending) >= _STEPS_A_PLAN:
             cells, pending = saved(_carried(ahead, momentum), "mixing-rates"), []
-    for slope, momentum in pending:
-        cells = _carried(_stepped(cells, slope, low, high), momentum)
+    cells = _all_carried(cells, pending, low, high)
     error = sum((s - t) ** 2 / b for s, t, b in zip(now, goal, base, strict=True) if b > 0) / (total or 1.0)
     converged = moved <= TOLERANCE * max(1.0, budget)
-    return cells.drop("at"), {"domains": domains, "base": base, "goal": goal, "reached": now, "error": error, "rounds": turn, "moved": moved, "converged": converged}
+    return cells.drop("at"), {"domains": domains, "base": base, "goal": goal, "reached": now, "error": error, "budget": budget, "miss": miss, "rounds": turn, "moved": moved, "converged": converged}
 
 
 def with_rates(docs: DataFrame, targets: dict[str, float] | None = None, **settings) -> DataFrame:
@@ -168,7 +186,7 @@ def with_rates(docs: DataFrame, targets: dict[str, float] | None = None, **setti
 
 
 def mixed(docs: DataFrame, targets: dict[str, float] | None = None, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "source", budget: float = 1.0, low: float = 0.0, high: float = 20.0, noise: float = NOISE, seed: int = 7) -> tuple[DataFrame, dict]:
-    """What with_rates returns, and the report of fit_rates; a descent that has not converged is logged as a warning."""
+    """What with_rates returns, and the report of fit_rates; a descent that has not converged and missed targets are logged as warnings."""
     rows = described(docs, text_col=text_col, domain_col=domain_col)
     key = ["_domain", *_FEATURES]
     cells = saved(rows.groupBy(*key).agg(F.count(F.lit(1)).cast("double").alias("docs"), F.sum("_tokens").cast("double").alias("tokens")), "mixing-cells")
@@ -176,6 +194,8 @@ def mixed(docs: DataFrame, targets: dict[str, float] | None = None, *, id_col: s
     fitted, report = fit_rates(saved(known, "mixing-posteriors"), domains, targets, budget=budget, low=low, high=high)
     if not report["converged"]:
         log.warning("mixing: not converged after %d steps; the last one moved a rate by %g", report["rounds"], report["moved"])
+    if report["miss"] > MISS:
+        log.warning("mixing: a domain is %.1f %% off its target of %g times the tokens: %s", 100 * report["miss"], report["budget"], list(zip(domains, report["reached"], report["goal"], strict=True)))
     top = F.array_position("p", F.array_max("p")).cast("int")
     rates = saved(fitted.select(*key, F.element_at(F.array(*[F.lit(d) for d in domains]), top).alias("mix_domain"), F.array_max("p").alias("mix_posterior"), F.col("rate").alias("mix_rate")), "mixing-rates")
     small = rates.count() <= BROADCAST_CELLS
