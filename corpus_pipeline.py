@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import decontam, exact_dedup, langid, mixing, simhash
-from vellum.llm.common import free_name, held_out, kept_rows, quoted, saved, table
+from vellum.llm.common import free_name, held_out, kept_texts, quoted, saved, table
 
 ORACLE_SQL = None
 
@@ -28,13 +28,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document that stays of each class of equal texts."""
-    return kept_rows(docs, exact_dedup.exact_dedup(docs).where("kept").select("doc_id"))
+    return kept_texts(docs, exact_dedup.exact_dedup(docs).where("kept"), exact_dedup.text_sha256())
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each SimHash component."""
-    found = simhash.simhash_components(docs)
-    return kept_rows(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
+    return kept_texts(docs, simhash.survivors(docs), simhash.text_sha256())
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -701,6 +701,18 @@ def test_kept_rows_with_repeated_ids(spark):
     assert got == [(1, "a"), (3, "d"), (None, "x")]
 
 
+def test_dedup_stages_keep_texts_of_null_and_repeated_ids(spark):
+    """Only rows that the operators mark as copies go, whatever their ids."""
+    one, two, three, four = ("".join(random.Random(s).choices("abcdefghij ", k=4000)) for s in range(4))
+    data = [(1, one), (None, one), (None, two), (None, three), (2, four), (2, "other words"), (2, "other  words"), (2, "other words")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    want = {(1, one), (None, two), (None, three), (2, four)}
+    exact = list(map(tuple, corpus_pipeline.drop_exact_copies(spark, docs, SF).collect()))
+    assert len(exact) == 5 and set(exact) == want | {(2, "other  words")}
+    near = list(map(tuple, corpus_pipeline.drop_near_copies(spark, docs, SF).collect()))
+    assert len(near) == 5 and want < set(near)
+
+
 def test_text_bytes_of_slices():
     a = pa.array(["ab", None, "é", ""])
     data, offsets = common.text_bytes(a.slice(1))

@@ -117,6 +117,27 @@ def free_name(name: str, docs: DataFrame) -> str:
     return name
 
 
+def kept_texts(docs: DataFrame, kept: DataFrame, digest: Column, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Rows of docs whose (id, text_sha256) is in kept (one row a pair, null ids included), each pair once.
+
+    digest: text_sha256 of a row of docs. Of rows with one pair the longest text stays, then the smallest row. Repeated
+    ids are looked for in the id column alone; only rows of such ids are dealt again.
+    """
+    sha = free_name("_sha", docs)
+    pairs = kept.select(F.col(id_col).alias("_kept"), F.col("text_sha256").alias("_kept_sha"))
+    marked = docs.withColumn(sha, digest)
+    found = marked.join(pairs, marked[id_col].eqNullSafe(pairs["_kept"]) & (marked[sha] == pairs["_kept_sha"]), "left_semi")
+    columns = [quoted(c) for c in docs.columns]
+    counts = docs.groupBy(F.col(id_col).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_again")
+    if not counts.limit(1).count():
+        return found.select(columns)
+    same = found[id_col].eqNullSafe(counts["_again"])
+    once, again = found.join(counts, same, "left_anti"), found.join(counts, same, "left_semi")
+    least = F.min(F.struct((-F.length(F.coalesce(quoted(text_col), F.lit("")))).alias("_size"), F.struct(*columns).alias("_row")))
+    packed = again.groupBy(quoted(id_col).alias("_pair_id"), quoted(sha).alias("_pair_sha")).agg(least.alias("_least"))
+    return once.select(columns).union(packed.select([F.col("_least")["_row"][c].alias(c) for c in docs.columns]))
+
+
 def kept_rows(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of docs whose id is in ids (one row an id, null included), each id once.
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import MAX_ID, bounded_batches, saved
@@ -213,6 +213,11 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return done.unionByName(late)
 
 
+def text_sha256(text_col: str = "text") -> Column:
+    """The digest that exact_dedup gives a text."""
+    return F.sha2(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACE.decode(), ""), 256)
+
+
 def pack_sha(text: str | None) -> str:
     """The digest of one text, for tests."""
     return hashlib.sha256(normalised(text)).hexdigest()

@@ -62,7 +62,7 @@ def _fingerprints(batches):
         data, offsets = text_bytes(batch.column(1))
         raw = data.tobytes()
         fps = np.array([fingerprint(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,6 +70,22 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
+def text_sha256(text_col: str = "text") -> Column:
+    """Digest of a text as it is; null counts as empty."""
+    return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+
+
+def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and text_sha256 of the one text that stays of each component: smallest id, null last, then smallest digest."""
+    bounded_batches(docs.sparkSession)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_sha256(text_col).alias("text_sha256"))
+    fps = saved(base.mapInArrow(_fingerprints, "doc_id long, fp long, text_sha256 string"), "simhash")
+    nodes = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256")).alias("first"))
+    roots = components(near_links(fps.select("fp").distinct()))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
+    return rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_sha256")
+
+
 def _long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
