@@ -47,3 +47,9 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_image_bundles_hold_whole_texts(spark):
+    texts = {f"f/{r.doc_id}": (r.source, len((r.text or "").encode())) for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 2 = 0").collect()}
+    got = {r.path: (r.source, r.n) for r in queries.QUERIES["image_bundles"](spark, SF).where("pointer is null").collect()}
+    assert got == texts and max(n for _, n in got.values()) > 64

@@ -699,9 +699,9 @@ def blob_round_trip(spark, d):
 
 @query()
 def image_bundles(spark, d):
-    """SK5"""
-    entries = table(spark, d, "documents").select("source", F.concat(F.lit("f/"), F.col("doc_id").cast("string")).alias("path"), F.substring(F.coalesce("text", F.lit("")), 1, 64).cast("binary").alias("body"), X.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"), (F.col("doc_id") % 2 == 0).alias("literal"))
-    packed = entries.groupBy("source").agg(F.collect_list(F.struct("path", "body", "content_hash", "literal")).alias("entries")).select("source", tables.bundle("entries").alias("data"))
+    """SK5: a bundle of whole texts for each document"""
+    entries = table(spark, d, "documents").select("doc_id", "source", F.concat(F.lit("f/"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("body"), X.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"), (F.col("doc_id") % 2 == 0).alias("literal"))
+    packed = entries.groupBy("doc_id", "source").agg(F.collect_list(F.struct("path", "body", "content_hash", "literal")).alias("entries")).select("source", tables.bundle("entries").alias("data"))
     return packed.select("source", F.explode(tables.unbundled("data")).alias("e")).select("source", "e.path", F.length("e.body").alias("n"), "e.pointer")
 
 
