@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from vellum.functions import html as H
@@ -15,10 +17,21 @@ from vellum.functions import urls as U
         ('<base href="http://e.com/">x', "x"),
         ('<link rel="Preload" as=SCRIPT href=x><link rel=stylesheet href=y>', "<link rel=stylesheet href=y>"),
         ('<meta http-equiv=Refresh content="0; URL=javascript:x"><meta http-equiv=refresh content="5">', '<meta http-equiv=refresh content="5">'),
-        ('<iframe src="https://v.com/?a&b"></iframe>z', '<div class="iframe-placeholder">Embedded content not archived: <a href="https://v.com/?a&amp;b">https://v.com/?a&amp;b</a></div>z'),
-        ('<iframe src="javascript:x"></iframe>', '<div class="iframe-placeholder">Embedded content not archived</div>'),
+        ('<iframe src="https://v.com/?a&b"></iframe>z', '<div class="iframe-placeholder">Frame left out of the archive: <a href="https://v.com/?a&amp;b">https://v.com/?a&amp;b</a></div>z'),
+        ('<iframe src="javascript:x"></iframe>', '<div class="iframe-placeholder">Frame left out of the archive</div>'),
         ("<!-- <script>x</script> --><p>1 < 2</p>", "<!-- <script>x</script> --><p>1 < 2</p>"),
         ("<SCRIPT>never closed", ""),
+        ("<img src=x y'z onerror=alert(1)>", "<img src=x>"),
+        ('<img src=x" onerror=alert(1)>', '<img src=x">'),
+        ("<a href onx=1 =javascript:alert(1)>x</a>", "<a href>x</a>"),
+        ("<!--><img src=x onerror=alert(1)>-->", "<!--><img src=x>-->"),
+        ("<!-- a --!><img src=x onerror=alert(1)>", "<!-- a --!><img src=x>"),
+        ("<svg><style><img src=x onerror=alert(1)></style></svg>", "<svg><style><img src=x></style></svg>"),
+        ('<noscript><p title="</noscript><img src=x onerror=alert(1)>">', '<noscript></noscript><img src=x>">'),
+        ("<img/onerror=x/src=y>z", "<img>z"),
+        ('<img a="b"onerror=x />', '<img a="b" />'),
+        ("<p>a<img src=x onerror=alert(1) ", "<p>a"),
+        ("<title><title onclick=x></title>", "<title><title></title>"),
         ("", ""),
     ],
 )
@@ -27,9 +40,20 @@ def test_sanitize(raw, want):
     assert H.sanitize(want) == want
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<a b='", "<!--", "<title>", "<style><title>", "</td><div>", "<p onx=1 ", "<body", "< ", "</", "a ="])
+def test_long_pages_take_linear_time(piece):
+    text = piece * (600_000 // len(piece))
+    for f in (H.sanitize, H.readable, H.body_of, lambda t: H.references(t, None)):
+        began = time.perf_counter()
+        f(text)
+        assert time.perf_counter() - began < 5
+
+
 @pytest.mark.parametrize(
     ("raw", "want"),
     [
+        ("a.png\t1600w, b.png 900w", "a.png"),
+        ("a.png\n 700w ,\tb.png\f900w", "b.png"),
         ("a 600w, b 1200w, c 2400w", "b"),
         ("a 300w, b 800w", "b"),
         ("a, b 2x", "b"),

@@ -1,13 +1,14 @@
 """HTML fragments: sanitizing, asset references, srcset choice and readable extraction.
 
-A small scanner walks over the tags of a fragment and leaves everything it does not change as it was, byte for
-byte. All steps of a capture run in one vectorised UDF, so that a page crosses to Python once.
+A small scanner finds tags and attributes as browsers do, in one pass, and leaves everything it does not change as it
+was, byte for byte. All steps of a capture run in one vectorised UDF, so that a page crosses to Python once.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -23,49 +24,75 @@ DENSITY_WIDTH = 800
 URL_ATTRIBUTES = frozenset(("href", "src", "action", "xlink:href", "formaction"))
 PLACEHOLDER_CLASS = "iframe-placeholder"
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?", re.S)
+_MARKUP = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\t\n\f\r />]*)|/)")
+_COMMENT_END = re.compile(r"--!?>")
+_GAP = re.compile(r"[\t\n\f\r /]*")
+_NAME = re.compile(r"=?[^\t\n\f\r />=]*")
+_EQUALS = re.compile(r"[\t\n\f\r ]*=[\t\n\f\r ]*")
+_BARE = re.compile(r"[^\t\n\f\r >]*")
+_PLAIN_NAME = re.compile(r"[^\t\n\f\r\"'<>/=\0]+")
 _RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"))
+_RAW_END = {name: re.compile(rf"</{name}(?=[\t\n\f\r />])", re.I) for name in (*_RAW, "noscript")}
 
 
 @dataclass
 class Tag:
-    name: str
+    name: str  # empty: a tag that the text ends in
     start: int
     end: int
     closing: bool
-    text: str
     attributes: list[tuple[str, str, int, int, int, int]] = field(default_factory=list)  # name, value, its start and end, value's start and end
+    inner: int | None = None  # where the content of a raw-text element ends
 
     def get(self, name: str) -> str | None:
         return next((a[1] for a in self.attributes if a[0] == name), None)
 
 
-def scan(text: str) -> Iterator[Tag]:
-    """Tags in order; the content of raw-text elements holds none."""
+def _attributes(text: str, at: int) -> tuple[list[tuple[str, str, int, int, int, int]], int | None]:
+    """Attributes from `at` to the end of the tag, and that end; none if the text ends first. A quote opens a value only after =."""
+    out = []
+    while True:
+        at = _GAP.match(text, at).end()
+        if at == len(text):
+            return out, None
+        if text[at] == ">":
+            return out, at + 1
+        start, at = at, _NAME.match(text, at).end()
+        name, lo, hi = text[start:at].lower(), at, at
+        if m := _EQUALS.match(text, at):
+            lo = at = m.end()
+            if text[at : at + 1] in ('"', "'"):
+                lo, hi = at + 1, text.find(text[at], at + 1)
+                if hi < 0:
+                    return out, None
+                at = hi + 1
+            else:
+                hi = at = _BARE.match(text, at).end()
+        out.append((name, text[lo:hi], start, at, lo, hi))
+
+
+def scan(text: str, raw: frozenset = _RAW) -> Iterator[Tag]:
+    """Tags in order, as browsers find them; the content of raw-text elements holds none. One pass over the text."""
     at = 0
-    while m := _TAG.search(text, at):
-        at = m.end()
+    while m := _MARKUP.search(text, at):
         if m[2] is None:
+            if m[0] == "<!--" and (short := re.compile("-?>").match(text, m.end())):
+                at = short.end()
+                continue
+            close = (_COMMENT_END if m[0] == "<!--" else re.compile(">")).search(text, m.end())
+            if not close:
+                return
+            at = close.end()
             continue
-        tag = Tag(m[2].lower(), m.start(), m.end(), bool(m[1]), m[0])
-        if not tag.closing:
-            base = m.start(3)
-            for a in _ATTRIBUTE.finditer(m[3]):
-                value, lo, hi = a[2] or "", base + a.start(2), base + a.end(2)
-                if value[:1] in ('"', "'") and value:
-                    value, lo, hi = value[1:-1], lo + 1, hi - 1
-                tag.attributes.append((a[1].lower(), value, base + a.start(), base + a.end(), lo, hi))
+        attributes, end = _attributes(text, m.end())
+        if end is None:
+            yield Tag("", m.start(), len(text), False)
+            return
+        tag, at = Tag(m[2].lower(), m.start(), end, bool(m[1]), [] if m[1] else attributes), end
+        if not tag.closing and tag.name in raw:
+            close = _RAW_END[tag.name].search(text, at)
+            tag.inner = at = close.start() if close else len(text)
         yield tag
-        if not tag.closing and tag.name in _RAW:
-            close = re.compile(rf"</{re.escape(tag.name)}(?=[\s/>])", re.I).search(text, at)
-            at = close.start() if close else len(text)
-
-
-def _element_end(text: str, tag: Tag) -> int:
-    """Where a raw-text element ends, with its closing tag."""
-    close = re.compile(rf"</{re.escape(tag.name)}\s*[^>]*>", re.I).search(text, tag.end)
-    return close.end() if close else len(text)
 
 
 def dangerous_url(raw: str) -> bool:
@@ -90,23 +117,24 @@ def escape(text: str) -> str:
 
 def iframe_placeholder(src: str | None, css_class: str = PLACEHOLDER_CLASS) -> str:
     link = f': <a href="{escape(src)}">{escape(src)}</a>' if src else ""
-    return f'<div class="{css_class}">Embedded content not archived{link}</div>'
+    return f'<div class="{css_class}">Frame left out of the archive{link}</div>'
+
 
+def sanitize(text: str, css_class: str = PLACEHOLDER_CLASS, raw: frozenset = _RAW | {"noscript"}) -> str:
+    """Without anything that can run: scripts, base, handlers, dangerous URLs, script preloads, refreshes to them; frames become links.
 
-def sanitize(text: str, css_class: str = PLACEHOLDER_CLASS) -> str:
-    """Without anything that can run: scripts, base, handlers, dangerous URLs, script preloads, refreshes to them; frames become links."""
+    What some parsers take for text (the content of style, title, noscript and the like) is sanitized as a fragment of
+    its own, so it is harmless read either way. A tag that the text ends in goes, as it does in browsers.
+    """
     out, at = [], 0
-    for tag in scan(text):
-        if tag.start < at:
-            continue
+    for tag in scan(text, raw):
         end, new = tag.end, None
-        if tag.name in ("script", "iframe"):
-            if tag.closing:
-                new = ""
-            else:
-                end = _element_end(text, tag)
-                src = tag.get("src")
-                new = "" if tag.name == "script" else iframe_placeholder(src if src and not dangerous_url(src) else None, css_class)
+        if not tag.name:
+            new = ""
+        elif tag.name in ("script", "iframe"):
+            src = tag.get("src")
+            new = iframe_placeholder(src if src and not dangerous_url(src) else None, css_class) if tag.name == "iframe" and not tag.closing else ""
+            end = tag.inner or tag.end
         elif tag.name == "base":
             new = ""
         elif tag.name == "link" and not tag.closing:
@@ -118,25 +146,32 @@ def sanitize(text: str, css_class: str = PLACEHOLDER_CLASS) -> str:
             if target is not None and dangerous_url(target):
                 new = ""
         if new is None:
-            new, cut = "", tag.start
-            for name, value, a, b, _, _ in tag.attributes:
-                if (name.startswith("on") and len(name) > 2) or (name in URL_ATTRIBUTES and dangerous_url(value)):
-                    new += text[cut:a].rstrip()
-                    cut = b
-            new += text[cut:end]
+            new = _harmless(text, tag)
+            if tag.inner is not None:
+                new, end = new + sanitize(text[tag.end : tag.inner], css_class, raw - {tag.name}), tag.inner
         out += [text[at : tag.start], new]
         at = end
     return "".join(out) + text[at:]
 
 
+def _harmless(text: str, tag: Tag) -> str:
+    """The tag as it is, or written anew without handlers and dangerous URLs. Left-over pieces such as a name that begins
+    with = go too, lest they join what stood before the attribute that went."""
+    bad = {a for name, value, a, *_ in tag.attributes if (name.startswith("on") and len(name) > 2) or (name in URL_ATTRIBUTES and dangerous_url(value))}
+    if not bad:
+        return text[tag.start : tag.end]
+    kept = [f" {text[a:b]}" for name, _, a, b, _, _ in tag.attributes if a not in bad and _PLAIN_NAME.fullmatch(name)]
+    return text[tag.start : tag.start + 1 + len(tag.name)] + "".join(kept) + (" />" if text[tag.end - 2] == "/" else ">")
+
+
 def srcset_choice(raw: str) -> str | None:
     """The candidate worth fetching: the narrowest of at least SRCSET_WIDTH, else the widest; the first of equals."""
     best: tuple | None = None
     for entry in raw.split(","):
-        url, _, descriptor = entry.strip().partition(" ") if " " in entry.strip() else (entry.strip(), "", "")
+        url, *rest = entry.split(maxsplit=1)[:2] or [""]
         if not url:
             continue
-        width, mark = DENSITY_WIDTH, descriptor.strip()
+        width, mark = DENSITY_WIDTH, "".join(rest).strip()
         if re.fullmatch(r"\+?\d+w", mark):
             width = int(mark[:-1])
         elif mark.endswith("x"):
@@ -202,6 +237,7 @@ def readable(text: str) -> str | None:
     stack: list[list] = []  # name, start of the content, score, paragraphs
     best: tuple | None = None
     skip, link, last = 0, 0, 0
+    waiting: Counter[str] = Counter()  # names on the stack
     for tag in scan(text):
         words = re.sub(r"\s+", " ", text[last : tag.start])
         if stack and not skip and not link:
@@ -216,14 +252,16 @@ def readable(text: str) -> str | None:
         elif tag.name in _BLOCKS:
             if not tag.closing:
                 stack.append([tag.name, tag.end, 0, 0])
-            elif any(s[0] == tag.name for s in stack):
+                waiting[tag.name] += 1
+            elif waiting[tag.name]:
                 while True:
                     name, start, score, paragraphs = stack.pop()
+                    waiting[name] -= 1
                     if score >= MIN_TEXT and paragraphs >= MIN_PARAGRAPHS and (best is None or score > best[0]):
-                        best = (score, text[start : tag.start])
+                        best = (score, start, tag.start)
                     if name == tag.name:
                         break
-    return best[1].strip() if best else None
+    return text[best[1] : best[2]].strip() if best else None
 
 
 def first_image(text: str, base: urls.Url | None) -> str | None:
@@ -234,6 +272,13 @@ def first_image(text: str, base: urls.Url | None) -> str | None:
     return next(iter(references(text, base)), None)
 
 
+def body_of(text: str) -> str:
+    start = text.find("<body")
+    begin = text.find(">", start) + 1 if start >= 0 else 0
+    end = text.find("</body>", begin) if begin else -1
+    return text[begin:end].strip() if end >= 0 else ""
+
+
 # columns
 
 
@@ -289,8 +334,7 @@ def captured(url: pd.Series, html: pd.Series) -> pd.DataFrame:
         content = readable(h or "")
         confident = content is not None
         if content is None:
-            body = re.search(r"<body[^>]*>(.*?)</body>", h or "", re.S)
-            content = body[1].strip() if body else ""
+            content = body_of(h or "")
         content = sanitize(content)
         rows.append((urls.clean(u), str(base) if base else None, content, confident, first_image(h or "", base) if confident else None, references(content, base)))
     return pd.DataFrame(rows, columns=["link", "final_url", "content_html", "confident", "hero_url", "assets"])
