@@ -43,8 +43,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS)
     text = F.coalesce("text", F.lit(""))
     flat = F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.sha2(text, 256).alias("sha"), F.length(text).alias("n_chars"), F.length(flat).alias("flat_chars"), (text == flat).alias("is_flat"), text.alias("text"), F.when(text != flat, flat).alias("flat"))
-    counts = token_counts.with_token_counts(docs, vocabularies)
-    counts = token_counts.with_token_counts(counts, {one: vocabularies[one]}, text_col="flat", prefix="flat_")
+    counts = token_counts.with_token_counts(docs, vocabularies, also={f"flat_{one}": (one, "flat")})
     counts = saved(counts.withColumn("flat_tokens", F.when(F.col("is_flat"), F.col(f"n_{one}")).otherwise(F.col(f"flat_{one}"))), "token-counts")
     rollup = token_counts.Rollup(spark, work_path(spark, "rollup"))
     load = token_counts.change(counts, 1, one, f"n_{one}").unionByName(token_counts.change(counts, 1, two, f"n_{two}"))

@@ -15,6 +15,7 @@ are left out; other columns pass through, and one named as a count gives way to
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import uuid
 
@@ -31,7 +32,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 KEYS = ("source", "lang", "tokenizer")
 _DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
 
-_encodings: dict[tuple[str, int], object] = {}
+_encodings: dict[tuple[str, bytes], object] = {}
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -41,34 +42,42 @@ def read_vocabulary(path: str) -> bytes:
 
 
 def encoding(name: str, vocabulary: bytes):
+    """The encoder of a vocabulary, built once in a process; vocabularies are told apart by their content."""
     import tiktoken
 
-    key = (name, len(vocabulary))
+    key = (name, hashlib.sha256(vocabulary).digest())
     if key not in _encodings:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
         _encodings[key] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encodings[key]
 
 
-def with_token_counts(docs: DataFrame, vocabularies: dict[str, bytes], *, text_col: str = "text", prefix: str = "n_") -> DataFrame:
-    """Every column but the text, and a column <prefix><tokenizer> for each vocabulary; one pass, no shuffle."""
+def with_token_counts(docs: DataFrame, vocabularies: dict[str, bytes], *, text_col: str = "text", prefix: str = "n_", also: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Every column but the texts, and a column <prefix><tokenizer> for each vocabulary; one pass, no shuffle.
+
+    also: {new column: (tokenizer, text column)} for other texts of the same row, counted in the same pass. An executor
+    then has one set of encoders a core, however many texts a row has.
+    """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabularies)
-    names = [f"{prefix}{v}" for v in vocabularies]
-    rest = [c for c in docs.columns if c != text_col and c not in names]
+    wanted = {f"{prefix}{v}": (v, text_col) for v in vocabularies} | (also or {})
+    texts = list(dict.fromkeys(t for _, t in wanted.values()))
+    rest = [c for c in docs.columns if c not in texts and c.lower() not in {n.lower() for n in wanted}]
 
     def run(batches):
-        encoders = [encoding(k, v) for k, v in shared.value.items()]
+        encoders = {k: encoding(k, v) for k, v in shared.value.items()}
+        by_text = {t: [(j, encoders[v]) for j, (v, own) in enumerate(wanted.values()) if own == t] for t in texts}
         for batch in batches:
-            counts = np.zeros((len(encoders), batch.num_rows), np.int64)
-            for i, text in enumerate(batch.column(len(rest))):
-                if text := text.as_py():
-                    for j, e in enumerate(encoders):
-                        counts[j, i] = len(e.encode_ordinary(text))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *map(pa.array, counts)], [*rest, *names])
-
-    docs = docs.select(*map(quoted, rest), text_col)
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], *(T.StructField(name, T.LongType()) for name in names)]))
+            counts = np.zeros((len(wanted), batch.num_rows), np.int64)
+            for k, t in enumerate(texts):
+                for i, text in enumerate(batch.column(len(rest) + k)):
+                    if text := text.as_py():
+                        for j, e in by_text[t]:
+                            counts[j, i] = len(e.encode_ordinary(text))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *map(pa.array, counts)], [*rest, *wanted])
+
+    docs = docs.select(*map(quoted, [*rest, *texts]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[: len(rest)], *(T.StructField(name, T.LongType()) for name in wanted)]))
 
 
 def change(counts: DataFrame, sign: int | Column, tokenizer: str, tokens: str, chars: str = "n_chars") -> DataFrame:
