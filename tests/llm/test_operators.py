@@ -90,16 +90,19 @@ def test_exact_dedup(spark, wide, resolve_at, monkeypatch):
     assert got == brute_exact([(r[0], r[1]) for r in rows()])
 
 
-def test_exact_chain_of_many_members():
+def entry(key, size, packed, ids, points, task=0, seq=0):
+    return (0, key, task, seq, size, packed, b"s", np.array(ids, "<i8").tobytes(), np.array(points, "<i4").tobytes())
+
+
+def entries(*cells):
+    return exact_dedup._batch(list(cells), exact_dedup._ENTRY_KINDS, exact_dedup._ENTRY)
+
+
+def test_exact_chain_of_many_members(monkeypatch):
     """Classes that are resolved by a join give the same as those that are not."""
-    ids = np.arange(50, dtype="<i8")
-    columns = [pa.array([0], pa.int32()), pa.array([1], pa.int64()), pa.array([3], pa.int64()), pa.array([b"zzz"]), pa.array([b"s"]), pa.array([ids.tobytes()]), pa.array([np.full(50, 7, "<i4").tobytes()])]
-    batch = pa.RecordBatch.from_arrays(columns, ["bucket", "key", "size", "packed", "sha", "ids", "points"])
-    old, exact_dedup.RESOLVE_AT = exact_dedup.RESOLVE_AT, 10
-    try:
-        out = [r for b in exact_dedup._own([batch, batch]) for r in b.to_pylist()]
-    finally:
-        exact_dedup.RESOLVE_AT = old
+    monkeypatch.setattr(exact_dedup, "RESOLVE_AT", 10)
+    ids = list(range(50))
+    out = [r for b in exact_dedup._own([entries(entry(1, 3, b"zzz", ids, [7] * 50)), entries(entry(1, 3, None, ids, [7] * 50))]) for r in b.to_pylist()]
     assert [r for r in out if r["kind"] == "class"][0]["group_size"] == 100
     assert sum(r["kind"] == "member" and r["kept"] for r in out) == 1
 
@@ -109,28 +112,42 @@ def test_exact_collisions():
     import zstandard
 
     z = zstandard.ZstdCompressor(level=1)
-    cells = [(0, 1, 3, z.compress(t), t, np.array([i], "<i8").tobytes(), np.array([3], "<i4").tobytes()) for i, t in enumerate((b"aaa", b"bbb", b"aaa"))]
-    names = ["bucket", "key", "size", "packed", "sha", "ids", "points"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*cells), kinds)], names)
+    batch = entries(*(entry(1, 3, z.compress(t), [i], [3], seq=i) for i, t in enumerate((b"aaa", b"bbb", b"aaa"))))
     got = {r["doc_id"]: r["keep_id"] for b in exact_dedup._own([batch]) for r in b.to_pylist()}
     assert got == {0: 0, 1: 1, 2: 0}
 
 
-def test_exact_repeated_rows_and_null_ids(spark, empty):
-    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "ab"), (None, "a b"), (None, "q")], "doc_id long, text string")
-    got = exact_dedup.exact_dedup(df).collect()
-    assert sum(r.kept for r in got) == 2 and len(got) == 5
-    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(1, 1, 4), (2, 1, 4), (None, 1, 4), (None, None, 1)}
+def test_exact_bytes_travel_once_a_task(monkeypatch):
+    """A copied text is sent once while it is remembered; what was forgotten is sent again, with the same result."""
+    texts = [str(random.Random(s).random()) * 20 for s in range(4)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(4 * k, 4 * k + 4)), pa.array(texts)], ["doc_id", "text"]) for k in range(3)]
+    directory = np.zeros(1 << exact_dedup.BITS, np.int32)
+    found = []
+    for recent in (exact_dedup.RECENT_BYTES, 0):
+        monkeypatch.setattr(exact_dedup, "RECENT_BYTES", recent)
+        rows = sorted((tuple(r.values()) for b in exact_dedup._entries(directory)(batches) for r in b.to_pylist()), key=lambda r: (*r[:4], r[5] is None))
+        assert sum(r[5] is not None for r in rows) == (4 if recent else 12)
+        found.append(sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for b in exact_dedup._own([entries(*rows)]) for r in b.to_pylist()))
+    assert found[0] == found[1] == sorted((i, i % 4, 3, i < 4) for i in range(12))
+
+
+def test_exact_repeated_rows_and_null_ids(spark, empty, monkeypatch):
+    most = (1 << 63) - 1
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "ab"), (None, "a b"), (None, "q"), (most, "q q"), (None, "qq"), (None, "r  r"), (most, "r r")], "doc_id long, text string")
+    for resolve_at in (exact_dedup.RESOLVE_AT, 1):
+        monkeypatch.setattr(exact_dedup, "RESOLVE_AT", resolve_at)
+        got = exact_dedup.exact_dedup(df).collect()
+        assert sum(r.kept for r in got) == 4 and len(got) == 9
+        assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(1, 1, 4), (2, 1, 4), (None, 1, 4), (None, None, 1), (most, most, 2), (None, most, 2), (None, None, 2), (most, None, 2)}
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
 def test_directory_doubles_where_buckets_overflow():
-    sizes = {0: 100, 1: 100, 200: 5, 255: 5}
-    directory = exact_dedup.build_directory(sizes, 8, 120)
+    sizes = lambda **by: np.array([by.get(f"p{i}", 0) for i in range(256)])
+    directory = exact_dedup.build_directory(sizes(p0=100, p1=100, p200=5, p255=5), 120)
     assert directory[0] != directory[1] and directory[200] == directory[255] and len(directory) == 256
-    assert len(set(exact_dedup.build_directory({3: 10**9}, 8, 10))) == 9  # one path of splits, then a chain
-    assert set(exact_dedup.build_directory({}, 8, 10)) == {0}
+    assert len(set(exact_dedup.build_directory(sizes(p3=10**9), 10).tolist())) == 9  # one path of splits, then a chain
+    assert set(exact_dedup.build_directory(sizes(), 10).tolist()) == {0}
 
 
 # SimHash
@@ -531,6 +548,18 @@ def test_token_counts_of_odd_rows(spark, wide, empty):
     got = by_id(token_counts.with_token_counts(wide.withColumn("n_byte_bpe_50k", F.lit("x")), v))
     assert got[40].n_byte_bpe_50k == got[41].n_byte_bpe_50k == 0 and got[45].n_byte_bpe_50k >= 40_000
     assert token_counts.with_token_counts(empty, v).count() == 0
+    both = token_counts.with_token_counts(wide.withColumns({"other": F.upper("text"), "N_UP": F.lit(1)}), v, also={"n_up": ("byte_bpe_50k", "other")})
+    e = token_counts.encoding("byte_bpe_50k", v["byte_bpe_50k"])
+    assert {r.doc_id: (r.n_byte_bpe_50k, r.n_up) for r in both.collect()} == {i: (len(e.encode_ordinary(t or "")), len(e.encode_ordinary((t or "").upper()))) for i, t, *_ in rows()}
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_vocabularies_of_one_name_and_size_are_told_apart():
+    import base64
+
+    one, two = (b"\n".join(base64.b64encode(x) + b" %d" % i for i, x in enumerate([*(bytes([c]) for c in range(256)), pair])) for pair in (b"ab", b"cd"))
+    assert len(one) == len(two)
+    assert [len(token_counts.encoding("v", v).encode_ordinary("ab")) for v in (one, two)] == [1, 2]
 
 
 # mixing
