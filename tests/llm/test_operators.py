@@ -296,7 +296,7 @@ def brute_cost(samples, lang, text, order=langid.ORDER):
 
 def test_code_lengths_are_exact():
     samples = {"de": ["der die das straße", "nicht"], "en": ["the thing that", "THE weather!"]}
-    trees = langid.ContextTrees(samples)
+    trees = langid.ContextTrees.of_texts(samples)
     texts = ["the straße", "zebra 42", "", "ß", "die thing -- that"]
     bits, lengths = trees.bits(pa.array(texts))
     for i, t in enumerate(texts):
@@ -316,6 +316,27 @@ def test_language_id(spark, wide, empty):
     assert {r.lang_pred for r in langid.with_language(wide, langid.ContextTrees({})).collect()} == {"und"}
 
 
+def test_code_lengths_across_steps(monkeypatch):
+    """Long texts are coded and counted in steps; where they are cut makes no difference."""
+    texts = [LONG[:5000], "", "die straße " * 40, LONG[300:900]]
+    whole = langid.ContextTrees.of_texts({"a": texts[:1], "b": texts[2:3]})
+    want = whole.bits(pa.array(texts))
+    monkeypatch.setattr(langid, "_STEP", 37)
+    cut = langid.ContextTrees.of_texts({"a": texts[:1], "b": texts[2:3]})
+    got = cut.bits(pa.array(texts))
+    assert np.allclose(got[0], want[0]) and (got[1] == want[1]).all()
+
+
+def test_language_with_long_texts_only_is_learned(spark):
+    r = random.Random(8)
+    long = lambda w: " ".join(r.choice(w) for _ in range(20_000))
+    data = [(i, long(VOCABULARY["de"]), "de") for i in range(3)] + [(10 + i, prose("en", 50), "en") for i in range(30)] + [(99, prose("de", 30), None), (98, prose("en", 30), None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    assert len(data[0][1]) > 50_000
+    got = by_id(langid.with_language(df.withColumn("LANG_PRED", F.lit(1)), langid.train(df, F.lit(True))))
+    assert got[99].lang_pred == "de" and got[98].lang_pred == "en" and got[0].lang_pred == "de"
+
+
 def test_held_out_matches_crc(spark):
     df = spark.createDataFrame([(i,) for i in [*range(50), None]], "doc_id long")
     got = [r[0] for r in df.select(common.held_out("doc_id", 4, 2)).collect()]

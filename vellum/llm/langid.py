@@ -1,7 +1,7 @@
 """Language identification by prediction by partial matching over bytes.
 
-For each language a context tree of up to ORDER preceding bytes is counted from a bounded sample of its
-training rows and then frozen. A byte's code length follows the classical escape rule (method C): in a
+For each language a context tree of up to ORDER preceding bytes is counted from a bounded number of its
+training rows, whole texts, in the executors, and then frozen. A byte's code length follows the classical escape rule (method C): in a
 context with n occurrences of u distinct bytes, a byte seen c times costs log2((n + u) / c); an unseen
 one costs log2((n + u) / u) and is coded in the next shorter context, at last uniformly over 256.
 There is no update and no exclusion while scoring, so a byte's cost is a fixed function of the bytes
@@ -9,11 +9,12 @@ before it: the contexts of all languages are merged into one table an order, wit
 lengths for each, and whole batches are scored by table lookups. The language with the shortest code is
 predicted; the score is its posterior probability under the code lengths.
 
-Texts are lower-cased, and runs of ASCII non-letters become one space, before coding.
+Texts are lower-cased, and runs of ASCII non-letters become one space, before coding: code lengths are exact for
+that folded text.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; ties go to the language
-that sorts first; with no training rows everything is `und`. Other columns pass through; one that has the name of
-an output column gives way to it.
+that sorts first; with no training rows everything is `und`; repeated rows count each time; very long texts are coded
+whole, in steps. Other columns pass through; one that has the name of an output column, in whatever case, gives way to it.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from .common import bounded_batches, quoted, text_bytes
 from .numeric import HashIndex
 
 ORDER = 4
-#: The bound of the sample: about so many training rows a language, of texts up to so many characters.
-SAMPLE_ROWS, SAMPLE_CHARS = 400, 50_000
+#: The bound of the sample: about so many training rows a language; and of the languages, each a column of every table.
+SAMPLE_ROWS, MAX_LANGS = 400, 1000
 UND = "und"
 _SEP = 0x20
 #: Bytes scored at a time.
@@ -68,24 +69,35 @@ def _grams(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def gram_counts(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings of ORDER + 1 folded bytes, as integers, and how often each occurs."""
+    data, starts, lengths = coded_bytes(array)
+    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+    parts = [np.unique(_grams(data, at[i : i + _STEP], ORDER + 1), return_counts=True) for i in range(0, len(at), _STEP)]
+    return summed(parts)
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One sorted table from several of (keys, counts)."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+
+
 class ContextTrees:
     """Frozen trees of all languages: for each order the strings seen, with a code length per language."""
 
-    def __init__(self, samples: dict[str, list[str]]):
-        self.langs = sorted(samples)
+    def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]]):
+        """grams: for each language its strings of ORDER + 1 bytes, sorted, and their counts. Shorter strings are their ends,
+        since every coded byte has ORDER bytes before it."""
+        self.langs = sorted(grams)
         self.tables: list[tuple[HashIndex, np.ndarray]] = []
         self.escapes: list[tuple[HashIndex, np.ndarray]] = []
         if not self.langs:
             return
-        texts = {lang: coded_bytes(pa.array(samples[lang], pa.string())) for lang in self.langs}
-        counts = []
-        for order in range(ORDER + 1):
-            row = []
-            for lang in self.langs:
-                data, starts, lengths = texts[lang]
-                at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-                row.append(np.unique(_grams(data, at, order + 1), return_counts=True))
-            counts.append(row)
+        ends = [np.uint64((1 << (8 * (order + 1))) - 1) for order in range(ORDER + 1)]
+        counts = [[summed([(grams[lang][0] & end, grams[lang][1])]) for lang in self.langs] for end in ends]
         n = len(self.langs)
         for order in range(ORDER + 1):
             contexts = np.unique(np.concatenate([k >> np.uint64(8) for k, _ in counts[order]]))
@@ -153,24 +165,48 @@ class ContextTrees:
         return langs, np.where(known, posterior, 0.0), np.where(known, low / np.maximum(lengths, 1), 0.0)
 
 
+    @classmethod
+    def of_texts(cls, samples: dict[str, list[str]]) -> ContextTrees:
+        return cls({lang: gram_counts(pa.array(texts, pa.string())) for lang, texts in samples.items()})
+
+
+def _count(batches):
+    found: dict[str, list] = {}
+    for batch in batches:
+        langs = batch.column(0).dictionary_encode()
+        for k, lang in enumerate(langs.dictionary.to_pylist()):
+            parts = found.setdefault(lang, [])
+            parts.append(gram_counts(batch.column(1).filter(pc.equal(langs.indices, k))))
+            found[lang] = [summed(parts)] if len(parts) > 8 else parts
+    for lang, parts in found.items():
+        keys, counts = summed(parts)
+        for at in range(0, len(keys), 50_000):
+            part = keys[at : at + 50_000].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part), pa.array(counts[at : at + 50_000])], ["lang", "gram", "n"])
+
+
 def train(docs: DataFrame, usable: Column, *, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> ContextTrees:
-    """Trees from about `rows` rows of each language among the usable ones, chosen by a hash of the id."""
-    ready = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.length(text_col).between(1, SAMPLE_CHARS))
-    counts = {r[0]: r[1] for r in docs.where(usable & F.col(lang_col).isNotNull()).groupBy(lang_col).count().collect()}
-    pick = F.lit(False)
-    for lang, n in counts.items():
-        share = min(1 << 20, int(rows / n * (1 << 20)) + 1)
-        pick = pick | ((F.col(lang_col) == lang) & (F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 20)) < share))
-    samples: dict[str, list[str]] = {}
-    for lang, text in sorted(map(tuple, ready.where(pick).select(lang_col, text_col).collect())):
-        samples.setdefault(lang, []).append(text)
-    return ContextTrees(samples)
+    """Trees from about `rows` rows of each language among the usable ones, chosen by a hash of the id. Executors count; the
+    driver gets the distinct strings of the sample. Over MAX_LANGS languages are refused."""
+    bounded_batches(docs.sparkSession)
+    ready = docs.where(usable & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.lit(17)).alias("luck"))
+    sizes = {r[0]: r[1] for r in ready.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"over {MAX_LANGS} languages")
+    if not sizes:
+        return ContextTrees({})
+    shares = docs.sparkSession.createDataFrame([(lang, min(1 << 20, int(rows / n * (1 << 20)) + 1)) for lang, n in sizes.items()], "lang string, share long")
+    picked = ready.join(F.broadcast(shares), "lang").where(F.pmod("luck", F.lit(1 << 20)) < F.col("share")).select("lang", "text")
+    got = picked.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    langs, keys, counts = got.column("lang").combine_chunks(), got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    mine = {lang: pc.equal(langs, lang).to_numpy(zero_copy_only=False) for lang in pc.unique(langs).to_pylist()}
+    return ContextTrees({lang: summed([(keys[at], counts[at])]) for lang, at in mine.items()})
 
 
 def with_language(docs: DataFrame, trees: ContextTrees, *, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score", bits_col: str = "bits_per_byte") -> DataFrame:
     """Add the predicted language, its score and its code length a byte to every row; one pass, no shuffle."""
     bounded_batches(docs.sparkSession)
-    docs = docs.select([quoted(c) for c in docs.columns if c not in (pred_col, score_col, bits_col)])
+    docs = docs.select([quoted(c) for c in docs.columns if c.lower() not in (pred_col.lower(), score_col.lower(), bits_col.lower())])
     place = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample's bytes
 
