@@ -196,13 +196,31 @@ def test_dense_cluster_links(spark, empty):
     fps = np.unique(np.array([0xABCDEF0123456789 ^ sum(1 << int(x) for x in r.choice(64, r.integers(0, 9), replace=False)) for _ in range(400)], np.uint64))
     df = spark.createDataFrame([(int(f.view(np.int64)),) for f in fps], "fp long")
     want = brute_components(fps)
-    for cell in (16, 10_000):
-        roots = {x.node: x.root for x in simhash.components(simhash.near_links(df, cell_size=cell)).collect()}
+    for cell, levels in ((16, 3), (16, 1), (10_000, 3)):
+        roots = {x.node: x.root for x in simhash.components(simhash.near_links(df, cell_size=cell, levels=levels)).collect()}
         found = [roots.get(int(f.view(np.int64)), int(f.view(np.int64))) for f in fps]
         assert len(set(zip(found, want.tolist()))) == len(set(want.tolist())) == len(set(found))
     assert simhash.simhash_components(empty).count() == 0
 
 
+def test_finer_grids_lose_no_pair():
+    """Whatever four differences two count vectors have, they agree in a cell of every grid."""
+    r = random.Random(6)
+    for _ in range(300):
+        grid = [()]
+        apart = {r.randrange(32) for _ in range(4)}
+        for _ in range(simhash.LEVELS):
+            grid = [f for cell in grid for f in simhash.finer(cell) if not apart & set(f)]
+            assert grid
+    assert all(len(simhash.finer(c)) == 15 for c in simhash.finer(()))
+
+
+def test_long_chain_is_one_component(spark):
+    """A path of 700 links takes many rounds; stars go on until nothing changes."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(700)] + [(2000, 2001)], "u long, v long")
+    assert {(x.node, x.root) for x in simhash.components(links).collect()} == {(i, 0) for i in range(1, 701)} | {(2001, 2000)}
+
+
 # repeated substrings
 
 

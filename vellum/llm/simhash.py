@@ -8,12 +8,15 @@ word again and the Manhattan distance is the number of bits in which two such wo
 The 32 counts are cut into six blocks. Two vectors within Manhattan distance 4 agree in at least two
 blocks, so the grid's cells are the pairs of blocks with their counts: 15 cells a fingerprint, and every
 pair in range meets in one. In a cell, pairs are bounded by Manhattan distance, then verified exactly. A cell gives a
-spanning forest of its links, not its pairs. Cells over CELL distinct fingerprints are cut into chunks, and
-each pair of chunks is a task of its own. Components are found over distinct fingerprints by alternating
-large and small stars in distributed rounds.
+spanning forest of its links, not its pairs. A cell of over CELL distinct fingerprints gets a finer grid: the segments
+in which its members may still differ are cut into six blocks, of which any pair in range agrees in two again. What
+is crowded at the finest grid, LEVELS deep, is cut into chunks, and each pair of chunks is a task of its own.
+Components are found over distinct fingerprints by alternating large and small stars in distributed rounds, until
+a round changes nothing.
 
 Defined cases: null and wordless texts have fingerprint zero and link like any other; a null id gives a
-null component only if its whole component has no id; repeated rows stay. Other columns are not read.
+null component only if its whole component has no id; repeated rows stay; very long texts are hashed whole, the
+votes summed in steps; an empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,17 +24,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, saved, spread_join, text_bytes
+from .common import bounded_batches, saved, spread_join, text_bytes, work_path
 from .numeric import connected
 
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-#: Distinct fingerprints a grid cell may hold before it is cut into chunks.
-CELL = 4096
+#: Distinct fingerprints a grid cell may hold before it gets a finer grid, and how many grids there are.
+CELL, LEVELS = 4096, 3
 _SEGMENTS = 32
 _CUTS = (0, 5, 10, 15, 20, 26, 32)
 
@@ -103,14 +106,32 @@ def _unary(fp: np.ndarray) -> np.ndarray:
     return high | low | ((high & low) << np.uint64(1))
 
 
+def _mask(segments: list[int]) -> int:
+    return sum(3 << (2 * s) for s in segments)
+
+
+def finer(fixed: tuple[int, ...]) -> list[tuple[int, ...]]:
+    """The 15 cells of a cell: its fixed segments and two of six blocks of the others."""
+    free = [s for s in range(_SEGMENTS) if s not in fixed]
+    cuts = _CUTS if not fixed else [round(i * len(free) / 6) for i in range(7)]
+    blocks = [free[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [tuple(sorted((*fixed, *blocks[i], *blocks[j]))) for i in range(6) for j in range(i)]
+
+
 def grid_cells(fps: DataFrame) -> DataFrame:
     """(cell, key, fp): the 15 cells of every fingerprint."""
-    blocks = [sum(3 << (2 * s) for s in range(a, b)) for a, b in zip(_CUTS[:-1], _CUTS[1:], strict=True)]
-    pairs = [(i, j) for i in range(6) for j in range(i)]
-    cells = [F.struct(F.lit(c).cast("byte").alias("cell"), F.col("counts").bitwiseAND(F.lit(_long(blocks[i] | blocks[j]))).alias("key")) for c, (i, j) in enumerate(pairs)]
+    cells = [F.struct(F.lit(c).alias("cell"), F.col("counts").bitwiseAND(F.lit(_long(_mask(fixed)))).alias("key")) for c, fixed in enumerate(finer(()))]
     return fps.select("fp", unary_counts(F.col("fp")).alias("counts")).select("fp", F.explode(F.array(*cells)).alias("c")).select("c.cell", "c.key", "fp")
 
 
+def finer_cells(rows: DataFrame, grid: list[tuple[int, ...]]) -> DataFrame:
+    """(cell, key, fp) of the next grid; grid: the fixed segments of the cells the rows are in."""
+    masks = [[_long(_mask(fixed)) for fixed in finer(cell)] for cell in grid]
+    table = rows.sparkSession.createDataFrame(list(enumerate(masks)), "cell int, masks array<long>")  # at most 225 rows
+    each = rows.join(F.broadcast(table), "cell").select("cell", "fp", unary_counts(F.col("fp")).alias("counts"), F.posexplode("masks").alias("i", "mask"))
+    return each.select((F.col("cell") * 15 + F.col("i")).alias("cell"), F.col("counts").bitwiseAND(F.col("mask")).alias("key"), "fp")
+
+
 def links_in_cells(cell: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Forest of links between rows of equal `cell` (sorted). side: 0 compares with all, 1 and 2 only with the other."""
     n = len(fp)
@@ -170,40 +191,52 @@ def _join_cells(batches):
         yield from out(pa.Table.from_batches(held))
 
 
-def near_links(fps: DataFrame, *, cell_size: int = CELL) -> DataFrame:
+def near_links(fps: DataFrame, *, cell_size: int = CELL, levels: int = LEVELS) -> DataFrame:
     """Links (u, v) that connect all fingerprints within RADIUS as the full set of links would."""
-    cells = grid_cells(fps)
-    crowded = saved(cells.groupBy("cell", "key").count().where(F.col("count") > cell_size), "simhash-crowded")
-    plain = cells.withColumns({"task": F.lit(0), "side": F.lit(0)})
-    if crowded.limit(1).count():
-        # chunk pairs of crowded cells: member of chunk i goes to tasks (i, j) for every chunk j
+    cells, grid, ready = grid_cells(fps), finer(()), None
+    names = ["cell", "key", "task", "side", "fp"]
+    for level in range(levels):
+        crowded = saved(cells.groupBy("cell", "key").count().where(F.col("count") > cell_size), "simhash-crowded")
+        full = crowded.limit(1).count()
+        fit = (cells.join(crowded, ["cell", "key"], "left_anti") if full else cells).withColumns({"cell": F.col("cell") + (level << 16), "task": F.lit(0), "side": F.lit(0)}).select(names)
+        ready = fit if ready is None else ready.unionByName(fit)
+        if not full:
+            break
+        inside = cells.join(crowded.drop("count"), ["cell", "key"], "left_semi")
+        if level + 1 < levels:
+            cells, grid = saved(finer_cells(inside, grid), "simhash-finer"), [f for cell in grid for f in finer(cell)]
+            continue
+        # chunk pairs of what is crowded still: a member of chunk i goes to tasks (i, j) for every chunk j
         chunks = crowded.select("cell", "key", F.ceil(F.col("count") / cell_size).cast("int").alias("chunks"))
-        plain = plain.join(chunks, ["cell", "key"], "left_anti")
         mine = cells.join(chunks, ["cell", "key"]).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
         mine = mine.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         low, high = F.least("i", "j"), F.greatest("i", "j")
         side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2)
-        split = mine.select("cell", "key", (high * (high + 1) / 2 + low + 1).cast("int").alias("task"), side.alias("side"), "fp")
-        plain = plain.select("cell", "key", "task", "side", "fp").unionByName(split)
-    dealt = plain.select("cell", "key", "task", "side", "fp").repartition("cell", "key", "task").sortWithinPartitions("cell", "key", "task")
+        ready = ready.unionByName(mine.select((F.col("cell") + (level << 16)).alias("cell"), "key", (high * (high + 1) / 2 + low + 1).cast("int").alias("task"), side.alias("side"), "fp"))
+    dealt = ready.select(names).repartition("cell", "key", "task").sortWithinPartitions("cell", "key", "task")
     return dealt.mapInArrow(_join_cells, "u long, v long").distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) of all nodes with links: alternating large and small stars, each round written out."""
-    edges = saved(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "stars")
-    mark = None
-    for _ in range(max_rounds):
+def _star(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges written out, and their number and a sum of hashes, taken while they are written."""
+    seen = Observation()
+    path = work_path(edges.sparkSession, "stars")
+    edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).write.parquet(path)
+    return edges.sparkSession.read.schema(edges.schema).parquet(path), (seen.get["n"], seen.get["h"])
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of all nodes with links: alternating large and small stars, each round written out, until one changes nothing."""
+    edges, mark = _star(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = spread_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = spread_join(large, least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = saved(small, "stars")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark:
+        before, (edges, mark) = mark, _star(small)
+        if mark == before:
             break
-        mark = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -217,4 +250,3 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     rooted = saved(rooted.join(least, "root", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "simhash-nodes")
     return fps.join(rooted, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
