@@ -30,7 +30,7 @@ from .common import bounded_batches, saved
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Compressed bytes a bucket may hold before it is split, and that an owner task gets.
-BUCKET_BYTES, OWNER_BYTES = 8 << 20, 16 << 20
+BUCKET_BYTES, OWNER_BYTES = 8 << 20, 8 << 20
 #: Bits of the histogram: it has at most 2**20 rows, whatever the input.
 BITS = 20
 #: Classes of up to this many members are resolved where their chain ends.
