@@ -250,7 +250,7 @@ def test_repeated_substrings(wide):
 def test_repeats_with_frequent_minimizers(wide, monkeypatch):
     """Runs cut into windows give the same as runs sorted whole."""
     monkeypatch.setattr(suffix_dedup, "FREQUENT", 3)
-    monkeypatch.setattr(suffix_dedup, "IN_A_BATCH", 2)
+    monkeypatch.setattr(suffix_dedup, "IN_A_TASK", 2)
     short = wide.where("doc_id not in (45, 46, 47)").coalesce(1)
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(short).collect()}
     assert got == brute_repeats([(r[0], r[1]) for r in rows() if r[0] not in (45, 46, 47)])
@@ -280,9 +280,50 @@ def test_repeats_with_odd_ids(spark, empty):
     assert [g[:2] for g in got] == [(False, one), (False, one), (False, one + 1), (True, 0), (True, one)]
     assert sum(g[2] for g in got if not g[0]) in (one, 2 * one)  # whichever of the two texts of id 1 comes first
     assert got[-1][2] == one
+    most = (1 << 63) - 1
+    df = spark.createDataFrame([(None, t), (most, t), (most, "?" + t[:-1])], "doc_id long, text string")
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_dedup.remove_repeats(df.where("length(text) > 0 and substr(text, 1, 1) <> '?'")).collect()}
+    assert got == {(None, one): one, (most, one): 0}
+    assert {r.doc_id for r in suffix_dedup.remove_repeats(df).collect()} == {None, most}
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_equal_runs():
+    r = np.random.default_rng(3)
+    data = r.integers(97, 99, 4000).astype(np.uint8)
+    size = r.integers(8, 40, 900)
+    at = r.integers(0, 3900, 900)
+    raw = data.tobytes()
+    got = suffix_dedup.equal_runs(data, at, size, suffix_dedup.grouped(size))
+    first = {}
+    assert got.tolist() == [first.setdefault(raw[a : a + n], i) for i, (a, n) in enumerate(zip(at.tolist(), size.tolist()))]
+    assert len(first) < 900
+    assert suffix_dedup.equal_runs(data, at[:0], size[:0], size[:0]).tolist() == []
+
+
+def test_seldom_minimizers_of_many_tasks_are_estimated(monkeypatch):
+    """One that every task has three times is found by its sampled sum."""
+    text = "".join(random.Random(1).choices("abcdefgh ", k=400))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["x"]), pa.array([text])], ["pos", "sha", "text"])
+    true = np.unique(suffix_dedup.runs_of(*common.text_bytes(batch.column(2)))[4])
+    total = {}
+    for task in range(3000):
+        monkeypatch.setattr(suffix_dedup.TaskContext, "get", staticmethod(lambda t=task: type("T", (), {"partitionId": lambda self: t})()))
+        for out in suffix_dedup._count_in_tasks(100, 32, 8, 16)([batch, batch, batch]):
+            for h, n in zip(out.column(0).to_numpy().view(np.uint64).tolist(), out.column(1).to_pylist()):
+                total[h] = total.get(h, 0) + n
+    assert set(total) == set(true.tolist()) and all(0.6 * 9000 < n < 1.4 * 9000 for n in total.values())
+
+
+def test_repeats_across_steps(wide, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_STEP", 64)
+    runs = suffix_dedup.runs_of(*common.text_bytes(pa.array(TEXTS[:6] + ["", LONG[:2000]])))
+    monkeypatch.setattr(suffix_dedup, "_STEP", 1 << 22)
+    whole = suffix_dedup.runs_of(*common.text_bytes(pa.array(TEXTS[:6] + ["", LONG[:2000]])))
+    windows = lambda x: sorted({(int(r), int(o), int(o) - h, int(g)) for r, o, a, b, g in zip(*x) for h in range(int(b), int(a) + 1)})
+    assert windows(runs) == windows(whole)
+
+
 # language ID
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches, quoted, text_bytes
-from .numeric import HashIndex
+from .numeric import HashIndex, summed
 
 ORDER = 4
 #: The bound of the sample: about so many training rows a language; and of the languages, each a column of every table.
@@ -77,14 +77,6 @@ def gram_counts(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return summed(parts)
 
 
-def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """One sorted table from several of (keys, counts)."""
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
-
-
 class ContextTrees:
     """Frozen trees of all languages: for each order the strings seen, with a code length per language."""
 

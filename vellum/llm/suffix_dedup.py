@@ -7,19 +7,20 @@ The sort goes by most significant digit, and a suffix whose digit nobody shares
   where in the window it stands. Equal windows have equal minimizers at equal places, and neighbouring
   windows share theirs, so one row stands for a run of suffixes (about 1 row for 36 bytes). The rows
   travel as packed arrays. Minimizers that occur once end there.
-* The surviving runs fetch the bytes their windows cover. Runs that are equal byte for byte collapse to the
-  earliest; only groups with different bytes left are radix-sorted on, eight bytes a pass, to full depth.
+* The surviving runs fetch the bytes their windows cover and are sorted by them, eight bytes a pass: all windows of a
+  run that equals an earlier one repeat. What differs is sorted on window by window, to full depth.
 * Groups equal at full depth are exactly the repeated windows; all but the earliest are removed.
 
-A minimizer that very many documents share would fill its bucket, so those are counted first (within batches,
-then in total). Their runs are cut into single windows that go by the hash of their own bytes: the windows
-inside a common passage are equal and shrink to one for each batch, those at its edges differ and spread.
+A minimizer that very many documents share would fill its bucket, so those are counted first: in whole tasks where
+they are frequent, by a sample of (minimizer, task) elsewhere. Their runs are cut into single windows that go by the hash of
+their own bytes: the windows inside a common passage are equal and shrink to one for each batch, those at its edges differ and spread.
 
 Documents that repeat an earlier one byte for byte are found by SHA-256 first and never enter the sort.
 
 Defined cases: a null text is empty; a null id sorts last; rows that repeat id and text are one document,
 whose result each of them gets; of rows with one id and different texts the one with the smaller SHA-256
-comes first. Other columns are not read.
+comes first; very long texts go whole, in steps of _STEP windows; an empty table gives no rows. Other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,18 +30,20 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_ID, bounded_batches, saved, spread_join, text_bytes
-from .numeric import gram_hashes, mix, sliding_min
+from .common import MAX_ID, bounded_batches, saved, spans_to_index, spread_join, text_bytes
+from .numeric import gram_hashes, mix, sliding_min, summed
 
 DEPTH = 100
 GRAM = 32
 #: Text bytes whose runs one bucket sorts; a bucket's arrays take about half of that.
 BUCKET_BYTES = 24 << 20
-#: A minimizer counts as frequent from so many occurrences on, in batches that hold at least so many of it.
-FREQUENT, IN_A_BATCH = 10_000, 8
+#: A minimizer counts as frequent from so many occurrences on. A task reports those it has so often, and one of SAMPLED of
+#: the others with that weight, and sums up to SUMMED of them at a time.
+FREQUENT, IN_A_TASK, SAMPLED, SUMMED = 10_000, 8, 256, 1 << 21
 #: The frequent ones are broadcast; of more than this many, only the most frequent count.
 FREQUENT_AT_MOST = 200_000
 _POSITION = np.uint64((1 << 31) - 1)
@@ -103,12 +106,34 @@ def _pack(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(out)
 
 
-def _count_in_batches(depth: int, gram: int, least: int):
+def _count_in_tasks(depth: int, gram: int, least: int, sampled: int):
+    """(h, n) of frequent minimizers. What a task has seldom is sampled by a hash of minimizer and task, so that one that
+    many tasks have seldom is found too: the sums are its expected count."""
+
     def run(batches):
+        task = TaskContext.get().partitionId() if TaskContext.get() else 0
+        salt = np.uint64(task * 0x9E3779B97F4A7C15 % 2**64)
+        held, size = [], 0
+
+        def out():
+            h, n = summed(held)
+            seldom = n < least
+            lucky = mix(h ^ salt) % np.uint64(sampled) == 0
+            keep = ~seldom | lucky
+            n = np.where(seldom, n * sampled, n)[keep]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n)], ["h", "n"])
+
         for batch in batches:
-            h, n = np.unique(runs_of(*text_bytes(batch.column(2)), depth, gram)[4], return_counts=True)
-            many = n >= least
-            yield pa.RecordBatch.from_arrays([pa.array(h[many].view(np.int64)), pa.array(n[many])], ["h", "n"])
+            held.append(np.unique(runs_of(*text_bytes(batch.column(2)), depth, gram)[4], return_counts=True))
+            size += len(held[-1][0])
+            if size > SUMMED:
+                held[:] = [summed(held)]
+                size = len(held[0][0])
+                if size > SUMMED // 2:
+                    yield out()
+                    size = 0
+        yield out()
 
     return run
 
@@ -199,29 +224,20 @@ def _emit_windows(depth: int, buckets: int):
                 h = np.concatenate([h[rest], (where << 32) | (own & np.uint64(0xFFFFFFFF)).astype(np.int64)])
             size = high - low + depth
             pos, tag = (batch.column(c).to_numpy()[row] for c in ("pos", "tag"))
-            raw = data.tobytes()
             order = np.lexsort((start, tag, pos))  # earliest first
-            begin = (offsets[row] + start)[order]
-            first: dict[tuple, bytes] = {}
-            pieces, lead, follow = [], [], []
-            for i, key, lo, hi, b, s in zip(order.tolist(), h[order].tolist(), low[order].tolist(), high[order].tolist(), begin.tolist(), size[order].tolist(), strict=True):
-                piece = raw[b : b + s]
-                if first.setdefault((key, lo, hi, piece), piece) is piece:
-                    lead.append(i)
-                    pieces.append(piece)
-                else:
-                    follow.append(i)
-            kept = np.array(lead, np.int64)
+            begin = offsets[row] + start
+            same = equal_runs(data, begin[order], size[order], grouped(h[order], low[order], high[order]))
+            lead = first_of(same)
+            kept, gone = order[lead], order[~lead]
             where = h[kept] >> 32
             rank = np.argsort(where, kind="stable")
             out = _pack(where, {"pos": pos[kept], "tag": tag[kept], "start": start[kept].astype(np.int32), "low": low[kept].astype(np.int16), "high": high[kept].astype(np.int16), "h": (h[kept] & 0xFFFFFFFF).astype(np.uint32), "size": size[kept].astype(np.int16)})
             cuts = np.concatenate([[0], np.cumsum(out.column("n").to_numpy())]).tolist()
             squeeze = zstandard.ZstdCompressor(level=3)
-            joined = [squeeze.compress(b"".join([pieces[i] for i in rank[a:b]])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            joined = [squeeze.compress(data[spans_to_index(begin[kept[rank[a:b]]], size[kept[rank[a:b]]])].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             names = [x.split()[0] for x in _WINDOWS.split(", ")]
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(joined, pa.binary())], names)
-            if follow:
-                gone = np.array(follow, np.int64)
+            if len(gone):
                 spans = {"pos": pos[gone], "tag": tag[gone], "start": start[gone].astype(np.int32), "size": size[gone].astype(np.int16)}
                 extra = _pack(-1 - pos[gone] % buckets, spans)
                 blank = pa.nulls(extra.num_rows, pa.binary())
@@ -237,10 +253,53 @@ def _ranks(group: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, np.cumsum(np.concatenate([[0], (g[1:] != g[:-1]) | (d[1:] != d[:-1])]))
 
 
+def _digits(data: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place on, as a digit."""
+    return np.ndarray((max(0, len(data) - 7),), ">u8", data.tobytes(), strides=(1,)) if len(data) >= 8 else np.zeros(0, ">u8")
+
+
+def grouped(*columns: np.ndarray) -> np.ndarray:
+    """A number for each distinct row of the columns."""
+    order = np.lexsort(columns)
+    new = np.concatenate([[False], np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])]) if len(order) else np.zeros(0, bool)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def first_of(number: np.ndarray) -> np.ndarray:
+    """Whether each row is the first with its number."""
+    out = np.zeros(len(number), bool)
+    out[np.unique(number, return_index=True)[1]] = True
+    return out
+
+
+def equal_runs(data: np.ndarray, at: np.ndarray, size: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """A number for each run (start, size; sizes are alike within a group): equal for runs of one group that are equal byte
+    for byte. Most significant digit first; a run whose digits nobody shares leaves."""
+    out = np.arange(len(at))
+    alive, wide = np.arange(len(at)), _digits(data)
+    digit = 0
+    while len(alive):
+        ends = digit + 8 >= size[alive]  # the last digit of these
+        order, number = _ranks(group, wide[at[alive] + np.minimum(digit, size[alive] - 8)].astype(np.uint64))
+        many = np.bincount(number)[number] > 1
+        alive, number, ends = alive[order], number, ends[order]
+        done = many & ends
+        if done.any():
+            who, label = alive[done], number[done]
+            heads = np.concatenate([[True], label[1:] != label[:-1]])
+            least = np.minimum.reduceat(who, np.flatnonzero(heads))
+            out[who] = least[np.cumsum(heads) - 1]
+        on = many & ~ends
+        alive, group = alive[on], number[on]
+        digit += 8
+    return out
+
+
 def repeated_windows(data: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices of windows (starts `at` in data) that equal another of their group through depth, and group numbers."""
-    alive = np.arange(len(at))
-    wide = np.ndarray((max(0, len(data) - 7),), ">u8", data.tobytes(), strides=(1,)) if len(data) >= 8 else np.zeros(0, ">u8")
+    alive, wide = np.arange(len(at)), _digits(data)
     for digit in [*range(0, depth - 7, 8), depth - 8]:
         if not len(alive):
             break
@@ -260,18 +319,12 @@ def _refine(depth: int):
                 continue
             start, h, low, high, size = (_unpack(rows, c).astype(np.int64) for c in ("start", "h", "low", "high", "size"))
             expand = zstandard.ZstdDecompressor()
-            joined = b"".join(expand.decompress(x) for x in rows.column("bytes").to_pylist())
+            joined = np.frombuffer(b"".join(expand.decompress(x) for x in rows.column("bytes").to_pylist()), np.uint8)
             begin = np.cumsum(size) - size
             order = np.lexsort((start, tag, pos))  # earliest first
-            # equal runs collapse to the earliest: every window of a later one is a repeat
-            first: dict[tuple, int] = {}
-            lead, follow = [], []
-            for i, key, lo, hi, b, s in zip(order.tolist(), h[order].tolist(), low[order].tolist(), high[order].tolist(), begin[order].tolist(), size[order].tolist(), strict=True):
-                if first.setdefault((key, lo, hi, joined[b : b + s]), i) == i:
-                    lead.append(i)
-                else:
-                    follow.append(i)
-            follow, lead = np.array(follow, np.int64), np.array(lead, np.int64)
+            # runs equal to an earlier one: every window of theirs is a repeat
+            same = equal_runs(joined, begin[order], size[order], grouped(h[order], low[order], high[order]))
+            follow, lead = order[~first_of(same)], order[first_of(same)]
             _, number, many = np.unique(h[lead], return_inverse=True, return_counts=True)
             lead, number = lead[many[number] > 1], number[many[number] > 1]
             # lead is in order of position, so a window's index in it is its rank
@@ -279,7 +332,7 @@ def _refine(depth: int):
             owner = np.repeat(np.arange(len(lead)), count)
             shift = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             place = high[lead][owner] - shift  # bytes before the minimizer
-            alive, group = repeated_windows(np.frombuffer(joined, np.uint8), begin[lead][owner] + shift, number[owner] * (depth + 1) + place, depth)
+            alive, group = repeated_windows(joined, begin[lead][owner] + shift, number[owner] * (depth + 1) + place, depth)
             rank = np.lexsort((shift[alive] + start[lead][owner[alive]], tag[lead][owner[alive]], pos[lead][owner[alive]], group))
             alive, group = alive[rank], group[rank]
             again = alive[np.concatenate([[False], group[1:] == group[:-1]])] if len(alive) else alive
@@ -349,24 +402,26 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     pos = F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_ID))
     # no column may be null: a plan that filters nulls would not share the exchange of texts below
-    base = docs.select(pos.alias("pos"), text.alias("text"), F.sha2(text, 256).alias("sha"))
-    meta = saved(base.select("pos", "sha", F.octet_length("text").alias("size")), "repeat-meta")
+    none = F.col(id_col).isNull()
+    base = docs.select(pos.alias("pos"), none.alias("none"), text.alias("text"), F.sha2(text, 256).alias("sha"))
+    meta = saved(base.select("pos", "none", "sha", F.octet_length("text").alias("size")), "repeat-meta")
     total = meta.agg(F.sum("size")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, 16, int(np.ceil(total / BUCKET_BYTES)))
 
-    # a tag tells texts of one id apart, if any id has several
-    several = meta.groupBy("pos").agg(F.count_distinct("sha").alias("n")).where("n > 1").limit(1).count()
+    # a tag tells texts of one place apart, if any has several; rows without an id come last
+    several = meta.groupBy("pos").agg(F.count_distinct("none", "sha").alias("n")).where("n > 1").limit(1).count()
     keys = ["pos", "tag"] if several else ["pos"]
-    told = [F.coalesce(F.conv(F.substring("sha", 1, 14), 16, 10).cast("long"), F.lit(0)).alias("tag")] if several else []
+    told = [(F.conv(F.substring("sha", 1, 14), 16, 10).cast("long") + F.when(F.col("none"), 1 << 60).otherwise(0)).alias("tag")] if several else []
+    told = [F.coalesce(t, F.lit(0)).alias("tag") for t in told]
     tag = F.col("tag") if several else F.lit(0).cast("long").alias("tag")
-    firsts = meta.groupBy("sha").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).where("first < last").select("sha", "first")
-    later = saved(spread_join(meta, firsts, "sha").where("pos > first").select("pos", *told).distinct().withColumn("later", F.lit(True)), "repeat-later")
+    firsts = meta.groupBy("sha").agg(F.min(F.struct("pos", "none")).alias("first"), F.max(F.struct("pos", "none")).alias("last")).where("first < last").select("sha", "first")
+    later = saved(spread_join(meta, firsts, "sha").where(F.struct("pos", "none") > F.col("first")).select("pos", *told).distinct().withColumn("later", F.lit(True)), "repeat-later")
     # the one exchange of texts: each later use of `dealt` reuses it
-    dealt = base.select("pos", *told, "text").repartition(parts, *keys).join(later, keys, "left")
+    dealt = base.select("pos", "none", *told, "text").repartition(parts, *keys).join(later, keys, "left")
     fresh = dealt.where("later is null").select("pos", tag, "text")
     scanned = base.select("pos", "sha", "text")  # counted where the texts are read, before their exchange
-    often = scanned.mapInArrow(_count_in_batches(depth, gram, IN_A_BATCH), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    often = scanned.mapInArrow(_count_in_tasks(depth, gram, IN_A_TASK, SAMPLED), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     frequent = np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "h").limit(FREQUENT_AT_MOST).select("h").collect()], np.int64).view(np.uint64))
     runs = fresh.mapInArrow(_emit_runs(depth, gram, buckets, frequent), _RUNS)
     live = runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_minimizers, _LIVE)
@@ -375,5 +430,5 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     covers = windows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_refine(depth), _COVER)
     covers = covers.groupBy(*keys).agg(F.collect_list("covers").alias("covers"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text binary" * with_text
-    doc_id = F.when(F.col("pos") != MAX_ID, F.col("pos")).alias("doc_id")
+    doc_id = F.when(~F.col("none"), F.col("pos")).alias("doc_id")
     return dealt.join(covers, keys, "left").select(doc_id, "text", "covers", "later").mapInArrow(_results(depth, with_text), schema)
