@@ -454,43 +454,76 @@ def test_decontamination_equals_brute_force(spark, empty):
             parts += [" ".join(w), text(r.randint(0, 90))]
         data.append((i, " ".join(parts)))
     data += [(900, None), (901, ""), (902, items[0][1]), (902, items[0][1]), (903, "SOLO!")]
-    index = decontam.Index([x for x in items if x[0] is not None and x[1] is not None])
-    want = set()
-    for i, t in data:
-        w = decontam.words_of(t)
-        starts = [s for s in range(0, len(w), index.stride) if s == 0 or s + 2 * index.stride < len(w)]
-        for item in index.items:
-            for s in starts:
-                p = w[s : s + 3 * index.stride]
-                have, n = set(p), min(5, len(item.words))
-                whole = len(item.shingles & {tuple(p[k : k + n]) for k in range(len(p) - n + 1)}) / len(item.shingles)
-                if whole >= 0.8 and len(item.question & have) >= 0.8 * len(item.question) and len(item.answer & have) >= 0.8 * len(item.answer):
-                    want.add((i, item.item_id))
+    want = leaks_by_hand(items, data)
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("leaks", F.lit("x"))
-    got = {(x.doc_id, x.item_id) for x in decontam.leaked_pairs(df, decontam.build_index(benchmark)).collect()}
-    assert got == want and len(want) > 60 and (903, 62) in want
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("LEAKS", F.lit("x"))
+    for block_items in (decontam.BLOCK_ITEMS, 12):
+        index = decontam.build_index(benchmark, block_items=block_items)
+        assert (len(index) > 1) == (block_items < 60)
+        got = {(x.doc_id, x.item_id) for x in decontam.leaked_pairs(df, index).collect()}
+        assert got == want and len(want) > 60 and (903, 62) in want
+    assert decontam.with_leaks(df, index).columns == ["doc_id", "text", "leaks"]
     assert decontam.leaked_pairs(empty, index).count() == 0
     assert decontam.leaked_pairs(df, decontam.build_index(benchmark.limit(0))).count() == 0
 
 
+def leaks_by_hand(items, data):
+    """Pairs of which some passage, of any place the operator may cut, has the overlaps."""
+    want = set()
+    for item_id, text in items:
+        if item_id is None or not (parts := decontam.parted(text or ""))[0]:
+            continue
+        words, question, answer = parts
+        longest = decontam.SHORT
+        while longest < len(words):
+            longest *= 2
+        stride, n = longest // 2, min(5, len(words))
+        shingles = {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+        for i, t in data:
+            w = decontam.words_of(t)
+            for s in (s for s in range(0, len(w), stride) if s == 0 or s + 2 * stride < len(w)):
+                p = w[s : s + 3 * stride]
+                have = set(p)
+                whole = len(shingles & {tuple(p[k : k + n]) for k in range(len(p) - n + 1)}) / len(shingles)
+                if whole >= 0.8 and all(len(set(x) & have) >= 0.8 * len(set(x)) for x in (question, answer)):
+                    want.add((i, item_id))
+    return want
+
+
+def test_very_long_items_do_not_widen_the_others_passages():
+    """Items of 8,000 and 2,000 words beside short ones: found, and in the time that short ones take."""
+    import time
+
+    r = random.Random(9)
+    text = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    items = [(i, f"{text(20)}. {text(5)}.") for i in range(2000)] + [(5000, text(8000)), (5001, text(2000))]
+    index = decontam.Index(items)
+    docs = [text(5000) for _ in range(20)] + [f"{text(900)} {items[2000][1]} {text(700)}", f"{items[2001][1]} {items[3][1]}", items[7][1]]
+    began = time.perf_counter()
+    got = decontam.find_leaks(index, pa.array(docs))
+    assert time.perf_counter() - began < 30
+    assert [[x["item_id"] for x in leaks] for leaks in got] == [[]] * 20 + [[5000], [3, 5001], [7]]
+
+
 def test_retrieval_equals_exhaustive_scoring():
     r = random.Random(4)
     items = [(i, " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") * 2 for _ in range(r.randint(3, 20)))) for i in range(70)]
-    index = decontam.Index(items, block=4)
-    terms = np.array([r.randrange(len(index.vocabulary)) for _ in range(400)])
-    segment = np.sort(np.array([r.randrange(40) for _ in range(400)]))
     for threshold in (0.3, 0.7):
         index = decontam.Index(items, block=4, threshold=threshold)
-        p, j, s = index.retrieve(terms, segment, np.array([25, 15]))
-        want = set()
+        postings = index.classes[0]
+        terms = np.array([r.randrange(len(index.vocabulary)) for _ in range(400)])
+        segment = np.sort(np.array([r.randrange(40) for _ in range(400)]))
+        p, j, s = postings.retrieve(terms, segment, np.array([25, 15]))
+        want = {}
         for a in [*range(23), *range(25, 38)]:
-            mine = set(terms[(segment >= a) & (segment < a + 3)].tolist())
-            scores = np.zeros(len(index.items))
+            mine = sorted(set(terms[(segment >= a) & (segment < a + 3)].tolist()))
+            scores = np.zeros(len(postings.items))
             for t in mine:
-                np.add.at(scores, index.item[index.at[t] : index.at[t + 1]], index.weight[index.at[t] : index.at[t + 1]])
-            want |= {(a, int(k)) for k in np.flatnonzero(scores >= threshold - 1e-9)}
-        assert set(zip(p.tolist(), j.tolist())) == want and want
+                np.add.at(scores, postings.item[postings.at[t] : postings.at[t + 1]], postings.weight[postings.at[t] : postings.at[t + 1]])
+            hits = {(a, int(k)): scores[k] for k in np.flatnonzero(scores >= threshold - 1e-9)}
+            want |= hits
+            assert [x for x, _ in postings.walk(mine)] == [k for _, k in hits]
+        assert dict(zip(zip(p.tolist(), j.tolist()), s.tolist())) == pytest.approx(want) and want
 
 
 # toxicity
@@ -780,9 +813,9 @@ def test_pipeline_stages_equal_brute_force(spark, tmp_path):
     fps = np.array([simhash.fingerprint((texts[i] or "").encode()) for i in ids], np.uint64)
     three = corpus_pipeline.drop_near_copies(spark, docs, SF)
     assert three.columns == docs.columns and sorted(r.doc_id for r in three.collect()) == sorted({ids[j] for j in brute_components(fps)})
-    items = [decontam.make_item(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    items = [decontam.words_of(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     joined = {i: f" {' '.join(decontam.words_of(t))} " for i, t in texts.items()}
-    leaked = {i for i, t in joined.items() if any(f" {' '.join(x.words)} " in t for x in items)}
+    leaked = {i for i, t in joined.items() if any(f" {' '.join(x)} " in t for x in items)}
     four = corpus_pipeline.decontaminate(spark, docs, SF)
     assert four.columns == docs.columns and leaked and leaked == set(texts) - {r.doc_id for r in four.collect()}
     five = corpus_pipeline.mix(spark, docs, SF)

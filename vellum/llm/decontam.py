@@ -1,20 +1,24 @@
-"""Benchmark decontamination: BM25 over test items with block-max pruning, then question and answer overlap.
+"""Benchmark decontamination: BM25 over test items with block-max WAND, then question and answer overlap.
 
-The index holds the benchmark only (a stated, bounded query set; MAX_ITEMS), as normalised impacts: a
-term's BM25 weight in an item divided by the score of the item's own text, so a passage with the whole item
-scores 1. Every document is cut into overlapping passages such that any item's text lies inside one, and
-every passage is a query. All items at or above `threshold` are retrieved, in three steps that only drop
-what cannot reach it. Each item's commonest terms, short of the threshold together, are set aside: what they
-may add is known. Over the other terms come the passage's sum of term maxima, then its sum of block maxima for
-each block of items, then exact scores, of all terms, inside the blocks left.
+The index holds the benchmark only, as normalised impacts: a term's BM25 weight in an item divided by the score of the
+item's own text, so a passage with the whole item scores 1. Items are indexed by classes of length; for each class
+every document is cut into overlapping passages such that any item of the class lies inside one, and every passage is
+a query. All items at or above `threshold` are retrieved.
+
+* Two bounds over all passages of a batch at once drop those without a pivot. Each item's commonest terms, short of the
+  threshold together, are set aside: what they may add is known. Over the other terms come the passage's sum of term
+  maxima, then its sum of block maxima for each block of items.
+* The passages left are walked by block-max WAND, item at a time: cursors in item order, the pivot where term maxima
+  reach the threshold, the block maxima at the pivot, then a score of the item or a skip past the block.
 
 A retrieved pair is a leak if the passage has at least `overlap` of the item's 5-word shingles (an item of
 fewer words: the whole sequence) and of the distinct words of its question and of its answer. The answer
 is the item's last sentence; if there is only one, the last quarter of its words.
 
-Defined cases: null and empty texts and items have no words and match nothing; repeated items are reported
-each; ties are all reported; other columns pass through, and one named as the output column gives way to it.
-One narrow pass, no shuffle.
+A benchmark of over `block_items` items is indexed in blocks, each broadcast for a pass of its own; BM25 statistics are
+those of the block. Defined cases: null and empty texts and items have no words and match nothing; repeated items are reported
+each; ties are all reported; texts and items of any length go whole; other columns pass through, and one named as the
+output column, in whatever case, gives way to it. One narrow pass a block, no shuffle.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, quoted, spans_to_index, text_bytes
+from .common import bounded_batches, quoted, saved, spans_to_index, text_bytes
 
 K1, B = 1.2, 0.75
 SHINGLE = 5
@@ -38,8 +42,10 @@ THRESHOLD = 0.5
 BLOCK = 16
 #: Share of the threshold that an item's commonest terms may make up without being looked up first.
 COMMON = 0.7
-#: The index is broadcast; more items than this are refused.
-MAX_ITEMS = 200_000
+#: Items that one index has at most, as it is broadcast, and passes that are piped one into the next.
+BLOCK_ITEMS, PIPED = 50_000, 4
+#: Most words of the items of the first class; each further class has twice as many.
+SHORT = 32
 
 LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("overlap", T.DoubleType()), T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType())])
 
@@ -73,73 +79,121 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass
 class Item:
-    item_id: int
-    words: list[str]
-    shingles: frozenset
-    question: frozenset
-    answer: frozenset
+    """Words are numbers in the index's vocabulary."""
 
-
-def shingles_of(words: list[str]) -> frozenset:
-    if not words:
-        return frozenset()
-    return frozenset(tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1)))
+    item_id: int
+    words: np.ndarray
+    question: np.ndarray
+    answer: np.ndarray
 
 
-def make_item(item_id: int, text: str) -> Item:
+def parted(text: str) -> tuple[list[str], list[str], list[str]]:
+    """Words of an item, of its question and of its answer."""
     words = words_of(text)
     sentences = [w for s in re.split(r"(?<=[.!?])\s+", text.strip()) if (w := words_of(s))]
     answer = sentences[-1] if len(sentences) > 1 else words[-max(1, len(words) // 4) :]
-    question = words[: len(words) - len(answer)] or answer
-    return Item(item_id, words, shingles_of(words), frozenset(question), frozenset(answer))
+    return words, words[: len(words) - len(answer)] or answer, answer
+
+
+def shingles_of(words: np.ndarray, size: int) -> set[tuple]:
+    return set(zip(*(words[i : len(words) - size + i + 1].tolist() for i in range(size)), strict=True)) if size else set()
 
 
 class Index:
-    """Impact-ordered postings in compressed rows, by item and by block of items."""
+    """Items of a benchmark, or of a block of one, by classes of length over one vocabulary."""
 
     def __init__(self, items: list[tuple[int, str]], block: int = BLOCK, threshold: float = THRESHOLD):
-        self.threshold = threshold
-        self.items = [x for i, t in sorted(items) if (x := make_item(i, t)).words]
-        n = len(self.items)
-        vocabulary = sorted({w for x in self.items for w in x.words})
+        texts = [(i, *parts) for i, t in sorted(items) if (parts := parted(t))[0]]
+        vocabulary = sorted({w for _, words, *_ in texts for w in words})
         self.vocabulary = pa.array(vocabulary, pa.string())
-        term_of = {w: i for i, w in enumerate(vocabulary)}
-        lengths = np.array([len(x.words) for x in self.items] or [1], float)
-        self.stride = max(16, int(np.ceil(lengths.max() / 2)))
-        self.block = block
-        rows, cols, tfs = [], [], []
-        for j, x in enumerate(self.items):
-            ids, tf = np.unique([term_of[w] for w in x.words], return_counts=True)
-            rows.append(ids)
-            cols.append(np.full(len(ids), j))
-            tfs.append(tf)
-        term, item, tf = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rows, cols, tfs))
-        df = np.bincount(term, minlength=len(vocabulary))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / lengths.mean())) if n else np.zeros(0)
-        weight /= np.maximum(np.bincount(item, weight, n)[item], 1e-12) if n else 1
+        number = {w: i for i, w in enumerate(vocabulary)}
+        coded = lambda words: np.array([number[w] for w in words], np.int64)
+        self.items = [Item(i, coded(w), np.unique(coded(q)), np.unique(coded(a))) for i, w, q, a in texts]
+        df = np.bincount(np.concatenate([np.unique(x.words) for x in self.items]), minlength=len(vocabulary)) if self.items else np.zeros(0)
+        idf = np.log1p((len(self.items) - df + 0.5) / (df + 0.5))
+        mean = float(np.mean([len(x.words) for x in self.items])) if self.items else 1.0
+        by_class: dict[int, list[Item]] = {}
+        for x in self.items:
+            by_class.setdefault(max(0, int(np.ceil(np.log2(len(x.words) / SHORT)))), []).append(x)
+        self.classes = [Postings(by_class[c], SHORT << c, idf, mean, block, threshold) for c in sorted(by_class)]
+
+
+class Postings:
+    """Impact-ordered postings in compressed rows, by item and by block of items, of items of up to `longest` words."""
+
+    def __init__(self, items: list[Item], longest: int, idf: np.ndarray, mean: float, block: int, threshold: float):
+        self.items, self.threshold, self.block, self.stride = items, threshold, block, longest // 2
+        n, lengths = len(items), np.array([len(x.words) for x in items], float)
+        parts = [np.unique(x.words, return_counts=True) for x in items]
+        term, tf = (np.concatenate(v) for v in zip(*parts, strict=True))
+        item = np.repeat(np.arange(n), [len(t) for t, _ in parts])
+        df = np.bincount(term, minlength=len(idf))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / mean))
+        weight /= np.maximum(np.bincount(item, weight, n)[item], 1e-12)
         order = np.lexsort((item, term))
         self.item, self.weight = item[order], weight[order]
         self.at = np.concatenate([[0], np.cumsum(df)])
         # each item's terms from the commonest on; those within the share are set aside
-        by_item = np.lexsort((term, -df[term], item)) if n else order
+        by_item = np.lexsort((term, -df[term], item))
         running = np.cumsum(weight[by_item])
-        start = np.concatenate([[0], np.flatnonzero(item[by_item][1:] != item[by_item][:-1]) + 1]) if n else np.zeros(0, np.int64)
-        running -= np.repeat((running - weight[by_item])[start], np.diff(np.concatenate([start, [len(item)]]))) if n else 0
+        start = np.concatenate([[0], np.flatnonzero(item[by_item][1:] != item[by_item][:-1]) + 1])
+        running -= np.repeat((running - weight[by_item])[start], np.diff(np.concatenate([start, [len(item)]])))
         aside = np.zeros(len(item), bool)
         aside[by_item] = running <= COMMON * threshold
         blocks = n // block + 1
-        rest = np.bincount(item[aside], weight[aside], n) if n else np.zeros(0)
+        rest = np.bincount(item[aside], weight[aside], n)
         self.rest = np.zeros(blocks)
         np.maximum.at(self.rest, np.arange(n) // block, rest)
         looked = order[~aside[order]]
-        key = term[looked] * blocks + item[looked] // block
+        self.block_of, self.block_max, self.block_at, self.top = self._maxima(term[looked], item[looked] // block, weight[looked], blocks, len(idf))
+        # the same over all terms, for the walk
+        where, self.bounds, _, self.tops = self._maxima(term[order], item[order] // block, weight[order], blocks, len(idf))
+        self.bound_keys = np.unique(term[order] * blocks + item[order] // block)
+
+    @staticmethod
+    def _maxima(term: np.ndarray, block: np.ndarray, weight: np.ndarray, blocks: int, terms: int) -> tuple[np.ndarray, ...]:
+        """Blocks and maxima by term, where each term's begin, and term maxima; from postings by term and item."""
+        key = term * blocks + block
         heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        self.block_of = item[looked][heads] // block
-        self.block_max = np.maximum.reduceat(weight[looked], heads) if len(key) else np.zeros(0)
-        self.block_at = np.concatenate([[0], np.cumsum(np.bincount(term[looked][heads], minlength=len(vocabulary)))])
-        self.top = np.zeros(len(vocabulary))
-        np.maximum.at(self.top, term[looked], weight[looked])
+        most = np.maximum.reduceat(weight, heads) if len(key) else np.zeros(0)
+        top = np.zeros(terms)
+        np.maximum.at(top, term, weight)
+        return block[heads], most, np.concatenate([[0], np.cumsum(np.bincount(term[heads], minlength=terms))]), top
+
+    def walk(self, terms: list[int]) -> list[tuple[int, float]]:
+        """(item, score) at or above the threshold of a passage with these distinct terms: block-max WAND."""
+        least, blocks, found = self.threshold - 1e-9, len(self.rest), []
+        cursors = [[int(self.item[lo]), t, lo, hi] for t in terms if (lo := int(self.at[t])) < (hi := int(self.at[t + 1]))]
+        while cursors:
+            cursors.sort()
+            bound, pivot = 0.0, -1
+            for k, c in enumerate(cursors):
+                bound += self.tops[c[1]]
+                if bound >= least:
+                    pivot = k
+                    break
+            if pivot < 0:
+                break
+            at = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == at:
+                pivot += 1
+            block = at // self.block
+            place = self.bound_keys.searchsorted([c[1] * blocks + block for c in cursors[: pivot + 1]])
+            known = [p < len(self.bound_keys) and self.bound_keys[p] == c[1] * blocks + block for p, c in zip(place, cursors, strict=False)]
+            if sum(self.bounds[p] for p, k in zip(place, known, strict=True) if k) < least:
+                target = max(at + 1, min([(block + 1) * self.block, *(c[0] for c in cursors[pivot + 1 : pivot + 2])]))
+            elif cursors[0][0] < at:
+                target = at
+            else:
+                score = float(sum(self.weight[c[2]] for c in cursors[: pivot + 1]))
+                if score >= least:
+                    found.append((at, score))
+                target = at + 1
+            for c in cursors[: pivot + 1]:
+                c[2] += int(self.item[c[2] : c[3]].searchsorted(target))
+                c[0] = int(self.item[c[2]]) if c[2] < c[3] else -1
+            cursors = [c for c in cursors if c[0] >= 0]
+        return found
 
     def retrieve(self, terms: np.ndarray, segment: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passage, item, score) at or above the threshold. terms and their segment; segments: number of those of each
@@ -170,21 +224,13 @@ class Index:
         key, inverse = np.unique(np.repeat(owner, n) * blocks + self.block_of[spans_to_index(self.block_at[term], n)], return_inverse=True)
         upper = np.bincount(inverse, self.block_max[spans_to_index(self.block_at[term], n)], len(key)) + self.rest[key % blocks]
         key = key[upper >= threshold - 1e-9]
-        # exact scores in the blocks left, of all terms of their passages
-        passage = np.unique(key // blocks)
-        begin = np.searchsorted(segment, passage)
-        size = np.searchsorted(segment, passage + np.minimum(3, left[passage])) - begin
-        pair = np.unique(np.repeat(passage, size) * width + terms[spans_to_index(begin, size)])
-        owner, term = pair // width, pair % width
-        n = self.at[term + 1] - self.at[term]
-        place, owner = spans_to_index(self.at[term], n), np.repeat(owner, n)
-        inside = np.isin(owner * blocks + self.item[place] // self.block, key)
-        owner, place = owner[inside], place[inside]
-        many = len(self.items) + 1
-        pair, inverse = np.unique(owner * many + self.item[place], return_inverse=True)
-        score = np.bincount(inverse, self.weight[place], len(pair))
-        good = score >= threshold - 1e-9
-        return pair[good] // many, pair[good] % many, score[good]
+        # the passages left, of all terms
+        out: list[tuple[int, int, float]] = []
+        for passage in np.unique(key // blocks).tolist():
+            begin, end = np.searchsorted(segment, [passage, passage + min(3, int(left[passage]))])
+            out += [(passage, j, score) for j, score in self.walk(np.unique(terms[begin:end]).tolist())]
+        passages, items, scores = zip(*out, strict=True) if out else ((), (), ())
+        return np.array(passages, np.int64), np.array(items, np.int64), np.array(scores, float)
 
 
 def find_leaks(index: Index, texts: pa.Array, overlap: float = OVERLAP) -> list[list[dict]]:
@@ -193,59 +239,77 @@ def find_leaks(index: Index, texts: pa.Array, overlap: float = OVERLAP) -> list[
     if not index.items or not len(texts):
         return out
     words, sizes = words_in(texts)
-    segments = -(-sizes // index.stride)
-    base, first = np.cumsum(segments) - segments, np.cumsum(sizes) - sizes
-    found = pc.fill_null(pc.index_in(words, value_set=index.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    place = np.arange(len(found)) - np.repeat(first, sizes)
-    segment = np.repeat(base, sizes) + place // index.stride
-    known = found >= 0
-    passages, items, scores = index.retrieve(found[known], segment[known], segments)
-    documents = np.searchsorted(base + segments, passages, "right")
-    best: dict[tuple[int, int], dict] = {}
-    for d, p, j, score in zip(documents.tolist(), passages.tolist(), items.tolist(), scores.tolist(), strict=True):
-        item = index.items[j]
-        start = (p - int(base[d])) * index.stride
-        passage = words.slice(int(first[d]) + start, min(3 * index.stride, int(sizes[d]) - start)).to_pylist()
-        have = set(passage)
-        part = lambda s: len(s & have) / len(s)
-        question, answer = part(item.question), part(item.answer)
-        if question < overlap or answer < overlap:
-            continue
-        n = min(SHINGLE, len(item.words))
-        whole = len(item.shingles & {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)}) / len(item.shingles)
-        if whole >= overlap and whole > best.get((d, j), {"overlap": -1})["overlap"]:
-            best[d, j] = {"item_id": item.item_id, "score": score, "overlap": whole, "question_overlap": question, "answer_overlap": answer}
-    for (d, _), leak in sorted(best.items()):
+    first = np.cumsum(sizes) - sizes
+    coded = pc.fill_null(pc.index_in(words, value_set=index.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    place, known = np.arange(len(coded)) - np.repeat(first, sizes), coded >= 0
+    best: dict[tuple[int, int, int], dict] = {}
+    for c, postings in enumerate(index.classes):
+        stride = postings.stride
+        segments = -(-sizes // stride)
+        base = np.cumsum(segments) - segments
+        segment = np.repeat(base, sizes) + place // stride
+        passages, items, scores = postings.retrieve(coded[known], segment[known], segments)
+        documents = np.searchsorted(base + segments, passages, "right")
+        for d, p, j, score in zip(documents.tolist(), passages.tolist(), items.tolist(), scores.tolist(), strict=True):
+            item = postings.items[j]
+            start = (p - int(base[d])) * stride
+            passage = coded[int(first[d]) + start : int(first[d]) + min(start + 3 * stride, int(sizes[d]))]
+            question, answer = (float(np.isin(x, passage).mean()) for x in (item.question, item.answer))
+            if question < overlap or answer < overlap:
+                continue
+            n = min(SHINGLE, len(item.words))
+            mine = shingles_of(item.words, n)
+            whole = len(mine & shingles_of(passage, n)) / len(mine)
+            if whole >= overlap and whole > best.get((d, c, j), {"overlap": -1})["overlap"]:
+                best[d, c, j] = {"item_id": item.item_id, "score": score, "overlap": whole, "question_overlap": question, "answer_overlap": answer}
+    for (d, _, _), leak in sorted(best.items(), key=lambda x: (x[0][0], x[1]["item_id"], x[0])):
         out[d].append(leak)
     return out
 
 
-def build_index(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", max_items: int = MAX_ITEMS, threshold: float = THRESHOLD) -> Index:
-    rows = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"the benchmark has over {max_items} items; index it in blocks of items")
-    return Index([tuple(r) for r in rows], threshold=threshold)
+def build_index(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", block_items: int = BLOCK_ITEMS, threshold: float = THRESHOLD) -> list[Index]:
+    """An index for each block of items; an empty benchmark gives one of none. Blocks are dealt by a hash of the item."""
+    rows = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    blocks = max(1, -(-rows.count() // block_items))
+    mine = lambda b: rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else rows
+    return [Index([tuple(r) for r in mine(b).collect()], threshold=threshold) for b in range(blocks)]
 
 
-def with_leaks(docs: DataFrame, index: Index, *, text_col: str = "text", leaks_col: str = "leaks", overlap: float = OVERLAP) -> DataFrame:
-    """Add the list of leaked items to every row; one pass, no shuffle."""
-    bounded_batches(docs.sparkSession)
-    docs = docs.select([quoted(c) for c in docs.columns if c != leaks_col])
-    place = docs.columns.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by MAX_ITEMS
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
+_LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
+
+
+def _pass(shared, place: int, name: str, overlap: float):
+    """Leaks of one block, added to those of the blocks before, which are in the last column."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 leaks = find_leaks(shared.value, part.column(place), overlap)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaks, kind)], [*part.schema.names, leaks_col])
+                if part.num_columns and part.schema.names[-1] == name:
+                    leaks = [a + b for a, b in zip(part.column(part.num_columns - 1).to_pylist(), leaks, strict=True)]
+                    part = part.select(part.schema.names[:-1])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaks, _LEAKS)], [*part.schema.names, name])
+
+    return run
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(leaks_col, T.ArrayType(LEAK))]))
+
+def with_leaks(docs: DataFrame, index: list[Index], *, text_col: str = "text", leaks_col: str = "leaks", overlap: float = OVERLAP) -> DataFrame:
+    """Add the list of leaked items to every row; one pass a block of items, no shuffle. The rows are written out after
+    every PIPED passes, so that a core has no more than so many indexes at once."""
+    bounded_batches(docs.sparkSession)
+    docs = docs.select([quoted(c) for c in docs.columns if c.lower() != leaks_col.lower()])
+    place = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(leaks_col, T.ArrayType(LEAK))])
+    for k, one in enumerate(index):
+        shared = docs.sparkSession.sparkContext.broadcast(one)  # bounded by BLOCK_ITEMS
+        docs = docs.mapInArrow(_pass(shared, place, leaks_col, overlap), schema)
+        if k % PIPED == PIPED - 1 and k + 1 < len(index):
+            docs = saved(docs, "leaks")
+    return docs
 
 
-def leaked_pairs(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def leaked_pairs(docs: DataFrame, index: list[Index], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document and item that it leaks."""
     marked = with_leaks(docs.select(id_col, text_col), index, text_col=text_col, leaks_col="_leaks")
     return marked.select(id_col, F.explode("_leaks").alias("_leak")).select(id_col, "_leak.*")
