@@ -5,9 +5,9 @@ item's own text, so a passage with the whole item scores 1. Items are indexed by
 every document is cut into overlapping passages such that any item of the class lies inside one, and every passage is
 a query. All items at or above `threshold` are retrieved.
 
-* Two bounds over all passages of a batch at once drop those without a pivot. Each item's commonest terms, short of the
-  threshold together, are set aside: what they may add is known. Over the other terms come the passage's sum of term
-  maxima, then its sum of block maxima for each block of items.
+* Bounds over all passages of a batch at once drop those that no pivot can come of. Each item's commonest terms, short
+  of the threshold together, are set aside: what they may add is known. Over the other terms come the passage's sum of
+  term maxima, then its sum of block maxima for each block of items, and that again over all terms.
 * The passages left are walked by block-max WAND, item at a time: cursors in item order, the pivot where term maxima
   reach the threshold, the block maxima at the pivot, then a score of the item or a skip past the block.
 
@@ -24,6 +24,7 @@ output column, in whatever case, gives way to it. One narrow pass a block, no sh
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -147,8 +148,8 @@ class Postings:
         looked = order[~aside[order]]
         self.block_of, self.block_max, self.block_at, self.top = self._maxima(term[looked], item[looked] // block, weight[looked], blocks, len(idf))
         # the same over all terms, for the walk
-        where, self.bounds, _, self.tops = self._maxima(term[order], item[order] // block, weight[order], blocks, len(idf))
-        self.bound_keys = np.unique(term[order] * blocks + item[order] // block)
+        self.bound_of, self.bounds, self.bounds_at, self.tops = self._maxima(term[order], item[order] // block, weight[order], blocks, len(idf))
+        self.cursors: dict[int, tuple[list[int], list[float], dict[int, float], float]] = {}
 
     @staticmethod
     def _maxima(term: np.ndarray, block: np.ndarray, weight: np.ndarray, blocks: int, terms: int) -> tuple[np.ndarray, ...]:
@@ -160,15 +161,25 @@ class Postings:
         np.maximum.at(top, term, weight)
         return block[heads], most, np.concatenate([[0], np.cumsum(np.bincount(term[heads], minlength=terms))]), top
 
-    def walk(self, terms: list[int]) -> list[tuple[int, float]]:
-        """(item, score) at or above the threshold of a passage with these distinct terms: block-max WAND."""
-        least, blocks, found = self.threshold - 1e-9, len(self.rest), []
-        cursors = [[int(self.item[lo]), t, lo, hi] for t in terms if (lo := int(self.at[t])) < (hi := int(self.at[t + 1]))]
+    def cursor(self, term: int) -> tuple[list[int], list[float], dict[int, float], float]:
+        """Items and weights of a term in item order, its block maxima and its maximum; kept for further passages."""
+        if (known := self.cursors.get(term)) is None:
+            lo, hi, b, e = self.at[term], self.at[term + 1], self.bounds_at[term], self.bounds_at[term + 1]
+            known = self.cursors[term] = self.item[lo:hi].tolist(), self.weight[lo:hi].tolist(), dict(zip(self.bound_of[b:e].tolist(), self.bounds[b:e].tolist(), strict=True)), float(self.tops[term])
+        return known
+
+    def walk(self, terms: list[int], blocks: list[int] | None = None) -> list[tuple[int, float]]:
+        """(item, score) at or above the threshold of a passage with these distinct terms: block-max WAND. blocks: those,
+        in order, that bounds have left; all of them if none are given."""
+        least, found = self.threshold - 1e-9, []
+        blocks = list(range(len(self.rest))) if blocks is None else blocks
+        # current item, place in the list, and the list itself
+        cursors = [[c[0][0], k, 0, c] for k, t in enumerate(terms) if (c := self.cursor(t))[0]]
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                bound += self.tops[c[1]]
+                bound += c[3][3]
                 if bound >= least:
                     pivot = k
                     break
@@ -177,21 +188,26 @@ class Postings:
             at = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == at:
                 pivot += 1
-            block = at // self.block
-            place = self.bound_keys.searchsorted([c[1] * blocks + block for c in cursors[: pivot + 1]])
-            known = [p < len(self.bound_keys) and self.bound_keys[p] == c[1] * blocks + block for p, c in zip(place, cursors, strict=False)]
-            if sum(self.bounds[p] for p, k in zip(place, known, strict=True) if k) < least:
+            block, front = at // self.block, cursors[: pivot + 1]
+            place = bisect_left(blocks, block)
+            if place == len(blocks):
+                break
+            if blocks[place] > block:
+                target = blocks[place] * self.block
+            elif sum(c[3][2].get(block, 0.0) for c in front) < least:
                 target = max(at + 1, min([(block + 1) * self.block, *(c[0] for c in cursors[pivot + 1 : pivot + 2])]))
-            elif cursors[0][0] < at:
+            elif front[0][0] < at:
                 target = at
             else:
-                score = float(sum(self.weight[c[2]] for c in cursors[: pivot + 1]))
+                score = sum(c[3][1][c[2]] for c in front)
                 if score >= least:
                     found.append((at, score))
                 target = at + 1
-            for c in cursors[: pivot + 1]:
-                c[2] += int(self.item[c[2] : c[3]].searchsorted(target))
-                c[0] = int(self.item[c[2]]) if c[2] < c[3] else -1
+            for c in cursors if blocks[place] > block else front:
+                if c[0] < target:
+                    items = c[3][0]
+                    c[2] = bisect_left(items, target, c[2])
+                    c[0] = items[c[2]] if c[2] < len(items) else -1
             cursors = [c for c in cursors if c[0] >= 0]
         return found
 
@@ -224,11 +240,22 @@ class Postings:
         key, inverse = np.unique(np.repeat(owner, n) * blocks + self.block_of[spans_to_index(self.block_at[term], n)], return_inverse=True)
         upper = np.bincount(inverse, self.block_max[spans_to_index(self.block_at[term], n)], len(key)) + self.rest[key % blocks]
         key = key[upper >= threshold - 1e-9]
-        # the passages left, of all terms
+        # the same with all terms of the passages left, nothing set aside
+        passage = np.unique(key // blocks)
+        begin = np.searchsorted(segment, passage)
+        size = np.searchsorted(segment, passage + np.minimum(3, left[passage])) - begin
+        pair = np.unique(np.repeat(passage, size) * width + terms[spans_to_index(begin, size)])
+        owner, term = pair // width, pair % width
+        n = self.bounds_at[term + 1] - self.bounds_at[term]
+        place, owners = spans_to_index(self.bounds_at[term], n), np.repeat(owner, n)
+        inside = np.isin(owners * blocks + self.bound_of[place], key)
+        pair, inverse = np.unique((owners * blocks + self.bound_of[place])[inside], return_inverse=True)
+        pair = pair[np.bincount(inverse, self.bounds[place[inside]], len(pair)) >= threshold - 1e-9]
+        passage, heads = np.unique(pair // blocks, return_index=True)
+        left_blocks = np.split(pair % blocks, heads[1:])
         out: list[tuple[int, int, float]] = []
-        for passage in np.unique(key // blocks).tolist():
-            begin, end = np.searchsorted(segment, [passage, passage + min(3, int(left[passage]))])
-            out += [(passage, j, score) for j, score in self.walk(np.unique(terms[begin:end]).tolist())]
+        for p, mine, a, b in zip(passage.tolist(), left_blocks, np.searchsorted(owner, passage).tolist(), np.searchsorted(owner, passage + 1).tolist(), strict=False):
+            out += [(p, j, score) for j, score in self.walk(term[a:b].tolist(), mine.tolist())]
         passages, items, scores = zip(*out, strict=True) if out else ((), (), ())
         return np.array(passages, np.int64), np.array(items, np.int64), np.array(scores, float)
 
