@@ -537,7 +537,7 @@ def toxic_model(spark):
 
 @pytest.mark.parametrize(
     ("written", "meant"),
-    [("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("idiooooot", "idiot"), ("m0r0n", "moron"), ("p@thetic", "pathetic"), ("w0rthl3ss", "worthless"), ("st*pid", "stupid"), ("5tupid", "stupid"), ("$tupid", "stupid"), ("s-c-u-m", "scum"), ("looooser", "loser"), ("house", "house")],
+    [("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("idiooooot", "idiot"), ("m0r0n", "moron"), ("p@thetic", "pathetic"), ("w0rthl3ss", "worthless"), ("st*pid", "stupid"), ("5tupid", "stupid"), ("$tupid", "stupid"), ("s-c-u-m", "scum"), ("looooser", "loser"), ("house", "house"), ("house,", "house")],
 )
 def test_deobfuscation(toxic_model, written, meant):
     assert toxicity.Words(toxic_model.bits, []).of_tokens([written]) == [meant]
@@ -558,6 +558,35 @@ def test_viterbi_is_exhaustive_search(toxic_model):
         assert restorer.restore(token) == best[1]
 
 
+def test_long_tokens_take_linear_time(toxic_model, monkeypatch):
+    """Parts of a path that all live paths share are settled early; the reading stays the same."""
+    import time
+
+    r = random.Random(2)
+    blob = "".join(r.choice("abcdefgh0123456789+/=.ooo") for _ in range(3000))
+    want = toxicity.Restorer(toxic_model.bits).restore(blob)
+    monkeypatch.setattr(toxicity, "_SETTLE", 8)
+    restorer = toxicity.Restorer(toxic_model.bits)
+    assert restorer.restore(blob) == want and restorer.seen == {}
+    monkeypatch.setattr(toxicity, "_SETTLE", 512)
+    began = time.perf_counter()
+    restorer.restore(blob * 20)
+    short = time.perf_counter() - began
+    began = time.perf_counter()
+    restorer.restore(blob * 80)
+    assert time.perf_counter() - began < 10 * short + 1
+
+
+def test_words_that_spaces_cut(toxic_model):
+    words = toxicity.Words(toxic_model.bits, ["idiot", "moron", "idio*", "the", "stupid"])
+    names = lambda text: {["idiot", "moron", "idio*", "the", "stupid"][i] for i in words.features(pa.array([text]))[1]}
+    for text in ("an idi ot here", "id io t", "so 1d i0 t!", "ID 10 T"):
+        assert {"idiot", "idio*"} <= names(text)
+    assert names("mor on, stu pid") == {"moron", "stupid"}
+    assert names("the id of it is on") == {"the"} and names("idi the ot") == {"the"} and names("") == set()
+    assert toxicity.core_of("$#!+") == "$#!+" and toxicity.core_of("!!!!") == "" and toxicity.disguised("1010") and not toxicity.disguised("20%")
+
+
 def test_restored_words_score(toxic_model):
     words = toxicity.Words(toxic_model.bits, toxic_model.vocabulary)
     clean = "The and attion to thanedble the, anea. Eriner thanea it"

@@ -1,10 +1,13 @@
 """Toxicity scoring behind a noisy-channel deobfuscator.
 
 Restoring: a token that looks disguised (leetspeak, separators inside, letters repeated three times or more,
-letters spaced out as tokens of their own) becomes a lattice. Each character may stay, become a letter it
+symbols only) becomes a lattice. Each character may stay, become a letter it
 stands for, or vanish if it is a separator or repeats the letter before; each choice has a channel cost.
 Viterbi finds the path with the least channel cost plus code length under a character 4-gram model. The
 model is counted over every text of the corpus: a dense table over 28 classes, so its size is fixed.
+Words that spaces cut are a lattice too, whose arcs drop a space between neighbouring short tokens: letters spaced out
+one by one, and pieces of up to PIECE letters that together spell a learned word, where the model codes the word with
+the spaces dropped in fewer bits than the pieces.
 
 Scoring: a logistic model over how often, and how densely, the restored text has the learned words and word
 beginnings. They are chosen by association with the label in a bounded sample of labelled training rows
@@ -12,7 +15,8 @@ beginnings. They are chosen by association with the label in a bounded sample of
 
 Defined cases: null texts count as empty and get the model's base rate; without training rows of both
 labels every score is the share of label 1 (0 without rows); of a document's repeated labels the largest
-counts; other columns are not read.
+counts; repeated rows are scored each; texts and tokens of any length go whole, in time that grows with their length
+(a path is settled as soon as all that lead on share it); an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -44,7 +48,11 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou", "#": "aeiou",
 }
 _SEPARATORS = set("._-*~'`,:;/\\^=​­")
-KEEP, STAND, DROP, AGAIN = 0.1, 2.0, 1.0, 1.5
+KEEP, STAND, DROP, AGAIN, UNSPACE = 0.1, 2.0, 1.0, 1.5, 3.0
+#: Letters of a piece of a word that spaces cut, and the least and most pieces' letters that are looked for.
+PIECE, LEAST_CUT, MOST_CUT = 3, 4, 24
+#: Characters after which settled parts of a path are written out, and the longest token whose result is kept.
+_SETTLE, _KEPT = 512, 64
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[97:123] = np.arange(1, 27)
@@ -127,32 +135,75 @@ class Restorer:
         return out
 
     def restore(self, token: str) -> str:
+        """The cheapest reading; of equally cheap ones the path whose steps sort first."""
         if (known := self.seen.get(token)) is not None:
             return known
         bits, n3 = self.bits, CLASSES**3
-        paths = {0: (0.0, "")}  # by the last three classes
+        paths = {0: 0.0}  # cost by the last three classes
+        steps: list[dict[int, tuple[str, int]]] = []  # for each character and state, what was read and the state before
+        out: list[str] = []
         for i in range(len(token)):
-            new: dict[int, tuple[float, str]] = {}
+            new: dict[int, float] = {}
+            step: dict[int, tuple[str, int]] = {}
             for x, cost in self.options(token, i):
                 k = _class_of(x) if x else 0
-                for state, (old, text) in paths.items():
+                for state, old in paths.items():
                     if x:
                         at = state * CLASSES + k
-                        total, to, said = old + cost + bits[at], at % n3, text + x
+                        total, to = old + cost + bits[at], at % n3
                     else:
-                        total, to, said = old + cost, state, text
-                    if to not in new or (total, said) < new[to]:
-                        new[to] = (total, said)
+                        total, to = old + cost, state
+                    if to not in new or total < new[to] or (total == new[to] and (x, state) < step[to]):
+                        new[to], step[to] = total, (x, state)
             paths = new
-        best = min((cost + bits[state * CLASSES], text) for state, (cost, text) in paths.items())[1]
+            steps.append(step)
+            if len(steps) >= 2 * _SETTLE and len(steps) % _SETTLE == 0:
+                # where all live paths come from one state, what is before is settled
+                live, at = set(paths), len(steps)
+                while at and len(live) > 1:
+                    at -= 1
+                    live = {steps[at][s][1] for s in live}
+                if at:
+                    out.append(self._read(steps[:at], live.pop()))
+                    steps = steps[at:]
+        last = min((cost + bits[state * CLASSES], state) for state, cost in paths.items())[1]
+        best = "".join(out) + self._read(steps, last)
         if len(self.seen) > 200_000:
             self.seen.clear()
-        self.seen[token] = best
+        if len(token) <= _KEPT:
+            self.seen[token] = best
         return best
 
+    @staticmethod
+    def _read(steps: list[dict[int, tuple[str, int]]], state: int) -> str:
+        said = []
+        for step in reversed(steps):
+            x, state = step[state]
+            said.append(x)
+        return "".join(reversed(said))
+
+    def unspaced(self, pieces: list[str]) -> bool:
+        """Whether the cheapest path over the lattice of the pieces, whose spaces may each be dropped, drops them all."""
+        paths = {0: (0.0, 0)}  # cost and spaces kept, by the last three classes
+        for n, piece in enumerate(pieces):
+            arcs = [[(0, KEEP, 1), (None, UNSPACE, 0)]] if n else []
+            for options in (*arcs, *([(_class_of(c), KEEP, 0)] for c in piece)):
+                new: dict[int, tuple[float, int]] = {}
+                for state, (old, kept) in paths.items():
+                    for k, cost, more in options:
+                        at = state * CLASSES + (k or 0)
+                        total = (old + cost, kept + more) if k is None else (old + cost + self.bits[at], kept + more)
+                        to = state if k is None else at % CLASSES**3
+                        new[to] = min(new.get(to, total), total)
+                paths = new
+        return min((cost + self.bits[state * CLASSES], kept) for state, (cost, kept) in paths.items())[1] == 0
+
 
 def core_of(token: str) -> str:
-    """The token without punctuation around it; $, @ and + in front may stand for letters."""
+    """The token without punctuation around it; $, @ and + in front may stand for letters, as may all of a token of such
+    characters only."""
+    if len(token) >= LEAST_CUT and not token.isdigit() and all(c in LEET for c in token) and len(set(token)) > 2:
+        return token
     return token.rstrip(_EDGES + "$@").lstrip(_EDGES.replace("+", ""))
 
 
@@ -162,7 +213,8 @@ def names_of(word: str) -> list[str]:
 
 
 def disguised(core: str) -> bool:
-    return bool(_DISGUISED.search(core)) and bool(_ODD.search(core))
+    """Letters with signs of disguise, or no letter but characters that all stand for one (numbers of three digits too)."""
+    return bool(_DISGUISED.search(core)) and (bool(_ODD.search(core)) or (len(core) >= 3 and all(c in LEET for c in core)))
 
 
 class Words:
@@ -171,7 +223,12 @@ class Words:
     def __init__(self, bits: np.ndarray, vocabulary: list[str] | None = None):
         self.restorer = Restorer(bits)
         self.place = None if vocabulary is None else {w: i for i, w in enumerate(vocabulary)}
-        self.longest = max(map(len, vocabulary), default=0) if vocabulary is not None else 0
+        whole = [w for w in vocabulary or () if not w.endswith("*")]
+        self.lengths = sorted({len(w) for w in whole if len(w) >= 3})
+        #: Beginnings of the words that may have been cut.
+        self.cut = {w for w in whole if LEAST_CUT <= len(w) <= MOST_CUT and w.isalpha()}
+        self.begun = {w[:i] for w in self.cut for i in range(len(w) + 1)}
+        self.joins: dict[tuple[str, str], bool] = {}
 
     def of_tokens(self, tokens: list[str]) -> list[str]:
         out = []
@@ -183,8 +240,44 @@ class Words:
     def spaced(self, run: str) -> set[str]:
         """Known words inside letters that were spaced out."""
         text = self.restorer.restore(run) if disguised(run) else run
-        n = self.longest
-        return {w for i in range(len(text)) for j in range(i + 3, min(len(text), i + n) + 1) if (w := text[i:j]) in self.place}
+        return {w for n in self.lengths for i in range(len(text) - n + 1) if (w := text[i : i + n]) in self.place}
+
+    def readings(self, piece: str, begun: set[str]) -> set[str]:
+        """What begins a learned word: each of the beginnings with a reading of the piece after it."""
+        for i in range(len(piece)):
+            begun = {w for x, _ in Restorer.options(piece, i) for y in begun if (w := y + x) in self.begun}
+        return begun
+
+    def _opens(self, a: str, b: str) -> bool:
+        """Whether two pieces may begin a cut word."""
+        if (known := self.joins.get((a, b))) is None:
+            known = bool(self.readings(b, self.readings(a, {""})) - {""})
+            if len(self.joins) > 500_000:
+                self.joins.clear()
+            self.joins[a, b] = known
+        return known
+
+    def mended(self, row: np.ndarray, number: np.ndarray, cores: list[str]) -> list[tuple[int, str]]:
+        """(row, word) of learned words that spaces cut into neighbouring pieces of up to PIECE letters."""
+        short = np.array([0 < len(c) <= PIECE for c in cores], bool)[number] if len(number) else np.zeros(0, bool)
+        at = np.flatnonzero(short[:-1] & short[1:] & (row[:-1] == row[1:])) if len(row) > 1 else np.zeros(0, np.int64)
+        if not len(at) or not self.cut:
+            return []
+        pairs, inverse = np.unique(number[at] * len(cores) + number[at + 1], return_inverse=True)
+        opens = np.array([self._opens(cores[p // len(cores)], cores[p % len(cores)]) for p in pairs.tolist()], bool)
+        found = []
+        for i in at[opens[inverse]].tolist():
+            begun, j = {""}, i
+            ends: dict[str, list[str]] = {"": []}  # the pieces of each beginning, as they are read
+            while begun and j < len(row) and row[j] == row[i] and short[j]:
+                new: dict[str, list[str]] = {}
+                for start in begun:
+                    for w in self.readings(cores[number[j]], {start}) - {start}:
+                        new.setdefault(w, [*ends[start], w[len(start) :]])
+                begun, ends = set(new), new
+                found += [(int(row[i]), w) for w in sorted(begun & self.cut) if len(ends[w]) > 1 and self.restorer.unspaced(ends[w])]
+                j += 1
+        return found
 
     def tokens(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Row and distinct-token number of every token, and the distinct tokens."""
@@ -211,6 +304,8 @@ class Words:
         for a, b in self.runs(row, short[number] if len(number) else short):
             word = "".join(distinct[k].strip(".,;:?\"'") for k in number[a:b])
             found.append(np.array([row[a] * width + i for w in self.spaced(word) for name in names_of(w) if (i := get(name, -1)) >= 0], np.int64))
+        cores = [t if len(t) <= PIECE and all(c in LEET for c in t) else core_of(t) for t in distinct]
+        found.append(np.array([r * width + i for r, w in self.mended(row, number, cores) for name in names_of(w) if (i := get(name, -1)) >= 0], np.int64))
         pairs, count = np.unique(np.concatenate(found), return_counts=True)
         return pairs // width, pairs % width, count, np.bincount(row, minlength=len(array))
 
