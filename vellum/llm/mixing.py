@@ -2,32 +2,40 @@
 
 1. A classifier over the labelled table. The label is the domain column; a document is described by a cell
    of coarse text features. Naive Bayes over the feature bins, and a noise channel for the document's own
-   label (right with probability 1 - NOISE, else any other domain alike), give each document posteriors
-   over the domains. Documents without a label have the text features alone.
-2. Rates. Each document gets a nonnegative rate such that the expected tokens of each domain,
-   sum(rate * tokens * posterior), come as near to their targets as rates in [low, high] allow (high may be infinite), in least squares
-   of relative errors. Projected gradient descent in the metric that weighs documents by their tokens:
-
-       rate <- clip(rate - sum_k posterior_k * (S_k - T_k) / S0_k)
-
-   S are the expected domain totals, T the targets and S0 the totals at rate 1. In this metric the Hessian is
-   S0^-1 * sum(tokens * p p'), a stochastic matrix with largest eigenvalue 1, so the step of 1 is safe. Steps
+   label (right with probability 1 - noise, else any other domain alike), give each document posteriors
+   over the domains. Documents without a label have the text features alone. As the features depend on each other, their
+   evidence is tempered: it counts by the power under which the labels of held-out documents are likeliest (0: the text says nothing
+   about its domain). That log loss, and the one by the domains' shares alone, are in the report. The noise is a
+   parameter: a classifier that learns from the labels cannot tell how many of them are wrong.
+2. Tokens: a given column of counts, or pieces of text as byte-pair tokenizers make them (letters by up to six, digits by
+   up to three, other marks one by one), which also counts scripts without spaces.
+3. Rates. Each document gets a nonnegative rate such that the expected tokens of each domain,
+   sum(rate * tokens * posterior), come as near to their targets as rates in [low, high] allow (high may be infinite).
+   Projected gradient descent in the metric that weighs documents by their tokens:
+
+       rate <- clip(rate - sum_k posterior_k * (G (S - T))_k / L)
+
+   S are the expected domain totals, T the targets; errors are weighed by G, the inverse of what the rates can move
+   (sum of tokens * p p', taken over the domains' mean posteriors; the diagonal alone beyond SOLVED domains), so that domains
+   of any size come near at the same pace. L doubles where a step would not hold what its gradient promises. Steps
    start from points carried on by momentum, which begins anew where it points uphill; S is linear in the rates, so
    it is known there without another pass. The descent ends when no rate would move: clipped cells do not count.
    Documents of one cell and label share posteriors, start and steps, hence their rate: the table of cells
-   carries the descent, and each step is one aggregation of it with one row of K + 2 sums to the driver.
-3. Copies: floor(rate) of each document, and one more with the fraction's probability, by a hash of the id.
+   carries the descent, domains are rows of its sums, and each step is one aggregation with a row a domain to the driver.
+4. Copies: floor(rate) of each document, and one more with the fraction's probability, by a hash of the id.
 
 Defined cases: null text has no tokens, and its rate follows from its cell; a null domain is unlabelled; with no labels at
-all there is one domain, ''; repeated rows stay, each with the rate of its cell; other columns pass through, but for
-those whose names begin with mix_, which give way.
+all there is one domain, ''; repeated rows stay, each with the rate of its cell; very long texts are described whole; an empty
+table gives no rows; other columns pass through, but for those that have the name of a new one, in whatever case, which give way.
 """
 
 from __future__ import annotations
 
+import json
 import logging
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +43,14 @@ from .common import quoted, saved
 
 log = logging.getLogger(__name__)
 
+#: How likely a label is not the document's domain.
 NOISE = 0.1
-MAX_DOMAINS = 2000
+#: Powers of the text's evidence that are tried, and which part of the labelled documents is held out meanwhile.
+TEMPERS, HELD_OUT = tuple(i / 10 for i in range(11)), 5
+#: A posterior has an entry for each domain; more are refused. Up to SOLVED of them, G is a full matrix.
+MAX_DOMAINS, SOLVED = 10_000, 256
 #: Steps after which a descent is reported as not converged.
-ROUNDS = 240
+ROUNDS = 1000
 #: The descent ends when a step moves no rate by more than this (times the budget, if that is over 1).
 TOLERANCE = 1e-6
 #: With rates held from below, the budget is doubled until no domain is off its target by more than this share, after
@@ -46,7 +58,10 @@ TOLERANCE = 1e-6
 MISS, RUNG, DOUBLINGS = 0.01, 60, 8
 #: The table of cells is broadcast up to this many rows; beyond, it is joined by a shuffle.
 BROADCAST_CELLS = 100_000
+#: Pieces of text that count as a token.
+TOKEN = r"\p{L}{1,6}|\p{N}{1,3}|[^\s\p{L}\p{N}]"
 _FEATURES = ("f_size", "f_wide", "f_word", "f_th", "f_e")
+_NEW = ("mix_tokens", "mix_domain", "mix_posterior", "mix_rate", "mix_copies")
 _STEPS_A_PLAN = 6
 
 
@@ -54,72 +69,138 @@ def _ratio_bin(part: Column, whole: Column, scale: float, bins: int) -> Column:
     return F.least(F.lit(bins - 1), F.floor(scale * part / F.greatest(whole, F.lit(1)))).cast("int")
 
 
-def described(docs: DataFrame, *, text_col: str = "text", domain_col: str = "source") -> DataFrame:
-    """The row as _row, with _domain, _tokens (words) and the feature bins."""
+def described(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "source", tokens_col: str | None = None, carry: list[str] | None = None) -> DataFrame:
+    """The carried columns (all if none are named) as _row, the _id, _domain, _tokens, _held and the feature bins."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = F.length(text)
     without = lambda s: size - F.length(F.replace(text, F.lit(s), F.lit("")))
-    spaces = without(" ")
-    words = F.when(size > 0, spaces + 1).otherwise(0)
-    return docs.select(
-        F.struct(*map(quoted, docs.columns)).alias("_row"),
-        F.col(domain_col).cast("string").alias("_domain"),
-        words.cast("long").alias("_tokens"),
-        F.floor(F.log2(size + F.lit(1.0))).cast("int").alias("f_size"),
-        _ratio_bin(F.octet_length(text) - size, size, 40.0, 8).alias("f_wide"),
-        _ratio_bin(size, words, 1.0, 16).alias("f_word"),
-        _ratio_bin(without("th") / 2, words, 6.0, 8).alias("f_th"),
-        _ratio_bin(without("e"), size, 40.0, 8).alias("f_e"),
+    tokens = F.coalesce(quoted(tokens_col).cast("long"), F.lit(0)) if tokens_col else F.regexp_count(text, F.lit(TOKEN)).cast("long")
+    first = docs.select(F.struct(*map(quoted, carry or docs.columns)).alias("_row"), F.col(id_col).alias("_id"), F.col(domain_col).cast("string").alias("_domain"), tokens.alias("_tokens"), size.alias("_size"), F.octet_length(text).alias("_bytes"), without("th").alias("_th"), without("e").alias("_e"))
+    n, t = F.col("_size"), F.col("_tokens")
+    return first.select(
+        "_row",
+        "_id",
+        "_domain",
+        "_tokens",
+        (F.pmod(F.xxhash64("_id", "_size", "_tokens", F.lit(3)), F.lit(HELD_OUT)) == 0).alias("_held"),
+        F.floor(F.log2(n + F.lit(1.0))).cast("int").alias("f_size"),
+        _ratio_bin(F.col("_bytes") - n, n, 40.0, 8).alias("f_wide"),
+        _ratio_bin(n, t, 2.0, 16).alias("f_word"),
+        _ratio_bin(F.col("_th") / 2, t, 6.0, 8).alias("f_th"),
+        _ratio_bin(F.col("_e"), n, 40.0, 8).alias("f_e"),
     )
 
 
-def _array(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+def _array(values: list[float] | np.ndarray) -> Column:
+    """One literal, however many values."""
+    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
 
 
-def posteriors(cells: DataFrame, *, noise: float = NOISE) -> tuple[DataFrame, list[str]]:
-    """Cells with an array `p` of domain posteriors, and the domains in order.
+def _names(values: list[str]) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), "array<string>")
 
-    Only the domains' totals come to the driver: MAX_DOMAINS at most. The table of terms has at most 72 rows.
-    """
-    labelled = cells.where("_domain is not null")
-    prior = {r[0]: float(r[1]) for r in labelled.groupBy("_domain").agg(F.sum("docs")).limit(MAX_DOMAINS + 1).collect()}
-    if len(prior) > MAX_DOMAINS:
+
+def domains_of(cells: DataFrame) -> dict[str, float]:
+    """Documents by domain, in order: MAX_DOMAINS at most come to the driver."""
+    found = {r[0]: float(r[1]) for r in cells.where("_domain is not null").groupBy("_domain").agg(F.sum("docs")).limit(MAX_DOMAINS + 1).collect()}
+    if len(found) > MAX_DOMAINS:
         raise ValueError(f"over {MAX_DOMAINS} domains")
-    if not prior:
-        return cells.withColumn("p", _array([1.0])), [""]
-    domains = sorted(prior)
-    k, total = len(domains), sum(prior.values())
-    names, priors = F.array(*[F.lit(d) for d in domains]), _array([prior[d] for d in domains])
+    return dict(sorted(found.items()))
+
+
+def text_evidence(cells: DataFrame, labelled: DataFrame, prior: dict[str, float]) -> DataFrame:
+    """Cells with `evidence`, the log likelihood of the text features in each domain, learned from the labelled cells.
+
+    The table of terms has a row a bin: at most 72.
+    """
+    domains = list(prior)
     long = labelled.select("_domain", "docs", F.posexplode(F.array(*_FEATURES)).alias("feature", "bin"))
     counts = long.groupBy("feature", "bin", "_domain").agg(F.sum("docs").alias("n"))
     bins = counts.groupBy("feature", "bin").agg(F.map_from_entries(F.collect_list(F.struct("_domain", "n"))).alias("by"))
     sizes = bins.groupBy("feature").agg(F.count(F.lit(1)).alias("bins"))  # a row a feature
-    chance = F.zip_with(names, priors, lambda d, n: F.log((F.coalesce(F.col("by")[d], F.lit(0.0)) + 1) / (n + F.col("bins") + 1)))
+    chance = F.zip_with(_names(domains), _array(list(prior.values())), lambda d, n: F.log((F.coalesce(F.col("by")[d], F.lit(0.0)) + 1) / (n + F.col("bins") + 1)))
     terms = saved(bins.join(F.broadcast(sizes), "feature").select("feature", "bin", chance.alias("term")), "mixing-terms")
-    score = _array([math.log((prior[d] + 1) / (total + k)) for d in domains])
-    out = cells
+    out = cells.withColumn("evidence", _array([0.0] * len(domains)))
     for f, name in enumerate(_FEATURES):
-        own = terms.where(F.col("feature") == f).select(F.col("bin").alias(name), F.col("term").alias(f"t_{name}"))
-        out = out.join(F.broadcast(own), name, "left")
-    for name in _FEATURES:
-        score = F.when(F.col(f"t_{name}").isNull(), score).otherwise(F.zip_with(score, f"t_{name}", lambda a, b: a + b))
-        out = out.withColumn("_score", score).drop(f"t_{name}")
-        score = F.col("_score")
-    wrong = math.log(noise / max(1, k - 1)) if k > 1 else 0.0
-    heard = F.zip_with(score, names, lambda s, n: s + F.when(n == F.col("_domain"), math.log(1 - noise)).otherwise(wrong))
-    out = out.withColumn("_score", F.when(F.col("_domain").isNull(), score).otherwise(heard))
-    out = out.withColumn("_score", F.transform("_score", lambda s: F.exp(s - F.array_max("_score"))))
-    out = out.withColumn("_sum", F.aggregate("_score", F.lit(0.0), lambda a, b: a + b))
-    return out.withColumn("p", F.transform("_score", lambda s: s / F.col("_sum"))).drop("_score", "_sum"), domains
-
-
-def _sums(cells: DataFrame, rate: Column, k: int, *more: Column) -> list[float]:
-    row = cells.agg(*[F.coalesce(x, F.lit(0.0)) for x in (*[F.sum(F.col("p")[i] * F.col("tokens") * rate) for i in range(k)], *more)]).first()
-    return [float(x) for x in row]
-
-
-def _stepped(cells: DataFrame, slope: list[float], low: float, high: float) -> DataFrame:
+        own = terms.where(F.col("feature") == f).select(F.col("bin").alias(name), "term")
+        out = out.join(F.broadcast(own), name, "left").withColumn("evidence", F.when(F.col("term").isNull(), F.col("evidence")).otherwise(F.zip_with("evidence", "term", lambda a, b: a + b))).drop("term")
+    return out
+
+
+def _shares(prior: dict[str, float]) -> Column:
+    total = sum(prior.values())
+    return _array([math.log((n + 1) / (total + len(prior))) for n in prior.values()])
+
+
+def _normalised(df: DataFrame, name: str, score: Column) -> DataFrame:
+    """The column `name`, exponentials of the scores that add up to 1."""
+    out = df.withColumn(name, score)
+    out = out.withColumn(name, F.transform(name, lambda s: F.exp(s - F.array_max(F.col(name)))))
+    out = out.withColumn("_sum", F.aggregate(name, F.lit(0.0), lambda a, b: a + b))
+    return out.withColumn(name, F.transform(name, lambda s: s / F.col("_sum"))).drop("_sum")
+
+
+def _times(factor: float):
+    return lambda x: x * factor
+
+
+def fit_temper(cells: DataFrame, prior: dict[str, float]) -> dict:
+    """The power of the text's evidence, and the mean log losses of held-out labels with it and without the text."""
+    none = {"temper": 1.0, "held_out": 0.0, "loss": math.nan, "share_loss": math.nan}
+    if len(prior) < 2:
+        return none
+    known = cells.where("_domain is not null")
+    mine = {r[0]: float(r[1]) for r in known.where(~F.col("_held")).groupBy("_domain").agg(F.sum("docs")).collect()}
+    mine = {d: mine.get(d, 0.0) for d in prior}
+    held = text_evidence(known.where("_held"), known.where(~F.col("_held")), mine).withColumns({"at": F.array_position(_names(list(prior)), F.col("_domain")).cast("int"), "shares": _shares(mine)})
+    losses = []
+    for i, temper in enumerate(TEMPERS):
+        held = _normalised(held, f"p{i}", F.zip_with("shares", F.transform("evidence", _times(temper)), lambda a, b: a + b))
+        losses.append(F.sum(-F.col("docs") * F.log(F.element_at(f"p{i}", F.col("at")) + 1e-300)))
+    row = held.agg(F.sum("docs"), *losses).first()
+    if not row[0]:
+        return none
+    best = int(np.argmin(row[1:]))
+    return {"temper": TEMPERS[best], "held_out": row[0], "loss": row[1 + best] / row[0], "share_loss": row[1] / row[0]}
+
+
+def posteriors(cells: DataFrame, *, noise: float = NOISE, temper: float = 1.0, prior: dict[str, float] | None = None) -> tuple[DataFrame, list[str]]:
+    """Cells with an array `p` of domain posteriors, and the domains in order."""
+    prior = domains_of(cells) if prior is None else prior
+    if not prior:
+        return cells.withColumn("p", _array([1.0])), [""]
+    out, k = text_evidence(cells, cells.where("_domain is not null"), prior), len(prior)
+    score = F.zip_with(_shares(prior), "evidence", lambda a, b: a + temper * b)
+    wrong = math.log(noise / (k - 1)) if k > 1 else 0.0
+    heard = F.zip_with(score, _names(list(prior)), lambda s, n: s + F.when(n == F.col("_domain"), math.log(1 - noise)).otherwise(wrong))
+    return _normalised(out, "p", F.when(F.col("_domain").isNull(), score).otherwise(heard)).drop("evidence"), list(prior)
+
+
+def _sums(cells: DataFrame, weight: Column, *more: Column) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of posterior * tokens * weight by domain, then of the other columns; and the maxima of the same."""
+    cells = cells.withColumn("_w", F.col("tokens") * weight)
+    values = F.concat(F.transform("p", lambda x: x * F.col("_w")), F.array(*more) if more else F.array().cast("array<double>"))
+    rows = sorted(cells.select(F.posexplode(values).alias("k", "v")).groupBy("k").agg(F.sum("v"), F.max("v")).collect())
+    return np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
+
+
+def weights_of(cells: DataFrame, base: np.ndarray) -> np.ndarray:
+    """G: the inverse of sum(tokens * p p') over the mean posteriors of the cells whose likeliest domain is the same, with a
+    thousandth of its bound, the diagonal of the totals. A matrix, or its diagonal beyond SOLVED domains."""
+    safe = np.where(base > 0, base, 1.0)
+    if len(base) > SOLVED:
+        return 1 / safe
+    top = F.array_position("p", F.array_max("p")).alias("g")
+    rows = cells.select(top, "tokens", F.posexplode("p").alias("k", "v")).groupBy("g", "k").agg(F.sum(F.col("tokens") * F.col("v"))).collect()
+    totals = np.zeros((len(base) + 1, len(base)))
+    for g, k, s in rows:
+        totals[g, k] = s or 0.0
+    tokens = totals.sum(1)
+    seen = totals[tokens > 0] / np.sqrt(tokens[tokens > 0])[:, None]
+    return np.linalg.inv(seen.T @ seen + 1e-3 * np.diag(safe))
+
+
+def _stepped(cells: DataFrame, slope: np.ndarray, low: float, high: float) -> DataFrame:
     """Cells with `next`, the clipped step from the point `at`."""
     dot = F.aggregate(F.zip_with("p", _array(slope), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     return cells.withColumn("next", F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.col("at") - dot)))
@@ -130,82 +211,106 @@ def _carried(cells: DataFrame, momentum: float) -> DataFrame:
     return cells.withColumns({"rate": F.col("next"), "at": F.col("next") + F.lit(momentum) * (F.col("next") - F.col("rate"))}).drop("next")
 
 
-def _all_carried(cells: DataFrame, steps: list[tuple[list[float], float]], low: float, high: float) -> DataFrame:
+def _all_carried(cells: DataFrame, steps: list[tuple[np.ndarray, float]], low: float, high: float) -> DataFrame:
     for slope, momentum in steps:
         cells = _carried(_stepped(cells, slope, low, high), momentum)
     return cells
 
 
-def fit_rates(cells: DataFrame, domains: list[str], targets: dict[str, float] | None, *, budget: float = 1.0, low: float = 0.0, high: float = 20.0, rounds: int = ROUNDS) -> tuple[DataFrame, dict]:
+def fit_rates(cells: DataFrame, domains: list[str], targets: dict[str, float] | None, *, budget: float = 1.0, low: float = 0.0, high: float = math.inf, rounds: int = ROUNDS) -> tuple[DataFrame, dict]:
     """Cells with their rate, and what the descent reached. targets: weights of the domains (alike if None);
     budget: target total as a multiple of the tokens at hand. If low > 0 it is the least budget: as no rate falls below
     low, others must grow, to twice what the largest domain needs at first."""
-    k = len(domains)
-    weights = [1.0 if targets is None else float(targets.get(d, 0.0)) for d in domains]
-    begin = F.lit(float(min(high, max(low, 1.0))))
-    cells = cells.withColumns({"rate": begin, "at": begin})
-    base = _sums(cells, F.lit(1.0), k)
-    total = sum(base)
-    goal = [total * w / (sum(weights) or 1.0) for w in weights]
+    weights = np.array([1.0 if targets is None else float(targets.get(d, 0.0)) for d in domains])
+    start = float(min(high, max(low, 1.0)))
+    cells = cells.withColumns({"rate": F.lit(start), "at": F.lit(start)})
+    base = _sums(cells, F.lit(1.0))[0]
+    base = base if len(base) else np.zeros(len(domains))
+    total = base.sum()
+    goal = total * weights / (weights.sum() or 1.0)
     if low > 0:
-        budget = max([budget, *(2 * low * b / t for b, t in zip(base, goal, strict=True) if t > 0)])
-    goal = [budget * t for t in goal]
-    now = there = [s * min(high, max(low, 1.0)) for s in base]  # totals at the rates, and at the points
-    pending: list[tuple[list[float], float]] = []
-    pace, moved, turn, rung, doublings, miss = 1.0, math.inf, 0, 0, 0, math.inf
-    while turn < rounds:
-        if moved <= TOLERANCE * max(1.0, budget) or rung >= RUNG:
+        budget = max([budget, *(2 * low * base[goal > 0] / goal[goal > 0])])
+    goal = budget * goal
+    g = weights_of(cells, base)
+    scaled = lambda x: g @ x if g.ndim == 2 else g * x
+    now = there = base * start  # totals at the rates, and at the points
+    pending: list[tuple[np.ndarray, float]] = []
+    hold = lambda cells, pending: cells if not pending else saved(_all_carried(cells, pending, low, high), "mixing-rates")
+    pace, steep, moved, turn, rung, doublings, miss = 1.0, 1.0, math.inf, 0, 0, 0, math.inf
+    enough = lambda: moved <= TOLERANCE * max(1.0, budget)
+    while turn < rounds and total:
+        if enough() or rung >= RUNG:
             if low > 0 and miss > MISS and doublings < DOUBLINGS and 2 * budget <= high:
-                cells = cells if not pending else saved(_all_carried(cells, pending, low, high), "mixing-rates")
+                cells = hold(cells, pending)
                 cells, pending = cells.withColumns({"rate": 2 * F.col("rate"), "at": 2 * F.col("rate")}), []
-                budget, goal, now = 2 * budget, [2 * t for t in goal], [2 * s for s in now]
+                budget, goal, now = 2 * budget, 2 * goal, 2 * now
                 there, pace, rung, doublings = now, 1.0, 0, doublings + 1
-            elif moved <= TOLERANCE * max(1.0, budget):
+            elif enough():
                 break
         turn, rung = turn + 1, rung + 1
-        slope = [(s - t) / b if b > 0 else 0.0 for s, t, b in zip(there, goal, base, strict=True)]
-        ahead = _stepped(_all_carried(cells, pending, low, high), slope, low, high)
-        before, (*now, uphill, moved) = now, _sums(ahead, F.col("next"), k, F.sum(F.col("tokens") * (F.col("at") - F.col("next")) * (F.col("next") - F.col("rate"))), F.max(F.abs(F.col("at") - F.col("next"))))
+        slope = scaled(there - goal)
+        ahead = _stepped(_all_carried(cells, pending, low, high), slope / steep, low, high)
+        step = F.col("next") - F.col("at")
+        dot = F.aggregate(F.zip_with("p", _array(slope), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        sums, most = _sums(ahead, F.col("next"), -F.col("tokens") * step * (F.col("next") - F.col("rate")), F.col("tokens") * dot * step, F.col("tokens") * step * step, F.abs(step))
+        after, uphill, slid, far = sums[: len(base)], sums[-4], sums[-3], sums[-2]
+        value = lambda s: 0.5 * float((s - goal) @ scaled(s - goal))
+        if value(after) > value(there) + slid + 0.5 * steep * far + 1e-12 * (value(there) + 1):
+            steep *= 2  # the step promised more than it held: a shorter one
+            continue
+        moved = most[-1] * steep
         pace = 1.0 if uphill > 0 else pace
         faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
         momentum, pace = (pace - 1) / faster, faster
-        there = [s + momentum * (s - b) for s, b in zip(now, before, strict=True)]
-        miss = max((abs(s / t - 1) for s, t in zip(now, goal, strict=True) if t > 0), default=0.0)
-        pending.append((slope, momentum))
+        before, now = now, after
+        there = now + momentum * (now - before)
+        miss = float(np.max(np.abs(now[goal > 0] / goal[goal > 0] - 1), initial=0.0))
+        pending.append((slope / steep, momentum))
         if len(pending) >= _STEPS_A_PLAN:
             cells, pending = saved(_carried(ahead, momentum), "mixing-rates"), []
     cells = _all_carried(cells, pending, low, high)
-    error = sum((s - t) ** 2 / b for s, t, b in zip(now, goal, base, strict=True) if b > 0) / (total or 1.0)
-    converged = moved <= TOLERANCE * max(1.0, budget)
-    return cells.drop("at"), {"domains": domains, "base": base, "goal": goal, "reached": now, "error": error, "budget": budget, "miss": miss, "rounds": turn, "moved": moved, "converged": converged}
+    miss = float(np.max(np.abs(now[goal > 0] / goal[goal > 0] - 1), initial=0.0))
+    return cells.drop("at"), {"domains": domains, "base": base.tolist(), "goal": goal.tolist(), "reached": now.tolist(), "budget": budget, "miss": miss, "rounds": turn, "moved": moved, "converged": bool(enough() or not total)}
 
 
 def with_rates(docs: DataFrame, targets: dict[str, float] | None = None, **settings) -> DataFrame:
-    """The columns of docs with mix_tokens, mix_domain, mix_posterior, mix_rate and mix_copies. Settings as in mixed()."""
+    """The carried columns of docs with mix_tokens, mix_domain, mix_posterior, mix_rate and mix_copies. Settings as in mixed()."""
     return mixed(docs, targets, **settings)[0]
 
 
-def mixed(docs: DataFrame, targets: dict[str, float] | None = None, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "source", budget: float = 1.0, low: float = 0.0, high: float = 20.0, noise: float = NOISE, seed: int = 7) -> tuple[DataFrame, dict]:
-    """What with_rates returns, and the report of fit_rates; a descent that has not converged and missed targets are logged as warnings."""
-    rows = described(docs, text_col=text_col, domain_col=domain_col)
+def mixed(docs: DataFrame, targets: dict[str, float] | None = None, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "source", tokens_col: str | None = None, carry: list[str] | None = None, budget: float = 1.0, low: float = 0.0, high: float = math.inf, noise: float = NOISE, temper: float | None = None, seed: int = 7) -> tuple[DataFrame, dict]:
+    """What with_rates returns, and the reports of fit_temper and fit_rates; a descent that has not converged and missed targets are
+    logged as warnings.
+
+    tokens_col: a column of token counts, instead of pieces of text. carry: the columns to carry; without the text among
+    them, texts are read and described once, and what is carried is written out.
+    """
+    carry = [c for c in carry or docs.columns if c.lower() not in _NEW]
+    rows = described(docs, id_col=id_col, text_col=text_col, domain_col=domain_col, tokens_col=tokens_col, carry=carry)
+    if text_col not in carry:
+        rows = saved(rows, "mixing-rows")
     key = ["_domain", *_FEATURES]
-    cells = saved(rows.groupBy(*key).agg(F.count(F.lit(1)).cast("double").alias("docs"), F.sum("_tokens").cast("double").alias("tokens")), "mixing-cells")
-    known, domains = posteriors(cells, noise=noise)
+    halves = saved(rows.groupBy(*key, "_held").agg(F.count(F.lit(1)).cast("double").alias("docs"), F.sum("_tokens").cast("double").alias("tokens")), "mixing-cells")
+    prior = domains_of(halves)
+    text = fit_temper(halves, prior) if temper is None else {"temper": temper}
+    cells = halves.groupBy(*key).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    known, domains = posteriors(cells, noise=noise, temper=text["temper"], prior=prior)
     fitted, report = fit_rates(saved(known, "mixing-posteriors"), domains, targets, budget=budget, low=low, high=high)
+    report |= text
     if not report["converged"]:
         log.warning("mixing: not converged after %d steps; the last one moved a rate by %g", report["rounds"], report["moved"])
     if report["miss"] > MISS:
         log.warning("mixing: a domain is %.1f %% off its target of %g times the tokens: %s", 100 * report["miss"], report["budget"], list(zip(domains, report["reached"], report["goal"], strict=True)))
     top = F.array_position("p", F.array_max("p")).cast("int")
-    rates = saved(fitted.select(*key, F.element_at(F.array(*[F.lit(d) for d in domains]), top).alias("mix_domain"), F.array_max("p").alias("mix_posterior"), F.col("rate").alias("mix_rate")), "mixing-rates")
+    rates = saved(fitted.select(*key, F.element_at(_names(domains), top).alias("mix_domain"), F.array_max("p").alias("mix_posterior"), F.col("rate").alias("mix_rate")), "mixing-rates")
     small = rates.count() <= BROADCAST_CELLS
     side = rates.select([F.col(c).alias(f"r_{c}") for c in key] + ["mix_domain", "mix_posterior", "mix_rate"])
     on = rows["_domain"].eqNullSafe(side["r__domain"])
     for c in _FEATURES:
         on = on & (rows[c] == side[f"r_{c}"])
     out = rows.join(F.broadcast(side) if small else side, on)
-    luck = F.pmod(F.xxhash64(F.col("_row")[id_col], F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    luck = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     whole = F.floor("mix_rate")
     out = out.withColumn("mix_copies", (whole + (luck < F.col("mix_rate") - whole).cast("int")).cast("int"))
-    new = [F.col("_tokens").alias("mix_tokens"), *map(F.col, ("mix_domain", "mix_posterior", "mix_rate", "mix_copies"))]
-    return out.select([F.col("_row")[c].alias(c) for c in docs.columns if not c.startswith("mix_")] + new), report
+    new = [F.col("_tokens").alias("mix_tokens"), *map(F.col, _NEW[1:])]
+    return out.select([F.col("_row")[c].alias(c) for c in carry] + new), report

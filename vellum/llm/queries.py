@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -106,7 +103,7 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from w
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sources to the same weight, with rates open above."""
-    mixed = mixing.with_rates(table(spark, sf_dir, "documents"), high=math.inf)
+    mixed = mixing.with_rates(table(spark, sf_dir, "documents"), carry=["doc_id", "source"])
     return mixed.select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_domain").alias("domain"), F.col("mix_posterior").alias("posterior"), F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"))
 
 
