@@ -779,6 +779,7 @@ def made_cells(spark, *rows):
 def test_mixing_is_the_least_squares_solution(spark, solved, monkeypatch):
     """Targets that cannot all be met, as a domain has only documents shared with another; Lawson and Hanson reach the same."""
     monkeypatch.setattr(mixing, "SOLVED", solved)
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-4)
     table = [([0.9, 0.05, 0.05], 900.0), ([0.5, 0.3, 0.2], 400.0), ([0.1, 0.8, 0.1], 30.0), ([0.3, 0.4, 0.3], 90.0)]
     fitted, report = mixing.fit_rates(made_cells(spark, *table), ["a", "b", "c"], {"c": 1.0})
     p, t = np.array([r[0] for r in table]), np.array([r[1] for r in table])
@@ -789,8 +790,9 @@ def test_mixing_is_the_least_squares_solution(spark, solved, monkeypatch):
     assert not mixing.fit_rates(made_cells(spark, *table), ["a", "b", "c"], {"c": 1.0}, rounds=2)[1]["converged"]
 
 
-def test_mixing_with_bounds_descends_until_no_rate_moves(spark):
+def test_mixing_with_bounds_descends_until_no_rate_moves(spark, monkeypatch):
     """A domain that cannot reach its target under a bound leaves the others to come as near as they can; numpy runs all steps."""
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-4)
     table = [([0.9, 0.05, 0.05], 900.0), ([0.5, 0.3, 0.2], 400.0), ([0.1, 0.8, 0.1], 30.0), ([0.1, 0.1, 0.8], 2.0), ([0.3, 0.4, 0.3], 90.0)]
     _, report = mixing.fit_rates(made_cells(spark, *table), ["a", "b", "c"], None, high=20.0)
     p, t = np.array([r[0] for r in table]), np.array([r[1] for r in table])

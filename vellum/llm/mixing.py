@@ -270,7 +270,7 @@ def fit_rates(cells: DataFrame, domains: list[str], targets: dict[str, float] |
             cells, pending = saved(_carried(ahead, momentum), "mixing-rates"), []
     cells = _all_carried(cells, pending, low, high)
     miss = float(np.max(np.abs(now[goal > 0] / goal[goal > 0] - 1), initial=0.0))
-    return cells.drop("at"), {"domains": domains, "base": base.tolist(), "goal": goal.tolist(), "reached": now.tolist(), "budget": budget, "miss": miss, "rounds": turn, "moved": moved, "converged": bool(enough() or not total)}
+    return cells.drop("at"), {"domains": domains, "base": base.tolist(), "goal": goal.tolist(), "reached": now.tolist(), "budget": float(budget), "miss": miss, "rounds": turn, "moved": float(moved), "converged": bool(enough() or not total)}
 
 
 def with_rates(docs: DataFrame, targets: dict[str, float] | None = None, **settings) -> DataFrame:
