@@ -75,6 +75,41 @@ def test_rename_merges_and_counts(spark):
     df = frame(spark, art("1", tags=("a", "b")), art("2", tags=("b",)), art("3", tags=("c",)))
     got = {r.id: (r.tags, r.updated_at) for r in mutate.rename_tag(df, "a", "b", NOW).collect()}
     assert got == {"1": (["b"], NOW), "2": (["b"], T0), "3": (["c"], T0)}
+    assert mutate.tagged(df, " B") == 2 and mutate.delete_tag(df, " C ", NOW).where("id = '3'").first().tags == []
+    for old, new in ((" A ", "a"), ("a", "  "), ("", "b")):
+        assert {r.updated_at for r in mutate.rename_tag(df, old, new, NOW).collect()} == {T0}
+
+
+def test_first_of_a_key_does_not_depend_on_the_dealing(spark):
+    rows = [art(f"{i:02}", link="l", title=str(i)) for i in range(30)]
+    for seed in range(3):
+        batch = frame(spark, *rows).repartition(5, F.xxhash64("id", F.lit(seed)))
+        assert [r.id for r in mutate.insert_ignore(frame(spark), batch).collect()] == ["00"]
+        assert [r.title for r in dedup.first_per_key(batch, "link", ["title"]).collect()] == ["0"]
+    assert dedup.first_per_key(frame(spark), "link").count() == 0
+
+
+def test_keys_that_are_missing_do_not_collide(spark):
+    df = frame(spark, art("a", link="l"), art("b", link="l"), art("c"), art("d")).withColumns({"link": F.when(F.col("id").isin("a", "b"), F.col("link")).when(F.col("id") == "c", ""), "conflict_key": F.col("link"), "created_at": F.col("fetched_at")})
+    df = df.unionByName(df.where("id in ('c', 'd')").withColumn("id", F.concat("id", F.lit("2")))).withColumn("conflict_key", F.col("link"))
+    assert [(r.id, r.winner_id) for r in dedup.conflict_losers(df).collect()] == [("b", "a")]
+    kept, losers = sync.resolve_articles(df, NOW)
+    assert sorted(r.id for r in kept.collect()) == ["a", "c", "c2", "d", "d2"] and losers.count() == 1
+
+
+def test_earliest_tombstone_is_an_instant(spark):
+    rows = [("article", "x", "2024-01-01T02:00:00+02:00"), ("article", "x", "2024-01-01T01:00:00Z"), ("article", "y", "odd"), ("article", "y", "2020-01-01T00:00:00Z")]
+    got = {r.entity_id: r.deleted_at for r in dedup.earliest_tombstones(spark.createDataFrame(rows, schemas.TOMBSTONES)).collect()}
+    assert got == {"x": "2024-01-01T02:00:00+02:00", "y": "odd"}
+
+
+def test_deletions_change_their_sources(spark):
+    feeds = spark.createDataFrame([("s", "n", 3, T0), ("t", "n", 2, T0)], "id string, name string, article_count long, updated_at string")
+    dead = spark.createDataFrame([], schemas.TOMBSTONES)
+    df = frame(spark, art("a", source="s"), art("b", source="t"))
+    one = mutate.delete_articles(df, feeds, dead, df.where("id = 'a'").select("id"), NOW)[1]
+    assert {(r.id, r.article_count, r.updated_at) for r in one.collect()} == {("s", 2, NOW), ("t", 2, T0)}
+    assert {(r.article_count, r.updated_at) for r in mutate.delete_all_articles(df, feeds, dead, NOW)[1].collect()} == {(0, NOW)}
 
 
 def test_top_up_is_a_true_no_op(spark):
@@ -130,6 +165,8 @@ def test_sources(spark):
     assert mutate.set_feed_cache(df, "s", "e", None).where("id = 's'").first().feed_etag == "e"
     kept, moved = dedup.collapse_sources(df, frame(spark, art("a", source="s"), art("b")))
     assert [(r.id, r.article_count) for r in kept.collect()] == [("t", 5)]
+    loose = df.withColumn("feed_url", F.lit(None).cast("string"))
+    assert sorted((r.id, r.article_count) for r in dedup.collapse_sources(loose, frame(spark, art("a", source="s")))[0].collect()) == [("s", 3), ("t", 2)]
     assert {r.id: r.source_id for r in moved.collect()} == {"a": "t", "b": None}
     gone, arts, dead = mutate.remove_source(df, frame(spark, art("a", source="s")), spark.createDataFrame([], schemas.TOMBSTONES), "s", NOW)
     assert gone.count() == 1 and arts.first().source_id is None and dead.first().entity_id == "s"
@@ -211,11 +248,54 @@ def test_csv_round_trip(spark, tmp_path):
 def test_feeds(spark, tmp_path):
     items = "".join(f"<item><title>t{i}</title><link> https://e.com/{i} </link><category>a</category><category>b</category></item>" for i in range(40))
     (tmp_path / "f.xml").write_text(f"<?xml version='1.0'?><rss version='2.0'><channel><title>F</title>{items}<item><title>no link</title></item></channel></rss>")
-    entries = tables.feed_entries(tables.read_rss(spark, str(tmp_path / "f.xml"))).orderBy("place").collect()
+    entries = tables.feed_entries(tables.read_feeds(spark, str(tmp_path / "f.xml"))).orderBy("place").collect()
     assert len(entries) == 30 and entries[3].link == "https://e.com/3" and entries[0].tags == ["a", "b"]
-    bodies = spark.createDataFrame([("<?xml version='1.0'?><feed xmlns='x'>",), ("<rss>",), ("<html><rss>",), (None,)], "body string")
+    bodies = spark.createDataFrame([("<?xml version='1.0'?><feed xmlns='x'>",), ("<rss>",), ("\ufeff<!DOCTYPE x>\n<!-- a --><rdf:RDF>",), ('{"version": "https:\\/\\/jsonfeed.org\\/version\\/1"}',), ("<html><rss>",), (None,), ('{"a": 1}',), ("<feeding>",)], "body string")
     feeds, pages = tables.sniffed(bodies)
-    assert feeds.count() == 2 and pages.count() == 2
+    assert feeds.count() == 4 and pages.count() == 4
+    atom = "<feed xmlns='http://www.w3.org/2005/Atom'><title>A</title><entry><link rel='self' href='https://e.com/self'/><link href='https://e.com/1'/></entry><entry><link rel='enclosure' href='https://e.com/2'/><category term='t'/></entry><entry><id>x</id></entry></feed>"
+    bad = spark.createDataFrame([("a", atom), ("b", "<rss><channel><title>half"), ("c", "<rss/>"), ("d", None), ("e", "<feed></feed>")], "feed string, body string").select("feed", tables.parsed_feed("body").alias("f"))
+    got = {r.feed: r.f for r in bad.collect()}
+    assert [(i.link, i.tags) for i in got["a"].items] == [("https://e.com/1", []), ("https://e.com/2", ["t"]), (None, [])] and got["a"].title == "A"
+    assert got["c"] is None and got["d"] is None and got["e"] is None
+
+
+def test_a_feed_that_fails_stops_no_other(spark):
+    now = NOW
+    state = spark.createDataFrame([(i, f"https://f/{i}", "rss", f"https://f/{i}", s, None, 0, None, T0, T0, None, None) for i, s in (("good", "error"), ("bad", "active"), ("gone", "active"), ("same", "active"), ("off", "paused"))], schemas.SOURCES)
+    body = "<rss><channel><title> Good </title><item><link>https://e.com/a?utm_x=1</link><category>Tag </category></item><item><link>https://e.com/b</link></item><item><link>https://e.com/old</link></item></channel></rss>"
+    fetched = spark.createDataFrame([("https://f/good", 200, body, "e1", "m1"), ("https://f/bad", 200, "<html>", "x", "x"), ("https://f/same", 304, None, "y", "y"), ("https://f/off", 200, body, None, None)], "feed_url string, status int, body string, etag string, last_modified string")
+    pages = spark.createDataFrame([("https://e.com/a", "<title>A</title><body><p>x</p></body>")], "url string, html string")
+    stored = spark.createDataFrame([], schemas.ARTICLES).unionByName(frame(spark, art("o", link="https://e.com/old")), allowMissingColumns=True)
+    from vellum.plans import feeds
+
+    after, sources, report = feeds.sync_feeds(stored, state, fetched, pages, now)
+    assert {(r.id, r.added, r.error) for r in report.collect()} == {("good", 2, None), ("bad", 0, "not a feed"), ("gone", 0, "no answer"), ("same", 0, None)}
+    got = {r.link: r for r in after.collect()}
+    assert set(got) == {"https://e.com/old", "https://e.com/a", "https://e.com/b"}
+    assert (got["https://e.com/a"].title, got["https://e.com/a"].tags, got["https://e.com/a"].source_id, got["https://e.com/a"].capture_failed, got["https://e.com/a"].published_at) == ("A", ["tag"], "good", False, now)
+    assert got["https://e.com/b"].capture_failed and got["https://e.com/b"].capture_error == "no page"
+    rows = {r.id: r for r in sources.collect()}
+    assert (rows["good"].name, rows["good"].status, rows["good"].feed_etag, rows["good"].article_count) == ("Good", "active", "e1", 2)
+    assert (rows["bad"].status, rows["bad"].last_error, rows["bad"].feed_etag) == ("error", "not a feed", None) and rows["gone"].last_error == "no answer"
+    assert (rows["same"].status, rows["same"].feed_etag) == ("active", None) and tuple(rows["off"]) == tuple(state.where("id = 'off'").first())
+    again = feeds.sync_feeds(after, sources, fetched, pages, now)[2].collect()
+    assert all(r.added == 0 for r in again)
+
+
+def test_assets_and_listing(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b.png", b"1"), ("c.SVG", b"<svg/>"), ("a/d", b"2"), ("e", None)], "path string, body binary")
+    folder = str(tmp_path / "assets")
+    (tmp_path / "assets").mkdir()
+    (tmp_path / "assets" / "stale").write_text("x")
+    assert tables.write_assets(rows, folder) == 4
+    assert sorted(p.relative_to(folder).as_posix() for p in (tmp_path / "assets").rglob("*") if p.is_file()) == ["a/b.png", "a/d", "c.SVG", "e"]
+    import gzip
+
+    assert gzip.decompress((tmp_path / "assets" / "c.SVG").read_bytes()) == b"<svg/>"
+    assert {r.key for r in tables.list_blobs(spark, folder, "a/").collect()} == {"a/b.png", "a/d"}
+    with pytest.raises(Exception, match="not a path inside"):
+        tables.write_assets(spark.createDataFrame([("../x", b"1")], "path string, body binary"), folder)
 
 
 def test_manifest_codec(spark, tmp_path):

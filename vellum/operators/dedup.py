@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import sync_order
 
 def newest_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest order columns of each key, as one aggregation with map-side combining."""
@@ -13,9 +14,23 @@ def newest_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame
     return best.select([F.col("_best")[c].alias(c) for c in df.columns])
 
 
+def first_per_key(df: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """One row a key: the least by the order columns (id, if there is one and none are named), then by the others, so that
+    the same rows give the same result however they are dealt."""
+    order = ["id"] if order is None and "id" in df.columns else order or []
+    rest = [c for c in df.columns if c not in order and c != key]
+    least = df.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(F.lit(0).alias("_0"), *order, *rest)).alias("_first"))
+    return least.select([F.col("_key").alias(key) if c == key and c not in order else F.col("_first")[c].alias(c) for c in df.columns])
+
+
+def _named(df: DataFrame, key: str) -> DataFrame:
+    """Rows with a key: a missing or empty one collides with nothing."""
+    return df.where(F.col(key).isNotNull() & (F.col(key) != ""))
+
+
 def conflict_winners(df: DataFrame, key: str = "conflict_key") -> DataFrame:
     """Earliest created row of each key, smaller id on a tie: the same on every replica."""
-    return df.groupBy(key).agg(F.min(F.struct("created_at", "id")).alias("_w"), F.count(F.lit(1)).alias("n")).select(key, F.col("_w.id").alias("winner_id"), "n")
+    return _named(df, key).groupBy(key).agg(F.min(F.struct("created_at", "id")).alias("_w"), F.count(F.lit(1)).alias("n")).select(key, F.col("_w.id").alias("winner_id"), "n")
 
 
 def conflict_losers(df: DataFrame, key: str = "conflict_key") -> DataFrame:
@@ -29,16 +44,28 @@ def merged_state(df: DataFrame, key: str = "conflict_key") -> DataFrame:
     Tags are made distinct before they are gathered, so a group costs its distinct tags.
     """
     rows = df.groupBy(key).agg(F.min(F.struct("created_at", "id")).alias("_w"), F.max("reading_progress").alias("reading_progress"), F.bool_or("favorited").alias("favorited"))
+    return _with_tags(rows, df, key).select(key, F.col("_w.id").alias("winner_id"), "tags", "reading_progress", "favorited")
+
+
+def conflict_groups(df: DataFrame, key: str = "conflict_key") -> DataFrame:
+    """The same for the keys that several rows share, from one aggregation of all rows and one of those rows' tags."""
+    rows = _named(df, key).groupBy(key).agg(F.min(F.struct("created_at", "id")).alias("_w"), F.count(F.lit(1)).alias("_n"), F.max("reading_progress").alias("reading_progress"), F.bool_or("favorited").alias("favorited")).where("_n > 1")
+    return _with_tags(rows, df.join(rows.select(key), key, "left_semi"), key).select(key, F.col("_w.id").alias("winner_id"), "tags", "reading_progress", "favorited")
+
+
+def _with_tags(rows: DataFrame, df: DataFrame, key: str) -> DataFrame:
     tags = df.select(key, F.explode("tags").alias("_t")).groupBy(key).agg(F.array_sort(F.collect_set("_t")).alias("tags"))
-    return rows.join(tags, key, "left").select(key, F.col("_w.id").alias("winner_id"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "reading_progress", "favorited")
+    return rows.join(tags, key, "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
 def collapse_sources(sources: DataFrame, articles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One source for each feed: the newest stays, counts add up, and articles of the others move to it."""
-    best = sources.groupBy("feed_url").agg(F.max(F.struct("created_at", "id")).alias("_b"), F.sum("article_count").alias("_sum"))
+    """One source for each feed: the newest stays, counts add up, and articles of the others move to it. Sources without a
+    feed stay as they are."""
+    fed = sources.where("feed_url is not null")
+    best = fed.groupBy("feed_url").agg(F.max(F.struct("created_at", "id")).alias("_b"), F.sum("article_count").alias("_sum"))
     kept = best.select(F.col("_b.id").alias("id"), F.col("_sum"))
-    survivors = sources.join(kept, "id").withColumn("article_count", F.col("_sum")).drop("_sum")
-    moves = sources.select("feed_url", F.col("id").alias("source_id")).join(best.select("feed_url", F.col("_b.id").alias("_to")), "feed_url").select("source_id", "_to").where("source_id <> _to")
+    survivors = fed.join(kept, "id").withColumn("article_count", F.col("_sum")).select(*sources.columns).unionByName(sources.where("feed_url is null"))
+    moves = fed.select("feed_url", F.col("id").alias("source_id")).join(best.select("feed_url", F.col("_b.id").alias("_to")), "feed_url").select("source_id", "_to").where("source_id <> _to")
     moved = articles.join(moves, "source_id", "left").withColumn("source_id", F.coalesce("_to", "source_id")).drop("_to")
     return survivors, moved.select(*articles.columns)
 
@@ -86,12 +113,14 @@ def updated_ledger(entries: DataFrame, ledger: DataFrame, key: str = "content_ha
 
 
 def earliest_tombstones(tombstones: DataFrame) -> DataFrame:
-    return tombstones.groupBy("entity_type", "entity_id").agg(F.min("deleted_at").alias("deleted_at"))
+    """The earliest instant of each deletion, whatever its zone; times that do not parse come before all others."""
+    least = F.min(F.struct(sync_order("deleted_at").alias("at"), F.col("deleted_at").alias("text")))
+    return tombstones.groupBy("entity_type", "entity_id").agg(least.alias("_l")).select("entity_type", "entity_id", F.col("_l.text").alias("deleted_at"))
 
 
-def new_and_known(batch: DataFrame, stored: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+def new_and_known(batch: DataFrame, stored: DataFrame, key: str, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """First row of each key that is not stored, and how the batch's rows fared (added, skipped)."""
-    fresh = batch.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
+    fresh = first_per_key(batch, key, order).join(stored.select(key), key, "left_anti")
     known = batch.join(stored.select(key).distinct().withColumn("_known", F.lit(True)), key, "left")
     added = F.count_distinct(F.when(F.col("_known").isNull(), F.col(key)))
     return fresh, known.agg(added.alias("added"), (F.count(F.lit(1)) - added).alias("skipped"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, clamp, nearest
-from ..schemas import SUMMARY
+from ..schemas import SUMMARY, UNCATEGORIZED, UNCATEGORIZED_NAME
 from .filters import ArticleFilter, before, page_limit
 
 #: Sides of at most this many bytes, as Catalyst estimates them, are broadcast.
@@ -117,6 +117,14 @@ def top_categories(counted: DataFrame, n: int = 5) -> DataFrame:
     return counted.orderBy(F.desc("n"), ascii_lower("name"), "name").limit(n)
 
 
+def sidebar_categories(counted: DataFrame, articles: DataFrame, n: int = 5) -> DataFrame:
+    """What the sidebar lists, by place: articles without a category first, under their pinned entry, then the top categories."""
+    none = articles.where(F.col("category_id").isNull()).agg(F.count(F.lit(1)).alias("n")).select(F.lit(UNCATEGORIZED).alias("id"), F.lit(UNCATEGORIZED_NAME).alias("name"), "n", F.lit(0).alias("place"))
+    order = [F.desc("n"), ascii_lower("name"), F.col("name")]
+    top = top_categories(counted, n).select("id", "name", "n", F.row_number().over(Window.orderBy(*order)).alias("place"))  # n rows
+    return none.unionByName(top)
+
+
 def facet_tags(counted: DataFrame, selected: tuple[str, ...] = (), narrowed: bool = False, n: int = 7) -> DataFrame:
     """Tags to narrow by: not the selected ones; by count where a filter is active, else by name."""
     rest = counted.where(~F.col("tag").isin(*selected)) if selected else counted

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, clamp, merge_tags, nearest, normalize_tags, rename_in_tags
 from ..schemas import SETTINGS
+from .dedup import first_per_key
 
 #: Columns that a new capture of a page replaces; reading state, tags and the like stay.
 CONTENT = ("title", "excerpt", "content_html", "hero_image_path", "published_at", "read_time_min", "extraction_confident", "capture_failed", "capture_error")
@@ -30,20 +31,20 @@ def upsert(state: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     return state.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
 
 
-def insert_ignore(state: DataFrame, batch: DataFrame, key: str = "link") -> DataFrame:
-    """New rows, the first of each key in the batch, unless the key is stored."""
-    return state.unionByName(batch.dropDuplicates([key]).join(state.select(key), key, "left_anti").select(*state.columns))
+def insert_ignore(state: DataFrame, batch: DataFrame, key: str = "link", order: list[str] | None = None) -> DataFrame:
+    """New rows, the first of each key in the batch by the order columns (see first_per_key), unless the key is stored."""
+    return state.unionByName(first_per_key(batch, key, order).join(state.select(key), key, "left_anti").select(*state.columns))
 
 
-def insert_and_return(state: DataFrame, batch: DataFrame, key: str = "link") -> tuple[DataFrame, DataFrame]:
+def insert_and_return(state: DataFrame, batch: DataFrame, key: str = "link", order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """New state, and the stored row for each key of the batch, whether it was there or not."""
-    after = insert_ignore(state, batch, key)
+    after = insert_ignore(state, batch, key, order)
     return after, after.join(batch.select(key).distinct(), key, "left_semi")
 
 
 def top_up_tags(state: DataFrame, batch: DataFrame, now: str, key: str = "link") -> DataFrame:
-    """Append tags by link; rows that gain none keep their time of change."""
-    new = batch.select(key, F.posexplode("tags").alias("_i", "_t")).groupBy(key, "_t").agg(F.min("_i").alias("_i"))
+    """Append tags by link, folded as stored ones are; rows that gain none keep their time of change."""
+    new = batch.select(key, F.posexplode(normalize_tags("tags")).alias("_i", "_t")).groupBy(key, "_t").agg(F.min("_i").alias("_i"))
     new = new.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_t"))), lambda x: x["_t"]).alias("_new"))
     joined = state.join(new, key, "left")
     merged = merge_tags("tags", F.coalesce("_new", F.array().cast("array<string>")))
@@ -51,9 +52,9 @@ def top_up_tags(state: DataFrame, batch: DataFrame, now: str, key: str = "link")
     return joined.withColumns({"tags": F.when(grew, merged).otherwise(F.col("tags")), "updated_at": F.when(grew, F.lit(now)).otherwise(F.col("updated_at"))}).select(*state.columns)
 
 
-def import_rows(state: DataFrame, batch: DataFrame, now: str) -> DataFrame:
+def import_rows(state: DataFrame, batch: DataFrame, now: str, order: list[str] | None = None) -> DataFrame:
     """New links are inserted; links already there get the tags only."""
-    return insert_ignore(top_up_tags(state, batch, now), batch)
+    return insert_ignore(top_up_tags(state, batch, now), batch, "link", order)
 
 
 def recapture(state: DataFrame, batch: DataFrame, now: str, key: str = "id") -> DataFrame:
@@ -65,12 +66,27 @@ def recapture(state: DataFrame, batch: DataFrame, now: str, key: str = "id") ->
     return joined.withColumns(values | {"updated_at": F.when(hit, F.lit(now)).otherwise(F.col("updated_at"))}).select(*state.columns)
 
 
+def folded_tag(name: str) -> str:
+    """A name as tags are stored: trimmed, in lower case."""
+    return name.strip().lower()
+
+
+def tagged(state: DataFrame, tag: str) -> int:
+    """How many articles a change of the tag touches."""
+    return state.where(F.array_contains("tags", folded_tag(tag))).count()
+
+
 def rename_tag(state: DataFrame, old: str, new: str, now: str) -> DataFrame:
-    """Rename on every article; where the new name is there already, the two become one."""
+    """Rename on every article; where the new name is there already, the two become one. Names are folded as tags are; to
+    an equal or an empty name there is nothing to do."""
+    old, new = folded_tag(old), folded_tag(new)
+    if not old or not new or old == new:
+        return state
     return change(state, F.array_contains("tags", old), {"tags": rename_in_tags("tags", old, new), "updated_at": now})
 
 
 def delete_tag(state: DataFrame, tag: str, now: str) -> DataFrame:
+    tag = folded_tag(tag)
     return change(state, F.array_contains("tags", tag), {"tags": F.array_remove("tags", tag), "updated_at": now})
 
 
@@ -145,15 +161,21 @@ def assign_category(articles: DataFrame, categories: DataFrame, article_id: str,
 
 
 def delete_articles(articles: DataFrame, sources: DataFrame, tombstones: DataFrame, ids: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Without the ids; the sources' counters go down, not below zero."""
+    """Without the ids; the sources' counters go down, not below zero, which is a change of theirs."""
     gone = articles.join(ids.select("id").distinct(), "id", "left_semi")
     lost = gone.where("source_id is not null").groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("_lost"))
-    fewer = sources.join(lost, "id", "left").withColumn("article_count", F.greatest(F.lit(0), F.col("article_count") - F.coalesce("_lost", F.lit(0)))).select(*sources.columns)
+    left = F.greatest(F.lit(0), F.col("article_count") - F.coalesce("_lost", F.lit(0)))
+    fewer = sources.join(lost, "id", "left").withColumns({"article_count": left} | _touched(sources, F.col("_lost").isNotNull(), now)).select(*sources.columns)
     return articles.join(ids.select("id"), "id", "left_anti"), fewer, tombstone(tombstones, "article", now, gone)
 
 
+def _touched(rows: DataFrame, condition: Column, now: str) -> dict[str, Column]:
+    return {"updated_at": F.when(condition, F.lit(now)).otherwise(F.col("updated_at"))} if "updated_at" in rows.columns else {}
+
+
 def delete_all_articles(articles: DataFrame, sources: DataFrame, tombstones: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return articles.limit(0), sources.withColumn("article_count", F.lit(0).cast("long")), tombstone(tombstones, "article", now, articles)
+    none = sources.withColumns({"article_count": F.lit(0).cast("long")} | _touched(sources, F.lit(True), now))
+    return articles.limit(0), none.select(*sources.columns), tombstone(tombstones, "article", now, articles)
 
 
 def apply_state_log(articles: DataFrame, log: DataFrame) -> DataFrame:

@@ -54,10 +54,10 @@ def collisions(local: DataFrame, remote: DataFrame) -> DataFrame:
 def resolve_articles(articles: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
     """One article a link: the earliest, with the state of all; and (id, winner_id) of the others."""
     keyed = articles.withColumns({"conflict_key": F.col("link"), "created_at": F.col("fetched_at")})
-    losers = dedup.conflict_losers(keyed)
-    crowded = keyed.join(dedup.conflict_winners(keyed).where("n > 1").select("conflict_key"), "conflict_key", "left_semi")
-    merged = dedup.merged_state(crowded).select(F.col("winner_id").alias("id"), F.struct("tags", "reading_progress", "favorited").alias("_m"))
-    kept = articles.join(losers, "id", "left_anti").join(merged, "id", "left")
+    groups = dedup.conflict_groups(keyed).select(F.col("conflict_key").alias("link"), "winner_id", F.struct("tags", "reading_progress", "favorited").alias("_m"))
+    told = articles.join(groups, "link", "left")
+    losers = told.where("id <> winner_id").select("id", "winner_id")
+    kept = told.where("winner_id is null or id = winner_id")
     hit = F.col("_m").isNotNull()
     values = {c: F.when(hit, F.col("_m")[c]).otherwise(F.col(c)) for c in ("tags", "reading_progress", "favorited")}
     return kept.withColumns(values | {"updated_at": F.when(hit, F.lit(now)).otherwise(F.col("updated_at"))}).select(*articles.columns), losers
@@ -88,7 +88,7 @@ def reconcile(local: Replica, remote: Replica, now: Column, now_text: str) -> tu
 
     Plans are cut between the steps: each joins the state with itself, and would double the plan of the one before.
     """
-    deaths = cut(dedup.earliest_tombstones(local.tombstones.unionByName(remote.tombstones)).where(keep_tombstone("deleted_at", now)))
+    deaths = cut(dedup.earliest_tombstones(local.tombstones.unionByName(remote.tombstones).where(keep_tombstone("deleted_at", now))))
     state: dict[str, DataFrame] = {}
     tallies = []
     for kind in ("source", "category", "article"):  # so that references of later ones resolve

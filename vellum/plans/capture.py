@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as X
 from ..functions.urls import clean_link, link_host
+from ..operators.dedup import first_per_key
 
 
 def new_pages(pages: DataFrame, articles: DataFrame, url: str = "url") -> DataFrame:
-    """Pages whose clean link is not stored, one for each link, with that link."""
+    """Pages whose clean link is not stored, one for each link, with that link: the first by its address, then by its other columns."""
     keyed = pages.withColumn("_link", F.coalesce(clean_link(url), X.trim_space(url)))
-    return keyed.join(articles.select(F.col("link").alias("_link")), "_link", "left_anti").dropDuplicates(["_link"])
+    return first_per_key(keyed.join(articles.select(F.col("link").alias("_link")), "_link", "left_anti"), "_link", [url])
 
 
 def capture(pages: DataFrame, now: str, url: str = "url", html: str = "html", published: str | None = None) -> DataFrame:

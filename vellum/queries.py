@@ -14,7 +14,7 @@ from .functions import text as X
 from .functions import urls as U
 from .operators import dedup, filters, gc, library, mutate, sync
 from .plans import capture as capturing
-from .plans import imports
+from .plans import feeds, imports
 from .schemas import ARTICLE_CSV, UNCATEGORIZED
 from .sources import tables
 from .sources.shared import shared_root
@@ -211,6 +211,13 @@ def top_categories(spark, d):
     return library.top_categories(library.category_counts(categories(spark).select("id", "name"), articles(spark, d)))
 
 
+@query(_WITH_AC + f", t as (select c.id, c.name, count(a.id) as n from categories c left join articles a on a.category_id = c.id group by 1, 2), o as (select *, row_number() over (order by n desc, {_CI.format('name')}, name) as place from t) select id, name, n, cast(place as int) as place from o where place <= 5 union all select '__uncategorized__', 'Uncategorized', count(*), 0 from articles where category_id is null")
+def sidebar_categories(spark, d):
+    """T3 with the pinned entry"""
+    rows = articles(spark, d)
+    return library.sidebar_categories(library.category_counts(categories(spark).select("id", "name"), rows), rows)
+
+
 @query("select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as n from orders) where n <= 3")
 def recent_of_each(spark, d):
     """T2, all sources at once"""
@@ -226,8 +233,7 @@ def recent_of_all(spark, d):
 @query("select conv_id, turn, role from conversations where turn < 3")
 def first_of_sequence(spark, d):
     """T7: the first items of each sequence in their order"""
-    gathered = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("items"))
-    return gathered.select("conv_id", F.explode(dedup.first_n("items", 3)).alias("i")).select("conv_id", "i.turn", "i.role")
+    return feeds.first_entries(table(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", 3).drop("place")
 
 
 @query(_WITH_A + "select id, link from articles where fetched_at >= '2024-01-02' and id not in (select id from articles where reading_state = 'unread')")
@@ -261,10 +267,12 @@ def newest_per_key(spark, d):
     return dedup.newest_per_key(rows, ["user_id"], ["ts", "event_id"])
 
 
-@query(_WITH_S + "select s.id, s.feed_url, cast(t.n as bigint) as article_count from sources s join (select feed_url, max(created_at) as m, sum(article_count) as n from sources group by 1) t on s.feed_url = t.feed_url and s.created_at = t.m")
+@query(_WITH_S + "select s.id, s.feed_url, cast(t.n as bigint) as article_count from sources s join (select feed_url, max(created_at) as m, sum(article_count) as n from sources group by 1) t on s.feed_url = t.feed_url and s.created_at = t.m union all select id || '-none', null, article_count from sources")
 def collapse_sources(spark, d):
-    """A10, survivors"""
-    return dedup.collapse_sources(sources(spark, d), articles(spark, d))[0].select("id", "feed_url", "article_count")
+    """A10, survivors; sources without a feed stay"""
+    rows = sources(spark, d)
+    rows = rows.unionByName(rows.withColumns({"id": F.concat("id", F.lit("-none")), "feed_url": F.lit(None).cast("string")}))
+    return dedup.collapse_sources(rows, articles(spark, d))[0].select("id", "feed_url", "article_count")
 
 
 @query(_WITH_AS + ", t as (select id, last_value(id) over (partition by feed_url order by created_at, id rows between unbounded preceding and unbounded following) as w from sources) select a.id, coalesce(t.w, a.source_id) as source_id from articles a left join t on a.source_id = t.id")
@@ -280,10 +288,11 @@ def conflict_winner_merge(spark, d):
     return dedup.merged_state(rows).withColumn("tags", F.array_join("tags", ","))
 
 
-@query(_WITH_A + ", w as (select link, arg_min(id, fetched_at || id) as winner_id, count(*) as n from articles group by link) select a.id, w.winner_id from articles a join w on a.link = w.link where n > 1 and a.id <> w.winner_id")
+@query(_WITH_A + ", k as (select * from articles where id not like '%5' and id not like '%6'), w as (select link, arg_min(id, fetched_at || id) as winner_id, count(*) as n from k group by link) select a.id, w.winner_id from k a join w on a.link = w.link where n > 1 and a.id <> w.winner_id")
 def conflict_losers(spark, d):
-    """A13"""
-    return dedup.conflict_losers(articles(spark, d).withColumns({"conflict_key": F.col("link"), "created_at": F.col("fetched_at")}))
+    """A13; empty and missing keys collide with nothing"""
+    key = F.when(F.col("id").endswith("5"), "").when(~F.col("id").endswith("6"), F.col("link"))
+    return dedup.conflict_losers(articles(spark, d).withColumns({"conflict_key": key, "created_at": F.col("fetched_at")}))
 
 
 @query("select doc_id, sha256(coalesce(text, '')) as content_hash, first_value(doc_id) over (partition by sha256(coalesce(text, '')) order by doc_id) as stored_path from documents")
@@ -314,11 +323,15 @@ def seen_set(spark, d):
     return dedup.new_and_known(rows.select("link"), rows.where("reading_state = 'read'").select("link").distinct(), "link")[1]
 
 
-@query("select event_type as entity_type, cast(user_id as varchar) as entity_id, min(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) as deleted_at from events group by 1, 2")
+@query("""with e as (select event_type as entity_type, cast(user_id as varchar) as entity_id, epoch(ts) // 1 as sec,
+  case event_id % 3 when 0 then strftime(ts + interval 2 hour, '%Y-%m-%dT%H:%M:%S') || '+02:00' when 1 then strftime(ts - interval 5 hour, '%Y-%m-%dT%H:%M:%S') || '-05:00' else strftime(ts, '%Y-%m-%dT%H:%M:%SZ') end as t from events)
+select entity_type, entity_id, t as deleted_at from e qualify row_number() over (partition by entity_type, entity_id order by sec, t) = 1""")
 def earliest_tombstones(spark, d):
-    """A19"""
-    rows = table(spark, d, "events").select(F.col("event_type").alias("entity_type"), F.col("user_id").cast("string").alias("entity_id"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("deleted_at"))
-    return dedup.earliest_tombstones(rows)
+    """A19: the earliest instant, in whatever zone it is written"""
+    ts, n = F.col("ts").cast("timestamp"), F.col("event_id") % 3
+    text = lambda hours, zone: F.concat(F.date_format(F.timestamp_seconds(F.unix_timestamp(ts) + hours * 3600), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(zone))
+    at = F.when(n == 0, text(2, "+02:00")).when(n == 1, text(-5, "-05:00")).otherwise(text(0, "Z"))
+    return dedup.earliest_tombstones(table(spark, d, "events").select(F.col("event_type").alias("entity_type"), F.col("user_id").cast("string").alias("entity_id"), at.alias("deleted_at")))
 
 
 # sync
@@ -361,27 +374,34 @@ def grace_period(spark, d):
 
 @query(_WITH_A + "select id, 'article' as entity_type, link as conflict_key, updated_at, fetched_at as created_at from articles")
 def manifest_entries(spark, d):
-    """SC3, SC14: one line about each row"""
+    """SC3: one line about each row"""
     return sync.manifest_entries(articles(spark, d), "article", "fetched_at").drop("content_hash")
 
 
 @query(_WITH_A + """, w as (select link, arg_min(id, fetched_at || id) as id, count(*) as n, max(reading_progress) as p, bool_or(favorited) as f from articles group by link)
 select a.id, coalesce(case when w.n > 1 then w.p end, a.reading_progress) as reading_progress, case when w.n > 1 then w.f else a.favorited end as favorited, case when w.n > 1 then '2024-06-01T00:00:00Z' else a.updated_at end as updated_at from articles a join w on a.id = w.id""")
 def resolve_articles(spark, d):
-    """A15, D-18"""
+    """A15"""
     rows = articles(spark, d).drop("content")
     return sync.resolve_articles(rows, NOW)[0].select("id", "reading_progress", "favorited", "updated_at")
 
 
-@query("with l as (select doc_id, doc_id % 7 as v from documents where doc_id % 3 <> 0), r as (select doc_id, doc_id % 5 as v from documents where doc_id % 4 <> 0) select 'article' as entity_type, count(*) filter (r.doc_id is not null and (l.doc_id is null or r.v > l.v)) as pulled, count(*) filter (l.doc_id is not null and (r.doc_id is null or l.v > r.v)) as pushed, cast(0 as bigint) as deleted, cast(0 as bigint) as merged from l full join r on l.doc_id = r.doc_id")
+@query(_WITH_AS + """, a as (select cast(substr(id, 2) as int) as n from articles), l as (select n, n % 7 as v from a where n % 3 <> 0 and n % 10 <> 0), r as (select n, n % 5 as v from a where n % 4 <> 0 and n % 10 <> 0),
+u as (select coalesce(l.n, r.n) as n, case when r.n is not null and (l.n is null or r.v > l.v) then 'pull' when l.n is not null and (r.n is null or l.v > r.v) then 'push' end as what from l full join r on l.n = r.n)
+select 'article' as entity_type, count(*) filter (what = 'pull') as pulled, count(*) filter (what = 'push') as pushed, (select count(*) from a where n % 3 <> 0 and n % 10 = 0) as deleted, count(*) - count(distinct n // 2) as merged from u
+union all select 'category', 1, 0, 0, 1
+union all select 'source', 0, count(*) filter (cast(regexp_replace(id, '[^0-9]', '', 'g') as int) % 2 = 0), 0, count(*) - count(distinct feed_url) from sources""")
 def replication_report(spark, d):
-    """ST5, D-17, D-19: a whole pass over two replicas, without conflicts"""
-    rows = articles(spark, d).drop("content").withColumns({"n": F.substring("id", 2, 8).cast("int"), "link": F.concat("link", F.col("id"))})
+    """ST5, D-17 to D-19: a whole pass over two replicas: newer versions both ways, deletions in and beyond retention, conflicts of all three kinds"""
+    n = F.substring("id", 2, 8).cast("int")
+    rows = articles(spark, d).drop("content").withColumns({"n": n, "link": F.concat(F.lit("https://e.com/"), F.floor(n / 2).cast("string"))})
     side = lambda keep, mod: rows.where(keep).withColumn("updated_at", stamp(F.lit(1_704_067_200) + F.col("n") % mod)).drop("n")
-    named = spark.createDataFrame([], "id string, name string, icon string, created_at string, updated_at string")
-    feeds = spark.createDataFrame([], "id string, name string, feed_url string, article_count long, created_at string, updated_at string")
-    deaths = spark.createDataFrame([], "entity_type string, entity_id string, deleted_at string")
-    local, remote = (sync.Replica(side(k, m), named, feeds, deaths) for k, m in (("n % 3 <> 0", 7), ("n % 4 <> 0", 5)))
+    dead = lambda keep, at: rows.where(keep).select(F.lit("article").alias("entity_type"), F.col("id").alias("entity_id"), F.lit(at).alias("deleted_at"))
+    named = categories(spark)
+    more = spark.createDataFrame([("rr", "ENGLISH", "folder", NOW, NOW)], named.schema)
+    feeds_ = sources(spark, d).withColumn("updated_at", F.col("created_at")).select("id", "name", "feed_url", "article_count", "created_at", "updated_at")
+    local = sync.Replica(side("n % 3 <> 0", 7), named, feeds_, dead("n % 10 = 0", "2024-05-30T00:00:00Z"))
+    remote = sync.Replica(side("n % 4 <> 0", 5), named.unionByName(more), feeds_.where(_number("id") % 2 == 1), dead("n % 15 = 0", "2020-01-01T00:00:00Z"))
     return sync.reconcile(local, remote, _now(), NOW)[2]
 
 
@@ -541,16 +561,19 @@ def _bookmarks(spark, d):
 
 @query(_WITH_A + ", s as (select distinct link from articles where reading_state = 'read') select coalesce(category_id, 'Uncategorized') as folder, count(*) as rows, count(*) filter (link in (from s)) as duplicates from articles group by 1")
 def import_preview(spark, d):
-    """A7, SC7, U1, U2, U8"""
+    """A7, U1, U2, U8"""
     rows, stored = _bookmarks(spark, d)
     return imports.preview(rows, stored, X.folder_key("folder"))
 
 
-@query(_WITH_A + ", s as (select distinct link from articles where reading_state = 'read') select count(distinct link) filter (link not in (from s)) as imported, count(*) - count(distinct link) filter (link not in (from s)) as skipped, cast(0 as bigint) as failed from articles")
+@query(_WITH_A + """, r as (select *, substr(id, 8, 2) = '00' as bad from articles), s as (select distinct link from articles where reading_state = 'read'),
+f as (select distinct link from articles where link like '%7'), o as (select case when bad then 'failed' when link in (from s) or row_number() over (partition by link, bad order by id) > 1 then 'skipped' when link in (from f) then 'failed' else 'imported' end as outcome from r)
+select count(*) filter (outcome = 'imported') as imported, count(*) filter (outcome = 'skipped') as skipped, count(*) filter (outcome = 'failed') as failed from o""")
 def import_summary(spark, d):
-    """A8, ST4b"""
-    rows, stored = _bookmarks(spark, d)
-    captures = spark.createDataFrame([], "link string, capture_failed boolean")
+    """A8, ST4b: links that do not parse and captures that failed count as failed"""
+    rows = articles(spark, d).select(F.col("id").alias("line"), F.when(F.substring("id", 8, 2) == "00", F.lit("http://[bad")).otherwise(F.concat("link", F.lit("?utm_source=x#top"))).alias("url"))
+    stored = articles(spark, d).where("reading_state = 'read'")
+    captures = articles(spark, d).where("link like '%7'").select("link", F.lit(True).alias("capture_failed"))
     return imports.summary(imports.outcomes(rows, stored, captures))
 
 
@@ -565,32 +588,46 @@ def bookmark_fields(spark, d):
 # mutations
 
 
-@query(_WITH_A + ", s as (select id, link from articles where reading_state <> 'unread'), n as (select link, min(id) as id from articles where reading_state = 'unread' group by link) select count(*) as n, count(distinct link) as links from (select link from s union all select link from n where link not in (select link from s))")
+@query(_WITH_A + ", s as (select id, link from articles where reading_state <> 'unread'), n as (select link, min(id) as id from articles where reading_state = 'unread' group by link) select id, link from s union all select id, link from n where link not in (select link from s)")
 def insert_ignore(spark, d):
-    """D-1"""
+    """D-1: of new rows with one link the first by id stays"""
+    rows = articles(spark, d).select("id", "link", "reading_state")
+    return mutate.insert_ignore(rows.where("reading_state <> 'unread'"), rows.where("reading_state = 'unread'")).select("id", "link")
+
+
+@query(_WITH_A + ", s as (select id, link from articles where reading_state <> 'unread'), n as (select link, min(id) as id from articles where reading_state = 'unread' group by link), a as (select id, link from s union all select id, link from n where link not in (select link from s)) select id, link from a where link in (select link from n)")
+def insert_and_return(spark, d):
+    """D-1b: the stored row of each link of the batch, new or not"""
     rows = articles(spark, d).select("id", "link", "reading_state")
-    after = mutate.insert_ignore(rows.where("reading_state <> 'unread'"), rows.where("reading_state = 'unread'"))
-    return after.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("link").alias("links"))
+    return mutate.insert_and_return(rows.where("reading_state <> 'unread'"), rows.where("reading_state = 'unread'"))[1].select("id", "link")
+
+
+@query(_WITH_A + ", b as (select link, min(id) as id from articles where reading_state = 'unread' group by link) select id, case when link in (select link from b) then array_to_string(list_append(tags, 'imported'), ',') else array_to_string(tags, ',') end as tags from (select id, link, [lang_of, source_id] as tags from (select *, tags[1] as lang_of from articles) where reading_state <> 'unread') union all select id, 'imported' from b where link not in (select link from articles where reading_state <> 'unread')")
+def imported_rows(spark, d):
+    """D-2: new links are inserted, links already there get the tags only"""
+    rows = articles(spark, d).select("id", "link", "tags", "reading_state", "updated_at")
+    batch = rows.where("reading_state = 'unread'").withColumn("tags", F.array(F.lit("imported")))
+    return mutate.import_rows(rows.where("reading_state <> 'unread'"), batch, NOW).select("id", F.array_join("tags", ",").alias("tags"))
 
 
 @query(_WITH_A + "select id, case when source_id in ('src1', 'src2') and lang_tag <> 'new' then array_to_string(list_append(tags, 'new'), ',') else array_to_string(tags, ',') end as tags, case when source_id in ('src1', 'src2') then '2024-06-01T00:00:00Z' else updated_at end as updated_at from (select *, tags[1] as lang_tag from articles)")
 def tag_top_up(spark, d):
-    """D-2, D-3: rows that gain no tag keep their time of change"""
+    """D-3: rows that gain no tag keep their time of change; incoming tags are folded"""
     rows = articles(spark, d).withColumn("link", F.col("id"))
-    batch = rows.select("link", F.when(F.col("source_id").isin("src1", "src2"), F.array(F.col("tags")[0], F.lit("new"))).otherwise(F.col("tags")).alias("tags"))
+    batch = rows.select("link", F.when(F.col("source_id").isin("src1", "src2"), F.array(F.col("tags")[0], F.lit(" NEW "))).otherwise(F.transform("tags", F.upper)).alias("tags"))
     return mutate.top_up_tags(rows, batch, NOW).select("id", F.array_join("tags", ",").alias("tags"), "updated_at")
 
 
 @query(_WITH_A + "select id, case when list_contains(tags, 'src1') then array_to_string([tags[1], 'src2'], ',') else array_to_string(tags, ',') end as tags, case when list_contains(tags, 'src1') then '2024-06-01T00:00:00Z' else updated_at end as updated_at from articles")
 def rename_tag(spark, d):
-    """D-5"""
-    return mutate.rename_tag(articles(spark, d), "src1", "src2", NOW).select("id", F.array_join("tags", ",").alias("tags"), "updated_at")
+    """D-5: names are folded"""
+    return mutate.rename_tag(articles(spark, d), " SRC1", "Src2 ", NOW).select("id", F.array_join("tags", ",").alias("tags"), "updated_at")
 
 
 @query(_WITH_A + "select id, array_to_string(list_filter(tags, lambda t: t <> 'fr'), ',') as tags from articles")
 def delete_tag(spark, d):
     """D-6"""
-    return mutate.delete_tag(articles(spark, d), "fr", NOW).select("id", F.array_join("tags", ",").alias("tags"))
+    return mutate.delete_tag(articles(spark, d), "FR ", NOW).select("id", F.array_join("tags", ",").alias("tags"))
 
 
 @query(_WITH_A + "select id, case when id = 'a00000003' then 'b,a' else array_to_string(tags, ',') end as tags from articles")
@@ -613,12 +650,20 @@ def delete_category(spark, d):
     return mutate.delete_category(categories(spark), articles(spark, d), deaths, "de", NOW)[1].select("id", "category_id", "updated_at")
 
 
-@query(_WITH_AS + ", g as (select source_id, count(*) as n from articles where reading_state = 'read' group by 1) select s.id, greatest(0, s.article_count - coalesce(g.n, 0)) as article_count from sources s left join g on s.id = g.source_id")
+@query(_WITH_AS + ", g as (select source_id, count(*) as n from articles where reading_state = 'read' and source_id <> 'src1' group by 1) select s.id, greatest(0, s.article_count - coalesce(g.n, 0)) as article_count, case when g.n is null then s.created_at else '2024-06-01T00:00:00Z' end as updated_at from sources s left join g on s.id = g.source_id")
 def delete_articles(spark, d):
-    """D-11, counters"""
+    """D-11, counters and time of change"""
     rows = articles(spark, d)
     deaths = spark.createDataFrame([], "entity_type string, entity_id string, deleted_at string")
-    return mutate.delete_articles(rows, sources(spark, d), deaths, rows.where("reading_state = 'read'").select("id"), NOW)[1].select("id", "article_count")
+    feeds_ = sources(spark, d).withColumn("updated_at", F.col("created_at"))
+    return mutate.delete_articles(rows, feeds_, deaths, rows.where("reading_state = 'read' and source_id <> 'src1'").select("id"), NOW)[1].select("id", "article_count", "updated_at")
+
+
+@query(_WITH_S + "select id, cast(0 as bigint) as article_count, '2024-06-01T00:00:00Z' as updated_at from sources")
+def emptied_sources(spark, d):
+    """D-12, counters and time of change"""
+    deaths = spark.createDataFrame([], "entity_type string, entity_id string, deleted_at string")
+    return mutate.delete_all_articles(articles(spark, d), sources(spark, d).withColumn("updated_at", F.col("created_at")), deaths, NOW)[1].select("id", "article_count", "updated_at")
 
 
 @query(_WITH_A + "select 'article' as entity_type, id as entity_id, '2024-06-01T00:00:00Z' as deleted_at from articles union all select 'article', 'gone', '2024-01-01T00:00:00Z'")
@@ -656,48 +701,59 @@ def upsert_by_id(spark, d):
 
 # pages: what SQL cannot say is held against tests
 
+_FNV = "lower(printf('%016x', cast(list_reduce(list_prepend(14695981039346656037::uhugeint, list_transform(string_split({0}, ''), lambda c: ascii(c)::uhugeint)), lambda a, b: (xor(a::ubigint, b::ubigint)::uhugeint * 1099511628211::uhugeint) % 18446744073709551616::uhugeint) as ubigint)))"
+_LINK = "(case when len(kept) > 0 then base || '?' || array_to_string(kept, '&') else base end)"
+_PAIRS = "with p as (select page_id, url, regexp_replace(url, '#.*$', '') as plain, split_part(regexp_replace(url, '#.*$', ''), '?', 1) as base, case when contains(url, '?') then list_filter(string_split(split_part(regexp_replace(url, '#.*$', ''), '?', 2), '&'), lambda x: not starts_with(x, 'utm_') and split_part(x, '=', 1) not in ('fbclid', 'gclid')) else [] end as kept from pages) "
 
-@query()
+
+@query(_PAIRS + f"select page_id, plain as canonical, {_LINK} as link from p")
 def clean_links(spark, d):
     """U1, U2, U8"""
     return table(spark, d, "pages").select("page_id", U.canonical_url("url").alias("canonical"), U.clean_link("url").alias("link"))
 
 
-@query()
+@query(_PAIRS + ", q as (select *, regexp_extract(plain, '^(https?)://', 1) || '/' || regexp_extract(plain, '^https?://([^/?]+)', 1) || regexp_extract(base, '^https?://[^/]+(/.*)$', 1) || case when ends_with(base, '/') then 'index.html' else '' end as path from p), r as (select *, case when not contains(plain, '?') then path when ends_with(base, '/') then regexp_replace(path, '[.]html$', '') || '.' || substr(" + _FNV.format("plain") + ", 1, 10) || '.html' else path || '.' || substr(" + _FNV.format("plain") + ", 1, 10) end as named from q) select page_id, named as path, named || '.jpg' as forced, " + _FNV.format("url") + " as fnv from r")
 def asset_paths(spark, d):
     """U4, U5, U6"""
     path = U.asset_path("url")
     return table(spark, d, "pages").select("page_id", path.alias("path"), U.forced_extension(path, "jpg").alias("forced"), U.fnv_hex("url").alias("fnv"))
 
 
-@query()
+@query("select page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || regexp_extract(split_part(split_part(url, '#', 1), '?', 1), '^https?://[^/]+(/.*?)[^/]*/[^/]*$', 1) || 'a.png?x=1&y=2' as reference, page_id % 4 <> 3 as blocked from pages")
 def address_checks(spark, d):
     """U7, U10"""
-    return table(spark, d, "pages").select("page_id", U.absolute_reference(F.lit("../a.png?x=1&amp;y=2"), "url").alias("reference"), U.blocked_literal("url").alias("blocked"))
+    n = F.col("page_id") % 4
+    literal = F.when(n == 0, "http://127.0.0.1/x").when(n == 1, "http://[::ffff:10.0.0.1]/").when(n == 2, "http://0xa9fe0001/").otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", U.absolute_reference(F.lit("../a.png?x=1&amp;y=2"), "url").alias("reference"), U.blocked_literal(literal).alias("blocked"))
 
 
-@query()
+#: What a hostile page may hold, and what is left of it.
+_HOSTILE = """<base href="//x"><img src=x y'z onerror=alert(1)><img src=x" onerror=alert(2)><a href onx=1 =javascript:alert(3)>a</a><!--><p onclick=x>--><iframe src="https://v.example/?a&b">in</iframe><a href="java&#9;script:x" id=k>b</a><link rel=modulepreload href=m><meta http-equiv=refresh content="0;url=javascript:x"><noscript><b title="</noscript><img src=y onload=z>">c</b>"""
+_HARMLESS = """<img src=x><img src=x"><a href>a</a><!--><p>--><div class="iframe-placeholder">Frame left out of the archive: <a href="https://v.example/?a&amp;b">https://v.example/?a&amp;b</a></div><a id=k>b</a><noscript></noscript><img src=y>">c</b>"""
+
+
+@query("select page_id, sha256('" + _HARMLESS.replace("'", "''") + "' || regexp_replace(html, '(?s)<script[^>]*>.*?</script>', '', 'g')) as h from pages")
 def sanitized_pages(spark, d):
-    """H8, H9, H10"""
-    return table(spark, d, "pages").select("page_id", F.sha2(H.sanitized("html"), 256).alias("h"))
+    """H8, H9, H10: every page behind a hostile beginning"""
+    return table(spark, d, "pages").select("page_id", F.sha2(H.sanitized(F.concat(F.lit(_HOSTILE), F.col("html"))), 256).alias("h"))
 
 
 @query()
 def captured_pages(spark, d):
-    """H1, H2, H11, H12, A20, D-1b: the capture pipeline"""
+    """H1, H2, H11, H12, A20: the capture pipeline"""
     pages = table(spark, d, "pages")
     stored = articles(spark, d).select("link")
     return capturing.capture(capturing.new_pages(pages, stored), NOW).select("page_id", "link", "title", "excerpt", "read_time_min", "extraction_confident", "capture_failed", F.length("content_html").alias("n"))
 
 
-@query()
+@query(_WITH_A + "select id, title, link, updated_at from articles")
 def blob_round_trip(spark, d):
     """SC15, SK6"""
     rows = articles(spark, d).select("id", "title", "link", "updated_at")
     return tables.rows_of_blobs(tables.row_blobs(rows, "article"), "id string, title string, link string, updated_at string")
 
 
-@query()
+@query("select source, 'f/' || cast(doc_id as varchar) as path, case when doc_id % 2 = 0 then cast(octet_length(encode(coalesce(text, ''))) as int) end as n, case when doc_id % 2 <> 0 then sha256(coalesce(text, '')) end as pointer from documents")
 def image_bundles(spark, d):
     """SK5: a bundle of whole texts for each document"""
     entries = table(spark, d, "documents").select("doc_id", "source", F.concat(F.lit("f/"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("body"), X.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"), (F.col("doc_id") % 2 == 0).alias("literal"))
@@ -705,6 +761,23 @@ def image_bundles(spark, d):
     return packed.select("source", F.explode(tables.unbundled("data")).alias("e")).select("source", "e.path", F.length("e.body").alias("n"), "e.pointer")
 
 
+@query("select 'content/' || cast(page_id as varchar) || '/p.html' as key, cast(octet_length(encode(html)) as bigint) as size from pages")
+def asset_files(spark, d):
+    """SK4, SC13: each asset as a file, listed again by prefix"""
+    folder = _scratch(spark, "assets")
+    pages = table(spark, d, "pages").select(F.concat(F.lit("content/"), F.col("page_id").cast("string"), F.lit("/p.html")).alias("path"), F.col("html").alias("body"))
+    tables.write_assets(pages.unionByName(spark.createDataFrame([("other/x.svg", "<svg/>")], "path string, body string")), folder)
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_extract("path", "/(content/.*)$", 1).alias("key"), F.col("length").alias("size"))
+    return tables.list_blobs(spark, folder, "content/").join(sizes, "key").select("key", "size")
+
+
+@query("select page_id, case when page_id % 3 = 0 then 404 else 200 end as status, case when page_id % 3 <> 0 then 'image/png' end as type from pages")
+def content_server(spark, d):
+    """SK7: a file is served while its owner is live"""
+    pages = table(spark, d, "pages").select("page_id", F.col("page_id").cast("string").alias("id"))
+    return tables.served(pages.withColumn("path", F.lit("a/b.png")), pages.where("page_id % 3 <> 0")).select("page_id", "status", "type")
+
+
 # more of the library, over generated inputs
 
 
@@ -716,8 +789,8 @@ def source_export(spark, d):
 
 @query("select page_id % 3 = 0 as feed, count(*) as n from pages group by 1")
 def sniffed_bodies(spark, d):
-    """SC16: feeds become sources, the rest single captures"""
-    body = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<?xml version='1.0'?>\n<rss version='2.0'>"), F.col("html"))).otherwise(F.col("html"))
+    """SC16: feeds become sources, the rest single captures; a feed may begin with a long comment"""
+    body = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<?xml version='1.0'?>\n<!-- "), F.repeat(F.lit("long "), 1000), F.lit("-->\n"), F.when(F.col("page_id") % 2 == 0, "<rss version='2.0'>").otherwise("<feed>"), F.col("html"))).otherwise(F.col("html"))
     feeds, pages = tables.sniffed(table(spark, d, "pages").select("page_id", body.alias("body")))
     count = lambda df, feed: df.groupBy(F.lit(feed).alias("feed")).agg(F.count(F.lit(1)).alias("n"))
     return count(feeds, True).unionByName(count(pages, False))
@@ -733,12 +806,12 @@ def fetched_assets(spark, d):
     return tables.usable_assets(references, assets, U.blocked_literal("url")).select("page_id", F.col("body").isNotNull().alias("stored"))
 
 
-@query("select page_id, case when page_id % 2000 >= 1200 then 'a' when page_id % 3000 >= 1200 then 'b' when page_id % 2000 >= page_id % 3000 and page_id % 2000 >= 800 then 'a' when page_id % 3000 >= 800 then 'b' else 'c' end as pick from pages where page_id % 2000 < 1200 or page_id % 3000 < 1200")
+@query("with c as (select page_id, page_id * 7 % 2000 as n, page_id * 13 % 3000 as m from pages), w as (select page_id, unnest([{'w': n, 'u': 'a', 'i': 0}, {'w': m, 'u': 'b', 'i': 1}, {'w': 800, 'u': 'c', 'i': 2}], recursive := true) from c) select page_id, u as pick from w qualify row_number() over (partition by page_id order by case when w >= 1200 then 0 else 1 end, case when w >= 1200 then w else -w end, i) = 1")
 def srcset_picks(spark, d):
-    """T8: the narrowest of those wide enough, else the widest; a bare URL counts as 800"""
-    n, m = F.col("page_id") % 2000, F.col("page_id") % 3000
-    raw = F.concat(F.lit("a "), n.cast("string"), F.lit("w, b "), m.cast("string"), F.lit("w, c"))
-    return table(spark, d, "pages").where((n < 1200) | (m < 1200)).select("page_id", H.srcset_pick(raw).alias("pick"))
+    """T8: the narrowest of those wide enough, else the widest; a bare URL counts as 800; any white space before a descriptor"""
+    n, m = F.col("page_id") * 7 % 2000, F.col("page_id") * 13 % 3000
+    raw = F.concat(F.lit("a\t"), n.cast("string"), F.lit("w,\n b  "), m.cast("string"), F.lit("w, c"))
+    return table(spark, d, "pages").select("page_id", H.srcset_pick(raw).alias("pick"))
 
 
 @query("select page_id, page_id % 3 <> 2 as bad from pages")
@@ -820,7 +893,7 @@ def _scratch(spark, label: str) -> str:
 
 @query(_WITH_A + "select 'a,\"' || id || '\"' || chr(10) || 'b' as title, link as url, coalesce(category_id, '') as category, 'x,y' as tags, fetched_at as created, cast(favorited as varchar) as favourite from articles")
 def csv_round_trip(spark, d):
-    """SC8 to SC10, SK1, SK3: commas, quotes and line feeds in cells, written and read again"""
+    """SC8, SC10, SK1, SK3: commas, quotes and line feeds in cells, written and read again"""
     rows = articles(spark, d).select(F.concat(F.lit('a,"'), F.col("id"), F.lit('"\nb')).alias("title"), F.col("link").alias("url"), F.coalesce("category_id", F.lit("")).alias("category"), F.lit("x,y").alias("tags"), F.col("fetched_at").alias("created"), F.col("favorited").cast("string").alias("favourite"))
     path, n = tables.write_csv(rows, _scratch(spark, "csv"), "articles", NOW)
     if n != tables.validate_csv(spark, path, ARTICLE_CSV, ("url",), "url"):
@@ -828,23 +901,155 @@ def csv_round_trip(spark, d):
     return tables.read_article_csv(spark, path, NOW)
 
 
+def _feed_bodies(docs, kind):
+    """(source, body): a feed of each source with the first 40 of its documents, in the syntax of its kind."""
+    first = feeds.first_entries(docs, "source", "doc_id", 40).withColumn("kind", kind)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    link, lang, source, k = F.col("link"), F.col("lang"), F.col("source"), F.col("kind")
+    rss = text("<item><link>", link, " </link><category>", lang, "</category><category>x</category></item>")
+    atom = text("<entry><link rel='enclosure' href='https://e.com/no'/><link href='", link, "'/><category term='", lang, "'/><category term='x'/></entry>")
+    rdf = text("<item><link>", link, "</link><dc:subject>", lang, "</dc:subject><dc:subject>x</dc:subject></item>")
+    as_json = F.to_json(F.struct(link.alias("url"), F.array(lang, F.lit("x")).alias("tags")))
+    item = F.when(k == 0, rss).when(k == 1, atom).when(k == 2, rdf).otherwise(as_json)
+    items = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))), lambda x: x["item"])  # 40 of them
+    body = (
+        F.when(k == 0, text("<rss version='2.0'><channel><title>", source, "</title>", F.array_join("items", ""), "</channel></rss>"))
+        .when(k == 1, text("<?xml version='1.0'?><feed xmlns='http://www.w3.org/2005/Atom'><title type='text'>", source, "</title>", F.array_join("items", ""), "</feed>"))
+        .when(k == 2, text("<rdf:RDF xmlns:rdf='http://www.w3.org/1999/02/22-rdf-syntax-ns#' xmlns='http://purl.org/rss/1.0/' xmlns:dc='http://purl.org/dc/elements/1.1/'><channel><title>", source, "</title></channel>", F.array_join("items", ""), "</rdf:RDF>"))
+        .otherwise(text('{"version": "https://jsonfeed.org/version/1.1", "title": "', source, '", "items": [', F.array_join("items", ","), "]}"))
+    )
+    return first.groupBy("source", "kind").agg(items.alias("items")).select("source", body.alias("body"))
+
+
+def _number(c="source"):
+    return F.regexp_replace(c, "[^0-9]", "").cast("int")
+
+
 @query("select source as title, cast(row_number() over (partition by source order by doc_id) - 1 as int) as place, 'https://e.com/' || cast(doc_id as varchar) as link, lang || '|x' as tags from documents where source is not null qualify row_number() over (partition by source order by doc_id) <= 30")
 def feed_scan(spark, d):
-    """SC11, SC12, H14: a feed file for each source; its first 30 entries in document order"""
-    docs = table(spark, d, "documents").where("source is not null")
-    item = F.concat(F.lit("<item><link>https://e.com/"), F.col("doc_id").cast("string"), F.lit(" </link><category>"), F.col("lang"), F.lit("</category><category>x</category></item>"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))), lambda x: x["item"]), "")
-    files = docs.groupBy("source").agg(F.concat(F.lit("<rss version='2.0'><channel><title>"), F.col("source"), F.lit("</title>"), body, F.lit("</channel></rss>")).alias("value"))
+    """SC11: a feed file for each source, RSS, Atom, RDF or JSON; its first 30 entries in document order"""
+    docs = table(spark, d, "documents").where("source is not null").select("doc_id", "source", "lang", F.concat(F.lit("https://e.com/"), F.col("doc_id").cast("string")).alias("link"))
     path = _scratch(spark, "feeds")
-    files.select("source", "value").write.partitionBy("source").text(path)
-    feeds = tables.read_rss(spark, f"{path}/source=*")
-    entries = tables.feed_entries(feeds).join(feeds.select("feed", "title"), "feed")
+    _feed_bodies(docs, _number() % 4).select("source", F.col("body").alias("value")).write.partitionBy("source").text(path)
+    read = tables.read_feeds(spark, f"{path}/source=*")
+    entries = tables.feed_entries(read).join(read.select("feed", "title"), "feed")
     return entries.select("title", "place", "link", F.array_join("tags", "|").alias("tags"))
 
 
+_SYNC_SQL = f"""with {SOURCES_SQL}, s as (select *, cast(regexp_replace(id, '[^0-9]', '', 'g') as int) as k from sources0),
+v as (select *, case when k % 5 = 0 then 'status 500' when k % 5 = 1 then 'not a feed' when k % 7 = 6 then 'no answer' end as error, k % 5 > 1 and k % 7 = 3 as same from s where status in ('active', 'error')),
+e as (select d.source, d.doc_id, row_number() over (partition by d.source order by d.doc_id) as place from documents d where d.source is not null),
+f as (select e.*, 'https://example.org/new/' || cast(doc_id as varchar) as link from e join v on e.source = v.id where v.error is null and not v.same and place <= 30 and doc_id % 2 = 1),
+n as (select source, count(*) as added from f group by 1) """
+
+
+def _synced(spark, d):
+    """Sources of which some are paused, fail, answer nonsense or have nothing new; half of the entries are stored."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", F.concat(F.lit("https://example.org/new/"), F.col("doc_id").cast("string")).alias("link"))
+    stored = articles(spark, d).drop("content").withColumns({"link": F.concat(F.lit("https://example.org/new/"), F.substring("id", 2, 8).cast("int").cast("string")), "capture_failed": F.lit(False)}).where(F.substring("id", 2, 8).cast("int") % 2 == 0)
+    state = sources(spark, d).where(~F.col("id").endswith("b")).withColumns({"name": F.col("feed_url"), "last_error": F.lit("old"), "last_synced_at": F.lit(None).cast("string"), "updated_at": F.col("created_at"), "feed_etag": F.lit("e0"), "feed_last_modified": F.lit(None).cast("string")})
+    k = _number()
+    fetched = _feed_bodies(docs.where("source is not null"), k % 4).join(state.select(F.col("id").alias("source"), "feed_url"), "source")
+    fetched = fetched.select("feed_url", F.when(k % 5 == 0, 500).when((k % 5 > 1) & (k % 7 == 3), 304).otherwise(200).alias("status"), F.when(k % 5 == 1, "<html>no feed</html>").otherwise(F.col("body")).alias("body"), F.lit("e1").alias("etag"), F.lit("m1").alias("last_modified"), (k % 7 == 6).alias("lost"), (k % 5).alias("kind"))
+    fetched = fetched.where("not (lost and kind > 1)").drop("lost", "kind")
+    pages = docs.where("doc_id % 3 = 0").select(F.concat("link", F.lit("?utm_source=feed")).alias("url"), F.concat(F.lit("<title>page "), F.col("doc_id").cast("string"), F.lit("</title><body>x</body>")).alias("html"))
+    return feeds.sync_feeds(stored, state, fetched, pages, NOW), stored
+
+
+@query(_SYNC_SQL + "select v.id, coalesce(n.added, 0) as added, v.error from v left join n on v.id = n.source")
+def feed_sync(spark, d):
+    """ST1, SC11: a sync of all sources; one that fails stops no other"""
+    return _synced(spark, d)[0][2]
+
+
+@query(_SYNC_SQL + "select s.id, case when v.id is null then s.status when v.error is null then 'active' else 'error' end as status, case when v.id is null then 'old' else v.error end as last_error, s.article_count + coalesce(n.added, 0) as article_count, case when v.id is not null and v.error is null and not v.same then s.id else s.feed_url end as name, case when v.id is not null and v.error is null and not v.same then 'e1' else 'e0' end as feed_etag, case when v.id is not null and v.error is null then '2024-06-01T00:00:00Z' end as last_synced_at from s left join v on s.id = v.id left join n on s.id = n.source")
+def feed_sync_sources(spark, d):
+    """ST1, D-15: what a sync leaves with each source"""
+    return _synced(spark, d)[0][1].select("id", "status", "last_error", "article_count", "name", "feed_etag", "last_synced_at")
+
+
+@query(_SYNC_SQL + "select link, source as source_id, doc_id % 3 <> 0 as capture_failed, case when doc_id % 3 = 0 then 'page ' || cast(doc_id as varchar) else 'example.org' end as title, '2024-06-01T00:00:00Z' as published_at from f")
+def feed_sync_articles(spark, d):
+    """SC12, H14, D-1: entries that are new, those without a page as rows that say so; a time of publication is set where none is"""
+    (after, _, _), stored = _synced(spark, d)
+    return after.withColumn("published_at", F.col("updated_at")).join(stored.select("id"), "id", "left_anti").select("link", "source_id", "capture_failed", "title", "published_at")
+
+
+_IMPORT_SQL = f"""with {ARTICLES_SQL}, {CATEGORIES_SQL}, r as (select *, cast(substr(id, 2) as int) as line, cast(substr(id, 2) as int) % 10 = 0 as bad, cast(regexp_extract(link, '/([0-9]+)$', 1) as int) % 2 = 0 as there from articles),
+s as (select * from r where reading_state = 'read'), b as (select *, row_number() over (partition by link order by line) as nth from r where not bad) """
+
+
+def _imported(spark, d):
+    line = F.substring("id", 2, 8).cast("int")
+    rows = articles(spark, d).select(line.alias("line"), "title", F.when(line % 10 == 0, "http://[bad").otherwise(F.concat("link", F.lit("?utm_source=x#top"))).alias("url"), F.when(F.col("category_id").isNull(), "Unsorted").otherwise(F.concat(F.lit(" "), F.col("category_id"))).alias("folder"), F.lit("A, b,,a").alias("tags"), F.col("fetched_at").alias("created"), F.lit("true").alias("favorite"))
+    path = _scratch(spark, "bookmarks")
+    tables.write_csv(rows.drop("line").withColumn("id", F.lit("x")), path, "b", NOW)
+    stored = articles(spark, d).drop("content").withColumn("capture_failed", F.lit(False)).where("reading_state = 'read'")
+    pages = articles(spark, d).where(F.regexp_extract("link", "/([0-9]+)$", 1).cast("int") % 2 == 0).select(F.col("link").alias("url"), F.lit("<title>T</title><body>x</body>").alias("html"))
+    return imports.import_job(rows, stored, categories(spark), pages, NOW), stored
+
+
+@query(_IMPORT_SQL + "select line, case when bad then 'failed' when link in (select link from s) then 'skipped' when line > (select min(line) from b where b.link = r.link) then 'skipped' when not there then 'failed' else 'imported' end as outcome from r")
+def import_outcomes(spark, d):
+    """ST4b, A8: what became of each row of an import"""
+    return _imported(spark, d)[0][2].select("line", "outcome")
+
+
+@query(_IMPORT_SQL + "select b.link, case when b.title = '' then case when there then 'T' else 'example.org' end else b.title end as title, 'a,b' as tags, true as favorited, not there as capture_failed, b.fetched_at, case when b.category_id is null then null else lower(b.category_id) end as folder from b where nth = 1 and link not in (select link from s)")
+def import_articles(spark, d):
+    """J12, M3 to M5, D-2: rows that an import adds, with their folder's category"""
+    (after, known, _), stored = _imported(spark, d)
+    named = known.select(F.col("id").alias("category_id"), F.lower("name").alias("folder"))
+    new = after.join(stored.select("id"), "id", "left_anti").join(named, "category_id", "left")
+    return new.select("link", "title", F.array_join("tags", ",").alias("tags"), "favorited", "capture_failed", "fetched_at", "folder")
+
+
+@query(_IMPORT_SQL + "select id, case when link in (select link from b) then array_to_string(list_distinct_in_order, ',') else array_to_string(tags, ',') end as tags from (select *, list_concat(tags, list_filter(['a', 'b'], lambda t: not list_contains(tags, t))) as list_distinct_in_order from s)")
+def import_top_ups(spark, d):
+    """D-3 in an import: rows already there get the tags"""
+    (after, _, _), stored = _imported(spark, d)
+    return after.join(stored.select("id"), "id", "left_semi").select("id", F.array_join("tags", ",").alias("tags"))
+
+
+@query(_WITH_A + "select title, link as url, coalesce(category_id, '') as folder, 'x,y' as tags, fetched_at as created, cast(favorited as varchar) as favorite from articles where id not like '%3'")
+def bookmark_file(spark, d):
+    """SC7: a bookmark file with columns of its own; rows without an address are dropped"""
+    rows = articles(spark, d).select(F.lit("9").alias("id"), F.col("title"), F.lit("n").alias("note"), F.when(F.col("id").endswith("3"), " ").otherwise(F.col("link")).alias("url"), F.coalesce("category_id", F.lit("")).alias("folder"), F.lit("x,y").alias("tags"), F.col("fetched_at").alias("created"), F.col("favorited").cast("string").alias("favorite"))
+    path, _ = tables.write_csv(rows, _scratch(spark, "bookmarks"), "b", NOW)
+    return tables.read_bookmarks(spark, path).drop("line")
+
+
+@query(_WITH_S + "select feed_url from sources")
+def feed_file(spark, d):
+    """SC9, SK2: the feeds' own export read again"""
+    rows = tables.source_rows(sources(spark, d).withColumn("last_synced_at", F.lit(None).cast("string")))
+    path, _ = tables.write_csv(rows.unionByName(rows.limit(1).withColumn("feed_url", F.lit("  "))), _scratch(spark, "feeds"), "s", NOW)
+    return tables.read_feed_urls(spark, path)
+
+
+@query(_WITH_A + "select id, link, updated_at, cast(7 as bigint) as version from articles")
+def manifest_round_trip(spark, d):
+    """SC14: a manifest written and read again"""
+    entries = sync.manifest_entries(articles(spark, d), "article", "fetched_at")
+    path = _scratch(spark, "manifest")
+    tables.write_manifest(entries, spark.createDataFrame([("article", "x", NOW)], "entity_type string, entity_id string, deleted_at string"), 7, path)
+    read, dead, version = tables.read_manifest(spark, path, "id string, entity_type string, conflict_key string, updated_at string, created_at string, content_hash string", "entity_type string, entity_id string, deleted_at string")
+    if dead.count() != 1:
+        raise AssertionError("tombstones were lost")
+    return read.select("id", F.col("conflict_key").alias("link"), "updated_at", F.lit(version).cast("long").alias("version"))
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels where toxic = 1 and doc_id is not null)")
+def applied_tombstones(spark, d):
+    """D-18"""
+    rows = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"))
+    gone = table(spark, d, "labels").select(F.when(F.col("toxic") == 1, "article").otherwise("source").alias("entity_type"), F.col("doc_id").cast("string").alias("entity_id"))
+    return mutate.apply_tombstones(rows, "article", gone).select("doc_id")
+
+
 @query("select doc_id, case when doc_id % 2 = 0 then 'second' else 'first' end as version from documents")
 def snapshot_commits(spark, d):
-    """SC13, SC14: a conditional write publishes a version; one that lost the race is tried again"""
+    """SC13: a conditional write publishes a version; one that lost the race is tried again"""
     docs = table(spark, d, "documents").select("doc_id")
     store = Store(spark, _scratch(spark, "store"), {"t": "doc_id long, version string"})
     store.commit({"t": docs.withColumn("version", F.lit("first"))}, 0)

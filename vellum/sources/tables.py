@@ -5,13 +5,16 @@ from __future__ import annotations
 import gzip
 import io
 import tarfile
+import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import blob_key, trim_space
+from ..functions.text import blob_key, media_type, trim_space
 from ..schemas import ARTICLE_CSV, BOOKMARK_CSV, FEED_CSV
 
 FEED_ENTRIES = 30
@@ -24,14 +27,16 @@ class BadCsv(ValueError):
 
 def read_csv(spark: SparkSession, path: str, schema: str, required: tuple[str, ...], key: str) -> DataFrame:
     """Rows with the schema's columns, found by name; other columns are ignored, missing ones empty, rows with a blank
-    key dropped. Quoted line feeds and doubled quotes are read; a row with too few or too many cells fails the read."""
+    key dropped. Quoted line feeds and doubled quotes are read; a row with too few or too many cells fails the read. The
+    column `line` numbers the rows in file order."""
     options = {"header": True, "multiLine": True, "escape": '"', "mode": "FAILFAST", "enforceSchema": False}
     head = spark.read.options(**options).csv(path)
     lost = [c for c in required if c not in head.columns]
     if lost:
         raise BadCsv(f"no column {', '.join(lost)}")
     names = [part.split()[0] for part in schema.split(", ")]
-    return head.select([F.coalesce(F.col(c), F.lit("")).alias(c) if c in head.columns else F.lit("").alias(c) for c in names]).where(trim_space(key) != "")
+    numbered = head.withColumn("_line", F.monotonically_increasing_id())  # over the scan itself: the same at each reading
+    return numbered.select([F.coalesce(F.col(c), F.lit("")).alias(c) if c in head.columns else F.lit("").alias(c) for c in names] + [F.col("_line").alias("line")]).where(trim_space(key) != "")
 
 
 def read_bookmarks(spark: SparkSession, path: str) -> DataFrame:
@@ -39,12 +44,13 @@ def read_bookmarks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_article_csv(spark: SparkSession, path: str, now: str) -> DataFrame:
-    rows = read_csv(spark, path, ARTICLE_CSV, ("url",), "url")
+    rows = read_csv(spark, path, ARTICLE_CSV, ("url",), "url").drop("line")
     return rows.withColumn("created", F.when(trim_space("created") == "", F.lit(now)).otherwise(F.col("created")))
 
 
 def read_feed_urls(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, FEED_CSV, ("feed_url",), "feed_url").select(trim_space("feed_url").alias("feed_url"))
+    """Feed addresses in file order."""
+    return read_csv(spark, path, FEED_CSV, ("feed_url",), "feed_url").orderBy("line").select(trim_space("feed_url").alias("feed_url"))
 
 
 def validate_csv(spark: SparkSession, path: str, schema: str, required: tuple[str, ...], key: str) -> int:
@@ -58,11 +64,11 @@ def validate_csv(spark: SparkSession, path: str, schema: str, required: tuple[st
 
 
 def write_csv(df: DataFrame, folder: str, stem: str, at: str) -> tuple[str, int]:
-    """Write under a name with the time in it; the path and the number of rows."""
+    """Write under a name with the time in it; the path and the number of rows, counted as they are written."""
     path = f"{folder.rstrip('/')}/{stem}-{''.join(c if c.isalnum() else '-' for c in at)}"
-    rows = df.count()
-    df.write.csv(path, header=True, escape='"', quoteAll=False, emptyValue="")
-    return path, rows
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.csv(path, header=True, escape='"', quoteAll=False, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return path, seen.get["n"]
 
 
 def source_rows(sources: DataFrame) -> DataFrame:
@@ -72,25 +78,61 @@ def source_rows(sources: DataFrame) -> DataFrame:
 
 # feeds
 
+_ITEM = "array<struct<link: string, tags: array<string>>>"
+_RSS = "channel struct<title: string, item: array<struct<link: string, guid: string, category: array<string>>>>"
+_ATOM = "title string, entry array<struct<link: array<struct<_href: string, _rel: string>>, id: string, category: array<struct<_term: string>>>>"
+_RDF = "channel struct<title: string>, item array<struct<link: string, subject: array<string>>>"
+_JSON = "title string, items array<struct<url: string, id: string, tags: array<string>>>"
+#: How a body begins, after prologue and comments, that is a feed of a kind.
+_ROOTS = {"rss": "rss", "atom": "feed", "rdf": "rdf:RDF"}
+_PROLOGUE = r"(?s)^[\uFEFF\s]*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*"
 
 
-def read_rss(spark: SparkSession, path: str) -> DataFrame:
-    """One row a feed file: title and the first FEED_ENTRIES items in document order."""
-    schema = T.StructType.fromDDL("channel struct<title: string, item: array<struct<link: string, title: string, guid: string, category: array<string>>>>")
-    feeds = spark.read.format("xml").option("rowTag", "rss").schema(schema).load(path)
-    return feeds.select(F.input_file_name().alias("feed"), F.col("channel.title").alias("title"), F.slice(F.coalesce("channel.item", F.array().cast("array<struct<link:string,title:string,guid:string,category:array<string>>>")), 1, FEED_ENTRIES).alias("items"))
+def feed_kind(body: Column | str) -> Column:
+    """rss, atom, rdf or json; null for what is no feed. The whole prologue is read, however long."""
+    body = F.col(body) if isinstance(body, str) else body
+    kind = F.lit(None).cast("string")
+    for name, root in _ROOTS.items():
+        kind = F.when(F.regexp_like(body, F.lit(rf"{_PROLOGUE}<{root}[\s>/]")), name).otherwise(kind)
+    return F.when(F.regexp_like(body, F.lit(r'^[\uFEFF\s]*\{')) & F.contains(F.replace(body, F.lit("\\/"), F.lit("/")), F.lit("://jsonfeed.org/version/")), "json").otherwise(kind)
+
+
+def parsed_feed(body: Column | str) -> Column:
+    """(title, items) of a body, items in document order with their first link and tags; null if it does not parse as a feed."""
+    body = F.col(body) if isinstance(body, str) else body
+    text = F.regexp_replace(body, F.lit(r"^\uFEFF"), F.lit(""))
+    none = F.array().cast("array<string>")
+    rss, atom, rdf = (F.from_xml(text, schema, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}) for schema in (_RSS, _ATOM, _RDF))
+    page = lambda links: F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    first = lambda links: F.coalesce(F.try_element_at(page(links), F.lit(1))["_href"], F.try_element_at(links, F.lit(1))["_href"])
+    item = lambda link, tags: F.struct(link.alias("link"), F.coalesce(tags, none).alias("tags"))
+    feed = lambda title, items: F.struct(title.alias("title"), F.coalesce(items, F.array().cast(_ITEM)).cast(_ITEM).alias("items"))
+    as_json = F.from_json(text, _JSON)
+    kind = feed_kind(body)
+    return (
+        F.when((kind == "rss") & rss["channel"].isNotNull(), feed(rss["channel"]["title"], F.transform(rss["channel"]["item"], lambda x: item(F.coalesce(x["link"], x["guid"]), x["category"]))))
+        .when((kind == "atom") & (atom["title"].isNotNull() | atom["entry"].isNotNull()), feed(atom["title"], F.transform(atom["entry"], lambda x: item(first(x["link"]), F.transform(x["category"], lambda c: c["_term"])))))
+        .when((kind == "rdf") & rdf["channel"].isNotNull(), feed(rdf["channel"]["title"], F.transform(rdf["item"], lambda x: item(x["link"], x["subject"]))))
+        .when((kind == "json") & as_json["items"].isNotNull(), feed(as_json["title"], F.transform(as_json["items"], lambda x: item(F.coalesce(x["url"], x["id"]), x["tags"]))))
+    )
+
+
+def read_feeds(spark: SparkSession, path: str) -> DataFrame:
+    """One row a feed file, RSS, Atom, RDF or JSON: title and the first FEED_ENTRIES items in document order; both null for
+    a file that is no feed."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("feed"), parsed_feed("value").alias("_f"))
+    return files.select("feed", F.col("_f.title").alias("title"), F.slice("_f.items", 1, FEED_ENTRIES).alias("items"))
 
 
 def feed_entries(feeds: DataFrame) -> DataFrame:
     """Links and tags of the items, in order; items without a link are dropped."""
     items = feeds.select("feed", F.posexplode("items").alias("place", "item"))
-    return items.select("feed", "place", trim_space("item.link").alias("link"), F.coalesce("item.category", F.array().cast("array<string>")).alias("tags")).where("link <> ''")
+    return items.select("feed", "place", trim_space("item.link").alias("link"), F.col("item.tags").alias("tags")).where("link <> ''")
 
 
 def looks_like_feed(body: Column | str) -> Column:
     """Whether a fetched body is a feed: those become recurring sources, others single captures."""
-    body = F.col(body) if isinstance(body, str) else body
-    return F.regexp_like(F.substring(body, 1, 2000), F.lit(r"(?s)^\s*(<\?xml[^>]*\?>)?\s*(<!--.*?-->\s*)*<(rss|feed|rdf:RDF)[\s>]"))
+    return feed_kind(body).isNotNull()
 
 
 def sniffed(bodies: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
@@ -150,8 +192,43 @@ def read_manifest(spark: SparkSession, path: str, entry_schema: str, tombstone_s
     return spark.read.schema(entry_schema).json(f"{path}/entries"), spark.read.schema(tombstone_schema).json(f"{path}/tombstones"), version[0] if version else 0
 
 
+def write_assets(assets: DataFrame, folder: str, path: str = "path", data: str = "body") -> int:
+    """Each asset as a file of its own under the folder, which is emptied first; SVG is gzipped. The folder may be in any store
+    that Arrow can write to. A file appears whole: it is written beside and then moved. The number of files."""
+    spark = assets.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+    where = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+    def write(batches):
+        files, base = fs.FileSystem.from_uri(where.replace("file:/", "file:///", 1) if where.startswith("file:/") and not where.startswith("file://") else where)
+        n = 0
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                parts = [p for p in (name or "").split("/") if p not in ("", ".")]
+                if not parts or ".." in parts:
+                    raise ValueError(f"not a path inside the folder: {name!r}")
+                target, content = f"{base}/{'/'.join(parts)}", body.as_py() or b""
+                files.create_dir(target.rpartition("/")[0], recursive=True)
+                draft = f"{target}.{uuid.uuid4().hex}"
+                with files.open_output_stream(draft) as out:
+                    out.write(gzip.compress(content, mtime=0) if target.lower().endswith(".svg") else content)
+                files.move(draft, target)
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    return assets.select(path, F.col(data).cast("binary")).mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def served(requests: DataFrame, live: DataFrame, path: str = "path", owner: str = "id") -> DataFrame:
+    """What the content server answers: status and media type of each request; 404 unless its owner is live."""
+    known = live.select(F.col("id").alias(owner)).distinct().withColumn("_live", F.lit(True))
+    status = F.when(F.col("_live"), 200).otherwise(404)
+    return requests.join(known, owner, "left").withColumns({"status": status, "type": F.when(F.col("_live"), media_type(path))}).drop("_live")
+
+
 def list_blobs(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
-    """(key, last_modified) of the files under a folder, without their content."""
+    """(key, last_modified) of the files under a folder, without their content; Spark's listing leaves empty files out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime")
     key = F.regexp_replace("path", F.lit("^.*?" + path.rstrip("/").split(":", 1)[-1].lstrip("/").replace(".", "\\.") + "/"), F.lit(""))
     return files.select(key.alias("key"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_modified")).where(F.startswith("key", F.lit(prefix)))
