@@ -21,7 +21,7 @@
    start from points carried on by momentum, which begins anew where it points uphill; S is linear in the rates, so
    it is known there without another pass. The descent ends when no rate would move: clipped cells do not count.
    Documents of one cell and label share posteriors, start and steps, hence their rate: the table of cells
-   carries the descent, domains are rows of its sums, and each step is one aggregation with a row a domain to the driver.
+   carries the descent, and each step is one aggregation of it with a number a domain to the driver.
 4. Copies: floor(rate) of each document, and one more with the fraction's probability, by a hash of the id.
 
 Defined cases: null text has no tokens, and its rate follows from its cell; a null domain is unlabelled; with no labels at
@@ -48,7 +48,7 @@ NOISE = 0.1
 #: Powers of the text's evidence that are tried, and which part of the labelled documents is held out meanwhile.
 TEMPERS, HELD_OUT = tuple(i / 10 for i in range(11)), 5
 #: A posterior has an entry for each domain; more are refused. Up to SOLVED of them, G is a full matrix.
-MAX_DOMAINS, SOLVED = 10_000, 256
+MAX_DOMAINS, SOLVED, WIDE = 10_000, 256, 64
 #: Steps after which a descent is reported as not converged.
 ROUNDS = 1000
 #: The descent ends when a step moves no rate by more than this (times the budget, if that is over 1).
@@ -100,22 +100,28 @@ def _names(values: list[str]) -> Column:
     return F.from_json(F.lit(json.dumps(values)), "array<string>")
 
 
-def domains_of(cells: DataFrame) -> dict[str, float]:
-    """Documents by domain, in order: MAX_DOMAINS at most come to the driver."""
-    found = {r[0]: float(r[1]) for r in cells.where("_domain is not null").groupBy("_domain").agg(F.sum("docs")).limit(MAX_DOMAINS + 1).collect()}
+def domains_of(cells: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Documents by domain, in order, and those of them not held out: MAX_DOMAINS at most come to the driver."""
+    kept = F.sum(F.when(~F.col("_held"), F.col("docs"))) if "_held" in cells.columns else F.sum("docs")
+    found = sorted(tuple(r) for r in cells.where("_domain is not null").groupBy("_domain").agg(F.sum("docs"), F.coalesce(kept, F.lit(0.0))).limit(MAX_DOMAINS + 1).collect())
     if len(found) > MAX_DOMAINS:
         raise ValueError(f"over {MAX_DOMAINS} domains")
-    return dict(sorted(found.items()))
+    return {d: n for d, n, _ in found}, {d: n for d, _, n in found}
+
+
+def _narrow(df: DataFrame, label: str) -> DataFrame:
+    """A table of cells written in no more files than there are cores."""
+    return saved(df.coalesce(df.sparkSession.sparkContext.defaultParallelism), label)
 
 
 def text_evidence(cells: DataFrame, labelled: DataFrame, prior: dict[str, float]) -> DataFrame:
     """Cells with `evidence`, the log likelihood of the text features in each domain, learned from the labelled cells.
 
-    The table of terms has a row a bin: at most 72.
+    The table of terms has a row a bin, at most 72, and is made from as many counts a domain.
     """
     domains = list(prior)
     long = labelled.select("_domain", "docs", F.posexplode(F.array(*_FEATURES)).alias("feature", "bin"))
-    counts = long.groupBy("feature", "bin", "_domain").agg(F.sum("docs").alias("n"))
+    counts = long.groupBy("feature", "bin", "_domain").agg(F.sum("docs").alias("n")).coalesce(1)
     bins = counts.groupBy("feature", "bin").agg(F.map_from_entries(F.collect_list(F.struct("_domain", "n"))).alias("by"))
     sizes = bins.groupBy("feature").agg(F.count(F.lit(1)).alias("bins"))  # a row a feature
     chance = F.zip_with(_names(domains), _array(list(prior.values())), lambda d, n: F.log((F.coalesce(F.col("by")[d], F.lit(0.0)) + 1) / (n + F.col("bins") + 1)))
@@ -144,14 +150,12 @@ def _times(factor: float):
     return lambda x: x * factor
 
 
-def fit_temper(cells: DataFrame, prior: dict[str, float]) -> dict:
+def fit_temper(cells: DataFrame, prior: dict[str, float], mine: dict[str, float]) -> dict:
     """The power of the text's evidence, and the mean log losses of held-out labels with it and without the text."""
     none = {"temper": 1.0, "held_out": 0.0, "loss": math.nan, "share_loss": math.nan}
     if len(prior) < 2:
         return none
     known = cells.where("_domain is not null")
-    mine = {r[0]: float(r[1]) for r in known.where(~F.col("_held")).groupBy("_domain").agg(F.sum("docs")).collect()}
-    mine = {d: mine.get(d, 0.0) for d in prior}
     held = text_evidence(known.where("_held"), known.where(~F.col("_held")), mine).withColumns({"at": F.array_position(_names(list(prior)), F.col("_domain")).cast("int"), "shares": _shares(mine)})
     losses = []
     for i, temper in enumerate(TEMPERS):
@@ -166,7 +170,7 @@ def fit_temper(cells: DataFrame, prior: dict[str, float]) -> dict:
 
 def posteriors(cells: DataFrame, *, noise: float = NOISE, temper: float = 1.0, prior: dict[str, float] | None = None) -> tuple[DataFrame, list[str]]:
     """Cells with an array `p` of domain posteriors, and the domains in order."""
-    prior = domains_of(cells) if prior is None else prior
+    prior = domains_of(cells)[0] if prior is None else prior
     if not prior:
         return cells.withColumn("p", _array([1.0])), [""]
     out, k = text_evidence(cells, cells.where("_domain is not null"), prior), len(prior)
@@ -176,12 +180,20 @@ def posteriors(cells: DataFrame, *, noise: float = NOISE, temper: float = 1.0, p
     return _normalised(out, "p", F.when(F.col("_domain").isNull(), score).otherwise(heard)).drop("evidence"), list(prior)
 
 
-def _sums(cells: DataFrame, weight: Column, *more: Column) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of posterior * tokens * weight by domain, then of the other columns; and the maxima of the same."""
+def _sums(cells: DataFrame, k: int, weight: Column, *more: Column) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sums of posterior * tokens * weight over the k domains and of the first columns, and the maximum of the last one.
+
+    Up to WIDE domains are columns of one row; beyond, domains are rows, as wide plans are slow to compile.
+    """
     cells = cells.withColumn("_w", F.col("tokens") * weight)
+    if k <= WIDE:
+        wanted = [*(F.sum(F.col("p")[i] * F.col("_w")) for i in range(k)), *map(F.sum, more[:-1]), *map(F.max, more[-1:])]
+        values = np.array([x or 0.0 for x in cells.agg(*wanted).first()], float)
+        return values[:k], values[k : k + len(more) - 1], float(values[-1])
     values = F.concat(F.transform("p", lambda x: x * F.col("_w")), F.array(*more) if more else F.array().cast("array<double>"))
     rows = sorted(cells.select(F.posexplode(values).alias("k", "v")).groupBy("k").agg(F.sum("v"), F.max("v")).collect())
-    return np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
+    sums = np.array([r[1] or 0.0 for r in rows] or [0.0] * (k + len(more)), float)
+    return sums[:k], sums[k : k + len(more) - 1], float(rows[-1][2] or 0.0) if rows else 0.0
 
 
 def weights_of(cells: DataFrame, base: np.ndarray) -> np.ndarray:
@@ -224,8 +236,7 @@ def fit_rates(cells: DataFrame, domains: list[str], targets: dict[str, float] |
     weights = np.array([1.0 if targets is None else float(targets.get(d, 0.0)) for d in domains])
     start = float(min(high, max(low, 1.0)))
     cells = cells.withColumns({"rate": F.lit(start), "at": F.lit(start)})
-    base = _sums(cells, F.lit(1.0))[0]
-    base = base if len(base) else np.zeros(len(domains))
+    base = _sums(cells, len(domains), F.lit(1.0))[0]
     total = base.sum()
     goal = total * weights / (weights.sum() or 1.0)
     if low > 0:
@@ -252,13 +263,12 @@ def fit_rates(cells: DataFrame, domains: list[str], targets: dict[str, float] |
         ahead = _stepped(_all_carried(cells, pending, low, high), slope / steep, low, high)
         step = F.col("next") - F.col("at")
         dot = F.aggregate(F.zip_with("p", _array(slope), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        sums, most = _sums(ahead, F.col("next"), -F.col("tokens") * step * (F.col("next") - F.col("rate")), F.col("tokens") * dot * step, F.col("tokens") * step * step, F.abs(step))
-        after, uphill, slid, far = sums[: len(base)], sums[-4], sums[-3], sums[-2]
+        after, (uphill, slid, far), most = _sums(ahead, len(domains), F.col("next"), -F.col("tokens") * step * (F.col("next") - F.col("rate")), F.col("tokens") * dot * step, F.col("tokens") * step * step, F.abs(step))
         value = lambda s: 0.5 * float((s - goal) @ scaled(s - goal))
         if value(after) > value(there) + slid + 0.5 * steep * far + 1e-12 * (value(there) + 1):
             steep *= 2  # the step promised more than it held: a shorter one
             continue
-        moved = most[-1] * steep
+        moved = most * steep
         pace = 1.0 if uphill > 0 else pace
         faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
         momentum, pace = (pace - 1) / faster, faster
@@ -290,19 +300,19 @@ def mixed(docs: DataFrame, targets: dict[str, float] | None = None, *, id_col: s
     if text_col not in carry:
         rows = saved(rows, "mixing-rows")
     key = ["_domain", *_FEATURES]
-    halves = saved(rows.groupBy(*key, "_held").agg(F.count(F.lit(1)).cast("double").alias("docs"), F.sum("_tokens").cast("double").alias("tokens")), "mixing-cells")
-    prior = domains_of(halves)
-    text = fit_temper(halves, prior) if temper is None else {"temper": temper}
+    halves = _narrow(rows.groupBy(*key, "_held").agg(F.count(F.lit(1)).cast("double").alias("docs"), F.sum("_tokens").cast("double").alias("tokens")), "mixing-cells")
+    prior, mine = domains_of(halves)
+    text = fit_temper(halves, prior, mine) if temper is None else {"temper": temper}
     cells = halves.groupBy(*key).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
     known, domains = posteriors(cells, noise=noise, temper=text["temper"], prior=prior)
-    fitted, report = fit_rates(saved(known, "mixing-posteriors"), domains, targets, budget=budget, low=low, high=high)
+    fitted, report = fit_rates(_narrow(known, "mixing-posteriors"), domains, targets, budget=budget, low=low, high=high)
     report |= text
     if not report["converged"]:
         log.warning("mixing: not converged after %d steps; the last one moved a rate by %g", report["rounds"], report["moved"])
     if report["miss"] > MISS:
         log.warning("mixing: a domain is %.1f %% off its target of %g times the tokens: %s", 100 * report["miss"], report["budget"], list(zip(domains, report["reached"], report["goal"], strict=True)))
     top = F.array_position("p", F.array_max("p")).cast("int")
-    rates = saved(fitted.select(*key, F.element_at(_names(domains), top).alias("mix_domain"), F.array_max("p").alias("mix_posterior"), F.col("rate").alias("mix_rate")), "mixing-rates")
+    rates = _narrow(fitted.select(*key, F.element_at(_names(domains), top).alias("mix_domain"), F.array_max("p").alias("mix_posterior"), F.col("rate").alias("mix_rate")), "mixing-rates")
     small = rates.count() <= BROADCAST_CELLS
     side = rates.select([F.col(c).alias(f"r_{c}") for c in key] + ["mix_domain", "mix_posterior", "mix_rate"])
     on = rows["_domain"].eqNullSafe(side["r__domain"])
