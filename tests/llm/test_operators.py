@@ -414,7 +414,7 @@ def test_chat_round_trip(spark):
     said = [*chat.CONTROL, r"<\|im_end|>", r"[\/INST]", "a\\nb", "\n", "", None, "<|im_start|>user\nhi<|im_end|>\n", "é🙂"]
     data = [(c, t, r, said[(c + t) % len(said)]) for c in range(9) for t, r in enumerate(("system", "user", "assistant", "as\nsis\\tant", None, "assistant"))]
     data += [(1, 0, "system", "x"), (1, 0, "system", "x"), (None, 1, "user", "lost"), (50, None, "user", "late"), (50, 1, "assistant", LONG)]
-    turns = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("x"))
+    turns = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("x") for c in ("formatted", "loss_starts", "n_turns", "_lone")})
     got = {r.conv_id: r for r in chat.format_chats(turns.repartition(5)).collect()}
     key = lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")
     for conv in {r[0] for r in data}:
@@ -432,6 +432,15 @@ def test_chat_holds_conversations_across_batches():
     assert [(r["conv_id"], r["n_turns"]) for r in out] == [(1, 2), (2, 2), (3, 1)]
 
 
+def test_chat_rows_without_a_key_are_conversations_of_their_own(spark):
+    """A third of all rows without conv_id: 30,000 conversations of one turn, in several tasks; ids of text go too."""
+    turns = spark.range(90_000).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("c"), F.floor(F.col("id") / 30))).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    got = chat.read_back(chat.format_chats(turns)).withColumn("task", F.spark_partition_id())
+    lone = got.where("conv_id is null").agg(F.count("*"), F.max("n_turns"), F.count_distinct("loss_sha256"), F.count_distinct("task")).first()
+    assert tuple(lone)[:3] == (30_000, 1, 30_000) and lone[3] > 1
+    assert got.where("conv_id is not null").agg(F.count("*"), F.min("n_turns")).first() == (3000, 20)
+
+
 def test_chat_empty(spark):
     assert chat.read_back(chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
@@ -931,13 +940,6 @@ def test_pipeline_of_odd_rows(spark, wide, empty):
     assert len(ids) == len(set(ids)) and {0, 3, 45} <= set(ids) and not {40, 41, 44, 46} & set(ids)
 
 
-def test_kept_rows_with_repeated_ids(spark):
-    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "c"), (None, "x"), (None, "y"), (3, "d")], "doc_id long, `te.xt` string")
-    ids = spark.createDataFrame([(1,), (None,), (3,)], "doc_id long")
-    got = sorted(map(tuple, common.kept_rows(df, ids).collect()), key=repr)
-    assert got == [(1, "a"), (3, "d"), (None, "x")]
-
-
 def test_dedup_stages_keep_texts_of_null_and_repeated_ids(spark):
     """Only rows that the operators mark as copies go, whatever their ids."""
     one, two, three, four = ("".join(random.Random(s).choices("abcdefghij ", k=4000)) for s in range(4))

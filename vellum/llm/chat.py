@@ -11,8 +11,9 @@ Control strings inside texts and roles get a backslash after their first charact
 escaped get one more, so escaping is reversible. Roles lose line feeds by the same device (`\\n` as text).
 
 Defined cases: null text or role is empty; turns sort by (turn, role, text), null turn first; repeated
-rows stay; a null conv_id is a conversation of its own; other columns are not read. A conversation is
-one value of one row, so it must fit in a worker; nothing else is gathered.
+rows stay; every row without a conv_id is a conversation of its own, with one turn, so that such rows never meet in one
+task; conv_id may be of any type; an empty table gives no rows; other columns, whatever their names, are not read. A
+conversation is one value of one row, so it must fit in a worker; nothing else is gathered.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, spans_to_index, text_bytes
 
@@ -37,7 +39,8 @@ _ESCAPE = rf"([<\[])(\\*)({_TAILS})"
 _UNESCAPE = re.compile(rf"([<\[])\\(\\*)({_TAILS})")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 
-FORMATTED = "conv_id long, formatted string, n_turns long, loss_starts array<long>, loss_ends array<long>"
+FORMATTED = "formatted string, n_turns long, loss_starts array<long>, loss_ends array<long>"
+READ_BACK = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def escape(texts: pa.Array) -> pa.Array:
@@ -85,7 +88,7 @@ def _format(batches):
         roles, texts = (turns.column(c).combine_chunks() for c in ("role", "text"))
         conv = turns.column("conv_id").to_pylist()
         buffer, at, start, end = assemble(roles, texts)
-        first = [i for i in range(len(conv)) if i == 0 or conv[i] != conv[i - 1]]
+        first = [i for i in range(len(conv)) if i == 0 or conv[i] is None or conv[i] != conv[i - 1]]
         bounds = np.array([*first, len(conv)])
         points = np.concatenate([[0], np.cumsum((buffer & 0xC0) != 0x80)])  # code points before each byte
         loss = pc.equal(roles.fill_null(""), "assistant").to_numpy(zero_copy_only=False)
@@ -93,21 +96,22 @@ def _format(batches):
         kept = np.concatenate([[0], np.cumsum(loss)])[bounds]
         column = pa.StringArray.from_buffers(len(first), pa.py_buffer(at[bounds].astype(np.int32)), pa.py_buffer(buffer))
         lists = [pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array((points[x] - base)[loss], pa.int64())) for x in (start, end)]
-        return pa.RecordBatch.from_arrays([pa.array([conv[i] for i in first], pa.int64()), column, pa.array(np.diff(bounds), pa.int64()), *lists], ["conv_id", "formatted", "n_turns", "loss_starts", "loss_ends"])
+        return pa.RecordBatch.from_arrays([turns.column("conv_id").combine_chunks().take(pa.array(first, pa.int64())), column, pa.array(np.diff(bounds), pa.int64()), *lists], ["conv_id", "formatted", "n_turns", "loss_starts", "loss_ends"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
         conv = batch.column(0).to_pylist()
         cut = len(conv)
-        while cut and conv[cut - 1] == conv[-1]:
+        while cut and conv[-1] is not None and conv[cut - 1] == conv[-1]:
             cut -= 1
         if held and (cut or held[-1].column(0)[0].as_py() != conv[0]):
             yield out(pa.Table.from_batches([*held, batch.slice(0, cut)]))
             held = []
         elif cut:
             yield out(pa.Table.from_batches([batch.slice(0, cut)]))
-        held.append(batch.slice(cut))
+        if cut < len(conv):
+            held.append(batch.slice(cut))
     if held:
         yield out(pa.Table.from_batches(held))
 
@@ -115,8 +119,14 @@ def _format(batches):
 def format_chats(turns: DataFrame) -> DataFrame:
     """One row a conversation: formatted text, number of turns, and the loss spans (assistant texts)."""
     bounded_batches(turns.sparkSession)
-    turns = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_format, FORMATTED)
+    turns = turns.select("conv_id", F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    lone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).otherwise(0)
+    dealt = turns.withColumn("_lone", lone).repartition("conv_id", "_lone").drop("_lone").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.mapInArrow(_format, _with_id(turns, FORMATTED))
+
+
+def _with_id(df: DataFrame, schema: str) -> T.StructType:
+    return T.StructType([T.StructField("conv_id", df.schema["conv_id"].dataType), *T.StructType.fromDDL(schema).fields])
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -125,11 +135,11 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def _digest(batches):
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     for batch in batches:
         rows = []
-        for conv, text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_starts", "loss_ends")), strict=True):
+        for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("formatted", "loss_starts", "loss_ends")), strict=True):
             turns = parse(text)
             whole = hashlib.sha256()
             for role, content in turns:
@@ -139,10 +149,11 @@ def _digest(batches):
                 content = unescape(text[a:b])
                 loss.update(content.encode())
                 size += len(content)
-            rows.append((conv, len(turns), whole.hexdigest(), size, loss.hexdigest(), len(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)], names)
+            rows.append((len(turns), whole.hexdigest(), size, loss.hexdigest(), len(text)))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["conv_id", *names])
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of what a reader gets back from the formatted text and the loss mask."""
-    return formatted.select("conv_id", "formatted", "loss_starts", "loss_ends").mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "formatted", "loss_starts", "loss_ends").mapInArrow(_digest, _with_id(formatted, READ_BACK))

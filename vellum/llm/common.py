@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,24 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import importable
+from ..sources.shared import importable, shared_root
 
 MAX_ID = (1 << 63) - 1
 #: JVM to Python batches are cut at this many bytes, so that long texts cannot pile up in a worker.
 BATCH_BYTES = 4 << 20
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where none is configured (tests)."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="vellum-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/vellum/{label}-{uuid.uuid4().hex}"
 
@@ -41,8 +29,13 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
+    """Let workers import this package, and cut batches at BATCH_BYTES. Spark reads that setting of the session only when a
+    plan is run, after the operator has returned, so it stays; a smaller one is left alone."""
     importable(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,21 +129,3 @@ def kept_texts(docs: DataFrame, kept: DataFrame, digest: Column, text_col: str =
     least = F.min(F.struct((-F.length(F.coalesce(quoted(text_col), F.lit("")))).alias("_size"), F.struct(*columns).alias("_row")))
     packed = again.groupBy(quoted(id_col).alias("_pair_id"), quoted(sha).alias("_pair_sha")).agg(least.alias("_least"))
     return once.select(columns).union(packed.select([F.col("_least")["_row"][c].alias(c) for c in docs.columns]))
-
-
-def kept_rows(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id is in ids (one row an id, null included), each id once.
-
-    Repeated ids are looked for in the id column alone; only if there are any are those rows (and no
-    others) dealt by id to keep the one with the smallest text.
-    """
-    counts = docs.groupBy(F.col(id_col).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_again")
-    ids = ids.select(F.col(id_col).alias("_kept"))
-    hit = docs[id_col].eqNullSafe(ids["_kept"])
-    kept = docs.join(ids, hit, "left_semi")
-    if not counts.limit(1).count():
-        return kept
-    same = kept[id_col].eqNullSafe(counts["_again"])
-    once, again = kept.join(counts, same, "left_anti"), kept.join(counts, same, "left_semi")
-    packed = again.groupBy(id_col).agg(F.min(F.struct(*map(quoted, docs.columns))).alias("_row")).select("_row")
-    return once.union(packed.select([F.col("_row")[c].alias(c) for c in docs.columns]))
