@@ -60,8 +60,8 @@ def strip_tags(html: Column | str) -> Column:
 
 
 def excerpt(text: Column | str, chars: int = EXCERPT_CHARS) -> Column:
-    flat = collapse_space(text)
-    return F.when(F.length(flat) <= chars, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, chars)), F.lit("…")))
+    flat = collapse_space(text)  # stands where it is always evaluated, so that it is evaluated once
+    return F.concat(F.rtrim(F.substring(flat, 1, chars)), F.when(F.length(flat) > chars, "…").otherwise(""))
 
 
 def word_count(text: Column | str) -> Column:
