@@ -7,7 +7,7 @@ explains most of what is left. A score is the sum of table entries at the docume
 
 Defined cases: null texts count as empty, and empty texts have zero for every feature; infinite values do
 not arise; without training rows of both labels every score is the share of label 1 (0.5 without rows);
-other columns are not read.
+repeated rows are scored each; very long texts are read whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
