@@ -149,6 +149,19 @@ def test_reader_state(spark):
     assert mutate.save_progress(df, "a", 7.0, NOW).where("id = 'a'").first().reading_progress == 1.0
 
 
+def test_overrides_change_all_five_and_no_time(spark):
+    columns = ", ".join(f"{c} string" for c in mutate.OVERRIDES)
+    df = spark.createDataFrame([("a", T0, *"12345"), ("b", T0, *"12345")], f"id string, updated_at string, {columns}")
+    got = {r.id: tuple(r)[1:] for r in mutate.set_overrides(df, "a", {"font_override": "mono"}).collect()}
+    assert got == {"a": (T0, None, None, None, None, "mono"), "b": (T0, *"12345")}
+
+
+def test_remote_tombstones_keep_their_time(spark):
+    mine = spark.createDataFrame([("article", "a", NOW), ("article", "b", NOW)], schemas.TOMBSTONES)
+    theirs = spark.createDataFrame([("article", "a", T0), ("source", "a", T0)], schemas.TOMBSTONES)
+    assert {tuple(r) for r in mutate.record_remote_tombstones(mine, theirs).collect()} == {("article", "a", T0), ("article", "b", NOW), ("source", "a", T0)}
+
+
 def test_recapture_keeps_state(spark):
     columns = ", ".join(f"{c} string" for c in mutate.CONTENT)
     df = frame(spark, art("a", tags=("t",), progress=0.5)).drop("title").crossJoin(spark.createDataFrame([tuple("old" for _ in mutate.CONTENT)], columns))

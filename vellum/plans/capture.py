@@ -21,6 +21,15 @@ def new_pages(pages: DataFrame, articles: DataFrame, url: str = "url") -> DataFr
     return first_per_key(keyed.join(articles.select(F.col("link").alias("_link")), "_link", "left_anti"), "_link", [url])
 
 
+def settled(attempts: DataFrame, retries: int = 3) -> DataFrame:
+    """(url, attempt, kind, status, html) of the attempt that settles each page: the first that succeeds (no kind of error) or whose
+    error will not pass, within the retries; else the last of them."""
+    stops = F.col("kind").isNull() | ~X.is_transient("kind", "status")
+    rank = F.struct(F.when(stops, 0).otherwise(1).alias("late"), F.when(stops, F.col("attempt")).otherwise(-F.col("attempt")).alias("place"), "attempt", "kind", "status", "html")
+    best = attempts.where(F.col("attempt") <= retries).groupBy("url").agg(F.min(rank).alias("_b"))
+    return best.select("url", *[F.col("_b")[c].alias(c) for c in ("attempt", "kind", "status", "html")])
+
+
 def capture(pages: DataFrame, now: str, url: str = "url", html: str = "html", published: str | None = None) -> DataFrame:
     """Readable view of each page with its metadata; pages without content become rows that say so."""
     got = pages.withColumn("_c", H.captured(url, html))

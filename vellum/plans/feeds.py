@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..functions.urls import clean_link
 from ..operators import dedup, mutate
 from ..operators.filters import syncable_sources
+from ..sources.shared import cut
 from ..sources.tables import FEED_ENTRIES, feed_entries, parsed_feed
 from .capture import capture
 
@@ -25,10 +26,10 @@ def sync_feeds(articles: DataFrame, sources: DataFrame, fetched: DataFrame, page
     visited = due.join(dedup.first_per_key(fetched, "feed_url", ["status"]), "feed_url", "left").withColumn("_f", F.when(F.col("status") == 200, parsed_feed("body")))
     same = F.coalesce(F.col("status") == 304, F.lit(False))
     error = F.when(~same & F.col("_f").isNull(), F.when(F.col("status").isNull(), "no answer").when(F.col("status") != 200, F.concat(F.lit("status "), F.col("status").cast("string"))).otherwise("not a feed"))
-    visited = visited.withColumns({"same": same, "error": error})
+    visited = cut(visited.withColumns({"same": same, "error": error}).drop("body"))  # feeds are parsed once
     entries = feed_entries(visited.where("_f is not null").select(F.col("source_id").alias("feed"), F.slice("_f.items", 1, FEED_ENTRIES).alias("items"))).withColumnRenamed("feed", "source_id")
     entries = entries.withColumn("link", F.coalesce(clean_link("link"), F.col("link")))
-    fresh = dedup.first_per_key(entries.join(articles.select("link"), "link", "left_anti"), "link", ["source_id", "place"])
+    fresh = cut(dedup.first_per_key(entries.join(articles.select("link"), "link", "left_anti"), "link", ["source_id", "place"]))
     page = dedup.first_per_key(pages.select(F.coalesce(clean_link("url"), X.trim_space("url")).alias("_link"), "html"), "_link", ["html"])
     got = capture(fresh.join(page, fresh["link"] == page["_link"], "left").select(F.col("link").alias("url"), "html", "source_id", "tags"), now)
     values = {"id": F.substring(F.sha2("link", 256), 1, 32), "source_type": F.lit("rss"), "tags": X.normalize_tags("tags"), "favorited": F.lit(False), "reading_state": F.lit("unread"), "reading_progress": F.lit(0.0), "updated_at": F.lit(now)}

@@ -738,6 +738,16 @@ def sanitized_pages(spark, d):
     return table(spark, d, "pages").select("page_id", F.sha2(H.sanitized(F.concat(F.lit(_HOSTILE), F.col("html"))), 256).alias("h"))
 
 
+@query("with t as (select p.page_id, p.html, a.attempt, case when (p.page_id + a.attempt) % 4 = 0 then 'ok' when (p.page_id + a.attempt) % 7 = 0 then 'gone' else 'busy' end as what from pages p, (values (0), (1), (2), (3), (4)) a(attempt) where a.attempt <= 2), r as (select *, row_number() over (partition by page_id order by case when what = 'busy' then 1 else 0 end, case when what = 'busy' then -attempt else attempt end) as n from t) select page_id, cast(attempt as int) as attempt, case what when 'gone' then 404 when 'busy' then 503 end as status, case when what = 'ok' then length(html) end as n from r where r.n = 1")
+def settled_attempts(spark, d):
+    """ST9, H13: errors that pass are tried again, so often at most"""
+    pages = table(spark, d, "pages").select("page_id", "html", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("attempt"))
+    turn = F.col("page_id") + F.col("attempt")
+    ok, gone = turn % 4 == 0, turn % 7 == 0
+    attempts = pages.select(F.col("page_id").alias("url"), F.col("attempt").cast("int"), F.when(~ok, "status").alias("kind"), F.when(ok, None).when(gone, 404).otherwise(503).alias("status"), F.when(ok, F.col("html")).alias("html"))
+    return capturing.settled(attempts, 2).select(F.col("url").alias("page_id"), "attempt", "status", F.length("html").alias("n"))
+
+
 @query()
 def captured_pages(spark, d):
     """H1, H2, H11, H12, A20: the capture pipeline"""
