@@ -419,14 +419,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     later = saved(spread_join(meta, firsts, "sha").where(F.struct("pos", "none") > F.col("first")).select("pos", *told).distinct().withColumn("later", F.lit(True)), "repeat-later")
     # the one exchange of texts: each later use of `dealt` reuses it
     dealt = base.select("pos", "none", *told, "text").repartition(parts, *keys).join(later, keys, "left")
-    fresh = dealt.where("later is null").select("pos", tag, "text")
+    fresh = dealt.where("later is null").select("pos", tag, "text", "none")  # every use of the exchange has all its columns
     scanned = base.select("pos", "sha", "text")  # counted where the texts are read, before their exchange
     often = scanned.mapInArrow(_count_in_tasks(depth, gram, IN_A_TASK, SAMPLED), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     frequent = np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "h").limit(FREQUENT_AT_MOST).select("h").collect()], np.int64).view(np.uint64))
     runs = fresh.mapInArrow(_emit_runs(depth, gram, buckets, frequent), _RUNS)
     live = runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_minimizers, _LIVE)
     lists = live.groupBy(*keys).agg(F.collect_list(F.struct("off", "low", "high", "h")).alias("runs"))
-    windows = fresh.join(lists, keys).select("pos", "tag", "text", "runs").mapInArrow(_emit_windows(depth, buckets), _WINDOWS)
+    windows = fresh.join(lists, keys).select("pos", "tag", "text", "runs", "none").mapInArrow(_emit_windows(depth, buckets), _WINDOWS)
     covers = windows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_refine(depth), _COVER)
     covers = covers.groupBy(*keys).agg(F.collect_list("covers").alias("covers"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text binary" * with_text
