@@ -43,8 +43,9 @@ from .common import quoted, saved
 
 log = logging.getLogger(__name__)
 
-#: How likely a label is not the document's domain.
-NOISE = 0.1
+#: How likely a label is not the document's domain. As a hot domain's documents are the likeliest to be behind wrong labels, more noise
+#: puts more of it into the others, up to where no rates can bring it down to its target.
+NOISE = 0.02
 #: Powers of the text's evidence that are tried, and which part of the labelled documents is held out meanwhile.
 TEMPERS, HELD_OUT = tuple(i / 10 for i in range(11)), 5
 #: A posterior has an entry for each domain; more are refused. Up to SOLVED of them, G is a full matrix.
@@ -53,9 +54,9 @@ MAX_DOMAINS, SOLVED, WIDE = 10_000, 256, 64
 ROUNDS = 1000
 #: The descent ends when a step moves no rate by more than this (times the budget, if that is over 1).
 TOLERANCE = 1e-6
-#: With rates held from below, the budget is doubled until no domain is off its target by more than this share, after
-#: so many steps at most with one budget, and so many times at most.
-MISS, RUNG, DOUBLINGS = 0.01, 60, 8
+#: With rates held from below, the budget is doubled while a domain is off its target by more than this share and the last
+#: doubling took off a part GAIN of that, after so many steps at most with one budget, and so many times at most.
+MISS, GAIN, RUNG, DOUBLINGS = 0.01, 0.25, 60, 8
 #: The table of cells is broadcast up to this many rows; beyond, it is joined by a shuffle.
 BROADCAST_CELLS = 100_000
 #: Pieces of text that count as a token.
@@ -247,11 +248,12 @@ def fit_rates(cells: DataFrame, domains: list[str], targets: dict[str, float] |
     now = there = base * start  # totals at the rates, and at the points
     pending: list[tuple[np.ndarray, float]] = []
     hold = lambda cells, pending: cells if not pending else saved(_all_carried(cells, pending, low, high), "mixing-rates")
-    pace, steep, moved, turn, rung, doublings, miss = 1.0, 1.0, math.inf, 0, 0, 0, math.inf
+    pace, steep, moved, turn, rung, doublings, miss, missed = 1.0, 1.0, math.inf, 0, 0, 0, math.inf, math.inf
     enough = lambda: moved <= TOLERANCE * max(1.0, budget)
     while turn < rounds and total:
         if enough() or rung >= RUNG:
-            if low > 0 and miss > MISS and doublings < DOUBLINGS and 2 * budget <= high:
+            if low > 0 and MISS < miss < (1 - GAIN) * missed and doublings < DOUBLINGS and 2 * budget <= high:
+                missed, moved = miss, math.inf
                 cells = hold(cells, pending)
                 cells, pending = cells.withColumns({"rate": 2 * F.col("rate"), "at": 2 * F.col("rate")}), []
                 budget, goal, now = 2 * budget, 2 * goal, 2 * now
