@@ -620,6 +620,7 @@ def test_toxicity_scores_by_hand(toxic_model):
     r = random.Random(11)
     some = [w for w in toxic_model.vocabulary if w.isalpha() and len(w) > 4][:30]
     texts = [" ".join(r.choice([*some, "weather", "1d10t", "w0rthl3ss", "Thing,", "\"light\""]) for _ in range(r.randint(1, 40))) for _ in range(60)]
+    texts += [" ".join(r.choices(["weather", "Thing,", "\"light\"", "house"], k=12)) for _ in range(20)]
     place, restorer = {w: i for i, w in enumerate(toxic_model.vocabulary)}, toxicity.Restorer(toxic_model.bits)
     want = []
     for text in texts:
