@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+
+from .common import text_bytes
 
 _M1 = np.uint64(0xD6E8FEB86659FD93)
 _BASE = 0x9E3779B97F4A7C15
@@ -108,3 +111,21 @@ def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if np.array_equal(new, label):
             return label
         label = new
+
+
+def byte_words(texts: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of the bytes marked in `inside` (256 flags) in each text, A to Z lower-cased: all their bytes on end, the length
+    and the row of each. A run does not go on from one text to the next."""
+    data, offsets = text_bytes(texts)
+    marked = inside[data]
+    heads, ends = marked.copy(), marked.copy()
+    heads[1:] &= ~marked[:-1]
+    ends[:-1] &= ~marked[1:]
+    first = offsets[:-1][offsets[:-1] < offsets[1:]]  # where a text begins, a run does and the one before ends
+    heads[first] = marked[first]
+    last = first[first > 0] - 1
+    ends[last] = marked[last]
+    starts = np.flatnonzero(heads)
+    lengths = np.flatnonzero(ends) + 1 - starts
+    letters = data[marked]
+    return np.where((letters >= 0x41) & (letters <= 0x5A), letters + np.uint8(32), letters), lengths, np.searchsorted(offsets, starts, "right") - 1

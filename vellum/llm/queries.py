@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, decontam, exact_dedup, langid, mixing, quality, simhash, suffix_dedup, token_counts, toxicity
+from . import chat, decontam, divergence, exact_dedup, langid, mixing, quality, resampling, simhash, suffix_dedup, token_counts, toxicity
 from .common import held_out, saved, spread_join, table, work_path
 
 #: Where the public vocabulary files are; a parameter of op4's operator, never copied here.
@@ -112,6 +112,64 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaked_pairs(table(spark, sf_dir, "documents"), index)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CRC-32 in SQL: the table by its rule, then a fold over the bytes of each distinct word.
+OP11_SQL = rf"""
+with crc as materialized (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t
+), d as materialized (select doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as materialized (select unnest(regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from benchmark),
+dw as materialized (select doc_id, unnest(w) as w from d),
+codes as materialized (
+  select w, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(w)), lambda i: ('0x' || substr(hex(w), 2 * i + 1, 2))::bigint)),
+      lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 as bucket
+  from (select w from dw union select w from b), crc
+), s as (select bucket, count(*) as s from dw join codes using (w) group by 1), t as (select bucket, count(*) as t from b join codes using (w) group by 1),
+g as (
+  select bucket, cast(floor(1000 * ln(cast((coalesce(t, 0) + 1) * ((select count(*) from dw) + 10000) as double) / cast((coalesce(s, 0) + 1) * ((select count(*) from b) + 10000) as double))) as bigint) as gain
+  from s full join t using (bucket)
+), sums as (select doc_id, cast(sum(gain) as bigint) as weight from dw join codes using (w) join g using (bucket) group by 1),
+scored as (
+  select doc_id, len(w) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(cast(doc_id as varchar), '')), 1, 8))::bigint + 0.5::double) / 4294967296::double))) as bigint) as score
+  from d left join sums using (doc_id)
+), ranked as (
+  select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id nulls last, n_features) as r, count(*) over (partition by n_features >= 20) as n from scored
+)
+select doc_id, n_features, weight, score, case when n_features >= 20 and r <= 10 * n // 100 then r end as rank from ranked
+"""
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = rf"""
+with d as materialized (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents
+), w as materialized (select r, lang, source, unnest(w) as term from d),
+kept as materialized (select lang, term, count(*) as lang_n from w group by 1, 2 having count(distinct r) >= 3),
+v as (select lang, count(*)::hugeint as v, sum(lang_n)::hugeint as n from kept group by 1),
+c as materialized (select lang, source, term, count(*)::hugeint as n from w join kept using (lang, term) group by all),
+g as materialized (select lang, source, coalesce(t, 0)::hugeint as t from (select distinct lang, source from d) left join (select lang, source, sum(n) as t from c group by 1, 2) using (lang, source)),
+p as materialized (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 1) // (g.t + v.v) as p, 1 + 1000000000::hugeint * (k.lang_n + 1) // (v.n + v.v) as q
+  from g join kept k using (lang) join v using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term
+), pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), every as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source
+), terms as (select lang, source, 'term' as part, term as item, (p - q) * (p - q) // q as value from p where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from every union all select * from terms))
+select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 200
+"""
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -123,6 +181,8 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_resampling": op11_resampling,
+    "op12_divergence": op12_divergence,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op8_chat_format": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLE_SQL = {"op8_chat_format": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op11_resampling": OP11_SQL, "op12_divergence": OP12_SQL}
