@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, decontam, divergence, exact_dedup, langid, mixing, quality, resampling, simhash, suffix_dedup, token_counts, toxicity
+from . import chat, decision_list, decontam, divergence, exact_dedup, langid, mixing, quality, resampling, simhash, suffix_dedup, token_counts, toxicity
 from .common import held_out, saved, spread_join, table, work_path
 
 #: Where the public vocabulary files are; a parameter of op4's operator, never copied here.
@@ -170,6 +170,11 @@ select lang, source, part, item, value::bigint as value, rank::int as rank from
 """
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = decision_list.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -183,6 +188,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_resampling": op11_resampling,
     "op12_divergence": op12_divergence,
+    "op13_quality_rules": op13_quality_rules,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {"op8_chat_format": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op11_resampling": OP11_SQL, "op12_divergence": OP12_SQL}
