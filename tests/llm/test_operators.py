@@ -484,7 +484,7 @@ def leaks_by_hand(items, data):
     """Pairs of which some passage, of any place the operator may cut, has the overlaps."""
     want = set()
     for item_id, text in items:
-        if item_id is None or not (parts := decontam.parted(text or ""))[0]:
+        if not (parts := decontam.parted(text or ""))[0]:
             continue
         words, question, answer = parts
         longest = decontam.SHORT

@@ -113,8 +113,8 @@ def free_name(name: str, docs: DataFrame) -> str:
 def kept_texts(docs: DataFrame, kept: DataFrame, digest: Column, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Rows of docs whose (id, text_sha256) is in kept (one row a pair, null ids included), each pair once.
 
-    digest: text_sha256 of a row of docs. Of rows with one pair the longest text stays, then the smallest row. Repeated
-    ids are looked for in the id column alone; only rows of such ids are dealt again.
+    digest: text_sha256 of a row of docs. Of rows with one pair the longest text stays, then the one whose JSON has the smallest
+    digest, so columns may be of any type, maps too. Repeated ids are looked for in the id column alone; only rows of such ids are dealt again.
     """
     sha = free_name("_sha", docs)
     pairs = kept.select(F.col(id_col).alias("_kept"), F.col("text_sha256").alias("_kept_sha"))
@@ -126,6 +126,9 @@ def kept_texts(docs: DataFrame, kept: DataFrame, digest: Column, text_col: str =
         return found.select(columns)
     same = found[id_col].eqNullSafe(counts["_again"])
     once, again = found.join(counts, same, "left_anti"), found.join(counts, same, "left_semi")
-    least = F.min(F.struct((-F.length(F.coalesce(quoted(text_col), F.lit("")))).alias("_size"), F.struct(*columns).alias("_row")))
-    packed = again.groupBy(quoted(id_col).alias("_pair_id"), quoted(sha).alias("_pair_sha")).agg(least.alias("_least"))
-    return once.select(columns).union(packed.select([F.col("_least")["_row"][c].alias(c) for c in docs.columns]))
+    place = free_name("_place", docs)
+    size = -F.length(F.coalesce(quoted(text_col).cast("string"), F.lit("")))
+    placed = saved(again.withColumn(place, F.monotonically_increasing_id()), "repeated-ids")  # written, so that a row keeps its place
+    order = F.struct(size, F.sha2(F.to_json(F.struct(*columns)), 256), quoted(place).alias("place"))  # JSON, as maps have no order
+    first = placed.groupBy(quoted(id_col).alias("_pair_id"), quoted(sha).alias("_pair_sha")).agg(F.min(order)["place"].alias(place))
+    return once.select(columns).unionByName(placed.join(first.select(quoted(place)), place, "left_semi").select(columns))

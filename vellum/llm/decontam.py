@@ -15,10 +15,12 @@ A retrieved pair is a leak if the passage has at least `overlap` of the item's 5
 fewer words: the whole sequence) and of the distinct words of its question and of its answer. The answer
 is the item's last sentence; if there is only one, the last quarter of its words.
 
-A benchmark of over `block_items` items is indexed in blocks, each broadcast for a pass of its own; BM25 statistics are
-those of the block. Defined cases: null and empty texts and items have no words and match nothing; repeated items are reported
-each; ties are all reported; texts and items of any length go whole; other columns pass through, and one named as the
-output column, in whatever case, gives way to it. One narrow pass a block, no shuffle.
+A benchmark of over `block_items` items is indexed in blocks, each built, broadcast and dropped for a pass of its own; BM25 statistics are
+those of all items, so the blocks change neither leaks nor scores. Defined cases: null and empty texts and items have no words and
+match nothing; items without an id are items like others, reported with a null id, after the others; repeated items are reported each; ties
+are all reported; documents without an id and repeated rows are searched like others; an empty benchmark finds nothing, and an empty
+table has no rows; texts and items of any length go whole; other columns pass through, and one named as the output column, in whatever
+case, gives way to it. One narrow pass a block, no shuffle of documents.
 """
 
 from __future__ import annotations
@@ -82,7 +84,7 @@ def words_of(text: str | None) -> list[str]:
 class Item:
     """Words are numbers in the index's vocabulary."""
 
-    item_id: int
+    item_id: int | None
     words: np.ndarray
     question: np.ndarray
     answer: np.ndarray
@@ -100,19 +102,36 @@ def shingles_of(words: np.ndarray, size: int) -> set[tuple]:
     return set(zip(*(words[i : len(words) - size + i + 1].tolist() for i in range(size)), strict=True)) if size else set()
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items that have words: how many, how long on average, and how many hold a word."""
+
+    items: int
+    mean: float
+    df: dict[str, int]
+
+
+def _by_id(item_id: int | None) -> tuple[bool, int]:
+    return item_id is None, item_id or 0
+
+
 class Index:
-    """Items of a benchmark, or of a block of one, by classes of length over one vocabulary."""
+    """Items of a benchmark, or of a block of one, by classes of length over one vocabulary. Without statistics, those of the items count."""
 
-    def __init__(self, items: list[tuple[int, str]], block: int = BLOCK, threshold: float = THRESHOLD):
-        texts = [(i, *parts) for i, t in sorted(items) if (parts := parted(t))[0]]
+    def __init__(self, items: list[tuple[int | None, str]], block: int = BLOCK, threshold: float = THRESHOLD, statistics: Statistics | None = None):
+        texts = [(i, *parts) for i, t in sorted(items, key=lambda x: (_by_id(x[0]), x[1])) if (parts := parted(t))[0]]
         vocabulary = sorted({w for _, words, *_ in texts for w in words})
         self.vocabulary = pa.array(vocabulary, pa.string())
         number = {w: i for i, w in enumerate(vocabulary)}
         coded = lambda words: np.array([number[w] for w in words], np.int64)
         self.items = [Item(i, coded(w), np.unique(coded(q)), np.unique(coded(a))) for i, w, q, a in texts]
-        df = np.bincount(np.concatenate([np.unique(x.words) for x in self.items]), minlength=len(vocabulary)) if self.items else np.zeros(0)
-        idf = np.log1p((len(self.items) - df + 0.5) / (df + 0.5))
-        mean = float(np.mean([len(x.words) for x in self.items])) if self.items else 1.0
+        if statistics is None:
+            df = np.bincount(np.concatenate([np.unique(x.words) for x in self.items]), minlength=len(vocabulary)) if self.items else np.zeros(0)
+            n, mean = len(self.items), sum(len(x.words) for x in self.items) / max(1, len(self.items))
+        else:
+            df = np.array([statistics.df[w] for w in vocabulary], np.int64)
+            n, mean = statistics.items, statistics.mean
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
         by_class: dict[int, list[Item]] = {}
         for x in self.items:
             by_class.setdefault(max(0, int(np.ceil(np.log2(len(x.words) / SHORT)))), []).append(x)
@@ -289,17 +308,53 @@ def find_leaks(index: Index, texts: pa.Array, overlap: float = OVERLAP) -> list[
             whole = len(mine & shingles_of(passage, n)) / len(mine)
             if whole >= overlap and whole > best.get((d, c, j), {"overlap": -1})["overlap"]:
                 best[d, c, j] = {"item_id": item.item_id, "score": score, "overlap": whole, "question_overlap": question, "answer_overlap": answer}
-    for (d, _, _), leak in sorted(best.items(), key=lambda x: (x[0][0], x[1]["item_id"], x[0])):
+    for (d, _, _), leak in sorted(best.items(), key=lambda x: (x[0][0], _by_id(x[1]["item_id"]), x[0])):
         out[d].append(leak)
     return out
 
 
-def build_index(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", block_items: int = BLOCK_ITEMS, threshold: float = THRESHOLD) -> list[Index]:
-    """An index for each block of items; an empty benchmark gives one of none. Blocks are dealt by a hash of the item."""
-    rows = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = max(1, -(-rows.count() // block_items))
-    mine = lambda b: rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else rows
-    return [Index([tuple(r) for r in mine(b).collect()], threshold=threshold) for b in range(blocks)]
+def _described(batches):
+    """Distinct words of each item, and a row without a word for its length."""
+    for batch in batches:
+        words, sizes = words_in(batch.column(0))
+        item = np.repeat(np.arange(len(sizes)), sizes)
+        coded = words.dictionary_encode()
+        held = np.unique(coded.indices.to_numpy().astype(np.int64) * max(1, len(sizes)) + item)
+        full = sizes[sizes > 0].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([coded.dictionary.take(pa.array(held // max(1, len(sizes)))), pa.nulls(len(full), pa.string())]), pa.array(np.r_[np.zeros(len(held), np.int64), full])], ["word", "size"])
+
+
+class Blocks:
+    """The indexes of a benchmark, one for each block of items, made when they are asked for; blocks are dealt by a hash of the item."""
+
+    def __init__(self, rows: DataFrame, blocks: int, threshold: float):
+        self.rows, self.blocks, self.threshold = rows, blocks, threshold
+        if blocks > 1:
+            bounded_batches(rows.sparkSession)
+            counts = rows.select("text").mapInArrow(_described, "word string, size long")
+            self.counts = saved(counts.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")), "bm25-statistics")
+            whole = self.counts.where("word is null").first()
+            self.items, self.mean = (whole.n, whole["size"] / whole.n) if whole else (0, 0.0)
+
+    def __len__(self) -> int:
+        return self.blocks
+
+    def __iter__(self):
+        return map(self.index, range(self.blocks))
+
+    def index(self, b: int) -> Index:
+        if self.blocks == 1:
+            return Index([tuple(r) for r in self.rows.collect()], threshold=self.threshold)
+        mine = self.rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(self.blocks)) == b)
+        words = mine.select("text").mapInArrow(_described, "word string, size long").where("word is not null").select("word").distinct()
+        df = dict(self.counts.join(words, "word", "left_semi").select("word", "n").collect())  # words of one block
+        return Index([tuple(r) for r in mine.collect()], threshold=self.threshold, statistics=Statistics(self.items, self.mean, df))
+
+
+def build_index(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", block_items: int = BLOCK_ITEMS, threshold: float = THRESHOLD) -> Blocks:
+    """An index for each block of about block_items items; an empty benchmark has one of none."""
+    rows = benchmark.where(quoted(text_col).isNotNull()).select(quoted(id_col).cast("long").alias("item_id"), quoted(text_col).cast("string").alias("text"))
+    return Blocks(rows, max(1, -(-rows.count() // block_items)), threshold)
 
 
 _LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
@@ -321,7 +376,7 @@ def _pass(shared, place: int, name: str, overlap: float):
     return run
 
 
-def with_leaks(docs: DataFrame, index: list[Index], *, text_col: str = "text", leaks_col: str = "leaks", overlap: float = OVERLAP) -> DataFrame:
+def with_leaks(docs: DataFrame, index: Blocks | list[Index], *, text_col: str = "text", leaks_col: str = "leaks", overlap: float = OVERLAP) -> DataFrame:
     """Add the list of leaked items to every row; one pass a block of items, no shuffle. The rows are written out after
     every PIPED passes, so that a core has no more than so many indexes at once."""
     bounded_batches(docs.sparkSession)
@@ -336,7 +391,7 @@ def with_leaks(docs: DataFrame, index: list[Index], *, text_col: str = "text", l
     return docs
 
 
-def leaked_pairs(docs: DataFrame, index: list[Index], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def leaked_pairs(docs: DataFrame, index: Blocks | list[Index], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document and item that it leaks."""
     marked = with_leaks(docs.select(id_col, text_col), index, text_col=text_col, leaks_col="_leaks")
     return marked.select(id_col, F.explode("_leaks").alias("_leak")).select(id_col, "_leak.*")
