@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.mutate import insert_ignore
+from ..sources.shared import cut
 from ..sources.store import Store
 
 
@@ -25,12 +26,16 @@ def changed_sources(seen: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def ingest(stream: DataFrame, store: Store, checkpoint: str, make_rows: Callable[[DataFrame], DataFrame], table: str = "articles", every: str | None = None) -> StreamingQuery:
-    """Insert the rows of each micro-batch unless their link is stored. Sending a batch twice changes nothing, so the
-    stream may restart anywhere. Without `every`, all that is there is taken and the query ends."""
+    """Insert the rows of each micro-batch unless their link is stored. Of a table with a key, a batch reads and writes the buckets of its
+    own keys; a table without one is written anew. Sending a batch twice changes nothing, so the stream may restart anywhere. Without
+    `every`, all that is there is taken and the query ends."""
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        rows = make_rows(batch)
-        store.update(lambda state: {table: insert_ignore(state[table], rows)})
+        rows = cut(make_rows(batch))  # pages are parsed once, however often a race is lost
+        if table in store.keys:
+            store.change({table: rows}, lambda state: {table: insert_ignore(state[table], rows, store.keys[table])})
+        else:
+            store.update(lambda state: {table: insert_ignore(state[table], rows)})
 
     writer = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
