@@ -222,61 +222,15 @@ def rewrite_assets(text: str, base: urls.Url | None, place: Callable[[str], str
     return "".join(out) + text[at:]
 
 
-# readable extraction
+# the parts of a page
 
-_SKIP = frozenset(("script", "style", "nav", "header", "footer", "aside", "form", "noscript", "button", "svg", "iframe"))
-_BLOCKS = frozenset(("article", "main", "section", "div", "td", "body"))
-MIN_TEXT, MIN_PARAGRAPHS = 250, 2
 
-
-def readable(text: str) -> str | None:
-    """Inner HTML of the block that directly holds the most paragraph text, or null if none holds enough.
-
-    Text counts for the innermost open block; text inside links and page furniture does not count.
-    """
-    stack: list[list] = []  # name, start of the content, score, paragraphs
-    best: tuple | None = None
-    skip, link, last = 0, 0, 0
-    waiting: Counter[str] = Counter()  # names on the stack
-    for tag in scan(text):
-        words = re.sub(r"\s+", " ", text[last : tag.start])
-        if stack and not skip and not link:
-            stack[-1][2] += len(words)
-        last = tag.end
-        if tag.name in _SKIP:
-            skip = max(0, skip + (-1 if tag.closing else 1))
-        elif tag.name == "a":
-            link = max(0, link + (-1 if tag.closing else 1))
-        elif tag.name == "p" and not tag.closing and stack and not skip:
-            stack[-1][3] += 1
-        elif tag.name in _BLOCKS:
-            if not tag.closing:
-                stack.append([tag.name, tag.end, 0, 0])
-                waiting[tag.name] += 1
-            elif waiting[tag.name]:
-                while True:
-                    name, start, score, paragraphs = stack.pop()
-                    waiting[name] -= 1
-                    if score >= MIN_TEXT and paragraphs >= MIN_PARAGRAPHS and (best is None or score > best[0]):
-                        best = (score, start, tag.start)
-                    if name == tag.name:
-                        break
-    return text[best[1] : best[2]].strip() if best else None
-
-
-def first_image(text: str, base: urls.Url | None) -> str | None:
-    """The page's own choice of image, else the first one in it."""
-    for tag in scan(text):
-        if tag.name == "meta" and (tag.get("property") or tag.get("name") or "").lower() in ("og:image", "twitter:image") and (url := urls.resolve(tag.get("content"), base)):
-            return url
-    return next(iter(references(text, base)), None)
-
-
-def body_of(text: str) -> str:
-    start = text.find("<body")
+def inner_text(text: str, name: str) -> str | None:
+    """What stands between the first start tag of a name and the first end tag behind it, as written; in time in proportion to the text."""
+    start = text.find(f"<{name}")
     begin = text.find(">", start) + 1 if start >= 0 else 0
-    end = text.find("</body>", begin) if begin else -1
-    return text[begin:end].strip() if end >= 0 else ""
+    end = text.find(f"</{name}>", begin) if begin else -1
+    return text[begin:end].strip() if end >= 0 else None
 
 
 # columns
@@ -313,28 +267,3 @@ def localized(html: pd.Series, base: pd.Series, paths: pd.Series) -> pd.Series:
     return pd.Series([None if h is None else one(h, b, p) for h, b, p in zip(html, base, paths, strict=True)])
 
 
-CAPTURE = T.StructType(
-    [
-        T.StructField("link", T.StringType()),
-        T.StructField("final_url", T.StringType()),
-        T.StructField("content_html", T.StringType()),
-        T.StructField("confident", T.BooleanType()),
-        T.StructField("hero_url", T.StringType()),
-        T.StructField("assets", T.ArrayType(T.StringType())),
-    ]
-)
-
-
-@F.pandas_udf(CAPTURE)
-def captured(url: pd.Series, html: pd.Series) -> pd.DataFrame:
-    """Everything of a capture that native functions cannot do, in one crossing."""
-    rows = []
-    for u, h in zip(url, html, strict=True):
-        base = urls.parse(u)
-        content = readable(h or "")
-        confident = content is not None
-        if content is None:
-            content = body_of(h or "")
-        content = sanitize(content)
-        rows.append((urls.clean(u), str(base) if base else None, content, confident, first_image(h or "", base) if confident else None, references(content, base)))
-    return pd.DataFrame(rows, columns=["link", "final_url", "content_html", "confident", "hero_url", "assets"])
