@@ -48,10 +48,13 @@ def contains_unicode_ci(c: Column | str, needle: str) -> Column:
 
 
 def tag_text(html: Column | str, tag: str) -> Column:
-    """Trimmed text between the first <tag ...> and the next </tag>; null if there is none. Case-sensitive."""
-    pattern = f"(?s)<{tag}[^>]*>(.*?)</{tag}>"
+    """Trimmed text between the first <tag ...> and the next </tag>; null if there is none. Case-sensitive. Looked for one after
+    the other, so that a page takes time in proportion to its length."""
     html = _col(html)
-    return F.when(F.regexp_like(html, F.lit(pattern)), trim_space(F.regexp_extract(html, pattern, 1)))
+    start = F.locate(f"<{tag}", html)
+    begin = F.position(F.lit(">"), html, start)
+    close = F.position(F.lit(f"</{tag}>"), html, begin)
+    return F.when((start > 0) & (begin > 0) & (close > 0), trim_space(F.substr(html, begin + 1, close - begin - 1)))
 
 
 def strip_tags(html: Column | str) -> Column:

@@ -11,7 +11,7 @@ from ..operators import dedup, mutate
 from ..operators.filters import syncable_sources
 from ..sources.shared import cut
 from ..sources.tables import FEED_ENTRIES, feed_entries, parsed_feed
-from .capture import capture
+from .capture import capture, pages_of
 
 
 def sync_feeds(articles: DataFrame, sources: DataFrame, fetched: DataFrame, pages: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -30,7 +30,7 @@ def sync_feeds(articles: DataFrame, sources: DataFrame, fetched: DataFrame, page
     entries = feed_entries(visited.where("_f is not null").select(F.col("source_id").alias("feed"), F.slice("_f.items", 1, FEED_ENTRIES).alias("items"))).withColumnRenamed("feed", "source_id")
     entries = entries.withColumn("link", F.coalesce(clean_link("link"), F.col("link")))
     fresh = cut(dedup.first_per_key(entries.join(articles.select("link"), "link", "left_anti"), "link", ["source_id", "place"]))
-    page = dedup.first_per_key(pages.select(F.coalesce(clean_link("url"), X.trim_space("url")).alias("_link"), "html"), "_link", ["html"])
+    page = pages_of(pages, fresh.select("link"))
     got = capture(fresh.join(page, fresh["link"] == page["_link"], "left").select(F.col("link").alias("url"), "html", "source_id", "tags"), now)
     values = {"id": F.substring(F.sha2("link", 256), 1, 32), "source_type": F.lit("rss"), "tags": X.normalize_tags("tags"), "favorited": F.lit(False), "reading_state": F.lit("unread"), "reading_progress": F.lit(0.0), "updated_at": F.lit(now)}
     rows = got.withColumns(values)

@@ -9,7 +9,8 @@ from ..functions import text as X
 from ..functions.urls import clean_link
 from ..operators import dedup, mutate
 from ..schemas import UNCATEGORIZED_NAME
-from .capture import capture
+from ..sources.shared import cut
+from .capture import capture, pages_of
 
 
 def import_links(rows: DataFrame, url: str = "url") -> DataFrame:
@@ -48,9 +49,9 @@ def import_job(rows: DataFrame, articles: DataFrame, categories: DataFrame, page
     known = mutate.find_or_create_categories(categories, folders, now)
     fields = [c for c in order if c in rows.columns]
     batch = dedup.first_per_key(bookmark_articles(rows, known, fields).where("link is not null"), "link", fields or ["fetched_at", "title"])
-    new = batch.join(articles.select("link"), "link", "left_anti")
-    fetched = pages.select(F.coalesce(clean_link("url"), X.trim_space("url")).alias("_link"), "html")
-    captured = capture(new.join(dedup.first_per_key(fetched, "_link", ["html"]), new["link"] == F.col("_link"), "left").select(F.col("link").alias("url"), "html", F.col("fetched_at").alias("_created")), now, published="_created")
+    new = cut(batch.join(articles.select("link"), "link", "left_anti"))
+    fetched = pages_of(pages, new.select("link"))
+    captured = cut(capture(new.join(fetched, new["link"] == fetched["_link"], "left").select(F.col("link").alias("url"), "html", F.col("fetched_at").alias("_created")), now, published="_created"))  # pages are parsed once
     done = outcomes(rows, articles, captured.select("link", "capture_failed"), order)
     said = captured.select("link", *[F.col(c).alias(f"_{c}") for c in ("title", "excerpt", "content_html", "read_time_min", "capture_failed") if c in articles.columns])
     made = new.join(said, "link")

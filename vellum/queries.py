@@ -14,11 +14,13 @@ from .functions import text as X
 from .functions import urls as U
 from .operators import dedup, filters, gc, library, mutate, sync
 from .plans import capture as capturing
-from .plans import feeds, imports
+from .plans import edits, feeds, imports
+from .plans import replicate as replication
 from .schemas import ARTICLE_CSV, UNCATEGORIZED
 from .sources import tables
 from .sources.shared import shared_root
 from .sources.store import Conflict, Store
+from .streaming import sources as feeds_state
 from .streaming.ingest import changed_sources, seen_once
 from .surrogate import ARTICLES_SQL, CATEGORIES_SQL, NOW, SOURCES_SQL, VERSIONS_SQL, articles, categories, replica_versions, sources, stamp, table
 
@@ -405,6 +407,45 @@ def replication_report(spark, d):
     return sync.reconcile(local, remote, _now(), NOW)[2]
 
 
+def _drifted(spark, d):
+    """Two stores of one library, of which some rows went different ways."""
+    n = F.expr("cast(substr(id, 2) as int)")
+    rows = articles(spark, d).drop("content").withColumns({"n": n, "link": F.concat(F.lit("https://e.com/"), n.cast("string"))})
+    aged = lambda later: rows.withColumn("updated_at", stamp(F.lit(1_704_067_200) + F.when(n % 50 == later, 9).otherwise(1)))
+    dead = lambda left, least: rows.where(n % left == least).select(F.lit("article").alias("entity_type"), F.col("id").alias("entity_id"), F.lit("2024-05-30T00:00:00Z").alias("deleted_at"))
+    here = aged(2).where("n % 90 <> 4 and n % 110 <> 5").drop("n")
+    there = aged(1).where("n % 70 <> 3 and n % 115 <> 7").withColumn("id", F.when(n % 130 == 6, F.concat(F.lit("z"), "id")).otherwise(F.col("id"))).drop("n")
+    feeds_ = sources(spark, d).groupBy("feed_url").agg(F.min("id").alias("id"), F.min("name").alias("name"), F.min("created_at").alias("created_at"), F.max("article_count").alias("article_count")).withColumn("updated_at", F.col("created_at"))
+    stores = []
+    for name, mine, stones in (("local", here, dead(110, 5)), ("remote", there, dead(115, 7))):
+        store = replication.open_replica(spark, _scratch(spark, name), 64, mine.schema.toDDL().replace("`", ""), "id string, name string, feed_url string, article_count bigint, created_at string, updated_at string")
+        store.commit({"articles": mine, "categories": categories(spark), "sources": feeds_, "tombstones": stones}, 0)
+        stores.append(store)
+    return stores
+
+
+_DRIFTED_SQL = """, a as (select cast(substr(id, 2) as int) as n, id from articles), s as (
+  select n, id, n % 90 <> 4 and n % 110 <> 5 as l, n % 70 <> 3 and n % 115 <> 7 as r, n % 130 = 6 as z, n % 110 = 5 or n % 115 = 7 as dead, n % 50 = 2 as lnew, n % 50 = 1 as rnew from a)"""
+
+
+@query(_WITH_A + _DRIFTED_SQL + """ select 'article' as entity_type, count(*) filter ((r and not z and not dead and (not l or rnew)) or (r and z)) as pulled,
+  count(*) filter (l and not dead and (not r or z or lnew)) as pushed, count(*) filter (l and dead) as deleted, count(*) filter (z and l and r and not dead) as merged from s
+union all select 'category', 0, 0, 0, 0 union all select 'source', 0, 0, 0, 0""")
+def digest_replication(spark, d):
+    """ST5, J6, SC14: a pass over two stores that reads the buckets whose digests differ, published by conditional writes"""
+    return replication.replicate(*_drifted(spark, d), _now(), NOW)
+
+
+@query(_WITH_A + _DRIFTED_SQL + """, e as (select case when z and r and (dead or not l) then 'z' || id else id end as id, l, r, z, dead from s) select id, 'both' as side from e where (l or r) and not (dead and not (z and r))""")
+def replicas_after(spark, d):
+    """ST5: what both sides have after the pass"""
+    local, remote = _drifted(spark, d)
+    replication.replicate(local, remote, _now(), NOW)
+    a, b = (s.read()["articles"].select("id", F.lit(side).alias("side")) for s, side in ((local, "local"), (remote, "remote")))
+    both = a.unionByName(b).groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min("side").alias("side"))
+    return both.select("id", F.when(F.col("_n") == 2, "both").otherwise(F.col("side")).alias("side"))
+
+
 # sweeps
 
 
@@ -748,9 +789,17 @@ def settled_attempts(spark, d):
     return capturing.settled(attempts, 2).select(F.col("url").alias("page_id"), "attempt", "status", F.length("html").alias("n"))
 
 
-@query()
+@query(
+    _PAIRS + f""", l as (select page_id, {_LINK} as link, p.url, html from p join pages using (page_id)), k as (select *, row_number() over (partition by link order by url, page_id) as n from l),
+    c as (select *, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) as inside, regexp_extract(html, '(?s)<body[^>]*>(.*?)</body>', 1) as body from k where n = 1),
+    s as (select *, list_sum(list_transform(string_split_regex(inside, '<[^>]*>'), lambda x: length({_FLAT.format('x')}))) >= 250 as good from c),
+    t as (select *, {_FLAT.format("regexp_replace(case when good then inside when body <> '' then body else html end, '<[^>]*(>|$)|>', '', 'g')")} as flat from s)
+    select page_id, link, {_FLAT.format("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)")} as title, rtrim(substr(flat, 1, 200)) || case when length(flat) > 200 then '…' else '' end as excerpt,
+      greatest(1, (case when flat = '' then 0 else length(flat) - length(replace(flat, ' ', '')) + 1 end) // 200)::bigint as read_time_min, good as extraction_confident, false as capture_failed,
+      length(trim(case when good then inside else regexp_replace(body, '(?s)<script[^>]*>.*?</script>', '', 'g') end, chr(10) || ' '))::int as n from t"""
+)
 def captured_pages(spark, d):
-    """H1, H2, H11, H12, A20: the capture pipeline"""
+    """H1, H2, H11, H12, A20: the capture pipeline over pages of known body"""
     pages = table(spark, d, "pages")
     stored = articles(spark, d).select("link")
     return capturing.capture(capturing.new_pages(pages, stored), NOW).select("page_id", "link", "title", "excerpt", "read_time_min", "extraction_confident", "capture_failed", F.length("content_html").alias("n"))
@@ -897,6 +946,22 @@ def stream_seen_set(spark, d):
     return spark.read.schema("user_id long").parquet(f"{root}/out").select("user_id")
 
 
+@query("""with o as (select *, case event_type when 'click' then 304 when 'error' then 500 else 200 end as status, row_number() over (partition by user_id order by ts desc, event_id desc) as back from events where user_id is not null and ts is not null)
+select cast(user_id as varchar) as source, count(*) as visits, count(*) filter (status = 304) as skips, count(*) filter (status = 500) as errors,
+  max(case when back = 1 then case when status = 500 then 'error' else 'active' end end) as status, arg_max(case when status = 200 then 'v' || event_id end, case when status = 200 then ts end) as etag,
+  epoch_us(max(ts)) + cast(case user_id % 3 when 0 then 6 when 1 then 12 else 24 end as bigint) * 3600000000 as due_us from o group by user_id""")
+def source_replay(spark, d):
+    """ST1, ST3: fetch outcomes of a stream, by source: visits, skips, errors, validators and due times in keyed state"""
+    root, kind = _scratch(spark, "replay"), F.col("event_type")
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    status = F.when(kind == "click", 304).when(kind == "error", 500).otherwise(200)
+    hours = F.element_at(F.array(F.lit(5), F.lit(13), F.lit(30)), (F.col("user_id") % 3 + 1).cast("int"))
+    blank = F.lit(None).cast("string")
+    outcomes = events.select(F.col("user_id").cast("string").alias("source"), F.col("ts").cast("timestamp").alias("at"), status.alias("status"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("etag"), blank.alias("last_modified"), blank.alias("error"), hours.alias("interval_hours"))
+    feeds_state.keep_states(feeds_state.source_states(outcomes, late="3650 days", keep_days=36500), f"{root}/out", f"{root}/ck").awaitTermination()
+    return feeds_state.latest_states(spark, f"{root}/out").select("source", "visits", "skips", "errors", "status", "etag", F.unix_micros("due_at").alias("due_us"))
+
+
 def _scratch(spark, label: str) -> str:
     return f"{shared_root(spark)}/vellum/{label}-{uuid.uuid4().hex}"
 
@@ -1070,6 +1135,31 @@ def snapshot_commits(spark, d):
     return store.read()["t"]
 
 
+@query(
+    _WITH_A + """, b as (select item_id from benchmark), k as (select *, row_number() over (partition by link order by id) as n, cast(substr(id, 2) as bigint) as d from articles)
+    select id, link, case when d % 40 = 3 then not favorited else favorited end as favorited,
+      case when d % 40 = 3 then 'read' else reading_state end as reading_state, array_to_string(list_transform(tags, lambda t: case t when 'src3' then 'third' else t end), ',') as tags
+    from k where n = 1 and d % 50 <> 6
+    union all select 'n' || item_id, 'https://example.org/new/' || item_id, true, 'unread', '' from b"""
+)
+def bucket_commits(spark, d):
+    """SC13, D-1, D-5, D-11, D-14: a chain of edits, each of which writes the buckets of its own keys"""
+    columns = ("id", "link", "source_id", "tags", "favorited", "reading_state", "reading_progress", "updated_at")
+    rows, none = articles(spark, d).select(*columns), spark.createDataFrame([], "id string, article_count long, updated_at string")
+    store = edits.open_library(spark, _scratch(spark, "library"), 64, rows.schema.toDDL().replace("`", ""), none.schema.toDDL())
+    store.commit({"articles": dedup.first_per_key(rows, "link", ["id"]), "sources": none}, 0)
+    number = F.expr("cast(substr(id, 2) as bigint)")
+    new = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("n"))
+    fresh = new.select(F.concat(F.lit("n"), "n").alias("id"), F.concat(F.lit("https://example.org/new/"), "n").alias("link"), *(F.lit(None).cast(t).alias(c) for c, t in (("source_id", "string"), ("tags", "array<string>"))), F.lit(True).alias("favorited"), F.lit("unread").alias("reading_state"), F.lit(0.0).alias("reading_progress"), F.lit(NOW).alias("updated_at"))
+    log = rows.where(number % 40 == 3).select("id", F.lit(NOW).alias("at"), F.lit("read").alias("reading_state"), (~F.col("favorited")).alias("favorited"), F.lit(None).cast("double").alias("reading_progress"))
+    edits.apply_state_log(store, log)
+    edits.rename_tag(store, "src3", "third", NOW)
+    edits.delete(store, rows.where(number % 50 == 6).select("id"), NOW)
+    edits.insert(store, fresh.withColumn("tags", F.array().cast("array<string>")))
+    edits.insert(store, fresh.withColumn("tags", F.array(F.lit("again"))))
+    return store.read()["articles"].select("id", "link", "favorited", "reading_state", F.array_join("tags", ",").alias("tags"))
+
+
 @query("select page_id from pages where page_id % 3 <> 0 or page_id % 5 = 0")
 def changed_feeds(spark, d):
     """ST3: only feeds with another validator than last time are work"""

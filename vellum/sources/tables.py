@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import tarfile
 import uuid
 
@@ -83,18 +84,42 @@ _RSS = "channel struct<title: string, item: array<struct<link: string, guid: str
 _ATOM = "title string, entry array<struct<link: array<struct<_href: string, _rel: string>>, id: string, category: array<struct<_term: string>>>>"
 _RDF = "channel struct<title: string>, item array<struct<link: string, subject: array<string>>>"
 _JSON = "title string, items array<struct<url: string, id: string, tags: array<string>>>"
-#: How a body begins, after prologue and comments, that is a feed of a kind.
-_ROOTS = {"rss": "rss", "atom": "feed", "rdf": "rdf:RDF"}
-_PROLOGUE = r"(?s)^[\uFEFF\s]*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*"
+#: Root elements of the kinds of feeds.
+_ROOTS = {"rss": "rss", "feed": "atom", "rdf:RDF": "rdf"}
+_PLAIN = r"^[\uFEFF\s]*+(?:<\?xml[^>]*+>\s*+)?<([A-Za-z:]++)[\s>/]"
+_SPACE_BEFORE = re.compile(r"[\ufeff\s]*")
+_ROOT = re.compile(r"<([^\s>/]+)[\s>/]")
+_SKIPPED = (("<?", "?>"), ("<!--", "-->"), ("<!DOCTYPE", ">"))
+
+
+def root_of(body: str) -> str | None:
+    """Name of the root element, behind instructions, comments and a document type, however many."""
+    at = _SPACE_BEFORE.match(body).end()
+    while kind := next((k for k in _SKIPPED if body.startswith(k[0], at)), None):
+        end = body.find(kind[1], at + len(kind[0]))
+        if end < 0:
+            return None
+        at = _SPACE_BEFORE.match(body, end + len(kind[1])).end()
+    found = _ROOT.match(body, at)
+    return found[1] if found else None
+
+
+@F.pandas_udf(T.StringType())
+def _root_behind(body: pd.Series) -> pd.Series:
+    return body.map(lambda x: None if x is None else root_of(x))
 
 
 def feed_kind(body: Column | str) -> Column:
-    """rss, atom, rdf or json; null for what is no feed. The whole prologue is read, however long."""
+    """rss, atom, rdf or json; null for what is no feed. The whole prologue is read, however long: a plain one here, what begins with
+    comments and the like in Python, as a repeated group would recurse in Java's matcher."""
     body = F.col(body) if isinstance(body, str) else body
+    plain = F.nullif(F.regexp_extract(body, _PLAIN, 1), F.lit(""))
+    odd = F.when(plain.isNull() & F.regexp_like(body, F.lit(r"^[\uFEFF\s]*+<[?!]")), body)
+    root = F.coalesce(plain, _root_behind(odd))
     kind = F.lit(None).cast("string")
-    for name, root in _ROOTS.items():
-        kind = F.when(F.regexp_like(body, F.lit(rf"{_PROLOGUE}<{root}[\s>/]")), name).otherwise(kind)
-    return F.when(F.regexp_like(body, F.lit(r'^[\uFEFF\s]*\{')) & F.contains(F.replace(body, F.lit("\\/"), F.lit("/")), F.lit("://jsonfeed.org/version/")), "json").otherwise(kind)
+    for name, of in _ROOTS.items():
+        kind = F.when(root == name, of).otherwise(kind)
+    return F.when(F.regexp_like(body, F.lit(r"^[\uFEFF\s]*+\{")) & F.contains(F.replace(body, F.lit("\\/"), F.lit("/")), F.lit("://jsonfeed.org/version/")), "json").otherwise(kind)
 
 
 def parsed_feed(body: Column | str) -> Column:
