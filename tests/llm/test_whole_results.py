@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vellum.llm import decontam
+from vellum.llm import decontam, mixing
 
 SF = "/root/testdata/sf0.01"
 
@@ -45,3 +45,32 @@ def test_dedup_stages_with_columns_of_any_type(spark):
         out = stage(spark, wide, SF)
         assert out.columns == wide.columns
         assert sorted((r.doc_id or 0, r.text or "")[0] for r in out.collect()) == [0, 1, 1, 2]
+
+
+def told(i):
+    """A text that tells which of three domains it is of."""
+    n = 40 + i % 17
+    return {0: "the other thing that they thought through " * n, 1: "мы пошли домой вечером все вместе " * n, 2: "1234567 98 7654 abcdxyzqwkjh lmnopqrs " * n}[i % 3]
+
+
+def test_mixing_finds_the_noise_of_labels_where_the_text_tells(spark):
+    names = ("a", "b", "c")
+    rows = [(i, told(i), names[(i + (0 if i % 10 < 7 else 1 + i // 10 % 2)) % 3]) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out, report = mixing.mixed(docs, low=0.0)
+    assert abs(report["noise"] - 0.3) < 0.05 and report["loss"] < 0.8 * report["share_loss"] and report["sure"] > 50
+    right = out.select((F.col("mix_domain") == F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % 3 + 1).cast("int"))).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
+    assert right > 0.8  # 0.7 by the labels
+    clean = docs.withColumn("source", F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % 3 + 1).cast("int")))
+    assert mixing.mixed(clean)[1]["noise"] == mixing.LEAST_NOISE
+    silent = docs.withColumn("text", F.lit("one text for all of them"))
+    assert mixing.mixed(silent)[1]["noise"] == mixing.LEAST_NOISE
+
+
+def test_rows_without_an_id_and_repeated_rows_are_rounded_each(spark):
+    rows = [(None if i % 2 else 7, f"some words and more {'x ' * (i % 5)}" if i % 3 else "one text", f"s{0 if i % 4 else 1}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out, report = mixing.mixed(docs)
+    got = {r.source: r.n for r in out.groupBy("source").agg(F.sum(F.col("mix_tokens") * F.col("mix_copies")).alias("n")).collect()}
+    want = out.groupBy("source").agg(F.sum(F.col("mix_tokens") * F.col("mix_rate")).alias("n")).collect()
+    assert all(abs(got[r.source] / r.n - 1) < 0.1 for r in want)

@@ -5,8 +5,8 @@
    label (right with probability 1 - noise, else any other domain alike), give each document posteriors
    over the domains. Documents without a label have the text features alone. As the features depend on each other, their
    evidence is tempered: it counts by the power under which the labels of held-out documents are likeliest (0: the text says nothing
-   about its domain). That log loss, and the one by the domains' shares alone, are in the report. The noise is a
-   parameter: a classifier that learns from the labels cannot tell how many of them are wrong.
+   about its domain). That log loss, and the one by the domains' shares alone, are in the report. The noise is estimated from the same held-out
+   documents: how often the label differs where the text is sure of the domain.
 2. Tokens: a given column of counts, or pieces of text as byte-pair tokenizers make them (letters by up to six, digits by
    up to three, other marks one by one), which also counts scripts without spaces.
 3. Rates. Each document gets a nonnegative rate such that the expected tokens of each domain,
@@ -22,7 +22,8 @@
    it is known there without another pass. The descent ends when no rate would move: clipped cells do not count.
    Documents of one cell and label share posteriors, start and steps, hence their rate: the table of cells
    carries the descent, and each step is one aggregation of it with a number a domain to the driver.
-4. Copies: floor(rate) of each document, and one more with the fraction's probability, by a hash of the id.
+4. Copies: floor(rate) of each document, and one more with the fraction's probability, by a hash of the id, the text and the row's place in
+   the table's files, so that rows without an id, and rows that are alike, are rounded each for itself.
 
 Defined cases: null text has no tokens, and its rate follows from its cell; a null domain is unlabelled; with no labels at
 all there is one domain, ''; repeated rows stay, each with the rate of its cell; very long texts are described whole; an empty
@@ -43,9 +44,11 @@ from .common import quoted, saved
 
 log = logging.getLogger(__name__)
 
-#: How likely a label is not the document's domain. As a hot domain's documents are the likeliest to be behind wrong labels, more noise
-#: puts more of it into the others, up to where no rates can bring it down to its target.
-NOISE = 0.02
+#: How likely a label is not the document's domain is estimated where the text tells the domain. Held-out documents are dealt by how far
+#: the evidence of their text for its first domain is ahead of that for the second (over GAP, in steps of it); where the text is as sure as
+#: it gets, labels still disagree as often as they are wrong. So the noise is what is left of 1 by the best agreement of a step of
+#: at least ENOUGH documents, within bounds; without such a step the text does not tell, nothing speaks against a label, and it is the least.
+LEAST_NOISE, MOST_NOISE, GAP, ENOUGH = 0.02, 0.5, 0.6, 50
 #: Powers of the text's evidence that are tried, and which part of the labelled documents is held out meanwhile.
 TEMPERS, HELD_OUT = tuple(i / 10 for i in range(11)), 5
 #: A posterior has an entry for each domain; more are refused. Up to SOLVED of them, G is a full matrix.
@@ -76,11 +79,12 @@ def described(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     size = F.length(text)
     without = lambda s: size - F.length(F.replace(text, F.lit(s), F.lit("")))
     tokens = F.coalesce(quoted(tokens_col).cast("long"), F.lit(0)) if tokens_col else F.regexp_count(text, F.lit(TOKEN)).cast("long")
-    first = docs.select(F.struct(*map(quoted, carry or docs.columns)).alias("_row"), F.col(id_col).alias("_id"), F.col(domain_col).cast("string").alias("_domain"), tokens.alias("_tokens"), size.alias("_size"), F.octet_length(text).alias("_bytes"), without("th").alias("_th"), without("e").alias("_e"))
+    first = docs.select(F.struct(*map(quoted, carry or docs.columns)).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), text, F.monotonically_increasing_id()).alias("_own"), F.col(domain_col).cast("string").alias("_domain"), tokens.alias("_tokens"), size.alias("_size"), F.octet_length(text).alias("_bytes"), without("th").alias("_th"), without("e").alias("_e"))
     n, t = F.col("_size"), F.col("_tokens")
     return first.select(
         "_row",
         "_id",
+        "_own",
         "_domain",
         "_tokens",
         (F.pmod(F.xxhash64("_id", "_size", "_tokens", F.lit(3)), F.lit(HELD_OUT)) == 0).alias("_held"),
@@ -152,8 +156,9 @@ def _times(factor: float):
 
 
 def fit_temper(cells: DataFrame, prior: dict[str, float], mine: dict[str, float]) -> dict:
-    """The power of the text's evidence, and the mean log losses of held-out labels with it and without the text."""
-    none = {"temper": 1.0, "held_out": 0.0, "loss": math.nan, "share_loss": math.nan}
+    """The power of the text's evidence, the mean log losses of held-out labels with it and without the text, and the noise of the labels,
+    from so many held-out documents that the text is sure of."""
+    none = {"temper": 1.0, "held_out": 0.0, "loss": math.nan, "share_loss": math.nan, "noise": LEAST_NOISE, "sure": 0.0}
     if len(prior) < 2:
         return none
     known = cells.where("_domain is not null")
@@ -166,10 +171,24 @@ def fit_temper(cells: DataFrame, prior: dict[str, float], mine: dict[str, float]
     if not row[0]:
         return none
     best = int(np.argmin(row[1:]))
-    return {"temper": TEMPERS[best], "held_out": row[0], "loss": row[1 + best] / row[0], "share_loss": row[1] / row[0]}
+    out = {"temper": TEMPERS[best], "held_out": row[0], "loss": row[1 + best] / row[0], "share_loss": row[1] / row[0]}
+    return out | label_noise(held, out["temper"])
 
 
-def posteriors(cells: DataFrame, *, noise: float = NOISE, temper: float = 1.0, prior: dict[str, float] | None = None) -> tuple[DataFrame, list[str]]:
+def label_noise(held: DataFrame, temper: float) -> dict:
+    """The noise of the labels of held-out cells (evidence, and `at`, the label's place in it), and the documents it comes from."""
+    ranked = held.withColumn("_s", F.sort_array("evidence", asc=False))
+    gap = temper * (F.element_at("_s", 1) - F.element_at("_s", 2))
+    agree = F.when(F.element_at("evidence", F.col("at")) == F.element_at("_s", 1), F.col("docs")).otherwise(0.0)
+    steps = ranked.withColumn("_gap", F.least(F.lit(20), F.floor(gap / GAP))).where("_gap >= 1").groupBy("_gap").agg(F.sum("docs"), F.sum(agree)).collect()
+    shares = [(right / docs, docs) for _, docs, right in steps if docs >= ENOUGH]
+    if not shares:
+        return {"noise": LEAST_NOISE, "sure": 0.0}
+    best, docs = max(shares)
+    return {"noise": float(min(MOST_NOISE, max(LEAST_NOISE, 1 - best))), "sure": docs}
+
+
+def posteriors(cells: DataFrame, *, noise: float = LEAST_NOISE, temper: float = 1.0, prior: dict[str, float] | None = None) -> tuple[DataFrame, list[str]]:
     """Cells with an array `p` of domain posteriors, and the domains in order."""
     prior = domains_of(cells)[0] if prior is None else prior
     if not prior:
@@ -290,8 +309,8 @@ def with_rates(docs: DataFrame, targets: dict[str, float] | None = None, **setti
     return mixed(docs, targets, **settings)[0]
 
 
-def mixed(docs: DataFrame, targets: dict[str, float] | None = None, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "source", tokens_col: str | None = None, carry: list[str] | None = None, budget: float = 1.0, low: float = 0.0, high: float = math.inf, noise: float = NOISE, temper: float | None = None, seed: int = 7) -> tuple[DataFrame, dict]:
-    """What with_rates returns, and the reports of fit_temper and fit_rates; a descent that has not converged and missed targets are
+def mixed(docs: DataFrame, targets: dict[str, float] | None = None, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "source", tokens_col: str | None = None, carry: list[str] | None = None, budget: float = 1.0, low: float = 0.0, high: float = math.inf, noise: float | None = None, temper: float | None = None, seed: int = 7) -> tuple[DataFrame, dict]:
+    """What with_rates returns, and the reports of fit_temper and fit_rates (noise and temper are found from the data if none are given); a descent that has not converged and missed targets are
     logged as warnings.
 
     tokens_col: a column of token counts, instead of pieces of text. carry: the columns to carry; without the text among
@@ -304,9 +323,10 @@ def mixed(docs: DataFrame, targets: dict[str, float] | None = None, *, id_col: s
     key = ["_domain", *_FEATURES]
     halves = _narrow(rows.groupBy(*key, "_held").agg(F.count(F.lit(1)).cast("double").alias("docs"), F.sum("_tokens").cast("double").alias("tokens")), "mixing-cells")
     prior, mine = domains_of(halves)
-    text = fit_temper(halves, prior, mine) if temper is None else {"temper": temper}
+    text = fit_temper(halves, prior, mine) if temper is None or noise is None else {}
+    text |= {k: v for k, v in (("temper", temper), ("noise", noise)) if v is not None}
     cells = halves.groupBy(*key).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-    known, domains = posteriors(cells, noise=noise, temper=text["temper"], prior=prior)
+    known, domains = posteriors(cells, noise=text["noise"], temper=text["temper"], prior=prior)
     fitted, report = fit_rates(_narrow(known, "mixing-posteriors"), domains, targets, budget=budget, low=low, high=high)
     report |= text
     if not report["converged"]:
@@ -321,7 +341,7 @@ def mixed(docs: DataFrame, targets: dict[str, float] | None = None, *, id_col: s
     for c in _FEATURES:
         on = on & (rows[c] == side[f"r_{c}"])
     out = rows.join(F.broadcast(side) if small else side, on)
-    luck = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    luck = F.pmod(F.xxhash64("_own", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     whole = F.floor("mix_rate")
     out = out.withColumn("mix_copies", (whole + (luck < F.col("mix_rate") - whole).cast("int")).cast("int"))
     new = [F.col("_tokens").alias("mix_tokens"), *map(F.col, _NEW[1:])]
