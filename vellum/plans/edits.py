@@ -6,12 +6,13 @@ in a scan of those columns. Deletions change articles, counters and tombstones i
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import mutate
+from ..operators import counters, mutate
 from ..schemas import ARTICLES, CATEGORIES, SOURCES, TOMBSTONES
 from ..sources.shared import cut
 from ..sources.store import BUCKETS, Store
@@ -19,8 +20,15 @@ from ..sources.store import BUCKETS, Store
 KEYS = {"articles": "link", "tombstones": "entity_id"}
 
 
-def open_library(spark: SparkSession, path: str, buckets: int = BUCKETS, articles: str = ARTICLES, sources: str = SOURCES) -> Store:
-    return Store(spark, path, {"articles": articles, "categories": CATEGORIES, "sources": sources, "tombstones": TOMBSTONES}, KEYS, buckets)
+def open_library(spark: SparkSession, path: str, buckets: int = BUCKETS, articles: str = ARTICLES, sources: str = SOURCES, more: Mapping[str, str] | None = None) -> Store:
+    """more: further tables without a key."""
+    return Store(spark, path, {"articles": articles, "categories": CATEGORIES, "sources": sources, "tombstones": TOMBSTONES, **(more or {})}, KEYS, buckets)
+
+
+def open_counted(spark: SparkSession, path: str, buckets: int = BUCKETS, articles: str = ARTICLES, sources: str = SOURCES) -> Store:
+    """A library that keeps its counters by deltas."""
+    schemas = {"articles": articles, "categories": CATEGORIES, "sources": sources, "tombstones": TOMBSTONES, "deltas": counters.DELTAS}
+    return Store(spark, path, schemas, {**KEYS, "deltas": "batch"}, buckets)
 
 
 def links_where(store: Store, condition: Column) -> DataFrame:
@@ -33,7 +41,9 @@ def links_of(store: Store, ids: DataFrame) -> DataFrame:
 
 
 def edit(store: Store, links: DataFrame, change: Callable[[DataFrame], DataFrame]) -> int:
-    """Apply a change of articles (operators.mutate) to the buckets of some links."""
+    """Apply a change of articles (operators.mutate) to the buckets of some links; counters go along if the store keeps them."""
+    if "deltas" in store.keys:
+        return counters.counted_change(store, links, change)
     return store.change({"articles": links}, lambda state: {"articles": change(state["articles"])})
 
 
@@ -70,10 +80,16 @@ def apply_state_log(store: Store, log: DataFrame) -> int:
 def delete(store: Store, ids: DataFrame, now: str) -> int:
     """Articles go, their sources count fewer, tombstones stay: one version."""
     gone = cut(ids.select("id").distinct())
+    batch = uuid.uuid4().hex
     keys = {"articles": links_of(store, gone), "tombstones": gone.select(F.col("id").alias("entity_id"))}
+    if "deltas" in store.keys:
+        keys["deltas"] = store.spark.createDataFrame([(batch,)], "batch string")
 
     def change(state: dict[str, DataFrame]) -> dict[str, DataFrame]:
         articles, sources, tombstones = mutate.delete_articles(state["articles"], state["sources"], state["tombstones"], gone, now)
-        return {"articles": articles, "sources": sources, "tombstones": tombstones}
+        new = {"articles": articles, "sources": sources, "tombstones": tombstones}
+        if "deltas" in state:
+            new["deltas"] = state["deltas"].unionByName(counters.deltas(state["articles"], articles, batch))
+        return new
 
     return store.change(keys, change, reads=("sources",))

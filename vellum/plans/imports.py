@@ -30,7 +30,7 @@ def outcomes(rows: DataFrame, articles: DataFrame, captures: DataFrame, order: t
     """What each row came to: failed (no link, or its capture failed), skipped (stored before, or another row of the link comes
     first by the order columns), imported. Equal rows of one place count as that many."""
     order = [c for c in order if c in rows.columns] or list(rows.columns)
-    keyed = import_links(rows).withColumn("_i", F.struct(*order))
+    keyed = cut(import_links(rows).withColumn("_i", F.struct(*order)))  # links are cleaned once, and read by three plans
     first = keyed.where("link is not null").groupBy("link").agg(F.min("_i").alias("_first"))
     stored = articles.select("link").distinct().withColumn("_dup", F.lit(True))
     failed = captures.where("capture_failed").select("link").distinct().withColumn("_failed", F.lit(True))

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from .functions import html as H
 from .functions import text as X
 from .functions import urls as U
-from .operators import dedup, filters, gc, library, mutate, sync
+from .operators import counters, dedup, filters, gc, library, mutate, sync
 from .plans import capture as capturing
-from .plans import edits, feeds, imports
+from .plans import edits, feeds, import_runs, imports
 from .plans import replicate as replication
 from .schemas import ARTICLE_CSV, UNCATEGORIZED
 from .sources import tables
@@ -1054,13 +1054,17 @@ _IMPORT_SQL = f"""with {ARTICLES_SQL}, {CATEGORIES_SQL}, r as (select *, cast(su
 s as (select * from r where reading_state = 'read'), b as (select *, row_number() over (partition by link order by line) as nth from r where not bad) """
 
 
-def _imported(spark, d):
+def _import_input(spark, d):
+    """Rows of a bookmark file, the articles there are, and fetched pages."""
     line = F.substring("id", 2, 8).cast("int")
     rows = articles(spark, d).select(line.alias("line"), "title", F.when(line % 10 == 0, "http://[bad").otherwise(F.concat("link", F.lit("?utm_source=x#top"))).alias("url"), F.when(F.col("category_id").isNull(), "Unsorted").otherwise(F.concat(F.lit(" "), F.col("category_id"))).alias("folder"), F.lit("A, b,,a").alias("tags"), F.col("fetched_at").alias("created"), F.lit("true").alias("favorite"))
-    path = _scratch(spark, "bookmarks")
-    tables.write_csv(rows.drop("line").withColumn("id", F.lit("x")), path, "b", NOW)
     stored = articles(spark, d).drop("content").withColumn("capture_failed", F.lit(False)).where("reading_state = 'read'")
     pages = articles(spark, d).where(F.regexp_extract("link", "/([0-9]+)$", 1).cast("int") % 2 == 0).select(F.col("link").alias("url"), F.lit("<title>T</title><body>x</body>").alias("html"))
+    return rows, stored, pages
+
+
+def _imported(spark, d):
+    rows, stored, pages = _import_input(spark, d)
     return imports.import_job(rows, stored, categories(spark), pages, NOW), stored
 
 
@@ -1086,6 +1090,54 @@ def import_top_ups(spark, d):
     return after.join(stored.select("id"), "id", "left_semi").select("id", F.array_join("tags", ",").alias("tags"))
 
 
+@query(_IMPORT_SQL + """, w as (select line, case when bad then 'failed' when link in (select link from s) then 'skipped' when line > (select min(line) from b where b.link = r.link) then 'skipped' when not there then 'failed' else 'imported' end as outcome from r),
+  m as (select min(line) as low, (max(line) - min(line) + 4) // 4 as n from r)
+select ((line - low) // n)::int as batch, count(*) as total, count(*) filter (outcome = 'imported') as imported, count(*) filter (outcome = 'skipped') as skipped, count(*) filter (outcome = 'failed') as failed from w, m where (line - low) // n < 3 group by 1""")
+def import_progress(spark, d):
+    """ST4, A8: an import in four batches, cancelled after the third; what each one that landed came to"""
+    rows, stored, pages = _import_input(spark, d)
+    low, high = rows.agg(F.min("line"), F.max("line")).first()
+    store = import_runs.open_library(spark, _scratch(spark, "import"), 64, stored.schema.toDDL().replace("`", ""), "id string, article_count bigint")
+    store.commit({"articles": dedup.first_per_key(stored, "link", ["id"]), "categories": categories(spark)}, 0)
+    watch = lambda batch, batches: import_runs.cancel(store, "x", NOW) if batch == 3 else None
+    run = import_runs.ImportRun(store, "x", rows, pages, NOW, (high - low + 4) // 4, watch)
+    if not run.run().first().cancelled:
+        raise AssertionError("an import that was cancelled does not say so")
+    return import_runs.progress(store, "x").select("batch", "total", "imported", "skipped", "failed")
+
+
+@query("""with k as (select 'd/' || (doc_id % 7) || '/' || doc_id as key, doc_id from documents where doc_id % 3 = 0)
+select key, 'deleted' as state from k where doc_id % 2 = 0 union all select key, 'left' from k where doc_id % 2 = 1 union all select 'd/none/' || doc_id, 'missing' from documents where doc_id % 50 = 1""")
+def blob_deletes(spark, d):
+    """SC13, J10: files, empty ones too, listed and deleted in executors, with what became of each key"""
+    folder, n = _scratch(spark, "blobs").removeprefix("file:"), F.col("doc_id")
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("d/"), (n % 7).cast("string"), F.lit("/"), n.cast("string")).alias("path"), F.when(n % 5 != 0, F.col("text")).alias("body"))
+    tables.write_assets(docs.where("doc_id % 3 = 0"), folder)
+    gone = docs.where("doc_id % 6 = 0").select(F.col("path").alias("key")).unionByName(docs.where("doc_id % 50 = 1").select(F.concat(F.lit("d/none/"), n.cast("string")).alias("key")))
+    done = tables.delete_blobs(gone, folder)
+    return done.select("key", F.col("outcome").alias("state")).unionByName(tables.list_blobs(spark, folder).select("key", F.lit("left").alias("state")))
+
+
+@query(_WITH_A + """, f as (select * from (select *, row_number() over (partition by link order by id) as nth, cast(substr(id, 2) as int) as n from articles) where nth = 1 and n % 20 <> 7),
+  t as (select source_id, category_id, list_distinct(list_concat(list_transform(tags, lambda x: case x when 'src4' then 'en' else x end), case when n % 6 = 0 then ['top'] else [] end)) as tags from f)
+select 'source' as kind, source_id as name, count(*) as n from t where source_id is not null group by 2
+union all select 'category', category_id, count(*) from t where category_id is not null group by 2
+union all select 'tag', tag, count(*) from (select unnest(tags) as tag from t) where tag is not null group by 2""")
+def kept_counters(spark, d):
+    """A3, A4, A6: counters kept by signed deltas through inserts, a rename, top-ups and deletions, against the recount"""
+    rows = articles(spark, d).select("id", "link", "source_id", "category_id", F.filter("tags", lambda t: t.isNotNull()).alias("tags"), "updated_at")
+    n = F.substring("id", 2, 8).cast("int")
+    store = edits.open_counted(spark, _scratch(spark, "counted"), 32, rows.schema.toDDL().replace("`", ""), "id string, article_count bigint, updated_at string")
+    first = dedup.first_per_key(rows, "link", ["id"])
+    for part in (n % 2 == 0, n % 2 == 1):
+        edits.insert(store, first.where(part))
+    edits.rename_tag(store, "src4", "en", NOW)
+    edits.import_rows(store, first.where(n % 6 == 0).withColumn("tags", F.array(F.lit("Top "), F.lit("top"))), NOW)
+    edits.delete(store, first.where(n % 20 == 7).select("id"), NOW)
+    counters.folded(store)
+    return counters.counters(store.read()["deltas"])
+
+
 @query(_WITH_A + "select title, link as url, coalesce(category_id, '') as folder, 'x,y' as tags, fetched_at as created, cast(favorited as varchar) as favorite from articles where id not like '%3'")
 def bookmark_file(spark, d):
     """SC7: a bookmark file with columns of its own; rows without an address are dropped"""

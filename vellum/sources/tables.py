@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import blob_key, media_type, trim_space
+from ..operators.gc import delete_batches
 from ..schemas import ARTICLE_CSV, BOOKMARK_CSV, FEED_CSV
+from .shared import cut
 
 FEED_ENTRIES = 30
 ASSET_BYTES = 20 << 20
@@ -223,10 +225,9 @@ def write_assets(assets: DataFrame, folder: str, path: str = "path", data: str =
     spark = assets.sparkSession
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
-    where = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
     def write(batches):
-        files, base = fs.FileSystem.from_uri(where.replace("file:/", "file:///", 1) if where.startswith("file:/") and not where.startswith("file://") else where)
+        files, base = _store_of(folder)
         n = 0
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -252,11 +253,65 @@ def served(requests: DataFrame, live: DataFrame, path: str = "path", owner: str
     return requests.join(known, owner, "left").withColumns({"status": status, "type": F.when(F.col("_live"), media_type(path))}).drop("_live")
 
 
+def _store_of(place: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a folder, and the folder in it."""
+    uri = place if "://" in place else place.replace("file:", "file://", 1) if place.startswith("file:/") else f"file://{place}"
+    return fs.FileSystem.from_uri(uri)
+
+
+_FOUND = "key string, folder boolean, last_modified string"
+
+
+def _listed(root: str, recursive: bool):
+    def run(batches):
+        files, base = _store_of(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = files.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"), recursive=recursive, allow_not_found=True))
+                for at in range(0, len(found), 10_000):
+                    page = [x for x in found[at : at + 10_000] if not (x.base_name.startswith(".") and x.base_name.endswith(".crc"))]
+                    yield pa.RecordBatch.from_pydict({
+                        "key": pa.array([x.path[len(base) :].lstrip("/") for x in page], pa.string()), "folder": pa.array([x.type == fs.FileType.Directory for x in page], pa.bool_()),
+                        "last_modified": pa.array([x.mtime.strftime("%Y-%m-%dT%H:%M:%SZ") if x.mtime else None for x in page], pa.string()),
+                    })
+
+    return run
+
+
 def list_blobs(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
-    """(key, last_modified) of the files under a folder, without their content; Spark's listing leaves empty files out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime")
-    key = F.regexp_replace("path", F.lit("^.*?" + path.rstrip("/").split(":", 1)[-1].lstrip("/").replace(".", "\\.") + "/"), F.lit(""))
-    return files.select(key.alias("key"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_modified")).where(F.startswith("key", F.lit(prefix)))
+    """(key, last_modified) of the files under a folder, empty ones too, without the checksums that Hadoop puts beside them. The
+    folders in it are listed in executors, each with all that is below it; a prefix starts at its own folder."""
+    folder = prefix.rpartition("/")[0]
+    first = cut(spark.createDataFrame([(folder,)], "key string").mapInArrow(_listed(path, False), _FOUND))
+    folders = first.where("folder").select("key")
+    below = folders.repartition(spark.sparkContext.defaultParallelism, "key").mapInArrow(_listed(path, True), _FOUND)
+    return first.unionByName(below).where(~F.col("folder") & F.startswith("key", F.lit(prefix))).select("key", "last_modified")
+
+
+def delete_blobs(keys: DataFrame, path: str, size: int = 1000) -> DataFrame:
+    """Delete the files of some keys under a folder, in executors, a batch of about `size` after the other; (key, outcome):
+    deleted, missing, or why it failed. A key that leads out of the folder is refused."""
+
+    def run(batches):
+        files, base = _store_of(path)
+
+        def one(key: str) -> str:
+            if not key or any(p in ("", ".", "..") for p in key.split("/")):
+                return "refused"
+            try:
+                files.delete_file(f"{base}/{key}")
+            except FileNotFoundError:
+                return "missing"
+            except OSError as error:
+                return "missing" if files.get_file_info(f"{base}/{key}").type == fs.FileType.NotFound else str(error)[:200]
+            return "deleted"
+
+        for batch in batches:
+            for keys_ in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys_, pa.string()), "outcome": pa.array([one(k) for k in keys_], pa.string())})
+
+    grouped = delete_batches(keys.where("key is not null").select("key").distinct(), size)
+    return cut(grouped.select("keys").mapInArrow(run, "key string, outcome string"))  # files go once, here
 
 
 # bundles of a document's files
