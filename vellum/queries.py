@@ -16,8 +16,9 @@ from .operators import counters, dedup, filters, gc, library, mutate, sync
 from .plans import capture as capturing
 from .plans import edits, feeds, import_runs, imports
 from .plans import replicate as replication
+from .plans import search
 from .schemas import ARTICLE_CSV, UNCATEGORIZED
-from .sources import tables
+from .sources import ranges, tables
 from .sources.shared import shared_root
 from .sources.store import Conflict, Store
 from .streaming import sources as feeds_state
@@ -891,6 +892,30 @@ def localized_assets(spark, d):
     return capturing.localize(pages.withColumn("refs", refs), stored, "page_id").select("page_id", "refs", F.col("content_html").alias("html"))
 
 
+@query(_WITH_A + ", m as (select fetched_at, id from articles order by fetched_at desc, id desc limit 1 offset 300) select id, fetched_at from articles where favorited and (fetched_at, id) < (select (fetched_at, id) from m) order by fetched_at desc, id desc limit 50")
+def ranged_page(spark, d):
+    """T1, FP1, FP6: a page in the middle of a library that lies in ranges of its order, from the files it opens"""
+    rows, folder = articles(spark, d).select("id", "title", "fetched_at", "favorited"), _scratch(spark, "ranges")
+    ranges.write_ranges(rows, folder, files=32)
+    middle = rows.orderBy(F.desc("fetched_at"), F.desc("id")).offset(300).limit(1).first()
+    page, _ = ranges.ranged_page(spark, folder, filters.ArticleFilter(favorites=True), 50, (middle.fetched_at, middle.id))
+    return spark.createDataFrame([(r.id, r.fetched_at) for r in page.rows], "id string, fetched_at string")  # a page
+
+
+@query(_WITH_A + f", t as (select id, {_CI.format('title')} as folded from articles) select 'the' as needle, id from t where contains(folded, 'the') union all select 'eR i', id from t where contains(folded, 'er i') union all select 'ou', id from t where contains(folded, 'ou') and id not like '%7'")
+def indexed_search(spark, d):
+    """FP3, FP11: titles found by postings of trigrams, of which some change; the needle of two characters scans"""
+    rows = articles(spark, d).select(F.col("id").alias("link"), "title", "id")
+    store = search.open_searchable(spark, _scratch(spark, "search"), 32, "link string, title string, id string")
+    search.load(store, rows.where("id like '%7'"))
+    search.insert(store, rows)
+    search.retitle(store, rows.where("id like '%5'").select("link", F.lit("nothing to see").alias("title")))
+    search.retitle(store, rows.where("id like '%5'").select("link", "title"))
+    found = [search.find(store, n).select(F.lit(n).alias("needle"), "id") for n in ("the", "eR i")]
+    search.delete(store, rows.where("id like '%7'").select("link"))
+    return found[0].unionByName(found[1]).unionByName(search.find(store, "OU").select(F.lit("ou").alias("needle"), "id"))
+
+
 @query(_WITH_A + "select distinct 'media/' || id || '.jpg' as key from articles where reading_state = 'unread'")
 def orphan_media(spark, d):
     """J9"""
@@ -1018,6 +1043,10 @@ f as (select e.*, 'https://example.org/new/' || cast(doc_id as varchar) as link
 n as (select source, count(*) as added from f group by 1) """
 
 
+#: A readable end of a page that says when it was published.
+_DATED = '<meta property="article:published_time" content="2021-05-06"><article><p>' + "a sentence, with a comma, that can be read. " * 12 + "</p></article>"
+
+
 def _synced(spark, d):
     """Sources of which some are paused, fail, answer nonsense or have nothing new; half of the entries are stored."""
     docs = table(spark, d, "documents").select("doc_id", "source", "lang", F.concat(F.lit("https://example.org/new/"), F.col("doc_id").cast("string")).alias("link"))
@@ -1027,8 +1056,8 @@ def _synced(spark, d):
     fetched = _feed_bodies(docs.where("source is not null"), k % 4).join(state.select(F.col("id").alias("source"), "feed_url"), "source")
     fetched = fetched.select("feed_url", F.when(k % 5 == 0, 500).when((k % 5 > 1) & (k % 7 == 3), 304).otherwise(200).alias("status"), F.when(k % 5 == 1, "<html>no feed</html>").otherwise(F.col("body")).alias("body"), F.lit("e1").alias("etag"), F.lit("m1").alias("last_modified"), (k % 7 == 6).alias("lost"), (k % 5).alias("kind"))
     fetched = fetched.where("not (lost and kind > 1)").drop("lost", "kind")
-    pages = docs.where("doc_id % 3 = 0").select(F.concat("link", F.lit("?utm_source=feed")).alias("url"), F.concat(F.lit("<title>page "), F.col("doc_id").cast("string"), F.lit("</title><body>x</body>")).alias("html"))
-    return feeds.sync_feeds(stored, state, fetched, pages, NOW), stored
+    pages = docs.where("doc_id % 3 = 0").select(F.concat("link", F.lit("?utm_source=feed")).alias("url"), F.concat(F.lit("<title>page "), F.col("doc_id").cast("string"), F.lit("</title><body>x</body>"), F.when(F.col("doc_id") % 9 == 3, _DATED).otherwise("")).alias("html"))
+    return feeds.sync_feeds(stored.withColumn("published_at", F.lit(None).cast("string")), state, fetched, pages, NOW), stored
 
 
 @query(_SYNC_SQL + "select v.id, coalesce(n.added, 0) as added, v.error from v left join n on v.id = n.source")
@@ -1043,11 +1072,11 @@ def feed_sync_sources(spark, d):
     return _synced(spark, d)[0][1].select("id", "status", "last_error", "article_count", "name", "feed_etag", "last_synced_at")
 
 
-@query(_SYNC_SQL + "select link, source as source_id, doc_id % 3 <> 0 as capture_failed, case when doc_id % 3 = 0 then 'page ' || cast(doc_id as varchar) else 'example.org' end as title, '2024-06-01T00:00:00Z' as published_at from f")
+@query(_SYNC_SQL + "select link, source as source_id, doc_id % 3 <> 0 as capture_failed, case when doc_id % 3 = 0 then 'page ' || cast(doc_id as varchar) else 'example.org' end as title, case when doc_id % 3 = 0 and doc_id % 2 = 1 and doc_id % 9 = 3 then '2021-05-06' else '2024-06-01T00:00:00Z' end as published_at from f")
 def feed_sync_articles(spark, d):
     """SC12, H14, D-1: entries that are new, those without a page as rows that say so; a time of publication is set where none is"""
     (after, _, _), stored = _synced(spark, d)
-    return after.withColumn("published_at", F.col("updated_at")).join(stored.select("id"), "id", "left_anti").select("link", "source_id", "capture_failed", "title", "published_at")
+    return after.join(stored.select("id"), "id", "left_anti").select("link", "source_id", "capture_failed", "title", "published_at")
 
 
 _IMPORT_SQL = f"""with {ARTICLES_SQL}, {CATEGORIES_SQL}, r as (select *, cast(substr(id, 2) as int) as line, cast(substr(id, 2) as int) % 10 = 0 as bad, cast(regexp_extract(link, '/([0-9]+)$', 1) as int) % 2 = 0 as there from articles),
