@@ -317,6 +317,35 @@ def test_manifest_codec(spark, tmp_path):
     tables.write_manifest(entries, dead, 7, str(tmp_path / "m"))
     e, t, v = tables.read_manifest(spark, str(tmp_path / "m"), schemas.MANIFEST, schemas.TOMBSTONES)
     assert e.collect() == entries.collect() and t.collect() == dead.collect() and v == 7
+    assert tables.write_manifest(entries.limit(0), dead, 8, str(tmp_path / "m"), base=1) == 2  # a second write to the path
+    assert e.count() == 1 and tables.read_manifest(spark, str(tmp_path / "m"), schemas.MANIFEST, schemas.TOMBSTONES)[2] == 8
+    with pytest.raises(store.Conflict):
+        tables.write_manifest(entries, dead, 9, str(tmp_path / "m"), base=1)
+    assert tables.read_manifest(spark, str(tmp_path / "none"), schemas.MANIFEST, schemas.TOMBSTONES)[2] == 0
+
+
+@pytest.mark.parametrize("begin", ["<!-- a -->" * 100_000, "<!--" * 100_000, "<?x y?>\n" * 100_000, f"<!-- {'x' * 5_000_000} -->", "<?xml version='1.0'?><!DOCTYPE rss> "])
+def test_long_prologues_of_feeds(spark, begin):
+    import time
+
+    body = f"{begin}<rss version='2.0'><channel><title>T</title><item><link>l</link></item></channel></rss>"
+    rows = spark.createDataFrame([(body,)], "body string")
+    began = time.perf_counter()
+    got = rows.select(tables.feed_kind("body").alias("kind"), tables.parsed_feed("body").alias("feed")).first()
+    assert time.perf_counter() - began < 20
+    assert got.kind == (None if begin.startswith("<!--<!--") else "rss")
+    assert tables.root_of(body) == got.kind
+
+
+def test_tag_text_takes_linear_time(spark):
+    import time
+
+    from vellum.functions.text import tag_text
+
+    rows = spark.createDataFrame([("<title>" * 140_000,)], "html string")
+    began = time.perf_counter()
+    assert rows.select(tag_text("html", "title").alias("t")).first().t is None
+    assert time.perf_counter() - began < 10
 
 
 def test_blobs(spark):

@@ -19,6 +19,7 @@ from ..functions.text import blob_key, media_type, trim_space
 from ..operators.gc import delete_batches
 from ..schemas import ARTICLE_CSV, BOOKMARK_CSV, FEED_CSV
 from .shared import cut
+from .store import Store
 
 FEED_ENTRIES = 30
 ASSET_BYTES = 20 << 20
@@ -208,15 +209,24 @@ def rows_of_blobs(blobs: DataFrame, schema: str) -> DataFrame:
     return parsed.where("_row.id is not null").select("_row.*")
 
 
-def write_manifest(entries: DataFrame, tombstones: DataFrame, version: int, path: str) -> None:
-    entries.write.json(f"{path}/entries", compression="gzip")
-    tombstones.write.json(f"{path}/tombstones", compression="gzip")
-    entries.sparkSession.createDataFrame([(version,)], "version long").coalesce(1).write.json(f"{path}/version", compression="gzip")
+def write_manifest(entries: DataFrame, tombstones: DataFrame, version: int, path: str, base: int | None = None) -> int:
+    """Publish a manifest by one record, so that a reader sees all of it or none. base: the number of the write that this one follows;
+    Conflict if another has come between (None: whatever is there is followed). The number of this write."""
+    store = Store(entries.sparkSession, path, {})
+    base, folder = store.version() if base is None else base, f"{store.path}/data/manifest-{uuid.uuid4().hex}"
+    entries.write.json(f"{folder}/entries", compression="gzip")
+    tombstones.write.json(f"{folder}/tombstones", compression="gzip")
+    return store.publish({"manifest": folder, "version": version}, base + 1)
 
 
 def read_manifest(spark: SparkSession, path: str, entry_schema: str, tombstone_schema: str) -> tuple[DataFrame, DataFrame, int]:
-    version = spark.read.schema("version long").json(f"{path}/version").first()
-    return spark.read.schema(entry_schema).json(f"{path}/entries"), spark.read.schema(tombstone_schema).json(f"{path}/tombstones"), version[0] if version else 0
+    """Entries, tombstones and version of the last write; nothing and 0 where there is none."""
+    store = Store(spark, path, {})
+    record = store.record(store.version())
+    if not record:
+        return spark.createDataFrame([], entry_schema), spark.createDataFrame([], tombstone_schema), 0
+    folder = record["manifest"]
+    return spark.read.schema(entry_schema).json(f"{folder}/entries"), spark.read.schema(tombstone_schema).json(f"{folder}/tombstones"), record["version"]
 
 
 def write_assets(assets: DataFrame, folder: str, path: str = "path", data: str = "body") -> int:
