@@ -14,7 +14,7 @@ from .functions import text as X
 from .functions import urls as U
 from .operators import counters, dedup, filters, gc, library, mutate, sync
 from .plans import capture as capturing
-from .plans import edits, feeds, import_runs, imports
+from .plans import blobs, edits, feeds, import_runs, imports
 from .plans import replicate as replication
 from .plans import search
 from .schemas import ARTICLE_CSV, UNCATEGORIZED
@@ -892,12 +892,12 @@ def localized_assets(spark, d):
     return capturing.localize(pages.withColumn("refs", refs), stored, "page_id").select("page_id", "refs", F.col("content_html").alias("html"))
 
 
-@query(_WITH_A + ", m as (select fetched_at, id from articles order by fetched_at desc, id desc limit 1 offset 300) select id, fetched_at from articles where favorited and (fetched_at, id) < (select (fetched_at, id) from m) order by fetched_at desc, id desc limit 50")
+@query(_WITH_A + ", m as (select fetched_at, id from articles order by fetched_at desc, id desc limit 1 offset 100) select id, fetched_at from articles where favorited and (fetched_at, id) < (select (fetched_at, id) from m) order by fetched_at desc, id desc limit 50")
 def ranged_page(spark, d):
     """T1, FP1, FP6: a page in the middle of a library that lies in ranges of its order, from the files it opens"""
     rows, folder = articles(spark, d).select("id", "title", "fetched_at", "favorited"), _scratch(spark, "ranges")
     ranges.write_ranges(rows, folder, files=32)
-    middle = rows.orderBy(F.desc("fetched_at"), F.desc("id")).offset(300).limit(1).first()
+    middle = rows.orderBy(F.desc("fetched_at"), F.desc("id")).offset(100).limit(1).first()
     page, _ = ranges.ranged_page(spark, folder, filters.ArticleFilter(favorites=True), 50, (middle.fetched_at, middle.id))
     return spark.createDataFrame([(r.id, r.fetched_at) for r in page.rows], "id string, fetched_at string")  # a page
 
@@ -1147,6 +1147,21 @@ def blob_deletes(spark, d):
     return done.select("key", F.col("outcome").alias("state")).unionByName(tables.list_blobs(spark, folder).select("key", F.lit("left").alias("state")))
 
 
+@query("""with h as (select cast(doc_id as varchar) as doc_id, doc_id % 5 <> 0 as there, unnest([struct_pack(path := 'text', hash := sha256(coalesce(text, ''))), struct_pack(path := 'lang', hash := sha256(coalesce(lang, '')))]) as f from documents),
+n as (select f.hash as hash, count(distinct doc_id) filter (there) as now, count(distinct doc_id) as ever from h group by 1)
+select doc_id, f.path as path, now >= 2 as shared from h join n on h.f.hash = n.hash where there union all select 'deleted', hash, false from n where now = 0 and ever >= 2""")
+def shared_blobs(spark, d):
+    """A17, SK5, J10: contents of documents that come in two passes and partly go; shared ones by reference counts, dead ones swept"""
+    docs, folder = table(spark, d, "documents"), _scratch(spark, "shared").removeprefix("file:")
+    assets = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(c).alias("path"), F.coalesce(F.col(c), F.lit("")).cast("binary").alias("body")) for c in ("text", "lang")))).alias("f")).select("doc_id", "f.*")
+    store = blobs.open_blobs(spark, _scratch(spark, "blob-state"), 32)
+    for left in (0, 1):
+        blobs.put(store, folder, assets.where(F.col("doc_id") % 2 == left), f"2024-01-0{left + 1}T00:00:00Z")
+    blobs.drop(store, docs.where("doc_id % 5 = 0"), "2024-01-03T00:00:00Z")
+    swept = blobs.sweep(store, folder, _now()).where("outcome = 'deleted'").select(F.lit("deleted").alias("doc_id"), F.element_at(F.split("key", "/"), 3).alias("path"), F.lit(False).alias("shared"))
+    return blobs.entries(store).select("doc_id", "path", F.col("key").isNotNull().alias("shared")).unionByName(swept)
+
+
 @query(_WITH_A + """, f as (select * from (select *, row_number() over (partition by link order by id) as nth, cast(substr(id, 2) as int) as n from articles) where nth = 1 and n % 20 <> 7),
   t as (select source_id, category_id, list_distinct(list_concat(list_transform(tags, lambda x: case x when 'src4' then 'en' else x end), case when n % 6 = 0 then ['top'] else [] end)) as tags from f)
 select 'source' as kind, source_id as name, count(*) as n from t where source_id is not null group by 2

@@ -237,7 +237,7 @@ def write_assets(assets: DataFrame, folder: str, path: str = "path", data: str =
     root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
     def write(batches):
-        files, base = _store_of(folder)
+        files, base = store_of(folder)
         n = 0
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -263,7 +263,7 @@ def served(requests: DataFrame, live: DataFrame, path: str = "path", owner: str
     return requests.join(known, owner, "left").withColumns({"status": status, "type": F.when(F.col("_live"), media_type(path))}).drop("_live")
 
 
-def _store_of(place: str) -> tuple[fs.FileSystem, str]:
+def store_of(place: str) -> tuple[fs.FileSystem, str]:
     """Arrow's file system of a folder, and the folder in it."""
     uri = place if "://" in place else place.replace("file:", "file://", 1) if place.startswith("file:/") else f"file://{place}"
     return fs.FileSystem.from_uri(uri)
@@ -274,7 +274,7 @@ _FOUND = "key string, folder boolean, last_modified string"
 
 def _listed(root: str, recursive: bool):
     def run(batches):
-        files, base = _store_of(root)
+        files, base = store_of(root)
         for batch in batches:
             for folder in batch.column(0).to_pylist():
                 found = files.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"), recursive=recursive, allow_not_found=True))
@@ -303,7 +303,7 @@ def delete_blobs(keys: DataFrame, path: str, size: int = 1000) -> DataFrame:
     deleted, missing, or why it failed. A key that leads out of the folder is refused."""
 
     def run(batches):
-        files, base = _store_of(path)
+        files, base = store_of(path)
 
         def one(key: str) -> str:
             if not key or any(p in ("", ".", "..") for p in key.split("/")):
