@@ -33,7 +33,7 @@ MIN_DOCS, TOP = 3, 200
 #: Words of a block and sources of a block: a tile has at most 2 * GROUPS * BLOCK cells or so.
 BLOCK, GROUPS = 4096, 128
 #: Bytes of text that a task counts before it gives out what it has.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 SCALE = 1_000_000_000
 
 _LETTERS = np.zeros(256, bool)
